@@ -1,0 +1,52 @@
+"""Compare a Spark result with DuckDB SQL the way the driver does: columns
+sorted by name, row count, then an order-insensitive multiset of rows."""
+
+from __future__ import annotations
+
+import math
+from collections import Counter
+
+import duckdb
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def _norm(v):
+    if isinstance(v, float):
+        return None if math.isnan(v) else round(v, 6)
+    return v
+
+
+def _rows(cols, rows):
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    return [tuple(_norm(r[i]) for i in order) for r in rows]
+
+
+def compare(spark_df, con, sql: str) -> dict:
+    s_cols = spark_df.columns
+    s_rows = [tuple(r) for r in spark_df.collect()]
+    res = con.execute(sql)
+    d_cols = [d[0] for d in res.description]
+    d_rows = res.fetchall()
+    out = {"spark_rows": len(s_rows), "oracle_rows": len(d_rows),
+           "schema": sorted(s_cols) == sorted(d_cols)}
+    if not out["schema"]:
+        out["detail"] = f"columns spark={sorted(s_cols)} oracle={sorted(d_cols)}"
+        out["ok"] = False
+        return out
+    a, b = Counter(_rows(s_cols, s_rows)), Counter(_rows(d_cols, d_rows))
+    out["values"] = a == b
+    if a != b:
+        only_s = list((a - b).elements())[:3]
+        only_d = list((b - a).elements())[:3]
+        out["detail"] = f"spark-only {only_s} oracle-only {only_d}"
+    out["ok"] = out["schema"] and out["values"] and len(s_rows) == len(d_rows)
+    return out

@@ -193,3 +193,15 @@ SELECT id, '{"orderNumber":"' || order_number || '","orderEmail":"' || order_ema
           || CASE WHEN price > 0 THEN 'CONFIRMED' ELSE 'FAILED' END || '"}' AS value
 FROM synthetic""",
 }
+
+# Batch twins that only streaming queries use (not registered as batch queries).
+TWIN_SQL: dict[str, str] = {
+    "order_events": EV + """
+SELECT event_id, order_number, order_email, order_status,
+       CAST(total_order_value AS DOUBLE) AS total_order_value
+FROM order_events""",
+    "processed_values": EV + """
+SELECT CAST(to_json('OrderEvent(' || coalesce(order_number, 'null') || ') PROCESSED') AS VARCHAR)
+         AS value
+FROM order_events""",
+}

@@ -31,14 +31,14 @@ def _email(id_col: Column) -> Column:
     return F.concat(F.lit("user"), id_col.cast("string"), F.lit("@example.com"))
 
 
-def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events → (event_id, order_number, order_email, order_status, total_order_value, arrival).
+def to_order_events(ev: DataFrame) -> DataFrame:
+    """events rows (batch or streaming) → (event_id, order_number, order_email,
+    order_status, total_order_value, arrival).
 
     FAILED iff the event is an error or its value rounds to 0.00; a FAILED
     event carries value 0, as in the source system. ``arrival`` is the event
-    time (TIMESTAMP_NTZ); ``event_id`` breaks ties in arrival order.
+    time; ``event_id`` breaks ties in arrival order.
     """
-    ev = read_table(spark, sf_dir, "events")
     failed = (F.col("event_type") == FAILED_EVENT_TYPE) | (F.round("value", 2) == 0)
     return ev.select(
         F.col("event_id"),
@@ -51,6 +51,11 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as order events (see ``to_order_events``)."""
+    return to_order_events(read_table(spark, sf_dir, "events"))
+
+
 def request_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders → one placement request per order: (order_key, order_number, order_email)."""
     o = read_table(spark, sf_dir, "orders")

@@ -1,4 +1,84 @@
-"""Streaming twins of the batch queries (filled in below)."""
+"""Streaming entries of the query catalogue. Each runs a Structured Streaming
+query over the events table as a file stream (``availableNow``), lets it
+finish, and returns its sink's contents as a batch DataFrame; the check is
+the SQL of the batch twin."""
 
-STREAM_QUERIES = {}
-STREAM_ORACLE_TWINS = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerlane.plans.catalog import portable
+from ledgerlane.session import shared_path
+from ledgerlane.streaming import jobs
+
+
+def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
+    return shared_path(spark, f"{name}-out"), shared_path(spark, f"{name}-ckpt")
+
+
+def s_order_events(spark: SparkSession, sf: str) -> DataFrame:
+    out, ckpt = _paths(spark, "stream-order-events")
+    ev = jobs.fixture_event_stream(spark, sf).drop("arrival")
+    jobs.run_available(ev.writeStream.format("parquet").option("path", out)
+                       .option("checkpointLocation", ckpt))
+    return portable(spark.read.parquet(out))
+
+
+def s_status_counts(spark: SparkSession, sf: str) -> DataFrame:
+    out, ckpt = _paths(spark, "stream-status-counts")
+    updates = jobs.status_count_updates(jobs.fixture_event_stream(spark, sf))
+    jobs.run_available(jobs.upsert_sink(updates, out, ckpt))
+    return jobs.read_upserted(spark, out, ["order_status"])
+
+
+def s_revenue_running(spark: SparkSession, sf: str) -> DataFrame:
+    out, ckpt = _paths(spark, "stream-revenue-running")
+    jobs.run_available(jobs.running_revenue_sink(jobs.fixture_event_stream(spark, sf), out, ckpt))
+    return portable(spark.read.parquet(out).select("order_number", "event_id", "running_revenue"))
+
+
+def s_revenue_tumbling_30s(spark: SparkSession, sf: str) -> DataFrame:
+    out, ckpt = _paths(spark, "stream-revenue-30s")
+    updates = jobs.window_revenue_updates(jobs.fixture_event_stream(spark, sf))
+    jobs.run_available(jobs.upsert_sink(updates, out, ckpt))
+    return portable(jobs.read_upserted(spark, out, ["window_start", "window_end"]))
+
+
+def _processed_to(spark: SparkSession, sf: str, name: str) -> str:
+    out, ckpt = _paths(spark, name)
+    lines = jobs.processed_lines(jobs.fixture_event_stream(spark, sf))
+    jobs.run_available(jobs.text_file_sink(lines, out, ckpt))
+    return out
+
+
+def s_processed_messages(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.text(_processed_to(spark, sf, "stream-processed"))
+
+
+def s_processed_readback(spark: SparkSession, sf: str) -> DataFrame:
+    topic = _processed_to(spark, sf, "stream-processed-topic")
+    out, ckpt = _paths(spark, "stream-readback")
+    jobs.run_available(jobs.text_file_sink(jobs.readback_stream(spark, topic), out, ckpt))
+    return spark.read.text(out)
+
+
+STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "stream_order_events": s_order_events,
+    "stream_status_counts": s_status_counts,
+    "stream_revenue_running": s_revenue_running,
+    "stream_revenue_tumbling_30s": s_revenue_tumbling_30s,
+    "stream_processed_messages": s_processed_messages,
+    "stream_processed_readback": s_processed_readback,
+}
+
+# Stream query → oracle SQL key (in plans.oracle.ORACLE_SQL) of its batch twin.
+STREAM_ORACLE_TWINS = {
+    "stream_order_events": "order_events",
+    "stream_status_counts": "status_counts",
+    "stream_revenue_running": "revenue_running",
+    "stream_revenue_tumbling_30s": "revenue_tumbling_30s",
+    "stream_processed_messages": "processed_values",
+    "stream_processed_readback": "processed_values",
+}

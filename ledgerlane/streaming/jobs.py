@@ -26,7 +26,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerlane.functions.text import processed_message, processing_line
 from ledgerlane.operators.metrics import ARRIVAL_ORDER, WINDOW_LENGTH
 from ledgerlane.operators.prefix import running_totals
-from ledgerlane.session import read_table
 from ledgerlane.sources.fixtures import to_order_events
 
 BATCH_COL = "batch_id"
@@ -35,17 +34,22 @@ BATCH_COL = "batch_id"
 # ---------------------------------------------------------------- sources
 
 def fixture_event_stream(spark: SparkSession, sf_dir: str,
-                         max_files_per_trigger: int | None = None) -> DataFrame:
+                         max_files_per_trigger: int | None = None,
+                         glob: str = "events.parquet") -> DataFrame:
     """S1 over the driver's events table: a parquet file stream, adapted to order
-    events. ``arrival`` becomes TIMESTAMP (UTC) so watermarks accept it."""
-    schema = read_table(spark, sf_dir, "events").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    events. ``arrival`` becomes TIMESTAMP (UTC) so watermarks accept it.
+    ``glob`` selects the files of ``sf_dir`` (a folder of event files works too)."""
+    reader = spark.readStream.schema(_events_schema(spark, sf_dir, glob)).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     ev = to_order_events(reader.parquet(sf_dir))
     return ev.withColumn("arrival", F.col("arrival").cast("timestamp"))
 
 
+def _events_schema(spark: SparkSession, folder: str, glob: str):
+    return spark.read.option("pathGlobFilter", glob).parquet(folder).schema
+
+
 # ---------------------------------------------------------------- running queries
 
 def run_available(writer, timeout_s: float = 600) -> StreamingQuery:

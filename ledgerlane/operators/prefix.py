@@ -115,13 +115,14 @@ def _scale_of(dt: T.DataType) -> int:
 
 def running_totals(df: DataFrame, order_by: list[str], keys: list[str] | None = None,
                    sums: dict[str, str] | None = None, count_as: str | None = "running_count",
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, stage_path: str | None = None) -> DataFrame:
     """Append the running count (``count_as``) and running sums (``sums``:
     output name → input column) per ``keys`` in the order ``order_by``.
 
     ``order_by`` must be a total order (end it with a unique column) so the
     result is deterministic and recomputation after a lost executor yields the
-    same rows.
+    same rows. The prefixed rows are staged under ``stage_path`` (overwritten)
+    or, by default, under a new folder in the shared checkpoint folder.
     """
     keys = list(keys or [])
     sums = dict(sums or {})
@@ -156,8 +157,8 @@ def running_totals(df: DataFrame, order_by: list[str], keys: list[str] | None =
     # Cut the lineage: the partition ids and local prefixes are stored, so the
     # offsets and the final rows come from the very same rows even if a stage
     # is recomputed (a re-run range shuffle may sample other bounds).
-    path = shared_path(df.sparkSession, "running-totals")
-    local.write.parquet(path)
+    path = stage_path or shared_path(df.sparkSession, "running-totals")
+    local.write.mode("overwrite").parquet(path)
     local = df.sparkSession.read.parquet(path)
 
     # Per (partition, key) totals, then the exclusive prefix over partitions.

@@ -9,7 +9,8 @@ Sinks are exactly-once and scale out:
 * the per-event revenue changelog → ``running_revenue_sink``: each micro-batch
   runs the distributed prefix sum of ``operators.prefix`` and adds the carry
   (total of all earlier batches), which is stored per batch id next to the
-  output, so a replayed batch reads the same carry and writes the same rows.
+  output, so a replayed batch reads the same carry and writes the same rows;
+  the prefix pass stages its rows in one folder that every batch overwrites.
 
 Every query owns its checkpoint in the shared checkpoint folder.
 """
@@ -105,7 +106,8 @@ def running_revenue_sink(events: DataFrame, out_path: str, checkpoint: str,
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         narrow = batch.select("order_number", "total_order_value", *order_by)
         local = running_totals(narrow, order_by=order_by,
-                               sums={"running_revenue": "total_order_value"}, count_as=None)
+                               sums={"running_revenue": "total_order_value"}, count_as=None,
+                               stage_path=f"{out_path}/_stage")
         out = local.select("order_number", *order_by,
                            (F.col("running_revenue") + F.lit(carry)).cast("decimal(38,2)")
                            .alias("running_revenue"))

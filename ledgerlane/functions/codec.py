@@ -7,8 +7,9 @@ Decode strictness (D1) follows a default-configured JSON object mapper:
 * malformed, truncated, wrong-shape (``[1]``), ``null`` or empty input → dropped
 * any field name outside the four known ones (also a wrong-case name) → dropped
 * a value that is not a number (``"abc"``, ``true``) → dropped
-* missing fields, ``{}``, quoted numbers, numbers in text fields, trailing
-  text after the object → kept
+* an object or array where text is expected → dropped
+* missing fields, ``{}``, quoted numbers, numbers or booleans in text fields,
+  trailing text after the object → kept
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from ledgerlane.schemas import ORDER_EVENT_WIRE, WIRE_FIELDS
 _CORRUPT = "_corrupt_record"
 # The value's number token as written, quoted or not (e.g. 41000, 12.30, 1E3).
 _VALUE_TOKEN = r'"totalOrderValue"\s*:\s*"?([-+0-9.eE]+)"?'
+# A text field holding an object or array: Spark would keep its JSON text,
+# the object mapper rejects the record.
+_NESTED_TEXT = r'"(orderNumber|orderEmail|orderStatus)"\s*:\s*[\[{]'
 _DECODE_SCHEMA = ORDER_EVENT_WIRE.add(_CORRUPT, "string")
 
 
@@ -41,11 +45,13 @@ def decode_order_events(raw: DataFrame, value_col: str = "value",
                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("_e"),
         F.json_object_keys(text).alias("_keys"),
         F.regexp_extract(text, _VALUE_TOKEN, 1).alias("_token"),
+        text.rlike(_NESTED_TEXT).alias("_nested"),
     )
     valid = (F.col("_e").isNotNull()
              & F.col(f"_e.{_CORRUPT}").isNull()
              & F.col("_keys").isNotNull()
-             & (F.size(F.array_except(F.col("_keys"), _known_keys())) == 0))
+             & (F.size(F.array_except(F.col("_keys"), _known_keys())) == 0)
+             & ~F.col("_nested"))
     return parsed.filter(valid).select(
         *[F.col(c) for c in keep],
         F.col("_e.orderNumber").alias("order_number"),

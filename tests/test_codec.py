@@ -27,6 +27,10 @@ CASES = [
     ('{"totalOrderValue":12.30}', True, Decimal("12.30"), "12.30"),
     ('{"totalOrderValue":null}', True, None, None),
     ("not json", False, None, None),
+    ('{"orderNumber":{"x":1}}', False, None, None),
+    ('{"orderEmail":["a"]}', False, None, None),
+    ('{"orderStatus":true}', True, None, None),
+    ('{"orderEmail":"say \\"orderNumber\\":{"}', True, None, None),
 ]
 
 

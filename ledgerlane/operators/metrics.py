@@ -53,3 +53,18 @@ def revenue_tumbling(events: DataFrame, time_col: str = "arrival",
                   .select(F.col("w.start").alias("window_start"),
                           F.col("w.end").alias("window_end"),
                           "window_revenue", "event_count"))
+
+
+def event_problems(events: DataFrame) -> DataFrame:
+    """Events the source system's job cannot process (a null order number
+    or status breaks its key selectors, a null value its running sum), with a
+    reason; ``valid_events`` is the complement."""
+    reason = (F.when(F.col("order_number").isNull(), F.lit("null order number"))
+               .when(F.col("order_status").isNull(), F.lit("null status"))
+               .when(F.col("total_order_value").isNull(), F.lit("null value")))
+    return events.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
+def valid_events(events: DataFrame) -> DataFrame:
+    return events.filter(F.col("order_number").isNotNull() & F.col("order_status").isNotNull()
+                         & F.col("total_order_value").isNotNull())

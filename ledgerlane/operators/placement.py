@@ -125,12 +125,19 @@ def order_totals(lines: DataFrame, inventory: DataFrame, dedupe_answers: bool =
 # ---------------------------------------------------------------- decision
 
 def placement_decisions(headers: DataFrame, lines: DataFrame, inventory: DataFrame,
-                        dedupe_answers: bool = False) -> DataFrame:
+                        dedupe_answers: bool = False,
+                        exclude: DataFrame | None = None) -> DataFrame:
     """E4 for every request: CONFIRMED with its total iff all answers are in
     stock and the total is > 0; else FAILED with 0. A request without valid
     lines has no answers (all-in-stock is vacuously true) and total 0, so it
-    fails, as in the source system."""
+    fails, as in the source system.
+
+    ``exclude`` (order_key, …) lists requests that raise in the source system
+    before any event (see ``quarantine_requests``); they get no decision.
+    """
     totals = order_totals(valid_lines(lines), inventory, dedupe_answers)
+    if exclude is not None:
+        headers = headers.join(exclude.select("order_key"), "order_key", "left_anti")
     d = headers.join(totals, "order_key", "left")
     total = F.coalesce(F.col("total_value"), F.lit(0).cast(TOTAL_TYPE))
     confirmed = F.coalesce(F.col("all_in_stock"), F.lit(True)) & (total > 0)
@@ -157,6 +164,12 @@ def confirmed_order_lines(decisions: DataFrame, lines: DataFrame) -> DataFrame:
                                       "sku_code", "price", "quantity"))
 
 
+def quarantine_nested_requests(requests: DataFrame) -> DataFrame:
+    """R2 for nested input: a request without a line list raises before any event."""
+    return (requests.filter(F.col("items").isNull())
+                    .select("order_key", F.lit("null line list").alias("reason")))
+
+
 def quarantine_requests(lines: DataFrame) -> DataFrame:
     """R2: requests the source service would reject with an exception
     (null quantity, or a null price/SKU on a line that survives the filter)."""

@@ -2,7 +2,8 @@
 
 Branches: processing text (E8), running count per status (A1), running total
 revenue (A2), revenue per 30 s window (A3), processed messages to the output
-topic (E9 + K1). Each branch is its own streaming query with its own
+topic (E9 + K1). Events the source system's job would crash on (null number,
+status or value) go to a quarantine branch instead of the metrics (R6). Each branch is its own streaming query with its own
 checkpoint, so a branch can restart or fall behind without holding back the
 others, and each keeps exactly-once output.
 
@@ -18,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerlane.operators.metrics import event_problems, valid_events
 from ledgerlane.session import shared_path
 from ledgerlane.streaming import jobs
 from ledgerlane.streaming.processors import apply_processing_time_windows
@@ -38,20 +40,26 @@ def start_dashboard(spark: SparkSession, events: Callable[[], DataFrame], out_di
     def paths(name: str) -> tuple[str, str]:
         return f"{out_dir}/{name}", f"{out_dir}/_checkpoints/{name}"
 
+    def clean() -> DataFrame:
+        return valid_events(events())
+
     writers = {}
+    p, c = paths("quarantine")
+    writers["quarantine"] = (event_problems(events()).writeStream.format("parquet")
+                             .option("path", p).option("checkpointLocation", c))
     p, c = paths("processing")
     writers["processing"] = jobs.text_file_sink(jobs.processing_lines(events()), p, c)
     p, c = paths("status_counts")
-    writers["status_counts"] = jobs.upsert_sink(jobs.status_count_updates(events()), p, c)
+    writers["status_counts"] = jobs.upsert_sink(jobs.status_count_updates(clean()), p, c)
     p, c = paths("revenue_running")
-    writers["revenue_running"] = jobs.running_revenue_sink(events(), p, c)
+    writers["revenue_running"] = jobs.running_revenue_sink(clean(), p, c)
     p, c = paths("revenue_30s")
     if window_mode == "processing":
-        windows = apply_processing_time_windows(events())
+        windows = apply_processing_time_windows(clean())
         writers["revenue_30s"] = (windows.writeStream.format("parquet").option("path", p)
                                   .option("checkpointLocation", c))
     else:
-        writers["revenue_30s"] = jobs.upsert_sink(jobs.window_revenue_updates(events()), p, c)
+        writers["revenue_30s"] = jobs.upsert_sink(jobs.window_revenue_updates(clean()), p, c)
     p, c = paths("processed")
     processed = jobs.processed_lines(events())
     if kafka_servers:

@@ -49,3 +49,14 @@ def test_synthetic_generator_shape(spark):
     assert ev.select("order_email").distinct().count() == 4
     random_mode = synthetic_order_events(spark.range(10), random_ids=True)
     assert random_mode.select("order_number").distinct().count() == 10
+
+
+def test_event_quarantine_split(spark):
+    from decimal import Decimal
+    ev = spark.createDataFrame(
+        [("1", "CONFIRMED", Decimal("1")), (None, "FAILED", Decimal("0")),
+         ("3", None, Decimal("1")), ("4", "CONFIRMED", None)],
+        "order_number string, order_status string, total_order_value decimal(18,2)")
+    reasons = sorted(r.reason for r in metrics.event_problems(ev).collect())
+    assert reasons == ["null order number", "null status", "null value"]
+    assert [r.order_number for r in metrics.valid_events(ev).collect()] == ["1"]

@@ -93,3 +93,22 @@ def test_quarantine_reasons(spark):
         "order_key long, sku_code string, price decimal(18,2), quantity int")
     got = {r.order_key: r.reason for r in placement.quarantine_requests(lines).collect()}
     assert got == {1: "null quantity", 2: "null sku", 3: "null price"}
+
+
+def test_excluded_requests_get_no_decision(spark):
+    from ledgerlane.sources.requests import inventory_seed
+    lines = spark.createDataFrame(
+        [(1, 0, "iphone_13", Decimal("10"), 1), (2, 0, "iphone_13", Decimal("10"), None)],
+        "order_key long, id long, sku_code string, price decimal(18,2), quantity int")
+    headers = spark.createDataFrame([(1, None, "a"), (2, None, "b")],
+                                    "order_key long, order_number string, order_email string")
+    bad = placement.quarantine_requests(lines)
+    got = placement.placement_decisions(headers, lines, inventory_seed(spark), exclude=bad)
+    assert [(r.order_key, r.order_status) for r in got.collect()] == [(1, "CONFIRMED")]
+
+
+def test_nested_request_without_list_is_quarantined(spark):
+    req = spark.createDataFrame([(1, "a", None)], "order_key long, order_email string, "
+                                "items array<struct<id:long,sku_code:string,"
+                                "price:decimal(18,6),quantity:int>>")
+    assert placement.quarantine_nested_requests(req).first().reason == "null line list"

@@ -39,6 +39,13 @@ def s_revenue_running(spark: SparkSession, sf: str) -> DataFrame:
     return portable(spark.read.parquet(out).select("order_number", "event_id", "running_revenue"))
 
 
+def s_status_running_counts(spark: SparkSession, sf: str) -> DataFrame:
+    out, ckpt = _paths(spark, "stream-status-running")
+    jobs.run_available(jobs.status_running_sink(jobs.fixture_event_stream(spark, sf), out, ckpt))
+    return spark.read.parquet(out).select("order_number", "order_status", "event_id",
+                                          "running_count")
+
+
 def s_revenue_tumbling_30s(spark: SparkSession, sf: str) -> DataFrame:
     out, ckpt = _paths(spark, "stream-revenue-30s")
     updates = jobs.window_revenue_updates(jobs.fixture_event_stream(spark, sf))
@@ -67,6 +74,7 @@ def s_processed_readback(spark: SparkSession, sf: str) -> DataFrame:
 STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_order_events": s_order_events,
     "stream_status_counts": s_status_counts,
+    "stream_status_running_counts": s_status_running_counts,
     "stream_revenue_running": s_revenue_running,
     "stream_revenue_tumbling_30s": s_revenue_tumbling_30s,
     "stream_processed_messages": s_processed_messages,
@@ -77,6 +85,7 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 STREAM_ORACLE_TWINS = {
     "stream_order_events": "order_events",
     "stream_status_counts": "status_counts",
+    "stream_status_running_counts": "status_running_counts",
     "stream_revenue_running": "revenue_running",
     "stream_revenue_tumbling_30s": "revenue_tumbling_30s",
     "stream_processed_messages": "processed_values",

@@ -49,8 +49,8 @@ def start_dashboard(spark: SparkSession, events: Callable[[], DataFrame], out_di
                              .option("path", p).option("checkpointLocation", c))
     p, c = paths("processing")
     writers["processing"] = jobs.text_file_sink(jobs.processing_lines(events()), p, c)
-    p, c = paths("status_counts")
-    writers["status_counts"] = jobs.upsert_sink(jobs.status_count_updates(clean()), p, c)
+    p, c = paths("status_running")
+    writers["status_running"] = jobs.status_running_sink(clean(), p, c)
     p, c = paths("revenue_running")
     writers["revenue_running"] = jobs.running_revenue_sink(clean(), p, c)
     p, c = paths("revenue_30s")

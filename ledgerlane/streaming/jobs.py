@@ -6,11 +6,12 @@ Sinks are exactly-once and scale out:
 * aggregates in ``update`` mode → ``upsert_sink``: each micro-batch's changed
   rows are written under ``batch_id=<n>`` (overwrite, so a replayed batch
   replaces itself); readers take the newest row per key;
-* the per-event revenue changelog → ``running_revenue_sink``: each micro-batch
-  runs the distributed prefix sum of ``operators.prefix`` and adds the carry
-  (total of all earlier batches), which is stored per batch id next to the
-  output, so a replayed batch reads the same carry and writes the same rows;
-  the prefix pass stages its rows in one folder that every batch overwrites.
+* per-event changelogs (revenue, count per status) → ``running_totals_sink``:
+  each micro-batch runs the distributed prefix sum of ``operators.prefix`` and
+  adds the per-key carry of all earlier batches, which is stored per batch id
+  next to the output, so a replayed batch reads the same carry and writes the
+  same rows; the prefix pass stages its rows in one folder that every batch
+  overwrites.
 
 Every query owns its checkpoint in the shared checkpoint folder.
 """
@@ -27,9 +28,11 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerlane.functions.text import processed_message, processing_line
 from ledgerlane.operators.metrics import ARRIVAL_ORDER, WINDOW_LENGTH
 from ledgerlane.operators.prefix import running_totals
+from ledgerlane.session import broadcast_if_bounded
 from ledgerlane.sources.fixtures import to_order_events
 
 BATCH_COL = "batch_id"
+CARRY_BROADCAST_ROWS = 1_000_000
 
 
 # ---------------------------------------------------------------- sources
@@ -90,31 +93,68 @@ def read_upserted(spark: SparkSession, out_path: str, keys: list[str]) -> DataFr
     return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
-def running_revenue_sink(events: DataFrame, out_path: str, checkpoint: str,
-                         order_by: list[str] = ARRIVAL_ORDER, name: str | None = None):
-    """A2 changelog on a stream, exactly once: per micro-batch, running revenue
-    in (arrival, event_id) order plus the carry of all earlier batches."""
+def running_totals_sink(events: DataFrame, out_path: str, checkpoint: str,
+                        order_by: list[str] = ARRIVAL_ORDER, keys: list[str] | None = None,
+                        sums: dict[str, str] | None = None, count_as: str | None = None,
+                        carry_columns: list[str] | None = None, name: str | None = None):
+    """Per-event changelog on a stream, exactly once (A1/A2 as the source
+    system emits them): per micro-batch, ``operators.prefix.running_totals``
+    in ``order_by`` order plus the carry per key of all earlier batches.
+
+    The carry table (one row per key seen so far) is written per batch id
+    next to the output, so a replayed batch reads the same carry and rewrites
+    the same rows. ``carry_columns`` are extra columns kept in the output.
+    """
+    user_keys = list(keys or [])
+    keys = user_keys or ["_all"]   # one constant key: the carry join stays an equi-join
+    sums = dict(sums or {})
+    keep = [c for c in (carry_columns or []) if c not in keys and c not in order_by]
     carry_root = f"{out_path}/_carry"
+    stage = f"{out_path}/_stage"
+    ck = [f"_ck{i}" for i in range(len(keys))]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        carry = Decimal(0)
-        if batch_id > 0:
-            row = spark.read.parquet(f"{carry_root}/{BATCH_COL}={batch_id - 1}").first()
-            carry = row["carry"] if row and row["carry"] is not None else Decimal(0)
-        # Read twice (prefix pass, batch total): keep the micro-batch at hand.
+        if not user_keys:
+            batch = batch.withColumn("_all", F.lit(0))
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        narrow = batch.select("order_number", "total_order_value", *order_by)
-        local = running_totals(narrow, order_by=order_by,
-                               sums={"running_revenue": "total_order_value"}, count_as=None,
-                               stage_path=f"{out_path}/_stage")
-        out = local.select("order_number", *order_by,
-                           (F.col("running_revenue") + F.lit(carry)).cast("decimal(38,2)")
-                           .alias("running_revenue"))
-        out.write.mode("overwrite").parquet(f"{out_path}/{BATCH_COL}={batch_id}")
-        total = batch.agg(F.sum("total_order_value").alias("s")).first()["s"] or Decimal(0)
-        (spark.createDataFrame([(carry + total,)], "carry decimal(38,2)")
-              .write.mode("overwrite").parquet(f"{carry_root}/{BATCH_COL}={batch_id}"))
+        narrow = batch.select(*keep, *keys, *order_by,
+                              *[c for c in dict.fromkeys(sums.values()) if c not in keys])
+        local = running_totals(narrow, order_by=order_by, keys=keys, sums=sums,
+                               count_as=count_as or "_cnt", stage_path=stage)
+        totals = batch.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_c_cnt"),
+            *[F.sum(F.col(src)).cast("decimal(38,6)").alias(f"_c_{out}")
+              for out, src in sums.items()])
+        if batch_id > 0:
+            carry = spark.read.parquet(f"{carry_root}/{BATCH_COL}={batch_id - 1}")
+        else:
+            carry = totals.limit(0)
+        # One row per key seen so far: bounded by the key domain, checked.
+        carry_b = broadcast_if_bounded(
+            carry.select(*[F.col(k).alias(c) for k, c in zip(keys, ck)],
+                         *[F.col(c).alias(f"{c}_prev") for c in carry.columns if c.startswith("_c_")]),
+            CARRY_BROADCAST_ROWS)
+        cond = None
+        for k, c in zip(keys, ck):
+            eq = F.col(k).eqNullSafe(F.col(c))
+            cond = eq if cond is None else cond & eq
+        joined = local.join(carry_b, cond, "left")
+        outs = []
+        if count_as:
+            outs.append((F.col(count_as) + F.coalesce(F.col("_c_cnt_prev"), F.lit(0)))
+                        .alias(count_as))
+        for out in sums:
+            prev = F.col(f"_c_{out}_prev")
+            outs.append(F.when(F.col(out).isNull() & prev.isNull(), F.lit(None))
+                        .otherwise(F.coalesce(F.col(out), F.lit(0)) + F.coalesce(prev, F.lit(0)))
+                        .cast("decimal(38,6)").alias(out))
+        (joined.select(*keep, *user_keys, *order_by, *outs)
+               .write.mode("overwrite").parquet(f"{out_path}/{BATCH_COL}={batch_id}"))
+        merged = carry.unionByName(totals).groupBy(*keys).agg(
+            F.sum("_c_cnt").alias("_c_cnt"),
+            *[F.sum(f"_c_{out}").cast("decimal(38,6)").alias(f"_c_{out}") for out in sums])
+        merged.write.mode("overwrite").parquet(f"{carry_root}/{BATCH_COL}={batch_id}")
         batch.unpersist()
 
     w = (events.writeStream.outputMode("append").foreachBatch(write)
@@ -122,6 +162,22 @@ def running_revenue_sink(events: DataFrame, out_path: str, checkpoint: str,
     return w.queryName(name) if name else w
 
 
+def running_revenue_sink(events: DataFrame, out_path: str, checkpoint: str,
+                         order_by: list[str] = ARRIVAL_ORDER, name: str | None = None):
+    """A2 changelog on a stream: total revenue so far, per event."""
+    return running_totals_sink(events, out_path, checkpoint, order_by,
+                               sums={"running_revenue": "total_order_value"},
+                               carry_columns=["order_number"], name=name)
+
+
+def status_running_sink(events: DataFrame, out_path: str, checkpoint: str,
+                        order_by: list[str] = ARRIVAL_ORDER, name: str | None = None):
+    """A1 changelog on a stream: (status, count of the status so far), per event."""
+    return running_totals_sink(events, out_path, checkpoint, order_by, keys=["order_status"],
+                               count_as="running_count", carry_columns=["order_number"],
+                               name=name)
+
+
 def text_file_sink(lines: DataFrame, out_path: str, checkpoint: str, name: str | None = None):
     """K1 in its exactly-once form: value-only string records as text files."""
     w = (lines.select("value").writeStream.format("text").outputMode("append")

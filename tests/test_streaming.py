@@ -51,11 +51,13 @@ def test_multi_batch_stream_with_restart_equals_batch(spark, scratch):
     out, ckpt = os.path.join(scratch, "rev"), os.path.join(scratch, "ckpt")
     s_out, s_ckpt = os.path.join(scratch, "st"), os.path.join(scratch, "st_ckpt")
     w_out, w_ckpt = os.path.join(scratch, "w"), os.path.join(scratch, "w_ckpt")
+    c_out, c_ckpt = os.path.join(scratch, "c"), os.path.join(scratch, "c_ckpt")
     stream = lambda: jobs.fixture_event_stream(spark, src, max_files_per_trigger=1,
                                                glob="events-*.parquet")
 
     def run_all():
         jobs.run_available(jobs.running_revenue_sink(stream(), out, ckpt))
+        jobs.run_available(jobs.status_running_sink(stream(), c_out, c_ckpt))
         jobs.run_available(jobs.upsert_sink(jobs.status_count_updates(stream()), s_out, s_ckpt))
         jobs.run_available(jobs.upsert_sink(jobs.window_revenue_updates(stream()), w_out, w_ckpt))
 
@@ -71,6 +73,12 @@ def test_multi_batch_stream_with_restart_equals_batch(spark, scratch):
     assert got == _batch_running(spark)
 
     ev = fx.order_events(spark, SF_TINY)
+    want_run = {(r.order_number, r.order_status, r.running_count)
+                for r in metrics.status_running_counts(ev).collect()}
+    got_run = {(r.order_number, r.order_status, r.running_count)
+               for r in spark.read.parquet(c_out).collect()}
+    assert got_run == want_run
+
     want_status = {r.order_status: r.event_count for r in metrics.status_counts(ev).collect()}
     got_status = {r.order_status: r.event_count
                   for r in jobs.read_upserted(spark, s_out, ["order_status"]).collect()}
@@ -128,8 +136,8 @@ def test_dashboard_branches(spark, scratch):
     assert spark.read.text(f"{out}/processing").count() == n
     assert spark.read.text(f"{out}/processed").count() == n
     assert spark.read.parquet(f"{out}/revenue_running").count() == n
-    status = {r.order_status: r.event_count
-              for r in jobs.read_upserted(spark, f"{out}/status_counts", ["order_status"]).collect()}
+    status = {r.order_status: r.m for r in spark.read.parquet(f"{out}/status_running")
+              .groupBy("order_status").agg(F.max("running_count").alias("m")).collect()}
     assert status == {r.order_status: r.event_count
                       for r in metrics.status_counts(ev).collect()}
     assert jobs.read_upserted(spark, f"{out}/revenue_30s", ["window_start"]).count() == \

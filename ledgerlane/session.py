@@ -75,5 +75,23 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Partition sizing for a cluster run over ``input_bytes`` of parquet.
+
+    Shuffle partitions start at one per ``target_partition_bytes`` of input
+    (AQE coalesces small ones and splits skewed join partitions at runtime);
+    scans split at the same size. The range-partitioned changelogs use the
+    shuffle partition count as their partition count, so it also bounds
+    their broadcast offsets table.
+    """
+    parts = max(200, min(200_000, -(-input_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+    }
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

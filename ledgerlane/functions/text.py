@@ -50,20 +50,28 @@ def notification_line(value_text: Column | None = None) -> Column:
     return F.concat(F.lit(NOTIFICATION_PREFIX), event_text(value_text))
 
 
-def arrival_millis(arrival: Column) -> Column:
-    """Epoch milliseconds of an arrival time. NTZ inputs are read as UTC
-    wall-clock time (the session zone is UTC)."""
-    return F.unix_millis(arrival.cast("timestamp"))
+EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def arrival_millis(arrival: str | None = None) -> Column:
+    """Epoch milliseconds (truncated, as a millisecond clock reads) of the
+    arrival column, a TIMESTAMP_NTZ in UTC wall-clock time; independent of the
+    session time zone. Without a column: the micro-batch clock."""
+    if arrival is None:
+        return F.unix_millis(F.current_timestamp())
+    return F.expr(f"timestampdiff(MILLISECOND, {EPOCH_NTZ}, CAST(`{arrival}` AS TIMESTAMP_NTZ))")
 
 
 def shifted_instant(millis: Column) -> Column:
     """The arrival instant plus 5 h 30 min — a shifted instant, not a
-    time-zone conversion."""
-    return F.timestamp_millis(millis) + F.expr(INSTANT_SHIFT)
+    time-zone conversion — as a UTC wall-clock TIMESTAMP_NTZ."""
+    since_epoch = F.make_dt_interval(secs=(millis / F.lit(1000)).cast("decimal(18,3)"))
+    return F.expr(EPOCH_NTZ) + since_epoch + F.expr(INSTANT_SHIFT)
 
 
-def stamp_arrival(arrival: Column | None = None) -> tuple[Column, Column]:
-    """E10 columns ``(timestamp, instant)``. Without an arrival column the
-    micro-batch clock ``current_timestamp()`` is used (live streams)."""
-    ms = arrival_millis(arrival if arrival is not None else F.current_timestamp())
+def stamp_arrival(arrival: str | None = None) -> tuple[Column, Column]:
+    """E10 columns ``(timestamp, instant)`` from the named arrival column.
+    Without one the micro-batch clock ``current_timestamp()`` is used (live
+    streams)."""
+    ms = arrival_millis(arrival)
     return ms.alias("timestamp"), shifted_instant(ms).alias("instant")

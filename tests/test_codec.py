@@ -90,7 +90,7 @@ def test_event_text_and_processed(spark):
 def test_arrival_stamp_shift(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:07.179575",)], "t string").select(
         F.col("t").cast("timestamp_ntz").alias("arrival"))
-    ts, instant = text.stamp_arrival(F.col("arrival"))
+    ts, instant = text.stamp_arrival("arrival")
     r = df.select(ts, F.date_format(instant, "yyyy-MM-dd HH:mm:ss.SSS").alias("i")).first()
     assert r.timestamp == 1704067207179
     assert r.i == "2024-01-01 05:30:07.179"

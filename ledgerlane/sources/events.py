@@ -71,8 +71,14 @@ def read_event_stream(spark: SparkSession, *, kafka_servers: str | None = None,
                .option("subscribe", topic)
                .option("startingOffsets", starting_offsets)
                .load())
-        return decode_order_events(raw, "value", keep=("timestamp",)).withColumnRenamed(
-            "timestamp", "arrival")
+        # Arrival is the broker timestamp; (partition, offset) is a unique,
+        # replay-stable tie-break within it.
+        decoded = decode_order_events(raw, "value", keep=("timestamp", "partition", "offset"))
+        return (decoded
+                .withColumn("event_id", F.shiftleft(F.col("partition").cast("long"), 40)
+                            + F.col("offset"))
+                .withColumnRenamed("timestamp", "arrival")
+                .drop("partition", "offset"))
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

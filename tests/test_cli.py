@@ -1,0 +1,42 @@
+"""Smoke runs of the spark-submit entry points on small local inputs."""
+
+import json
+import os
+
+from conftest import SF_TINY
+from ledgerlane import cli
+from ledgerlane.sources import fixtures as fx
+from ledgerlane.sources.events import render_event_json
+from ledgerlane.sources.requests import inventory_seed
+
+
+def test_place_job(spark, scratch):
+    req = os.path.join(scratch, "requests.json")
+    with open(req, "w") as fh:
+        fh.write(json.dumps({"order_key": 1, "order_email": "a@example.com", "items": [
+            {"id": 1, "sku_code": "iphone_13", "price": 41000, "quantity": 1}]}) + "\n")
+        fh.write(json.dumps({"order_key": 2, "order_email": "b@example.com", "items": [
+            {"id": 1, "sku_code": "iphone_14", "price": 56000, "quantity": 1}]}) + "\n")
+        fh.write(json.dumps({"order_key": 3, "order_email": "c@example.com", "items": None}) + "\n")
+    inv = os.path.join(scratch, "inventory")
+    inventory_seed(spark).write.parquet(inv)
+    out = os.path.join(scratch, "out")
+    cli.main(["place", "--requests", req, "--inventory", inv, "--out", out])
+    decisions = {r.order_key: r.order_status for r in spark.read.parquet(f"{out}/decisions").collect()}
+    assert decisions == {1: "CONFIRMED", 2: "FAILED"}
+    assert spark.read.parquet(f"{out}/orders").count() == 1
+    assert spark.read.parquet(f"{out}/order_lines").count() == 1
+    assert spark.read.parquet(f"{out}/published").count() == 4
+    assert [r.order_key for r in spark.read.parquet(f"{out}/quarantine").collect()] == [3]
+
+
+def test_metrics_job(spark, scratch):
+    src = os.path.join(scratch, "events")
+    render_event_json(fx.order_events(spark, SF_TINY)).select("value").write.text(src)
+    out = os.path.join(scratch, "m")
+    cli.main(["metrics", "--events", src, "--out", out])
+    n = sum(r.event_count for r in spark.read.parquet(f"{out}/status_counts").collect())
+    assert n == spark.read.parquet(f"{out}/revenue_running").count() > 0
+    total = spark.read.parquet(f"{out}/revenue_total").first().total_revenue
+    last = spark.read.parquet(f"{out}/revenue_running").agg({"running_revenue": "max"}).first()[0]
+    assert last == total

@@ -62,3 +62,20 @@ def test_codec_queries_stay_narrow(spark):
         txt = plan_text(entry.queries()[name](spark, SF_SMALL))
         assert "Exchange" not in txt, name
         assert "Python" not in txt and "ArrowEval" not in txt, name
+
+
+def test_broadcast_only_under_proven_bound(spark):
+    from ledgerlane.session import broadcast_if_bounded
+    facts = spark.range(1000).withColumnRenamed("id", "k")
+    dim = spark.range(50).withColumnRenamed("id", "k")
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = plan_text(facts.join(broadcast_if_bounded(dim, 100), "k"))
+        large = plan_text(facts.join(broadcast_if_bounded(dim, 10), "k"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in small
+    assert "BroadcastHashJoin" not in large and "SortMergeJoin" in large

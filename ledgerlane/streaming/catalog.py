@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlane.plans.catalog import portable
 from ledgerlane.session import shared_path
 from ledgerlane.streaming import jobs
+from ledgerlane.streaming.dashboard import COMPACT_EVERY
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -29,7 +30,8 @@ def s_order_events(spark: SparkSession, sf: str) -> DataFrame:
 def s_status_counts(spark: SparkSession, sf: str) -> DataFrame:
     out, ckpt = _paths(spark, "stream-status-counts")
     updates = jobs.status_count_updates(jobs.fixture_event_stream(spark, sf))
-    jobs.run_available(jobs.upsert_sink(updates, out, ckpt))
+    jobs.run_available(jobs.upsert_sink(updates, out, ckpt, keys=["order_status"],
+                                        compact_every=COMPACT_EVERY))
     return jobs.read_upserted(spark, out, ["order_status"])
 
 
@@ -49,8 +51,9 @@ def s_status_running_counts(spark: SparkSession, sf: str) -> DataFrame:
 def s_revenue_tumbling_30s(spark: SparkSession, sf: str) -> DataFrame:
     out, ckpt = _paths(spark, "stream-revenue-30s")
     updates = jobs.window_revenue_updates(jobs.fixture_event_stream(spark, sf))
-    jobs.run_available(jobs.upsert_sink(updates, out, ckpt))
-    return portable(jobs.read_upserted(spark, out, ["window_start", "window_end"]))
+    keys = ["window_start", "window_end"]
+    jobs.run_available(jobs.upsert_sink(updates, out, ckpt, keys=keys, compact_every=COMPACT_EVERY))
+    return portable(jobs.read_upserted(spark, out, keys))
 
 
 def _processed_to(spark: SparkSession, sf: str, name: str) -> str:

@@ -28,6 +28,7 @@ from ledgerlane.streaming.processors import apply_processing_time_windows
 PROCESSING_PREFIX = "\n"
 REVENUE_PREFIX = "Total Revenue ="
 WINDOW_PREFIX = "Total Revenue in the last 30 seconds ="
+COMPACT_EVERY = 20   # micro-batches between upsert snapshots
 
 
 def start_dashboard(spark: SparkSession, events: Callable[[], DataFrame], out_dir: str | None = None,
@@ -59,7 +60,9 @@ def start_dashboard(spark: SparkSession, events: Callable[[], DataFrame], out_di
         writers["revenue_30s"] = (windows.writeStream.format("parquet").option("path", p)
                                   .option("checkpointLocation", c))
     else:
-        writers["revenue_30s"] = jobs.upsert_sink(jobs.window_revenue_updates(clean()), p, c)
+        writers["revenue_30s"] = jobs.upsert_sink(jobs.window_revenue_updates(clean()), p, c,
+                                                  keys=["window_start", "window_end"],
+                                                  compact_every=COMPACT_EVERY)
     p, c = paths("processed")
     processed = jobs.processed_lines(events())
     if kafka_servers:

@@ -73,24 +73,64 @@ def run_available(writer, timeout_s: float = 600) -> StreamingQuery:
 
 # ---------------------------------------------------------------- sinks
 
-def upsert_sink(updates: DataFrame, out_path: str, checkpoint: str, name: str | None = None):
-    """Writer for an ``update``-mode aggregate: one folder per micro-batch."""
+SNAPSHOTS = "_snapshots"
+SNAPSHOT_COL = "upto"
+
+
+def upsert_sink(updates: DataFrame, out_path: str, checkpoint: str, name: str | None = None,
+                keys: list[str] | None = None, compact_every: int = 0):
+    """Writer for an ``update``-mode aggregate: one folder per micro-batch.
+
+    With ``keys`` and ``compact_every = k``, every k-th batch also writes a
+    snapshot of the newest row per key (through that batch), so readers scan
+    the latest snapshot plus the newer batch folders only. A snapshot is a
+    deterministic function of the batches it covers, so a replay rewrites it
+    unchanged; folders older than a snapshot may be removed by retention."""
     def write(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn(BATCH_COL, F.lit(batch_id))
               .write.mode("overwrite").parquet(f"{out_path}/{BATCH_COL}={batch_id}"))
+        if keys and compact_every and batch_id > 0 and batch_id % compact_every == 0:
+            spark = batch.sparkSession
+            (read_upserted(spark, out_path, keys, upto=batch_id, keep_batch=True)
+             .write.mode("overwrite")
+             .parquet(f"{out_path}/{SNAPSHOTS}/{SNAPSHOT_COL}={batch_id}"))
 
     w = (updates.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint))
     return w.queryName(name) if name else w
 
 
-def read_upserted(spark: SparkSession, out_path: str, keys: list[str]) -> DataFrame:
+def _latest_snapshot(spark: SparkSession, out_path: str, upto: int | None) -> int | None:
+    try:
+        snaps = spark.read.parquet(f"{out_path}/{SNAPSHOTS}").select(SNAPSHOT_COL).distinct()
+    except Exception:   # no snapshot written yet
+        return None
+    if upto is not None:
+        snaps = snaps.filter(F.col(SNAPSHOT_COL) < upto)
+    row = snaps.agg(F.max(SNAPSHOT_COL)).first()
+    return None if row is None else row[0]
+
+
+def read_upserted(spark: SparkSession, out_path: str, keys: list[str], upto: int | None = None,
+                  keep_batch: bool = False) -> DataFrame:
     """Current table of an upsert sink: the newest row per key (partial
-    aggregation per key, no sort)."""
-    df = spark.read.parquet(out_path)
-    values = [c for c in df.columns if c not in keys and c != BATCH_COL]
-    newest = F.max_by(F.struct(*values), F.col(BATCH_COL)).alias("_v")
-    return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
+    aggregation per key, no sort). Reads the latest snapshot and the batch
+    folders after it (partition pruning on ``batch_id``)."""
+    batches = spark.read.parquet(out_path)
+    snap = _latest_snapshot(spark, out_path, upto)
+    if snap is not None:
+        batches = batches.filter(F.col(BATCH_COL) > snap)
+        snapshot = spark.read.parquet(f"{out_path}/{SNAPSHOTS}/{SNAPSHOT_COL}={snap}")
+        batches = snapshot.unionByName(batches.select(*snapshot.columns))
+    if upto is not None:
+        batches = batches.filter(F.col(BATCH_COL) <= upto)
+    values = [c for c in batches.columns if c not in keys and c != BATCH_COL]
+    newest = F.max_by(F.struct(*values, BATCH_COL), F.col(BATCH_COL)).alias("_v")
+    out = batches.groupBy(*keys).agg(newest)
+    cols = [F.col(f"_v.{c}").alias(c) for c in values]
+    if keep_batch:
+        cols.append(F.col(f"_v.{BATCH_COL}").alias(BATCH_COL))
+    return out.select(*keys, *cols)
 
 
 def running_totals_sink(events: DataFrame, out_path: str, checkpoint: str,

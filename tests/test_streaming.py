@@ -169,3 +169,26 @@ def test_live_arrival_stamp_uses_clock(spark):
         F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', i)").alias("ms")
     ).first().ms - r.timestamp
     assert shift == (5 * 60 + 30) * 60 * 1000
+
+
+def test_upsert_compaction_keeps_newest_rows(spark, scratch):
+    """Snapshots every two batches; the read equals the uncompacted answer."""
+    src = os.path.join(scratch, "src")
+    os.makedirs(src)
+    parts = _event_parts(spark, parts=5)
+    out, ckpt = os.path.join(scratch, "u"), os.path.join(scratch, "u_ckpt")
+    plain, p_ckpt = os.path.join(scratch, "p"), os.path.join(scratch, "p_ckpt")
+    stream = lambda: jobs.fixture_event_stream(spark, src, max_files_per_trigger=1,
+                                               glob="events-*.parquet")
+    _write_parts(parts, src, range(5))
+    jobs.run_available(jobs.upsert_sink(jobs.status_count_updates(stream()), out, ckpt,
+                                        keys=["order_status"], compact_every=2))
+    jobs.run_available(jobs.upsert_sink(jobs.status_count_updates(stream()), plain, p_ckpt))
+    snaps = {r.upto for r in spark.read.parquet(f"{out}/_snapshots").select("upto").collect()}
+    assert snaps == {2, 4}
+    got = {r.order_status: r.event_count
+           for r in jobs.read_upserted(spark, out, ["order_status"]).collect()}
+    want = {r.order_status: r.event_count
+            for r in jobs.read_upserted(spark, plain, ["order_status"]).collect()}
+    assert got == want
+    assert sum(got.values()) == fx.order_events(spark, SF_TINY).count()

@@ -4,12 +4,16 @@ All four run inside whole-stage code generation; nothing leaves the JVM.
 
 Decode strictness (D1) follows a default-configured JSON object mapper:
 
-* malformed, truncated, wrong-shape (``[1]``), ``null`` or empty input → dropped
+* malformed, truncated, wrong-shape (``[1]``), ``null`` or empty input,
+  single-quoted strings, ``NaN``/``Infinity``, leading zeros, trailing commas → dropped
 * any field name outside the four known ones (also a wrong-case name) → dropped
 * a value that is not a number (``"abc"``, ``true``) → dropped
 * an object or array where text is expected → dropped
 * missing fields, ``{}``, quoted numbers, numbers or booleans in text fields,
-  trailing text after the object → kept
+  trailing text after the object, repeated fields (last wins) → kept
+
+Known difference: a quoted value with blanks or an empty string for the value
+(``" 5 "``, ``""``) is dropped here; a default mapper trims it / reads null.
 """
 
 from __future__ import annotations
@@ -26,6 +30,11 @@ _VALUE_TOKEN = r'"totalOrderValue"\s*:\s*"?([-+0-9.eE]+)"?'
 # the object mapper rejects the record.
 _NESTED_TEXT = r'"(orderNumber|orderEmail|orderStatus)"\s*:\s*[\[{]'
 _DECODE_SCHEMA = ORDER_EVENT_WIRE.add(_CORRUPT, "string")
+# Standard JSON only, as a default object mapper reads it: Spark's parser
+# would otherwise accept single-quoted strings.
+_PARSE_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT,
+                  "allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
+                  "allowNumericLeadingZeros": "false", "allowComments": "false"}
 
 
 def _known_keys() -> Column:
@@ -41,8 +50,7 @@ def decode_order_events(raw: DataFrame, value_col: str = "value",
     text = F.col(value_col).cast("string")
     parsed = raw.select(
         *[F.col(c) for c in keep],
-        F.from_json(text, _DECODE_SCHEMA,
-                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("_e"),
+        F.from_json(text, _DECODE_SCHEMA, _PARSE_OPTIONS).alias("_e"),
         F.json_object_keys(text).alias("_keys"),
         F.regexp_extract(text, _VALUE_TOKEN, 1).alias("_token"),
         text.rlike(_NESTED_TEXT).alias("_nested"),

@@ -31,6 +31,13 @@ CASES = [
     ('{"orderEmail":["a"]}', False, None, None),
     ('{"orderStatus":true}', True, None, None),
     ('{"orderEmail":"say \\"orderNumber\\":{"}', True, None, None),
+    ("{'orderNumber':'a'}", False, None, None),
+    ('{"orderNumber":NaN}', False, None, None),
+    ('{"totalOrderValue":Infinity}', False, None, None),
+    ('{"totalOrderValue":01}', False, None, None),
+    ('{"orderNumber":"a",}', False, None, None),
+    ('{"orderNumber":"a","orderNumber":"b"}', True, None, None),
+    ('{"totalOrderValue":-0.5}', True, Decimal("-0.5"), "-0.5"),
 ]
 
 
@@ -49,6 +56,11 @@ def test_decode_case(decoded, i):
         assert decoded[i].value_text == value_text
 
 
+def test_repeated_field_last_wins(decoded):
+    i = [c[0] for c in CASES].index('{"orderNumber":"a","orderNumber":"b"}')
+    assert decoded[i].order_number == "b"
+
+
 def test_integer_in_text_field_kept_as_text(decoded):
     i = [c[0] for c in CASES].index('{"orderNumber":123}')
     assert decoded[i].order_number == "123"

@@ -192,3 +192,17 @@ def test_upsert_compaction_keeps_newest_rows(spark, scratch):
             for r in jobs.read_upserted(spark, plain, ["order_status"]).collect()}
     assert got == want
     assert sum(got.values()) == fx.order_events(spark, SF_TINY).count()
+
+
+def test_console_sink_with_prefix(spark, scratch):
+    from ledgerlane.operators.sinks import with_prefix
+    ev = fx.order_events(spark, SF_TINY).limit(3)
+    lines = [r.value for r in with_prefix(ev.select(F.col("order_number").alias("value")),
+                                          "Total Revenue =").collect()]
+    assert all(v.startswith("Total Revenue =") for v in lines)
+    updates = jobs.status_count_updates(jobs.fixture_event_stream(spark, SF_TINY))
+    q = (jobs.console_sink(updates, prefix="\n", mode="update")
+         .option("checkpointLocation", os.path.join(scratch, "console_ckpt")))
+    done = jobs.run_available(q)   # prints from the JVM's stdout
+    assert sum(p["numInputRows"] for p in done.recentProgress) == \
+        fx.order_events(spark, SF_TINY).count()

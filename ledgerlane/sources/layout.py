@@ -1,0 +1,32 @@
+"""Storage layout for repeated placement runs: bucketing by order key.
+
+When request lines and headers are stored bucketed by ``order_key`` into the
+same number of buckets, the placement plan needs no shuffle for its order-level
+work: the (order, SKU) and per-order aggregations and the header join all find
+their input already hash-partitioned by order key (the stock table is still
+broadcast or joined as usual). This pays off when the same tables are decided
+or re-joined many times (decisions, confirmed lines, re-runs).
+
+The trade-off is skew: within a bucket there is no map-side combine across
+tasks, so a single order holding a large share of all lines stays in one task.
+Use it for well-spread keys; the default, unbucketed plan pre-aggregates
+before every shuffle instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ledgerlane.session import shared_path
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int,
+                  path: str | None = None) -> DataFrame:
+    """Write ``df`` as an external table bucketed and sorted by ``key`` (in the
+    shared folder unless ``path`` is given) and return it read back as a table,
+    so the planner knows its partitioning."""
+    spark = df.sparkSession
+    location = path or shared_path(spark, f"bucketed-{table}")
+    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+       .option("path", location).saveAsTable(table))
+    return spark.table(table)

@@ -79,3 +79,18 @@ def test_broadcast_only_under_proven_bound(spark):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in small
     assert "BroadcastHashJoin" not in large and "SortMergeJoin" in large
+
+
+def test_bucketed_placement_needs_no_order_shuffle(spark):
+    from ledgerlane.operators import placement
+    from ledgerlane.sources.layout import save_bucketed
+    from conftest import SF_TINY
+    headers, lines = fx.request_headers(spark, SF_TINY), fx.request_lines(spark, SF_TINY)
+    hb = save_bucketed(headers, "placement_headers_b", "order_key", 8)
+    lb = save_bucketed(lines, "placement_lines_b", "order_key", 8)
+    inv = fx.inventory(spark, SF_TINY)
+    bucketed = placement.placement_decisions(hb, lb, inv)
+    txt = plan_text(bucketed)
+    assert "Arguments: hashpartitioning" not in txt, txt
+    plain = placement.placement_decisions(headers, lines, inv)
+    assert sorted(map(tuple, bucketed.collect())) == sorted(map(tuple, plain.collect()))

@@ -30,8 +30,9 @@ def _draw(id_col: Column, salt: str) -> Column:
     return (h.cast("bigint") % 4).cast("int")
 
 
-def synthetic_order_events(ids: DataFrame, id_col: str = "id", random_ids: bool = False) -> DataFrame:
-    """(id, order_number, order_email, total_order_value, order_status)."""
+def synthetic_order_events(ids: DataFrame, id_col: str = "id", random_ids: bool = False,
+                           extra: tuple[str, ...] = ()) -> DataFrame:
+    """(id, order_number, order_email, total_order_value, order_status, *extra)."""
     rid = F.col(id_col)
     if random_ids:
         number = random_order_number()
@@ -46,4 +47,20 @@ def synthetic_order_events(ids: DataFrame, id_col: str = "id", random_ids: bool
         number.alias("order_number"),
         email.alias("order_email"),
         price.cast("decimal(18,0)").alias("total_order_value"),
-        F.when(price > 0, F.lit(CONFIRMED)).otherwise(F.lit(FAILED)).alias("order_status"))
+        F.when(price > 0, F.lit(CONFIRMED)).otherwise(F.lit(FAILED)).alias("order_status"),
+        *[F.col(c) for c in extra])
+
+
+def synthetic_event_stream(spark, rows_per_batch: int, start_ms: int = 1_704_067_200_000,
+                           advance_ms_per_batch: int = 1000, random_ids: bool = False) -> DataFrame:
+    """S4 as a live source: ``rate-micro-batch`` emits ``rows_per_batch`` ids per
+    micro-batch, deterministically (same ids and times on replay), turned into
+    order events with an ``arrival`` column and ``event_id`` tie-break."""
+    rate = (spark.readStream.format("rate-micro-batch")
+            .option("rowsPerBatch", rows_per_batch)
+            .option("startTimestamp", start_ms)
+            .option("advanceMillisPerBatch", advance_ms_per_batch)
+            .load())
+    ids = rate.select(F.col("value").alias("id"), F.col("timestamp").alias("arrival"))
+    return (synthetic_order_events(ids, "id", random_ids, extra=("arrival",))
+            .withColumnRenamed("id", "event_id"))

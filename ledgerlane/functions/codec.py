@@ -60,15 +60,17 @@ def decode_order_events(raw: DataFrame, value_col: str = "value",
              & F.col("_keys").isNotNull()
              & (F.size(F.array_except(F.col("_keys"), _known_keys())) == 0)
              & ~F.col("_nested"))
-    return parsed.filter(valid).select(
+    row = F.struct(
         *[F.col(c) for c in keep],
         F.col("_e.orderNumber").alias("order_number"),
         F.col("_e.orderEmail").alias("order_email"),
         F.col("_e.orderStatus").alias("order_status"),
         F.col("_e.totalOrderValue").alias("total_order_value"),
         F.when(F.col("_e.totalOrderValue").isNotNull(), F.nullif(F.col("_token"), F.lit("")))
-         .alias("value_text"),
-    )
+         .alias("value_text"))
+    # A flatMap (zero or one row per record) rather than filter + project: a
+    # filter would be pushed below the parse and repeat it per condition.
+    return parsed.select(F.inline(F.when(valid, F.array(row))))
 
 
 def order_event_json(value_scale: int | None = 2) -> Column:

@@ -53,12 +53,12 @@ def to_order_events(ev: DataFrame) -> DataFrame:
 
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as order events (see ``to_order_events``)."""
-    return to_order_events(read_table(spark, sf_dir, "events"))
+    return to_order_events(read_table(spark, sf_dir, "events", parallel=True))
 
 
 def request_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders → one placement request per order: (order_key, order_number, order_email)."""
-    o = read_table(spark, sf_dir, "orders")
+    o = read_table(spark, sf_dir, "orders", parallel=True)
     return o.select(
         F.col("o_orderkey").alias("order_key"),
         order_number_for_key(F.col("o_orderkey")).alias("order_number"),
@@ -68,7 +68,7 @@ def request_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem → flat request lines (order_key, id, sku_code, price, quantity)."""
-    li = read_table(spark, sf_dir, "lineitem")
+    li = read_table(spark, sf_dir, "lineitem", parallel=True)
     return li.select(
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").cast("long").alias("id"),

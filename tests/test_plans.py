@@ -60,7 +60,8 @@ def test_window_revenue_is_one_shuffle(spark):
 def test_codec_queries_stay_narrow(spark):
     for name in ["decode_order_events", "encode_order_events", "processed_messages"]:
         txt = plan_text(entry.queries()[name](spark, SF_SMALL))
-        assert "Exchange" not in txt, name
+        # no keyed shuffle (a round-robin spread of a single-split file is allowed)
+        assert "hashpartitioning" not in txt and "rangepartitioning" not in txt, name
         assert "Python" not in txt and "ArrowEval" not in txt, name
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ledgerlane.functions import codec, text
 from ledgerlane.operators import metrics, placement
 from ledgerlane.operators.sinks import published_events
-from ledgerlane.session import read_table
+from ledgerlane.session import ensure_parallel, read_table
 from ledgerlane.sources import fixtures as fx
 from ledgerlane.sources.events import render_event_json
 from ledgerlane.sources.requests import request_summary
@@ -146,7 +146,7 @@ def q_revenue_tumbling_30s(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- codec, text
 
 def q_decode_order_events(spark: SparkSession, sf: str) -> DataFrame:
-    raw = render_event_json(fx.order_events(spark, sf))
+    raw = render_event_json(ensure_parallel(fx.order_events(spark, sf)))
     return portable(codec.decode_order_events(raw, "value", keep=("event_id",)))
 
 

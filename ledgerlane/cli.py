@@ -58,21 +58,24 @@ def metrics_job(spark: SparkSession, args) -> None:
 
 def dashboard(spark: SparkSession, args) -> None:
     from ledgerlane.sources.events import read_event_stream
-    from ledgerlane.streaming.dashboard import start_dashboard
+    from ledgerlane.streaming.dashboard import await_all, start_dashboard
 
     def source():
         if args.kafka:
             return read_event_stream(spark, kafka_servers=args.kafka)
-        ev = read_event_stream(spark, path=args.events, fmt="json")
-        return ev.withColumn("event_id", F.monotonically_increasing_id()).withColumn(
-            "arrival", F.current_timestamp())
+        return read_event_stream(spark, path=args.events, fmt="json")
 
-    queries = start_dashboard(spark, source, args.out,
-                              trigger={"processingTime": args.trigger},
+    trigger = {"availableNow": True} if args.available_now else {"processingTime": args.trigger}
+    queries = start_dashboard(spark, source, args.out, trigger=trigger,
                               window_mode=args.window_mode, kafka_servers=args.kafka)
-    spark.streams.awaitAnyTermination()
-    for q in queries.values():
-        q.stop()
+    if args.available_now:
+        await_all(queries)
+        return
+    try:
+        spark.streams.awaitAnyTermination()
+    finally:
+        for q in queries.values():
+            q.stop()
 
 
 def main(argv=None) -> None:
@@ -92,6 +95,8 @@ def main(argv=None) -> None:
     c.add_argument("--trigger", default="5 seconds")
     c.add_argument("--window-mode", dest="window_mode", default="processing",
                    choices=["processing", "arrival"])
+    c.add_argument("--available-now", dest="available_now", action="store_true",
+                   help="process the input present at start, then stop")
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"ledgerlane-{args.cmd}").getOrCreate()
     {"place": place, "metrics": metrics_job, "dashboard": dashboard}[args.cmd](spark, args)

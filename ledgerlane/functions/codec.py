@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StringType, StructField, StructType
+
 from ledgerlane.schemas import ORDER_EVENT_WIRE, WIRE_FIELDS
 
 _CORRUPT = "_corrupt_record"
@@ -29,7 +31,8 @@ _VALUE_TOKEN = r'"totalOrderValue"\s*:\s*"?([-+0-9.eE]+)"?'
 # A text field holding an object or array: Spark would keep its JSON text,
 # the object mapper rejects the record.
 _NESTED_TEXT = r'"(orderNumber|orderEmail|orderStatus)"\s*:\s*[\[{]'
-_DECODE_SCHEMA = ORDER_EVENT_WIRE.add(_CORRUPT, "string")
+# A new schema: StructType.add would change the shared one in place.
+_DECODE_SCHEMA = StructType(ORDER_EVENT_WIRE.fields + [StructField(_CORRUPT, StringType())])
 # Standard JSON only, as a default object mapper reads it: Spark's parser
 # would otherwise accept single-quoted strings.
 _PARSE_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT,

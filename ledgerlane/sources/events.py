@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane.functions.codec import decode_order_events
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
+
 from ledgerlane.schemas import ORDER_EVENT
 
 # The source system's topics.
@@ -18,6 +20,10 @@ EVENT_TOPIC = "notificationId"
 SECOND_TOPIC = "flinkTopic"
 OUTPUT_TOPIC = "flinkOutput"
 
+# Stored (parquet) order events: the columnar event plus arrival and tie-break.
+STORED_EVENT = StructType(ORDER_EVENT.fields + [StructField("arrival", TimestampType()),
+                                                StructField("event_id", LongType())])
+
 # Wire renderings: every event is rendered; its event_id picks one of twelve
 # forms (event_id % 12). Forms 0–6 decode, 7–11 are dropped by the decoder.
 RENDER_FORMS = 12
@@ -64,7 +70,8 @@ def read_event_stream(spark: SparkSession, *, kafka_servers: str | None = None,
     """Unbounded order events. Kafka: value only, key ignored, resume from
     the checkpoint, else ``starting_offsets``. Files: ``json`` lines are
     decoded strictly like Kafka values; ``parquet`` files must already hold
-    the columnar event schema."""
+    the columnar event schema. Every form carries ``arrival`` and a tie-break
+    ``event_id`` for the changelogs."""
     if kafka_servers:
         raw = (spark.readStream.format("kafka")
                .option("kafka.bootstrap.servers", kafka_servers)
@@ -83,6 +90,11 @@ def read_event_stream(spark: SparkSession, *, kafka_servers: str | None = None,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "json":
-        raw = reader.format("text").load(path)
-        return decode_order_events(raw, "value")
-    return reader.schema(ORDER_EVENT).format(fmt).load(path)
+        # Arrival: the file's modification time; tie-break: a hash of file and
+        # record. Both are stable when a micro-batch is replayed.
+        raw = reader.format("text").load(path).select(
+            "value",
+            F.col("_metadata.file_modification_time").cast("timestamp").alias("arrival"),
+            F.xxhash64(F.col("_metadata.file_path"), F.col("value")).alias("event_id"))
+        return decode_order_events(raw, "value", keep=("arrival", "event_id"))
+    return reader.schema(STORED_EVENT).format(fmt).load(path)

@@ -40,14 +40,15 @@ def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 
 def read_inventory_jdbc(spark: SparkSession, url: str, table: str = "inventory",
-                        properties: dict | None = None, partitions: int = 1) -> DataFrame:
+                        properties: dict | None = None,
+                        predicates: list[str] | None = None) -> DataFrame:
     """S2 from the stock service's relational table (columns ``sku_code``,
-    ``quantity``; the surrogate id is not read). ``partitions > 1`` splits the
-    read by hash of the SKU so large tables load in parallel."""
-    opts = {"url": url, "dbtable": table, **(properties or {})}
-    reader = spark.read.format("jdbc").options(**opts)
-    if partitions > 1:
-        preds = [f"MOD(ABS(HASH(sku_code)), {partitions}) = {i}" for i in range(partitions)]
-        return spark.read.jdbc(url, table, predicates=preds, properties=properties or {}) \
-            .select("sku_code", F.col("quantity").cast("int"))
-    return reader.load().select("sku_code", F.col("quantity").cast("int"))
+    ``quantity``; the surrogate id is not read). ``predicates`` — one
+    database-side condition per partition, e.g. ranges or ``CRC32(sku_code) %
+    8 = i`` — split large tables into parallel reads."""
+    props = dict(properties or {})
+    if predicates:
+        df = spark.read.jdbc(url, table, predicates=predicates, properties=props)
+    else:
+        df = spark.read.format("jdbc").options(url=url, dbtable=table, **props).load()
+    return df.select("sku_code", F.col("quantity").cast("int"))

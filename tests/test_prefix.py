@@ -65,3 +65,21 @@ def test_rejects_inexact_sum_column(spark):
     df = spark.createDataFrame([(1, 1.5)], "id long, v double")
     with pytest.raises(TypeError):
         running_totals(df, ["id"], sums={"rs": "v"})
+
+
+def test_hot_key_is_spread_over_partitions(spark, tmp_path):
+    """One status holding ~90 % of the rows still yields balanced range
+    partitions: the unique tie-break lets the range split inside the key."""
+    from pyspark.sql import functions as F
+    n, parts = 40_000, 8
+    df = spark.range(n).select(
+        F.when(F.col("id") % 10 == 0, F.lit("FAILED")).otherwise(F.lit("CONFIRMED")).alias("k"),
+        (F.col("id") % 997).alias("t"), F.col("id"))
+    stage = str(tmp_path / "stage")
+    out = running_totals(df, ["t", "id"], keys=["k"], count_as="rc", num_partitions=parts,
+                         stage_path=stage)
+    sizes = [r["count"] for r in spark.read.parquet(stage).groupBy("_lp_part").count().collect()]
+    assert len(sizes) == parts
+    assert max(sizes) <= 2 * n / parts, sizes
+    maxima = {r.k: r.m for r in out.groupBy("k").agg(F.max("rc").alias("m")).collect()}
+    assert maxima == {"CONFIRMED": n * 9 // 10, "FAILED": n // 10}

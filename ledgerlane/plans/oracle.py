@@ -137,8 +137,9 @@ SELECT d.order_number, l.sku_code, CAST(l.price AS DOUBLE) AS price, l.quantity
 FROM valid_lines l JOIN decisions d ON l.order_key = d.order_key
 WHERE d.order_status = 'CONFIRMED'""",
     "published_events": RQ + f"""
-SELECT t.topic, {_event_json('total_order_value')} AS value
-FROM decisions CROSS JOIN (VALUES ('notificationId'), ('flinkTopic')) AS t(topic)""",
+SELECT 'notificationId' AS topic, {_event_json('total_order_value')} AS value FROM decisions
+UNION ALL
+SELECT 'flinkTopic' AS topic, {_event_json('total_order_value')} AS value FROM decisions""",
     "status_counts": EV + """
 SELECT order_status, count(*) AS event_count FROM order_events GROUP BY order_status""",
     "status_running_counts": EV + f"""

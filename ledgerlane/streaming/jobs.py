@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerlane.functions.text import processed_message, processing_line
+from ledgerlane.functions.text import notification_line, processed_message, processing_line
 from ledgerlane.operators.metrics import ARRIVAL_ORDER, WINDOW_LENGTH
 from ledgerlane.operators.prefix import running_totals
 from ledgerlane.session import broadcast_if_bounded
@@ -265,9 +265,19 @@ def processed_lines(events: DataFrame) -> DataFrame:
     return events.select(processed_message().alias("value"))
 
 
+def _value_text(events: DataFrame):
+    """The value as received when the events were decoded from JSON."""
+    return F.col("value_text") if "value_text" in events.columns else None
+
+
 def processing_lines(events: DataFrame) -> DataFrame:
     """E8 for the console branch."""
-    return events.select(processing_line().alias("value"))
+    return events.select(processing_line(_value_text(events)).alias("value"))
+
+
+def notification_lines(events: DataFrame) -> DataFrame:
+    """K5: the event logger's lines."""
+    return events.select(notification_line(_value_text(events)).alias("value"))
 
 
 def readback_stream(spark: SparkSession, path: str) -> DataFrame:

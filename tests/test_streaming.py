@@ -225,3 +225,16 @@ def test_synthetic_stream_feeds_changelog(spark, scratch):
     # the changelog is monotone in (arrival, event_id) and ends at the total
     rows = sorted(got.collect(), key=lambda r: (r.arrival, r.event_id))
     assert all(a.running_revenue <= b.running_revenue for a, b in zip(rows, rows[1:]))
+
+
+def test_text_feeds_print_value_as_received(spark, scratch):
+    from ledgerlane.sources.events import read_event_stream
+    src = os.path.join(scratch, "j")
+    spark.createDataFrame([('{"orderNumber":"n1","orderEmail":"e","orderStatus":"CONFIRMED",'
+                            '"totalOrderValue":41000}',)], "value string").write.text(src)
+    out, ckpt = os.path.join(scratch, "t"), os.path.join(scratch, "t_ckpt")
+    lines = jobs.notification_lines(read_event_stream(spark, path=src, fmt="json"))
+    jobs.run_available(jobs.text_file_sink(lines, out, ckpt))
+    assert [r.value for r in spark.read.text(out).collect()] == [
+        "Received Notification for Order - OrderEvent(orderNumber=n1, orderEmail=e, "
+        "orderStatus=CONFIRMED, totalOrderValue=41000)"]

@@ -75,3 +75,23 @@ def stamp_arrival(arrival: str | None = None) -> tuple[Column, Column]:
     streams)."""
     ms = arrival_millis(arrival)
     return ms.alias("timestamp"), shifted_instant(ms).alias("instant")
+
+
+def iso_instant(instant: Column, millis: Column) -> Column:
+    """ISO-8601 instant text as the JVM prints an Instant with millisecond
+    precision: ``2024-01-01T05:30:07.179Z``, or ``…:07Z`` when the
+    milliseconds are zero."""
+    return F.when(millis % 1000 == 0, F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss'Z'")) \
+            .otherwise(F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+
+
+def timed_event_text(millis: Column, instant: Column, value_text: Column | None = None) -> Column:
+    """E10 printed: ``TimedOrderEvent(orderNumber=…, …, timestamp=<ms>, instant=<ISO>)``."""
+    value = value_text if value_text is not None else F.col("total_order_value")
+    return F.concat(
+        F.lit("TimedOrderEvent(orderNumber="), _txt(F.col("order_number")),
+        F.lit(", orderEmail="), _txt(F.col("order_email")),
+        F.lit(", orderStatus="), _txt(F.col("order_status")),
+        F.lit(", totalOrderValue="), _txt(value),
+        F.lit(", timestamp="), _txt(millis),
+        F.lit(", instant="), _txt(iso_instant(instant, millis)), F.lit(")"))

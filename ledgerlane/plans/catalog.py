@@ -169,8 +169,12 @@ def q_notification_lines(spark: SparkSession, sf: str) -> DataFrame:
 def q_timed_order_events(spark: SparkSession, sf: str) -> DataFrame:
     ev = fx.order_events(spark, sf)
     ts, instant = text.stamp_arrival("arrival")
-    return portable(ev.select("order_number", "order_email", "order_status", "total_order_value",
-                              ts, F.date_format(instant, INSTANT_FORMAT).alias("instant")))
+    stamped = ev.select("order_number", "order_email", "order_status", "total_order_value",
+                        ts, instant)
+    return portable(stamped.select(
+        "order_number", "order_email", "order_status", "total_order_value", "timestamp",
+        F.date_format("instant", INSTANT_FORMAT).alias("instant"),
+        text.timed_event_text(F.col("timestamp"), F.col("instant")).alias("line")))
 
 
 # ---------------------------------------------------------------- generator

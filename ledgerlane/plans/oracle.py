@@ -182,7 +182,16 @@ SELECT order_number, order_email, order_status,
        CAST(total_order_value AS DOUBLE) AS total_order_value,
        epoch_us(arrival) // 1000 AS "timestamp",
        strftime(make_timestamp((epoch_us(arrival) // 1000) * 1000) + INTERVAL 330 MINUTE,
-                '%Y-%m-%dT%H:%M:%S.%gZ') AS instant
+                '%Y-%m-%dT%H:%M:%S.%gZ') AS instant,
+       'TimedOrderEvent(orderNumber=' || order_number || ', orderEmail=' || order_email
+         || ', orderStatus=' || order_status
+         || ', totalOrderValue=' || CAST(total_order_value AS VARCHAR)
+         || ', timestamp=' || CAST(epoch_us(arrival) // 1000 AS VARCHAR)
+         || ', instant=' || CASE WHEN (epoch_us(arrival) // 1000) % 1000 = 0
+              THEN strftime(make_timestamp((epoch_us(arrival) // 1000) * 1000)
+                            + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%SZ')
+              ELSE strftime(make_timestamp((epoch_us(arrival) // 1000) * 1000)
+                            + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S.%gZ') END || ')' AS line
 FROM order_events""",
     "synthetic_order_events": _with(SYNTHETIC) + """
 SELECT id, order_number, order_email, CAST(price AS DOUBLE) AS total_order_value,

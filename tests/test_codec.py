@@ -106,3 +106,19 @@ def test_arrival_stamp_shift(spark):
     r = df.select(ts, F.date_format(instant, "yyyy-MM-dd HH:mm:ss.SSS").alias("i")).first()
     assert r.timestamp == 1704067207179
     assert r.i == "2024-01-01 05:30:07.179"
+
+
+def test_timed_event_text_instant_forms(spark):
+    df = spark.createDataFrame([("2024-01-01 00:00:07",), ("2024-01-01 00:00:07.05",)],
+                               "t string").select(F.col("t").cast("timestamp_ntz").alias("arrival"))
+    ts, instant = text.stamp_arrival("arrival")
+    ev = df.select(F.lit("7").alias("order_number"), F.lit("a@x").alias("order_email"),
+                   F.lit("FAILED").alias("order_status"), F.lit("0").alias("total_order_value"),
+                   ts, instant)
+    got = [r.l for r in ev.select(text.timed_event_text(F.col("timestamp"), F.col("instant"))
+                                  .alias("l")).collect()]
+    assert got == [
+        "TimedOrderEvent(orderNumber=7, orderEmail=a@x, orderStatus=FAILED, totalOrderValue=0, "
+        "timestamp=1704067207000, instant=2024-01-01T05:30:07Z)",
+        "TimedOrderEvent(orderNumber=7, orderEmail=a@x, orderStatus=FAILED, totalOrderValue=0, "
+        "timestamp=1704067207050, instant=2024-01-01T05:30:07.050Z)"]

@@ -167,7 +167,11 @@ def q_notification_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_timed_order_events(spark: SparkSession, sf: str) -> DataFrame:
-    ev = fx.order_events(spark, sf)
+    return timed_projection(fx.order_events(spark, sf))
+
+
+def timed_projection(ev: DataFrame) -> DataFrame:
+    """E10 over events with an ``arrival`` column (batch or stream)."""
     ts, instant = text.stamp_arrival("arrival")
     stamped = ev.select("order_number", "order_email", "order_status", "total_order_value",
                         ts, instant)

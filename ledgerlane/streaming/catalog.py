@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlane.plans.catalog import portable
+from ledgerlane.plans.catalog import portable, timed_projection
 from ledgerlane.session import shared_path
 from ledgerlane.streaming import jobs
 from ledgerlane.streaming.dashboard import COMPACT_EVERY
@@ -56,6 +56,14 @@ def s_revenue_tumbling_30s(spark: SparkSession, sf: str) -> DataFrame:
     return portable(jobs.read_upserted(spark, out, keys))
 
 
+def s_timed_order_events(spark: SparkSession, sf: str) -> DataFrame:
+    out, ckpt = _paths(spark, "stream-timed")
+    stamped = timed_projection(jobs.fixture_event_stream(spark, sf))
+    jobs.run_available(stamped.writeStream.format("parquet").option("path", out)
+                       .option("checkpointLocation", ckpt))
+    return spark.read.parquet(out)
+
+
 def _processed_to(spark: SparkSession, sf: str, name: str) -> str:
     out, ckpt = _paths(spark, name)
     lines = jobs.processed_lines(jobs.fixture_event_stream(spark, sf))
@@ -80,6 +88,7 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_status_running_counts": s_status_running_counts,
     "stream_revenue_running": s_revenue_running,
     "stream_revenue_tumbling_30s": s_revenue_tumbling_30s,
+    "stream_timed_order_events": s_timed_order_events,
     "stream_processed_messages": s_processed_messages,
     "stream_processed_readback": s_processed_readback,
 }
@@ -91,6 +100,7 @@ STREAM_ORACLE_TWINS = {
     "stream_status_running_counts": "status_running_counts",
     "stream_revenue_running": "revenue_running",
     "stream_revenue_tumbling_30s": "revenue_tumbling_30s",
+    "stream_timed_order_events": "timed_order_events",
     "stream_processed_messages": "processed_values",
     "stream_processed_readback": "processed_values",
 }

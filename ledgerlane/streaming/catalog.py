@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlane.plans.catalog import portable, timed_projection
+from ledgerlane.functions.text import notification_line, processing_line
 from ledgerlane.session import shared_path
 from ledgerlane.streaming import jobs
 from ledgerlane.streaming.dashboard import COMPACT_EVERY
@@ -64,6 +65,22 @@ def s_timed_order_events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def _text_lines(spark: SparkSession, sf: str, name: str, line) -> DataFrame:
+    out, ckpt = _paths(spark, name)
+    lines = jobs.fixture_event_stream(spark, sf).select("event_id", line.alias("line"))
+    jobs.run_available(lines.writeStream.format("parquet").option("path", out)
+                       .option("checkpointLocation", ckpt))
+    return spark.read.parquet(out)
+
+
+def s_processing_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _text_lines(spark, sf, "stream-processing", processing_line())
+
+
+def s_notification_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _text_lines(spark, sf, "stream-notification", notification_line())
+
+
 def _processed_to(spark: SparkSession, sf: str, name: str) -> str:
     out, ckpt = _paths(spark, name)
     lines = jobs.processed_lines(jobs.fixture_event_stream(spark, sf))
@@ -89,6 +106,8 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_revenue_running": s_revenue_running,
     "stream_revenue_tumbling_30s": s_revenue_tumbling_30s,
     "stream_timed_order_events": s_timed_order_events,
+    "stream_processing_lines": s_processing_lines,
+    "stream_notification_lines": s_notification_lines,
     "stream_processed_messages": s_processed_messages,
     "stream_processed_readback": s_processed_readback,
 }
@@ -101,6 +120,8 @@ STREAM_ORACLE_TWINS = {
     "stream_revenue_running": "revenue_running",
     "stream_revenue_tumbling_30s": "revenue_tumbling_30s",
     "stream_timed_order_events": "timed_order_events",
+    "stream_processing_lines": "processing_lines",
+    "stream_notification_lines": "notification_lines",
     "stream_processed_messages": "processed_values",
     "stream_processed_readback": "processed_values",
 }

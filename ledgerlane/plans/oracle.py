@@ -7,6 +7,8 @@ window functions (one task in DuckDB, which is fine at test scale).
 
 from __future__ import annotations
 
+from ledgerlane.sources.events import DROPPED_FORMS, NO_EMAIL_FORM, RENDER_FORMS
+
 
 def _uuid(h: str) -> str:
     return (f"substr({h},1,8) || '-' || substr({h},9,4) || '-' || substr({h},13,4) || '-' || "
@@ -159,12 +161,14 @@ SELECT strftime({_BUCKET}, '%Y-%m-%d %H:%M:%S') AS window_start,
        strftime({_BUCKET} + INTERVAL '30 seconds', '%Y-%m-%d %H:%M:%S') AS window_end,
        CAST(sum(total_order_value) AS DOUBLE) AS window_revenue, count(*) AS event_count
 FROM order_events GROUP BY {_BUCKET}""",
-    "decode_order_events": EV + """
+    "decode_order_events": EV + f"""
 SELECT event_id, order_number,
-       CASE WHEN event_id % 12 = 6 THEN NULL ELSE order_email END AS order_email,
+       CASE WHEN event_id % {RENDER_FORMS} = {NO_EMAIL_FORM} THEN NULL ELSE order_email END
+         AS order_email,
        order_status, CAST(total_order_value AS DOUBLE) AS total_order_value,
        CAST(total_order_value AS VARCHAR) AS value_text
-FROM order_events WHERE event_id % 12 NOT IN (7, 8, 9, 10, 11)""",
+FROM order_events
+WHERE event_id % {RENDER_FORMS} NOT IN ({', '.join(map(str, DROPPED_FORMS))})""",
     "encode_order_events": EV + f"""
 SELECT order_number AS key, {_event_json('CAST(total_order_value AS DECIMAL(38,2))')} AS value
 FROM order_events WHERE order_number IS NOT NULL""",

@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ledgerlane.functions.codec import decode_order_events
 from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
+from ledgerlane.functions.codec import decode_order_events
 from ledgerlane.schemas import ORDER_EVENT
 
 # The source system's topics.
@@ -27,6 +26,7 @@ STORED_EVENT = StructType(ORDER_EVENT.fields + [StructField("arrival", Timestamp
 # Wire renderings: every event is rendered; its event_id picks one of twelve
 # forms (event_id % 12). Forms 0–6 decode, 7–11 are dropped by the decoder.
 RENDER_FORMS = 12
+NO_EMAIL_FORM = 6
 DROPPED_FORMS = (7, 8, 9, 10, 11)
 
 
@@ -52,7 +52,7 @@ def render_event_json(events: DataFrame) -> DataFrame:
         F.when(form == 4, F.concat(head, email, status, F.lit(',"totalOrderValue":'), _q(num),
                                    F.lit("}")))
          .when(form == 5, F.concat(good, F.lit(" trailing")))
-         .when(form == 6, F.concat(head, status, value, F.lit("}")))
+         .when(form == NO_EMAIL_FORM, F.concat(head, status, value, F.lit("}")))
          .when(form == 7, F.concat(head, email, status, value))
          .when(form == 8, F.concat(head, email, status, value, F.lit(',"channel":"web"}')))
          .when(form == 9, F.concat(head, email, F.lit(',"OrderStatus":'), _q(F.col("order_status")),

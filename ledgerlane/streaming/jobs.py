@@ -18,8 +18,6 @@ Every query owns its checkpoint in the shared checkpoint folder.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -57,9 +57,15 @@ def line_values(lines: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- stock
 
 def stock_table(inventory: DataFrame) -> DataFrame:
-    """(sku_code, in_stock): a known SKU is in stock iff its quantity > 0; the
-    requested quantity is not compared and stock is never decremented."""
-    return inventory.select("sku_code", (F.col("quantity") > 0).alias("in_stock"))
+    """(sku_code, in_stock, duplicated), one row per SKU: a known SKU is in
+    stock iff its quantity > 0; the requested quantity is not compared and
+    stock is never decremented. A SKU stored twice is flagged: the source
+    service raises for any request that asks for it (see
+    ``placement_decisions``), and one row per SKU keeps the join from
+    counting lines twice."""
+    return (inventory.groupBy("sku_code")
+                     .agg((F.max("quantity") > 0).alias("in_stock"),
+                          (F.count(F.lit(1)) > 1).alias("duplicated")))
 
 
 def _sized(stock: DataFrame) -> DataFrame:
@@ -98,7 +104,7 @@ def sku_lookup(skus: DataFrame, inventory: DataFrame) -> DataFrame:
 def stock_answers(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     """One answer per requested line, duplicates kept; unknown SKU → not
     in stock."""
-    stock = _sized(stock_table(inventory))
+    stock = _sized(stock_table(inventory).drop("duplicated"))
     return (lines.join(stock, "sku_code", "left")
                  .select("order_key", "id", "sku_code",
                          F.coalesce("in_stock", F.lit(False)).alias("in_stock")))
@@ -119,7 +125,9 @@ def order_totals(lines: DataFrame, inventory: DataFrame, dedupe_answers: bool =
     contribution = F.when(F.col("in_stock"), weight).otherwise(F.lit(0))
     return (answered.groupBy("order_key")
                     .agg(F.sum(contribution).cast(TOTAL_TYPE).alias("total_value"),
-                         F.bool_and("in_stock").alias("all_in_stock")))
+                         F.bool_and("in_stock").alias("all_in_stock"),
+                         F.coalesce(F.bool_or("duplicated"), F.lit(False))
+                          .alias("asks_duplicated_sku")))
 
 
 # ---------------------------------------------------------------- decision
@@ -133,12 +141,15 @@ def placement_decisions(headers: DataFrame, lines: DataFrame, inventory: DataFra
     fails, as in the source system.
 
     ``exclude`` (order_key, …) lists requests that raise in the source system
-    before any event (see ``quarantine_requests``); they get no decision.
+    before any event (see ``quarantine_requests``); they get no decision. A
+    request asking for a SKU stored twice in the inventory raises there too
+    and gets no decision (``inventory_conflicts`` lists them).
     """
     totals = order_totals(valid_lines(lines), inventory, dedupe_answers)
     if exclude is not None:
         headers = headers.join(exclude.select("order_key"), "order_key", "left_anti")
-    d = headers.join(totals, "order_key", "left")
+    d = (headers.join(totals, "order_key", "left")
+                .filter(~F.coalesce(F.col("asks_duplicated_sku"), F.lit(False))))
     total = F.coalesce(F.col("total_value"), F.lit(0).cast(TOTAL_TYPE))
     confirmed = F.coalesce(F.col("all_in_stock"), F.lit(True)) & (total > 0)
     return d.select(
@@ -164,6 +175,13 @@ def confirmed_order_lines(decisions: DataFrame, lines: DataFrame) -> DataFrame:
                                       "sku_code", "price", "quantity"))
 
 
+def inventory_conflicts(lines: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Requests that ask for a SKU stored more than once in the inventory."""
+    return (order_totals(valid_lines(lines), inventory)
+            .filter("asks_duplicated_sku")
+            .select("order_key", F.lit("duplicate SKU in inventory").alias("reason")))
+
+
 def quarantine_nested_requests(requests: DataFrame) -> DataFrame:
     """R2 for nested input: a request without a line list raises before any event."""
     return (requests.filter(F.col("items").isNull())

@@ -112,3 +112,19 @@ def test_nested_request_without_list_is_quarantined(spark):
                                 "items array<struct<id:long,sku_code:string,"
                                 "price:decimal(18,6),quantity:int>>")
     assert placement.quarantine_nested_requests(req).first().reason == "null line list"
+
+
+def test_duplicate_inventory_sku_is_never_double_counted(spark):
+    lines = spark.createDataFrame(
+        [(1, 0, "a", Decimal("10"), 1), (2, 0, "b", Decimal("5"), 2)],
+        "order_key long, id long, sku_code string, price decimal(18,2), quantity int")
+    headers = spark.createDataFrame([(1, None, "x"), (2, None, "y")],
+                                    "order_key long, order_number string, order_email string")
+    inv = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "sku_code string, quantity int")
+    got = {r.order_key: (r.order_status, r.total_order_value)
+           for r in placement.placement_decisions(headers, lines, inv).collect()}
+    assert got == {2: ("CONFIRMED", Decimal("10"))}     # order 1 raises upstream: no decision
+    conflicts = placement.inventory_conflicts(lines, inv).collect()
+    assert [(r.order_key, r.reason) for r in conflicts] == [(1, "duplicate SKU in inventory")]
+    answers = placement.stock_answers(lines, inv).collect()
+    assert len(answers) == 2                              # one answer per line, not per stock row

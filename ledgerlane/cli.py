@@ -29,10 +29,12 @@ def place(spark: SparkSession, args) -> None:
     lines = placement.explode_request_lines(requests).withColumn("id", F.lit(None).cast("long"))
     headers = requests.select("order_key", F.lit(None).cast("string").alias("order_number"),
                               "order_email")
-    bad = placement.quarantine_requests(lines).unionByName(
-        placement.quarantine_nested_requests(requests))
+    inventory = read_inventory(spark, args.inventory)
+    bad = (placement.quarantine_requests(lines)
+           .unionByName(placement.quarantine_nested_requests(requests))
+           .unionByName(placement.inventory_conflicts(lines, inventory)))
     bad.write.mode("overwrite").parquet(f"{args.out}/quarantine")
-    decisions = placement.placement_decisions(headers, lines, read_inventory(spark, args.inventory),
+    decisions = placement.placement_decisions(headers, lines, inventory,
                                               exclude=spark.read.parquet(f"{args.out}/quarantine"))
     decisions.write.mode("overwrite").parquet(f"{args.out}/decisions")
     decided = spark.read.parquet(f"{args.out}/decisions")

@@ -69,7 +69,8 @@ def dashboard(spark: SparkSession, args) -> None:
 
     trigger = {"availableNow": True} if args.available_now else {"processingTime": args.trigger}
     queries = start_dashboard(spark, source, args.out, trigger=trigger,
-                              window_mode=args.window_mode, kafka_servers=args.kafka)
+                              window_mode=args.window_mode, kafka_servers=args.kafka,
+                              console=args.console)
     if args.available_now:
         await_all(queries)
         return
@@ -99,6 +100,8 @@ def main(argv=None) -> None:
                    choices=["processing", "arrival"])
     c.add_argument("--available-now", dest="available_now", action="store_true",
                    help="process the input present at start, then stop")
+    c.add_argument("--console", action="store_true",
+                   help="also print processing text, total and window revenue")
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"ledgerlane-{args.cmd}").getOrCreate()
     {"place": place, "metrics": metrics_job, "dashboard": dashboard}[args.cmd](spark, args)

@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlane.operators.metrics import event_problems, valid_events
@@ -33,8 +34,11 @@ COMPACT_EVERY = 20   # micro-batches between upsert snapshots
 
 def start_dashboard(spark: SparkSession, events: Callable[[], DataFrame], out_dir: str | None = None,
                     trigger: dict | None = None, window_mode: str = "arrival",
-                    kafka_servers: str | None = None) -> dict[str, StreamingQuery]:
-    """Start all branches; ``events()`` builds the source (called once per branch)."""
+                    kafka_servers: str | None = None,
+                    console: bool = False) -> dict[str, StreamingQuery]:
+    """Start all branches; ``events()`` builds the source (called once per branch).
+    ``console=True`` also prints the processing text, the total revenue and
+    the window sums with the source job's prefixes (K2)."""
     out_dir = out_dir or shared_path(spark, "dashboard")
     trigger = trigger or {"processingTime": "5 seconds"}
 
@@ -70,6 +74,15 @@ def start_dashboard(spark: SparkSession, events: Callable[[], DataFrame], out_di
         writers["processed"] = jobs.kafka_sink(processed, kafka_servers, OUTPUT_TOPIC, c)
     else:
         writers["processed"] = jobs.text_file_sink(processed, p, c)
+    if console:
+        for name, df, prefix, mode in [
+            ("processing_console", jobs.processing_lines(events()), PROCESSING_PREFIX, "append"),
+            ("revenue_console", jobs.revenue_total_updates(clean()), REVENUE_PREFIX, "complete"),
+            ("window_console", jobs.window_revenue_updates(clean()).select(
+                F.col("window_revenue").cast("string").alias("value")), WINDOW_PREFIX, "update"),
+        ]:
+            writers[name] = jobs.console_sink(df, prefix, mode).option(
+                "checkpointLocation", f"{out_dir}/_checkpoints/{name}")
     return {name: w.queryName(f"dashboard_{name}").trigger(**trigger).start()
             for name, w in writers.items()}
 

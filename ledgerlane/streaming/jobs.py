@@ -231,14 +231,21 @@ def kafka_sink(records: DataFrame, bootstrap_servers: str, topic: str, checkpoin
 
 
 def console_sink(df: DataFrame, prefix: str | None = None, mode: str = "append"):
-    """K2: print records, optionally as ``<prefix>> <record>`` lines."""
+    """K2: print records, optionally as ``<prefix>> <record>`` lines; a single
+    ``value`` column prints as its text, other rows as JSON."""
     out = df
     if prefix is not None:
-        out = df.select(F.concat(F.lit(prefix + "> "),
-                                 F.to_json(F.struct(*df.columns))).alias("value"))
+        record = (F.col("value").cast("string") if df.columns == ["value"]
+                  else F.to_json(F.struct(*df.columns)))
+        out = df.select(F.concat(F.lit(prefix + "> "), record).alias("value"))
     return out.writeStream.format("console").outputMode(mode).option("truncate", "false")
 
 
+def revenue_total_updates(events: DataFrame) -> DataFrame:
+    """A2 final on a stream (complete mode): the total revenue so far."""
+    return events.agg(F.sum("total_order_value").alias("value"))
+
+
 # ---------------------------------------------------------------- stream twins
 
 def status_count_updates(events: DataFrame) -> DataFrame:

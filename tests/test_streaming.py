@@ -129,7 +129,8 @@ def test_processing_time_windows_fire_on_idle_source(spark, scratch):
 def test_dashboard_branches(spark, scratch):
     out = os.path.join(scratch, "dash")
     qs = start_dashboard(spark, lambda: jobs.fixture_event_stream(spark, SF_TINY), out,
-                         trigger={"availableNow": True})
+                         trigger={"availableNow": True}, console=True)
+    assert {"processing_console", "revenue_console", "window_console"} <= set(qs)
     await_all(qs)
     ev = fx.order_events(spark, SF_TINY)
     n = ev.count()

@@ -68,8 +68,10 @@ def dashboard(spark: SparkSession, args) -> None:
         return read_event_stream(spark, path=args.events, fmt="json")
 
     trigger = {"availableNow": True} if args.available_now else {"processingTime": args.trigger}
+    # One-shot runs window on arrival time: wall-clock timers never finish.
+    window_mode = "arrival" if args.available_now else args.window_mode
     queries = start_dashboard(spark, source, args.out, trigger=trigger,
-                              window_mode=args.window_mode, kafka_servers=args.kafka,
+                              window_mode=window_mode, kafka_servers=args.kafka,
                               console=args.console)
     if args.available_now:
         await_all(queries)

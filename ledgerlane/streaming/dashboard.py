@@ -41,6 +41,10 @@ def start_dashboard(spark: SparkSession, events: Callable[[], DataFrame], out_di
     the window sums with the source job's prefixes (K2)."""
     out_dir = out_dir or shared_path(spark, "dashboard")
     trigger = trigger or {"processingTime": "5 seconds"}
+    if window_mode == "processing" and trigger.get("availableNow"):
+        # Wall-clock timers keep such a query alive: it would never finish.
+        raise ValueError("processing-time windows need a processingTime trigger; "
+                         "use window_mode='arrival' for availableNow runs")
 
     def paths(name: str) -> tuple[str, str]:
         return f"{out_dir}/{name}", f"{out_dir}/_checkpoints/{name}"

@@ -46,8 +46,7 @@ def test_dashboard_job_available_now(spark, scratch):
     src = os.path.join(scratch, "events")
     render_event_json(fx.order_events(spark, SF_TINY)).select("value").write.text(src)
     out = os.path.join(scratch, "dash")
-    cli.main(["dashboard", "--events", src, "--out", out, "--window-mode", "arrival",
-              "--available-now"])
+    cli.main(["dashboard", "--events", src, "--out", out, "--available-now"])
     decoded = spark.read.text(f"{out}/processed").count()
     assert decoded == spark.read.text(f"{out}/processing").count() > 0
     assert spark.read.parquet(f"{out}/revenue_running").count() == decoded

@@ -239,3 +239,12 @@ def test_text_feeds_print_value_as_received(spark, scratch):
     assert [r.value for r in spark.read.text(out).collect()] == [
         "Received Notification for Order - OrderEvent(orderNumber=n1, orderEmail=e, "
         "orderStatus=CONFIRMED, totalOrderValue=41000)"]
+
+
+def test_dashboard_rejects_processing_windows_with_available_now(spark, scratch):
+    import pytest
+    with pytest.raises(ValueError, match="processingTime trigger"):
+        start_dashboard(spark, lambda: jobs.fixture_event_stream(spark, SF_TINY),
+                        os.path.join(scratch, "d"), trigger={"availableNow": True},
+                        window_mode="processing")
+    assert not spark.streams.active

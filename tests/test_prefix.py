@@ -83,3 +83,10 @@ def test_hot_key_is_spread_over_partitions(spark, tmp_path):
     assert max(sizes) <= 2 * n / parts, sizes
     maxima = {r.k: r.m for r in out.groupBy("k").agg(F.max("rc").alias("m")).collect()}
     assert maxima == {"CONFIRMED": n * 9 // 10, "FAILED": n // 10}
+
+
+def test_empty_input(spark):
+    df = spark.createDataFrame([], "k string, t int, id long, v decimal(18,2)")
+    out = running_totals(df, ["t", "id"], keys=["k"], sums={"rs": "v"}, count_as="rc")
+    assert out.count() == 0
+    assert out.columns == ["k", "t", "id", "v", "rc", "rs"]

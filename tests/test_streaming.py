@@ -248,3 +248,22 @@ def test_dashboard_rejects_processing_windows_with_available_now(spark, scratch)
                         os.path.join(scratch, "d"), trigger={"availableNow": True},
                         window_mode="processing")
     assert not spark.streams.active
+
+
+def test_dashboard_live_processing_windows(spark, scratch):
+    out = os.path.join(scratch, "live")
+    qs = start_dashboard(spark, lambda: jobs.fixture_event_stream(spark, SF_TINY), out,
+                         trigger={"processingTime": "2 seconds"}, window_mode="processing")
+    total = metrics.revenue_total(fx.order_events(spark, SF_TINY)).first().total_revenue
+    got, deadline = None, time.time() + 100
+    try:
+        while time.time() < deadline and got != total:
+            time.sleep(3)
+            try:
+                got = spark.read.parquet(f"{out}/revenue_30s").agg(F.sum("window_revenue")).first()[0]
+            except Exception:
+                got = None
+    finally:
+        for q in qs.values():
+            q.stop()
+    assert got == total

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane.functions.ids import order_number_for_key
 from ledgerlane.schemas import CONFIRMED, FAILED
-from ledgerlane.session import broadcast_if_bounded
+from ledgerlane.session import rows_at_most
 
 # Inventories up to this many rows are broadcast to the line aggregates.
 STOCK_BROADCAST_ROWS = 2_000_000
@@ -68,8 +68,12 @@ def stock_table(inventory: DataFrame) -> DataFrame:
                           (F.count(F.lit(1)) > 1).alias("duplicated")))
 
 
-def _sized(stock: DataFrame) -> DataFrame:
-    return broadcast_if_bounded(stock, STOCK_BROADCAST_ROWS)
+def _sized(derived: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Broadcast a table derived from the inventory with at most one row per
+    inventory row (per-SKU stock, known SKUs) when the inventory itself is
+    proven small: counting the plain scan is cheaper than counting the
+    aggregate and bounds it just as well."""
+    return F.broadcast(derived) if rows_at_most(inventory, STOCK_BROADCAST_ROWS) else derived
 
 
 def requested_skus(lines: DataFrame) -> DataFrame:
@@ -84,7 +88,8 @@ def inventory_in_list(inventory: DataFrame, skus: DataFrame) -> DataFrame:
 
 def sku_exists(skus: DataFrame, inventory: DataFrame) -> DataFrame:
     """Per SKU, whether any inventory row has it, regardless of quantity."""
-    known = _sized(inventory.select("sku_code").distinct().withColumn("_known", F.lit(True)))
+    known = _sized(inventory.select("sku_code").distinct().withColumn("_known", F.lit(True)),
+                   inventory)
     return (skus.join(known, "sku_code", "left")
                 .select("sku_code", F.coalesce("_known", F.lit(False)).alias("sku_exists")))
 
@@ -104,7 +109,7 @@ def sku_lookup(skus: DataFrame, inventory: DataFrame) -> DataFrame:
 def stock_answers(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     """One answer per requested line, duplicates kept; unknown SKU → not
     in stock."""
-    stock = _sized(stock_table(inventory).drop("duplicated"))
+    stock = _sized(stock_table(inventory).drop("duplicated"), inventory)
     return (lines.join(stock, "sku_code", "left")
                  .select("order_key", "id", "sku_code",
                          F.coalesce("in_stock", F.lit(False)).alias("in_stock")))
@@ -118,7 +123,7 @@ def order_totals(lines: DataFrame, inventory: DataFrame, dedupe_answers: bool =
     per_sku = (lines.groupBy("order_key", "sku_code")
                     .agg(F.count(F.lit(1)).alias("n"),
                          F.sum(F.col("price") * F.col("quantity")).alias("s")))
-    stock = _sized(stock_table(inventory))
+    stock = _sized(stock_table(inventory), inventory)
     answered = (per_sku.join(stock, "sku_code", "left")
                        .withColumn("in_stock", F.coalesce("in_stock", F.lit(False))))
     weight = F.col("s") if dedupe_answers else F.col("n") * F.col("s")

@@ -84,8 +84,13 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
 
     The check reads at most ``max_rows + 1`` rows of the (dimension) side.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if rows_at_most(df, max_rows) else df
+
+
+def rows_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` holds at most ``max_rows`` rows; reads at most
+    ``max_rows + 1`` of them."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:

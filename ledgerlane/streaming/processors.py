@@ -134,6 +134,8 @@ def _partial_sums(batches):
 
 def apply_processing_time_windows(events: DataFrame) -> DataFrame:
     """T1 live 30 s processing-time windows (bare sums with their bounds).
+    Run it with a ``processingTime`` trigger: under ``availableNow`` its
+    wall-clock timers keep the query from ever finishing.
 
     The processing clock is read once per micro-batch, so the processor only
     needs each micro-batch's sum: a stateless Arrow pass pre-aggregates every

@@ -30,3 +30,19 @@ def test_entry_smoke(spark):
     assert df.columns == ["order_key", "order_number", "order_email", "order_status",
                           "total_order_value"]
     assert df.count() == 1500
+
+
+@pytest.mark.parametrize("name", ["placement_decisions", "revenue_running", "revenue_tumbling_30s",
+                                  "timed_order_events", "stream_revenue_tumbling_30s"])
+def test_driver_like_session_settings(spark, con, name):
+    """Default partition count and a non-UTC session zone change nothing."""
+    saved = {k: spark.conf.get(k) for k in ["spark.sql.shuffle.partitions",
+                                            "spark.sql.session.timeZone"]}
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        result = compare(entry.queries()[name](spark, SF_SMALL), con, entry.oracle_sql()[name])
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert result["ok"], result

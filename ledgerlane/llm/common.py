@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlane.session import ship  # noqa: F401
+
 #: White space of the word rule: blank, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -82,24 +84,3 @@ def array_literal(cells: DataFrame, kind: str) -> Column:
     values = cells.first()["cells"]
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per Spark context, so that functions
-    which run there find it whatever path they were started with."""
-    import tempfile
-    import zipfile
-
-    context = spark.sparkContext
-    if getattr(context, "_ledgerlane_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    package = os.path.join(root, "ledgerlane")
-    archive = os.path.join(tempfile.mkdtemp(prefix="ledgerlane-"), "ledgerlane.zip")  # the driver serves it
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    at = os.path.join(folder, name)
-                    z.write(at, os.path.relpath(at, root))
-    context.addPyFile(archive)
-    context._ledgerlane_shipped = True

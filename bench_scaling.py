@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -39,7 +40,8 @@ def events(spark, n: int, parts: int):
 def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     sizes = [int(x) for x in os.environ.get("SCALING_N", "1000000,4000000").split(",")]
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, app="ledgerlane-scaling")
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, app="ledgerlane-scaling",
+                          extra={"spark.checkpoint.dir": "file://" + tempfile.mkdtemp(prefix="ledgerlane-bench-")})
     runs = {
         "status_counts": metrics.status_counts,
         "status_running_counts": metrics.status_running_counts,

@@ -9,6 +9,6 @@ Subpackages:
 * ``streaming`` — streaming twins of the metrics, stateful processors, the dashboard job
 """
 
-from ledgerlane.session import build_session, ensure_checkpoint_dir, shared_path
+from ledgerlane.session import build_session, shared_path, shared_root
 
-__all__ = ["build_session", "ensure_checkpoint_dir", "shared_path"]
+__all__ = ["build_session", "shared_path", "shared_root"]

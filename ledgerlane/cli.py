@@ -9,47 +9,61 @@
 (parquet): confirmed order and line tables, one published record per decision
 and topic, and the quarantined requests. ``metrics`` computes the batch
 metrics over order-event JSON files. ``dashboard`` starts the streaming job.
-The session comes from spark-submit; its ``spark.checkpoint.dir`` is used.
+The session comes from spark-submit; its ``spark.checkpoint.dir`` is used. The package sends
+itself to the executors.
 """
 
 from __future__ import annotations
 
 import argparse
+import os
+import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+if not __package__:  # run as a script: the package's parent folder is not on the path yet
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def _stored(df, path: str):
+    """Write once, read back: what follows doesn't compute it again."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def place(spark: SparkSession, args) -> None:
     from ledgerlane.operators import placement
     from ledgerlane.operators.sinks import published_events, store_confirmed
     from ledgerlane.sources.requests import read_inventory, read_order_requests
 
-    requests = read_order_requests(spark, args.requests, fmt="json")
-    lines = placement.explode_request_lines(requests).withColumn("id", F.lit(None).cast("long"))
+    requests = _stored(read_order_requests(spark, args.requests, fmt="json"), f"{args.out}/requests")
+    lines = _stored(placement.explode_request_lines(requests), f"{args.out}/lines")
     headers = requests.select("order_key", F.lit(None).cast("string").alias("order_number"),
                               "order_email")
     inventory = read_inventory(spark, args.inventory)
-    bad = (placement.quarantine_requests(lines)
+    bad = (placement.quarantine_requests(lines, inventory)
            .unionByName(placement.quarantine_nested_requests(requests))
            .unionByName(placement.inventory_conflicts(lines, inventory)))
-    bad.write.mode("overwrite").parquet(f"{args.out}/quarantine")
-    decisions = placement.placement_decisions(headers, lines, inventory,
-                                              exclude=spark.read.parquet(f"{args.out}/quarantine"))
-    decisions.write.mode("overwrite").parquet(f"{args.out}/decisions")
-    decided = spark.read.parquet(f"{args.out}/decisions")
+    bad = _stored(bad, f"{args.out}/quarantine")
+    decisions = placement.placement_decisions(headers, lines, inventory, exclude=bad)
+    decided = _stored(decisions, f"{args.out}/decisions")
     store_confirmed(decided, lines, f"{args.out}/orders", f"{args.out}/order_lines", "overwrite")
     published_events(decided).write.mode("overwrite").parquet(f"{args.out}/published")
 
 
 def metrics_job(spark: SparkSession, args) -> None:
-    from ledgerlane.functions.codec import decode_order_events
+    from ledgerlane.functions.codec import decode_order_events, unrepresentable_events
     from ledgerlane.operators import metrics
-
-    raw = spark.read.text(args.events).withColumn("event_id", F.monotonically_increasing_id())
-    raw = raw.withColumn("arrival", F.col("_metadata.file_modification_time").cast("timestamp_ntz"))
-    events = decode_order_events(raw, keep=("event_id", "arrival"))
-    metrics.event_problems(events).write.mode("overwrite").parquet(f"{args.out}/quarantine")
+    from ledgerlane.sources.events import file_records
+
+    raw = file_records(spark.read.text(args.events))
+    keep = ("event_id", "arrival")
+    events = _stored(decode_order_events(raw, keep=keep), f"{args.out}/events")
+    (metrics.event_problems(events).select("event_id", "arrival", "order_number", "value_text", "reason")
+     .unionByName(unrepresentable_events(raw, keep=keep).select(
+         "event_id", "arrival", "order_number", "value_text", "reason"))
+     .write.mode("overwrite").parquet(f"{args.out}/quarantine"))
     ok = metrics.valid_events(events)
     metrics.status_counts(ok).write.mode("overwrite").parquet(f"{args.out}/status_counts")
     metrics.revenue_total(ok).write.mode("overwrite").parquet(f"{args.out}/revenue_total")

@@ -50,6 +50,11 @@ def notification_line(value_text: Column | None = None) -> Column:
     return F.concat(F.lit(NOTIFICATION_PREFIX), event_text(value_text))
 
 
+def console_line(prefix: str, record: Column) -> Column:
+    """K2: a console sink's line, ``<prefix>> <record>``."""
+    return F.concat(F.lit(prefix + "> "), record)
+
+
 EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 

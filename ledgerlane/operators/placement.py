@@ -10,9 +10,8 @@ remote call becomes a join and the whole batch of requests is decided at once:
           → ⟕ headers → decision
 
 Both aggregations run partial (map-side) first, so a hot order or SKU costs
-one row per map task before the shuffle. The stock table is broadcast only
-when its row count is proven under a bound, otherwise the planner keeps a
-shuffle join and AQE splits skewed partitions.
+one row per map task before the shuffle. The planner picks the stock join from
+the tables' sizes and AQE splits skewed partitions; there is no hint.
 
 The duplicate-SKU rule (R3): the source service joins every in-stock answer
 with every line of the same SKU, so a SKU on k lines counts k times. With
@@ -22,16 +21,13 @@ n = lines and s = Σ price × quantity per (order, SKU) the faithful total is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.functions.ids import order_number_for_key
 from ledgerlane.schemas import CONFIRMED, FAILED
-from ledgerlane.session import rows_at_most
 
-# Inventories up to this many rows are broadcast to the line aggregates.
-STOCK_BROADCAST_ROWS = 2_000_000
-TOTAL_TYPE = "decimal(38,2)"
+TOTAL_TYPE = "decimal(38,6)"
 
 
 # ---------------------------------------------------------------- lines
@@ -68,12 +64,11 @@ def stock_table(inventory: DataFrame) -> DataFrame:
                           (F.count(F.lit(1)) > 1).alias("duplicated")))
 
 
-def _sized(derived: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Broadcast a table derived from the inventory with at most one row per
-    inventory row (per-SKU stock, known SKUs) when the inventory itself is
-    proven small: counting the plain scan is cheaper than counting the
-    aggregate and bounds it just as well."""
-    return F.broadcast(derived) if rows_at_most(inventory, STOCK_BROADCAST_ROWS) else derived
+def _answer() -> Column:
+    """Stock answer of a line joined with ``stock_table``; a duplicated SKU raises."""
+    conflict = F.when(F.coalesce("duplicated", F.lit(False)), F.raise_error(
+        F.concat(F.lit("duplicate SKU in inventory: "), F.col("sku_code"))))
+    return F.coalesce(conflict.cast("boolean"), F.col("in_stock"), F.lit(False))
 
 
 def requested_skus(lines: DataFrame) -> DataFrame:
@@ -88,8 +83,7 @@ def inventory_in_list(inventory: DataFrame, skus: DataFrame) -> DataFrame:
 
 def sku_exists(skus: DataFrame, inventory: DataFrame) -> DataFrame:
     """Per SKU, whether any inventory row has it, regardless of quantity."""
-    known = _sized(inventory.select("sku_code").distinct().withColumn("_known", F.lit(True)),
-                   inventory)
+    known = inventory.select("sku_code").distinct().withColumn("_known", F.lit(True))
     return (skus.join(known, "sku_code", "left")
                 .select("sku_code", F.coalesce("_known", F.lit(False)).alias("sku_exists")))
 
@@ -108,11 +102,10 @@ def sku_lookup(skus: DataFrame, inventory: DataFrame) -> DataFrame:
 
 def stock_answers(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     """One answer per requested line, duplicates kept; unknown SKU → not
-    in stock."""
-    stock = _sized(stock_table(inventory).drop("duplicated"), inventory)
-    return (lines.join(stock, "sku_code", "left")
-                 .select("order_key", "id", "sku_code",
-                         F.coalesce("in_stock", F.lit(False)).alias("in_stock")))
+    in stock. A requested SKU stored twice raises, as the lookup (P5) does;
+    ``inventory_conflicts`` lists the requests it would hit."""
+    return (lines.join(stock_table(inventory), "sku_code", "left")
+                 .select("order_key", "id", "sku_code", _answer().alias("in_stock")))
 
 
 # ---------------------------------------------------------------- totals
@@ -123,8 +116,7 @@ def order_totals(lines: DataFrame, inventory: DataFrame, dedupe_answers: bool =
     per_sku = (lines.groupBy("order_key", "sku_code")
                     .agg(F.count(F.lit(1)).alias("n"),
                          F.sum(F.col("price") * F.col("quantity")).alias("s")))
-    stock = _sized(stock_table(inventory), inventory)
-    answered = (per_sku.join(stock, "sku_code", "left")
+    answered = (per_sku.join(stock_table(inventory), "sku_code", "left")
                        .withColumn("in_stock", F.coalesce("in_stock", F.lit(False))))
     weight = F.col("s") if dedupe_answers else F.col("n") * F.col("s")
     contribution = F.when(F.col("in_stock"), weight).otherwise(F.lit(0))
@@ -173,18 +165,17 @@ def confirmed_orders(decisions: DataFrame) -> DataFrame:
 
 
 def confirmed_order_lines(decisions: DataFrame, lines: DataFrame) -> DataFrame:
-    """K4 line table: the valid lines of CONFIRMED orders, keyed by order number."""
-    keys = decisions.filter(F.col("order_status") == CONFIRMED).select("order_key")
-    return (valid_lines(lines).join(keys, "order_key", "left_semi")
-                              .select(order_number_for_key(F.col("order_key")).alias("order_number"),
-                                      "sku_code", "price", "quantity"))
+    """K4 line table: the valid lines of CONFIRMED orders, keyed by the number of their decision."""
+    confirmed = decisions.filter(F.col("order_status") == CONFIRMED).select("order_key", "order_number")
+    return (valid_lines(lines).join(confirmed, "order_key")
+                              .select("order_number", "sku_code", "price", "quantity"))
 
 
 def inventory_conflicts(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     """Requests that ask for a SKU stored more than once in the inventory."""
-    return (order_totals(valid_lines(lines), inventory)
-            .filter("asks_duplicated_sku")
-            .select("order_key", F.lit("duplicate SKU in inventory").alias("reason")))
+    stored_twice = stock_table(inventory).filter("duplicated")
+    return (valid_lines(lines).join(stored_twice, "sku_code", "left_semi").select("order_key").distinct()
+            .withColumn("reason", F.lit("duplicate SKU in inventory")))
 
 
 def quarantine_nested_requests(requests: DataFrame) -> DataFrame:
@@ -193,11 +184,14 @@ def quarantine_nested_requests(requests: DataFrame) -> DataFrame:
                     .select("order_key", F.lit("null line list").alias("reason")))
 
 
-def quarantine_requests(lines: DataFrame) -> DataFrame:
-    """R2: requests the source service would reject with an exception
-    (null quantity, or a null price/SKU on a line that survives the filter)."""
-    bad = (F.when(F.col("quantity").isNull(), F.lit("null quantity"))
-            .when((F.col("quantity") > 0) & F.col("sku_code").isNull(), F.lit("null sku"))
-            .when((F.col("quantity") > 0) & F.col("price").isNull(), F.lit("null price")))
-    return (lines.select("order_key", bad.alias("reason")).filter(F.col("reason").isNotNull())
-                 .groupBy("order_key").agg(F.min("reason").alias("reason")))
+def quarantine_requests(lines: DataFrame, inventory: DataFrame) -> DataFrame:
+    """R2: requests the source service would reject with an exception: a null quantity, a null
+    SKU on a line that survives the filter, or a null price on a line whose SKU is in stock
+    (the price of other lines is never touched: such a request fails, it does not raise)."""
+    early = (F.when(F.col("quantity").isNull(), F.lit("null quantity"))
+              .when((F.col("quantity") > 0) & F.col("sku_code").isNull(), F.lit("null sku")))
+    raised = lines.select("order_key", early.alias("reason")).filter(F.col("reason").isNotNull())
+    unpriced = (lines.filter((F.col("quantity") > 0) & F.col("price").isNull())
+                     .join(stock_table(inventory).filter("in_stock"), "sku_code", "left_semi")
+                     .select("order_key", F.lit("null price").alias("reason")))
+    return raised.unionByName(unpriced).groupBy("order_key").agg(F.min("reason").alias("reason"))

@@ -22,8 +22,9 @@ the work is spread evenly instead:
    table has at most N rows, a proven bound, and is broadcast.
 4. Running value = offset + local value, null-safe on keys.
 
-Sums are exact: decimals travel as scaled 64-bit integers with checked
-overflow and are turned back into decimals in the JVM. The result follows SQL
+Sums are exact: decimals stay 128-bit decimals and are added in 32-bit limbs;
+a sum of more than 38 digits raises, within and across batches and
+partitions, with and without ANSI. The result follows SQL
 ``SUM/COUNT(...) OVER (PARTITION BY key ORDER BY order ROWS UNBOUNDED
 PRECEDING)``: a running sum over only nulls so far is null.
 """
@@ -36,30 +37,73 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlane.session import shared_path, shuffle_partitions
+from ledgerlane.session import partitions_for, shared_path, ship
 
 _PART = "_lp_part"
 
 
-def _local_prefix_fn(key_names: list[str], sum_names: list[str], count_out: str,
+#: Largest magnitude of a DECIMAL(38, s) as an unscaled integer.
+_LIMIT = 10 ** 38 - 1
+
+
+def _limbs(col) -> list:
+    """Unscaled decimals (null: 0) as four 32-bit limbs in int64 arrays; the last one is signed."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    filled = pc.fill_null(col, pa.scalar(Decimal(0), col.type)) if col.null_count else col
+    words = np.frombuffer(filled.buffers()[1], "<u4")
+    words = words[4 * filled.offset:4 * (filled.offset + len(filled))].reshape(-1, 4)
+    return [words[:, 0].astype(np.int64), words[:, 1].astype(np.int64), words[:, 2].astype(np.int64),
+            np.ascontiguousarray(words[:, 3]).view("<i4").astype(np.int64)]
+
+
+def _decimals(limbs: list, scale: int):
+    """Limb sums, carries included, as DECIMAL(38, scale); raises where 38 digits don't do."""
+    import numpy as np
+    import pyarrow as pa
+
+    low, carry = [], 0
+    for part in limbs[:3]:
+        total = part + carry
+        low.append(total & 0xFFFFFFFF)
+        carry = total >> 32
+    top = limbs[3] + carry
+    over = (top < -(1 << 31)) | (top >= 1 << 31)
+    # 38 digits end between these upper halves; values on the edge are looked at one by one.
+    upper = (top << 32) + low[2]
+    edge = _LIMIT >> 64
+    for k in np.flatnonzero((upper >= edge) | (upper <= -edge - 1)):
+        value = (int(top[k]) << 96) + (int(low[2][k]) << 64) + (int(low[1][k]) << 32) + int(low[0][k])
+        over[k] |= abs(value) > _LIMIT
+    if over.any():
+        raise OverflowError("a running sum needs more than 38 digits")
+    words = np.stack([*low, top & 0xFFFFFFFF], axis=1).astype("<u4")
+    return pa.Array.from_buffers(pa.decimal128(38, scale), len(words), [None, pa.py_buffer(words.tobytes())])
+
+
+def _local_prefix_fn(key_names: list[str], sums: list[tuple[str, int]], count_out: str,
                      sum_outs: list[str], nn_outs: list[str]):
-    """Partition function for mapInArrow: rows arrive sorted by (key, order)."""
+    """Partition function for mapInArrow: rows arrive sorted by (key, order). ``sums``: column and
+    scale of each DECIMAL(38, scale) to add up."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        names = [count_out, *sum_outs, *nn_outs]
+        kinds = [pa.int64(), *[pa.decimal128(38, s) for _, s in sums], *[pa.int64()] * len(sums)]
         prev_key = None
         carry_cnt = 0
-        carry_sum = [0] * len(sum_names)
-        carry_nn = [0] * len(sum_names)
+        carry_sum = [[0, 0, 0, 0] for _ in sums]
+        carry_nn = [0] * len(sums)
         for b in batches:
             n = b.num_rows
             if n == 0:
-                empty = [pa.array([], pa.int64())] * (1 + 2 * len(sum_names))
                 yield pa.RecordBatch.from_arrays(
-                    b.columns + empty, names=b.schema.names + [count_out] + sum_outs + nn_outs)
+                    b.columns + [pa.array([], k) for k in kinds], names=b.schema.names + names)
                 continue
             starts = np.zeros(n, dtype=bool)
             starts[0] = True
@@ -74,33 +118,34 @@ def _local_prefix_fn(key_names: list[str], sum_names: list[str], count_out: str,
             continues = prev_key is not None and first_key == prev_key
             seg = np.cumsum(starts) - 1
             seg_start = np.flatnonzero(starts)
-            pos = np.arange(n, dtype=np.int64) - seg_start[seg]
             head = seg == 0
-            cnt = pos + 1
+            cnt = np.arange(n, dtype=np.int64) - seg_start[seg] + 1
             if continues:
                 cnt[head] += carry_cnt
+
+            def within(v):
+                """Running sum of an int64 array within its segment."""
+                c = np.cumsum(v)
+                return c - (c[seg_start] - v[seg_start])[seg]
+
             out_sums, out_nns = [], []
-            for j, s in enumerate(sum_names):
-                col = b.column(s)
-                vals = pc.fill_null(col, 0).cast(pa.int64())
-                cs = pc.cumulative_sum_checked(vals).to_numpy(zero_copy_only=False)
-                v = vals.to_numpy(zero_copy_only=False)
-                local = cs - (cs[seg_start] - v[seg_start])[seg]
-                nn = (~pc.is_null(col).to_numpy(zero_copy_only=False)).astype(np.int64)
-                nn_local = np.cumsum(nn)
-                nn_local = nn_local - (nn_local[seg_start] - nn[seg_start])[seg]
+            for j, (name, scale) in enumerate(sums):
+                col = b.column(name)
+                limbs = [within(v) for v in _limbs(col)]
+                nn = within((~pc.is_null(col).to_numpy(zero_copy_only=False)).astype(np.int64))
                 if continues:
-                    local[head] += carry_sum[j]
-                    nn_local[head] += carry_nn[j]
-                carry_sum[j] = int(local[-1])
-                carry_nn[j] = int(nn_local[-1])
-                out_sums.append(pa.array(local, pa.int64()))
-                out_nns.append(pa.array(nn_local, pa.int64()))
+                    for limb, carry in zip(limbs, carry_sum[j]):
+                        limb[head] += carry
+                    nn[head] += carry_nn[j]
+                total = _decimals(limbs, scale)
+                carry_sum[j] = [int(x[0]) for x in _limbs(total.slice(n - 1))]
+                carry_nn[j] = int(nn[-1])
+                out_sums.append(total)
+                out_nns.append(pa.array(nn, pa.int64()))
             prev_key = tuple(b.column(k)[n - 1].as_py() for k in key_names)
             carry_cnt = int(cnt[-1])
             yield pa.RecordBatch.from_arrays(
-                b.columns + [pa.array(cnt, pa.int64())] + out_sums + out_nns,
-                names=b.schema.names + [count_out] + sum_outs + nn_outs)
+                b.columns + [pa.array(cnt, pa.int64())] + out_sums + out_nns, names=b.schema.names + names)
 
     return run
 
@@ -124,18 +169,17 @@ def running_totals(df: DataFrame, order_by: list[str], keys: list[str] | None =
     same rows. The prefixed rows are staged under ``stage_path`` (overwritten)
     or, by default, under a new folder in the shared checkpoint folder.
     """
+    ship(df.sparkSession)
     keys = list(keys or [])
     sums = dict(sums or {})
-    n_parts = num_partitions or shuffle_partitions(df.sparkSession)
+    n_parts = num_partitions or partitions_for(df)
     fields = {f.name: f.dataType for f in df.schema.fields}
     scales = {out: _scale_of(fields[src]) for out, src in sums.items()}
 
-    # Exact scaled integers for the Arrow pass; ANSI casts raise on overflow.
-    ints = {out: f"_lp_i_{i}" for i, out in enumerate(sums)}
-    prepared = df
-    for out, src in sums.items():
-        factor = F.lit(Decimal(10) ** scales[out])
-        prepared = prepared.withColumn(ints[out], (F.col(src) * factor).cast("long"))
+    # Widening to 38 digits loses nothing, whatever the session's ANSI setting.
+    wide = {out: f"_lp_i_{i}" for i, out in enumerate(sums)}
+    prepared = df.withColumns({wide[out]: F.col(src).cast(T.DecimalType(38, scales[out]))
+                               for out, src in sums.items()}) if sums else df
 
     ranged = (prepared.repartitionByRange(n_parts, *keys, *order_by)
                       .sortWithinPartitions(*keys, *order_by)
@@ -147,10 +191,10 @@ def running_totals(df: DataFrame, order_by: list[str], keys: list[str] | None =
     out_schema = T.StructType(
         ranged.schema.fields
         + [T.StructField(lc, T.LongType())]
-        + [T.StructField(ls[o], T.LongType()) for o in sums]
+        + [T.StructField(ls[o], T.DecimalType(38, scales[o])) for o in sums]
         + [T.StructField(ln[o], T.LongType()) for o in sums])
     local = ranged.mapInArrow(
-        _local_prefix_fn(keys, [ints[o] for o in sums], lc, [ls[o] for o in sums],
+        _local_prefix_fn(keys, [(wide[o], scales[o]) for o in sums], lc, [ls[o] for o in sums],
                          [ln[o] for o in sums]),
         out_schema)
 
@@ -187,13 +231,13 @@ def running_totals(df: DataFrame, order_by: list[str], keys: list[str] | None =
     outs = []
     if count_as:
         outs.append((F.col(lc) + F.coalesce(F.col("_o_cnt"), F.lit(0))).alias(count_as))
-    for i, (out, src) in enumerate(sums.items()):
-        s = scales[out]
-        result_type = T.DecimalType(38, s)
-        local_dec = (F.col(ls[out]).cast(T.DecimalType(38, 0))
-                     * F.lit(Decimal(1).scaleb(-s))).cast(result_type)
+    for i, out in enumerate(sums):
+        result_type = T.DecimalType(38, scales[out])
         total_nn = F.col(ln[out]) + F.coalesce(F.col(f"_o_n_{i}"), F.lit(0))
-        value = local_dec + F.coalesce(F.col(f"_o_s_{i}").cast(result_type),
-                                       F.lit(0).cast(result_type))
-        outs.append(F.when(total_nn > 0, value.cast(result_type)).alias(out))
+        # Without ANSI an overflow is null here, never a wrong number: make it an error as well.
+        value = F.try_add(F.col(ls[out]), F.coalesce(F.col(f"_o_s_{i}").cast(result_type),
+                                                     F.lit(0).cast(result_type))).cast(result_type)
+        checked = F.coalesce(value, F.raise_error(F.lit("a running sum needs more than 38 digits"))
+                             .cast(result_type))
+        outs.append(F.when(total_nn > 0, checked).alias(out))
     return joined.select(*[F.col(c) for c in df.columns], *outs)

@@ -1,8 +1,8 @@
-"""Batch sinks of the placement pipeline (K3, K4) and the text sinks (K2).
+"""Batch sinks of the placement pipeline (K3, K4).
 
 Publishing is one write with a per-row ``topic`` column: every decision goes
 to both topics, CONFIRMED and FAILED alike. Kafka writes are at-least-once;
-file writes are atomic per job.
+file writes are atomic per job. The console lines (K2) are ``functions.text.console_line``.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from ledgerlane.sources.events import EVENT_TOPIC, SECOND_TOPIC
 def published_events(decisions: DataFrame, topics: tuple[str, ...] = (EVENT_TOPIC, SECOND_TOPIC)
                      ) -> DataFrame:
     """K3: (topic, key, value) — one unkeyed JSON record per decision and topic."""
-    return decisions.select(
-        F.explode(F.array(*[F.lit(t) for t in topics])).alias("topic"),
-        F.lit(None).cast("binary").alias("key"),
-        order_event_json(value_scale=2).alias("value"))
+    # One array of finished records: the JSON is built once, then exploded per topic.
+    records = F.transform(F.array(*[F.lit(t) for t in topics]),
+                          lambda t: F.struct(t.alias("topic"), F.col("value").alias("value")))
+    return (decisions.select(order_event_json().alias("value"))
+                     .select(F.inline(records))
+                     .select("topic", F.lit(None).cast("binary").alias("key"), "value"))
 
 
 def publish_to_kafka(records: DataFrame, bootstrap_servers: str) -> None:
@@ -35,8 +37,3 @@ def store_confirmed(decisions: DataFrame, lines: DataFrame, orders_path: str,
     """K4: persist the header and line tables of CONFIRMED orders only."""
     confirmed_orders(decisions).write.mode(mode).parquet(orders_path)
     confirmed_order_lines(decisions, lines).write.mode(mode).parquet(lines_path)
-
-
-def with_prefix(df: DataFrame, prefix: str, col: str = "value") -> DataFrame:
-    """K2: the console sinks' ``<prefix> <record>`` text lines."""
-    return df.select(F.concat(F.lit(prefix), F.col(col).cast("string")).alias("value"))

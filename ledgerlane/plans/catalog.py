@@ -17,10 +17,11 @@ from pyspark.sql import types as T
 from ledgerlane.functions import codec, text
 from ledgerlane.operators import metrics, placement
 from ledgerlane.operators.sinks import published_events
-from ledgerlane.session import ensure_parallel, read_table
+from ledgerlane.session import read_table
 from ledgerlane.sources import fixtures as fx
 from ledgerlane.sources.events import render_event_json
-from ledgerlane.sources.requests import request_summary
+from ledgerlane.sources.requests import (parse_order_requests, render_order_requests,
+                                         request_summary)
 from ledgerlane.sources.synthetic import synthetic_order_events
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -47,6 +48,40 @@ def q_order_requests(spark: SparkSession, sf: str) -> DataFrame:
     return request_summary(fx.request_headers(spark, sf), fx.request_lines(spark, sf))
 
 
+def _parsed_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested requests rendered in their JSON wire form and parsed again."""
+    wire = render_order_requests(fx.nested_requests(spark, sf))
+    return parse_order_requests(wire, key=F.col("order_key"))
+
+
+def q_order_requests_nested(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed_requests(spark, sf).select(
+        "order_key", "order_email", F.size("items").cast("long").alias("line_count"),
+        F.col("items").isNull().alias("no_list"))
+
+
+def q_order_lines_nested(spark: SparkSession, sf: str) -> DataFrame:
+    return portable(placement.explode_request_lines(_parsed_requests(spark, sf)))
+
+
+def q_quarantined_requests(spark: SparkSession, sf: str) -> DataFrame:
+    bad = placement.quarantine_requests(fx.damaged_lines(spark, sf), fx.inventory(spark, sf))
+    return bad.unionByName(placement.quarantine_nested_requests(fx.nested_requests(spark, sf)))
+
+
+def q_quarantined_events(spark: SparkSession, sf: str) -> DataFrame:
+    bad = metrics.event_problems(fx.damaged_events(spark, sf)).select("event_id", "reason")
+    huge = codec.unrepresentable_events(render_event_json(fx.order_events(spark, sf)), keep=("event_id",))
+    return bad.unionByName(huge.select("event_id", "reason"))
+
+
+def q_console_lines(spark: SparkSession, sf: str) -> DataFrame:
+    from ledgerlane.streaming.dashboard import PROCESSING_PREFIX
+
+    return fx.order_events(spark, sf).select("event_id", text.console_line(
+        PROCESSING_PREFIX, text.processing_line()).alias("line"))
+
+
 def q_order_lines(spark: SparkSession, sf: str) -> DataFrame:
     return portable(fx.request_lines(spark, sf).drop("id"))
 
@@ -146,7 +181,7 @@ def q_revenue_tumbling_30s(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- codec, text
 
 def q_decode_order_events(spark: SparkSession, sf: str) -> DataFrame:
-    raw = render_event_json(ensure_parallel(fx.order_events(spark, sf)))
+    raw = render_event_json(fx.order_events(spark, sf))
     return portable(codec.decode_order_events(raw, "value", keep=("event_id",)))
 
 
@@ -198,6 +233,8 @@ def q_synthetic_order_json(spark: SparkSession, sf: str) -> DataFrame:
 
 BATCH_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "order_requests": q_order_requests,
+    "order_requests_nested": q_order_requests_nested,
+    "order_lines_nested": q_order_lines_nested,
     "order_lines": q_order_lines,
     "valid_order_lines": q_valid_order_lines,
     "line_values": q_line_values,
@@ -212,6 +249,8 @@ BATCH_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "confirmed_orders": q_confirmed_orders,
     "confirmed_order_lines": q_confirmed_order_lines,
     "published_events": q_published_events,
+    "quarantined_requests": q_quarantined_requests,
+    "quarantined_events": q_quarantined_events,
     "status_counts": q_status_counts,
     "status_running_counts": q_status_running_counts,
     "revenue_total": q_revenue_total,
@@ -220,6 +259,7 @@ BATCH_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "decode_order_events": q_decode_order_events,
     "encode_order_events": q_encode_order_events,
     "processing_lines": q_processing_lines,
+    "console_lines": q_console_lines,
     "processed_messages": q_processed_messages,
     "notification_lines": q_notification_lines,
     "timed_order_events": q_timed_order_events,

@@ -7,7 +7,8 @@ window functions (one task in DuckDB, which is fine at test scale).
 
 from __future__ import annotations
 
-from ledgerlane.sources.events import DROPPED_FORMS, NO_EMAIL_FORM, RENDER_FORMS
+from ledgerlane.sources.events import (DROPPED_FORMS, EMPTY_VALUE_FORM, HUGE_FORM, NO_EMAIL_FORM,
+                                        RENDER_FORMS)
 
 
 def _uuid(h: str) -> str:
@@ -33,14 +34,15 @@ REQUESTS = f"""request_headers AS (
   FROM orders),
 request_lines AS (
   SELECT l_orderkey AS order_key, CAST(l_linenumber AS BIGINT) AS id,
-         CAST(l_partkey AS VARCHAR) AS sku_code,
+         CASE WHEN (7 * l_orderkey + l_linenumber) % 50 = 0 THEN 'x' ELSE '' END
+           || CAST(l_partkey AS VARCHAR) AS sku_code,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
          CAST(trunc(l_quantity) AS INTEGER) - 5 AS quantity
   FROM lineitem),
 valid_lines AS (SELECT * FROM request_lines WHERE quantity > 0),
 stock AS (
   SELECT CAST(p_partkey AS VARCHAR) AS sku_code, CAST(p_size % 10 AS INTEGER) AS quantity
-  FROM part WHERE p_partkey % 50 <> 0),
+  FROM part),
 per_sku AS (
   SELECT order_key, sku_code, count(*) AS n, sum(price * quantity) AS s
   FROM valid_lines GROUP BY order_key, sku_code),
@@ -71,11 +73,16 @@ EV = _with(ORDER_EVENTS)
 RQ = _with(REQUESTS)
 
 
+def _plain(value: str) -> str:
+    """Decimal text without trailing zeros (the value has a decimal point)."""
+    return f"rtrim(rtrim(CAST({value} AS VARCHAR), '0'), '.')"
+
+
 def _event_json(value_expr: str) -> str:
     return ("'{\"orderNumber\":' || CAST(to_json(order_number) AS VARCHAR) || "
             "',\"orderEmail\":' || CAST(to_json(order_email) AS VARCHAR) || "
             "',\"orderStatus\":' || CAST(to_json(order_status) AS VARCHAR) || "
-            f"',\"totalOrderValue\":' || CAST({value_expr} AS VARCHAR) || '}}'")
+            f"',\"totalOrderValue\":' || {_plain(value_expr)} || '}}'")
 
 
 def _event_text() -> str:
@@ -106,6 +113,41 @@ SELECT h.order_key, h.order_number, h.order_email, CAST(coalesce(c.n, 0) AS BIGI
 FROM request_headers h
 LEFT JOIN (SELECT order_key, count(*) AS n FROM request_lines GROUP BY order_key) c
   ON h.order_key = c.order_key""",
+    "order_requests_nested": """
+SELECT o_orderkey AS order_key, 'user' || CAST(o_custkey AS VARCHAR) || '@example.com' AS order_email,
+       CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 5 AS BIGINT) END AS line_count,
+       o_orderkey % 11 = 0 AS no_list
+FROM orders""",
+    "order_lines_nested": """
+SELECT order_key, 'sku' || CAST((order_key * 3 + i) % 1000 AS VARCHAR) AS sku_code,
+       CAST(CAST(order_key % 1000 + i AS DECIMAL(18,6)) / 100 AS DOUBLE) AS price,
+       CAST((order_key + i) % 4 - 1 AS INTEGER) AS quantity
+FROM (SELECT o_orderkey AS order_key, unnest(range(1, o_orderkey % 5 + 1)) AS i
+      FROM orders WHERE o_orderkey % 11 <> 0)""",
+    "quarantined_requests": RQ + """,
+damaged AS (
+  SELECT order_key, CASE WHEN order_key % 97 <> 0 THEN quantity END AS quantity,
+         CASE WHEN order_key % 89 <> 0 THEN sku_code END AS sku_code,
+         CASE WHEN order_key % 83 <> 0 THEN price END AS price
+  FROM request_lines),
+raised AS (
+  SELECT order_key, 'null quantity' AS reason FROM damaged WHERE quantity IS NULL
+  UNION ALL
+  SELECT order_key, 'null sku' FROM damaged WHERE quantity > 0 AND sku_code IS NULL
+  UNION ALL
+  SELECT d.order_key, 'null price' FROM damaged d JOIN stock s ON d.sku_code = s.sku_code
+  WHERE d.quantity > 0 AND d.price IS NULL AND s.quantity > 0)
+SELECT order_key, min(reason) AS reason FROM raised GROUP BY order_key
+UNION ALL
+SELECT o_orderkey, 'null line list' FROM orders WHERE o_orderkey % 11 = 0""",
+    "quarantined_events": EV + f"""
+SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'null order number'
+                      WHEN event_id % 89 = 0 THEN 'null status' ELSE 'null value' END AS reason
+FROM order_events WHERE event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0
+UNION ALL
+SELECT event_id, 'value beyond decimal(38,6)' FROM order_events WHERE event_id % {RENDER_FORMS} = {HUGE_FORM}""",
+    "console_lines": EV + f"""
+SELECT event_id, chr(10) || '> ' || {_event_text()} || ' PROCESSING' AS line FROM order_events""",
     "order_lines": RQ + """
 SELECT order_key, sku_code, CAST(price AS DOUBLE) AS price, quantity FROM request_lines""",
     "valid_order_lines": RQ + """
@@ -165,8 +207,11 @@ FROM order_events GROUP BY {_BUCKET}""",
 SELECT event_id, order_number,
        CASE WHEN event_id % {RENDER_FORMS} = {NO_EMAIL_FORM} THEN NULL ELSE order_email END
          AS order_email,
-       order_status, CAST(total_order_value AS DOUBLE) AS total_order_value,
-       CAST(total_order_value AS VARCHAR) AS value_text
+       order_status,
+       CASE WHEN event_id % {RENDER_FORMS} <> {EMPTY_VALUE_FORM} THEN CAST(total_order_value AS DOUBLE) END
+         AS total_order_value,
+       CASE WHEN event_id % {RENDER_FORMS} <> {EMPTY_VALUE_FORM} THEN CAST(total_order_value AS VARCHAR) END
+         AS value_text
 FROM order_events
 WHERE event_id % {RENDER_FORMS} NOT IN ({', '.join(map(str, DROPPED_FORMS))})""",
     "encode_order_events": EV + f"""
@@ -208,6 +253,26 @@ SELECT id, '{"orderNumber":"' || order_number || '","orderEmail":"' || order_ema
 FROM synthetic""",
 }
 
+def _branch(name: str, text: str, source: str) -> str:
+    return (f"SELECT '{name}' AS branch, count(*) AS row_count, CAST(coalesce(sum(('0x' || substr(md5("
+            f"{text}), 1, 8))::BIGINT), 0) AS BIGINT) AS checksum FROM {source}")
+
+
+ORACLE_SQL["order_dashboard"] = EV + "\nUNION ALL\n".join([
+    _branch("quarantine", "order_number", "order_events WHERE order_number IS NULL"),
+    _branch("processing", _event_text() + " || ' PROCESSING'", "order_events"),
+    _branch("processed", "CAST(to_json('OrderEvent(' || order_number || ') PROCESSED') AS VARCHAR)",
+            "order_events"),
+    _branch("status_running", "order_number || '|' || order_status || '|' || CAST(n AS VARCHAR)",
+            "(SELECT *, count(*) OVER (PARTITION BY order_status ORDER BY arrival, event_id "
+            f"{_RUN}) AS n FROM order_events)"),
+    _branch("revenue_running", "order_number || '|' || CAST(CAST(s AS DECIMAL(38,2)) AS VARCHAR)",
+            f"(SELECT *, sum(total_order_value) OVER (ORDER BY arrival, event_id {_RUN}) AS s FROM order_events)"),
+    _branch("revenue_30s", f"strftime(w, '%Y-%m-%d %H:%M:%S') || '|' || CAST(CAST(s AS DECIMAL(38,2)) AS VARCHAR)"
+            " || '|' || CAST(n AS VARCHAR)",
+            f"(SELECT {_BUCKET} AS w, sum(total_order_value) AS s, count(*) AS n FROM order_events GROUP BY 1)"),
+])
+
 # Batch twins that only streaming queries use (not registered as batch queries).
 TWIN_SQL: dict[str, str] = {
     "order_events": EV + """

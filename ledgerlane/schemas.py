@@ -6,8 +6,8 @@ DECIMAL(18,6); inputs with more than six decimals are rounded (decision R1).
 Fixture adapters produce DECIMAL(18,2), which widens into these losslessly.
 """
 
-from pyspark.sql.types import (ArrayType, BooleanType, DecimalType, IntegerType, LongType,
-                               StringType, StructField, StructType, TimestampType)
+from pyspark.sql.types import (ArrayType, DecimalType, IntegerType, LongType, StringType,
+                               StructField, StructType)
 
 EVENT_VALUE = DecimalType(38, 6)
 PRICE = DecimalType(18, 6)
@@ -33,12 +33,6 @@ ORDER_EVENT = StructType([
     StructField("total_order_value", EVENT_VALUE),
 ])
 
-# Order event plus arrival stamp (epoch ms) and the shifted instant.
-TIMED_ORDER_EVENT = StructType(ORDER_EVENT.fields + [
-    StructField("timestamp", LongType()),
-    StructField("instant", TimestampType()),
-])
-
 REQUEST_LINE = StructType([
     StructField("id", LongType()),
     StructField("sku_code", StringType()),
@@ -46,18 +40,25 @@ REQUEST_LINE = StructType([
     StructField("quantity", IntegerType()),
 ])
 
+# Columnar form of a request; the key is derived from the record (see sources.requests).
 ORDER_REQUEST = StructType([
     StructField("order_key", LongType()),
     StructField("order_email", StringType()),
     StructField("items", ArrayType(REQUEST_LINE)),
 ])
 
-INVENTORY = StructType([
-    StructField("sku_code", StringType()),
-    StructField("quantity", IntegerType()),
+# JSON wire form of a request (camelCase names).
+ORDER_REQUEST_WIRE = StructType([
+    StructField("orderEmail", StringType()),
+    StructField("orderLineItemsDtoList", ArrayType(StructType([
+        StructField("id", LongType()),
+        StructField("skuCode", StringType()),
+        StructField("price", PRICE),
+        StructField("quantity", IntegerType()),
+    ]))),
 ])
 
-STOCK_ANSWER = StructType([
+INVENTORY = StructType([
     StructField("sku_code", StringType()),
-    StructField("in_stock", BooleanType()),
+    StructField("quantity", IntegerType()),
 ])

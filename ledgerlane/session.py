@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings every job relies on. AQE re-plans joins and partition counts at
 # runtime; skew-join splitting keeps one hot SKU or order from owning a task.
@@ -37,79 +38,51 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and intermediate tables.
-
-    Uses the cluster's ``spark.checkpoint.dir``; only when the session has none
-    (tests, a laptop) a fresh local folder is created and registered.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    else:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlane-ckpt-"))
-    return sc.getCheckpointDir()
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, for checkpoints and intermediate
+    tables: ``spark.checkpoint.dir``, else a folder in the session's warehouse (which a
+    cluster shares too). There is no machine-local fallback."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
+        raise ValueError("name a shared folder in spark.checkpoint.dir")
+    return f"{warehouse.rstrip('/')}/_ledgerlane"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new, unique location under the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new, unique location in the shared folder. Whoever owns that folder removes old ones:
+    results are read from them lazily, so the library can't."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ensure_parallel(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that yields fewer splits than the session's default
-    parallelism (a file with one large row group cannot be split) with a
-    round-robin repartition, ahead of CPU-heavy per-record work (JSON parsing);
-    for light per-record work the extra exchange costs more than it saves. Inputs with enough splits — any table at cluster
-    scale — are returned unchanged, so no shuffle is added there. Counting
-    splits plans the scan only; it runs no job."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast only when it provably holds at most ``max_rows``
-    rows; otherwise return it unchanged so the planner keeps a shuffle join
-    (and AQE may still switch strategy with runtime sizes).
-
-    The check reads at most ``max_rows + 1`` rows of the (dimension) side.
-    """
-    return F.broadcast(df) if rows_at_most(df, max_rows) else df
-
-
-def rows_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows; reads at most
-    ``max_rows + 1`` of them."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
-    """Partition sizing for a cluster run over ``input_bytes`` of parquet.
-
-    Shuffle partitions start at one per ``target_partition_bytes`` of input
-    (AQE coalesces small ones and splits skewed join partitions at runtime);
-    scans split at the same size. The range-partitioned changelogs use the
-    shuffle partition count as their partition count, so it also bounds
-    their broadcast offsets table.
-    """
-    parts = max(200, min(200_000, -(-input_bytes // target_partition_bytes)))
-    return {
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
-    }
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def partitions_for(df: DataFrame, partition_bytes: int = 128 << 20) -> int:
+    """Partition count for a range split of ``df``: one per ``partition_bytes`` of what the planner
+    expects to read, and at least the session's shuffle partitions, which also hold where the
+    planner knows no size (it then says the largest number there is)."""
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+               -(-planned // partition_bytes) if planned < 1 << 62 else 0)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per Spark context, so that functions
+    which run there find it whatever path they were started with."""
+    context = spark.sparkContext
+    if getattr(context, "_ledgerlane_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="ledgerlane-"), "ledgerlane.zip")  # the driver serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    at = os.path.join(folder, name)
+                    z.write(at, os.path.relpath(at, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._ledgerlane_shipped = True

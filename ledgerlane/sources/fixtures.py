@@ -7,8 +7,8 @@ the table.
 * ``order_events``   ← events   (one order event per event row)
 * ``request_headers``← orders   (one placement request per order)
 * ``request_lines``  ← lineitem (flat request lines; ``quantity`` may be ≤ 0)
-* ``inventory``      ← part     (some parts left out → unknown SKUs;
-  ``p_size % 10`` puts some SKUs at zero stock)
+* ``inventory``      ← part     (``p_size % 10`` puts some SKUs at zero stock;
+  a share of the request lines asks for SKUs that no part has)
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from ledgerlane.session import read_table
 # Fixed values of the adapters (see FIXTURES.md §3).
 FAILED_EVENT_TYPE = "error"
 QUANTITY_SHIFT = 5          # request quantity = l_quantity - 5, so some lines are <= 0
-UNKNOWN_SKU_MODULUS = 50    # parts with p_partkey % 50 = 0 are not in the inventory
+UNKNOWN_SKU_MODULUS = 50    # lines with (7 * l_orderkey + l_linenumber) % 50 = 0 ask for 'x' || l_partkey
 STOCK_MODULUS = 10          # stock = p_size % 10
 
 
@@ -72,7 +72,9 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").cast("long").alias("id"),
-        F.col("l_partkey").cast("string").alias("sku_code"),
+        F.when((7 * F.col("l_orderkey") + F.col("l_linenumber")) % UNKNOWN_SKU_MODULUS == 0,
+               F.concat(F.lit("x"), F.col("l_partkey").cast("string")))
+         .otherwise(F.col("l_partkey").cast("string")).alias("sku_code"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
         (F.col("l_quantity").cast("int") - F.lit(QUANTITY_SHIFT)).alias("quantity"),
     )
@@ -81,6 +83,36 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part → inventory (sku_code, quantity)."""
     p = read_table(spark, sf_dir, "part")
-    return (p.filter(F.col("p_partkey") % UNKNOWN_SKU_MODULUS != 0)
-             .select(F.col("p_partkey").cast("string").alias("sku_code"),
-                     (F.col("p_size") % STOCK_MODULUS).cast("int").alias("quantity")))
+    return p.select(F.col("p_partkey").cast("string").alias("sku_code"),
+                    (F.col("p_size") % STOCK_MODULUS).cast("int").alias("quantity"))
+
+
+def nested_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders → one nested request per order (order_key, order_email, items): ``o_orderkey % 5``
+    lines, so that some lists are empty, and no list at all where ``o_orderkey % 11 = 0``."""
+    o = read_table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    items = F.transform(F.sequence(F.lit(0).cast("long"), key % 5), lambda i: F.struct(
+        i.alias("id"), F.concat(F.lit("sku"), ((key * 3 + i) % 1000).cast("string")).alias("sku_code"),
+        ((key % 1000 + i) / 100).cast("decimal(18,6)").alias("price"),
+        ((key + i) % 4 - 1).cast("int").alias("quantity")))
+    return o.select(key.alias("order_key"), _email(F.col("o_custkey")).alias("order_email"),
+                    F.when(key % 11 != 0, F.slice(items, F.lit(2), (key % 5).cast("int"))).alias("items"))
+
+
+def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``request_lines`` with every line kept and nulls in a share of them: the quantity where
+    ``order_key % 97 = 0``, the SKU where ``% 89``, the price where ``% 83``."""
+    lines, key = request_lines(spark, sf_dir), F.col("order_key")
+    return lines.withColumns({"quantity": F.when(key % 97 != 0, F.col("quantity")),
+                              "sku_code": F.when(key % 89 != 0, F.col("sku_code")),
+                              "price": F.when(key % 83 != 0, F.col("price"))})
+
+
+def damaged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``order_events`` with every event kept and nulls in a share of them: the number where
+    ``event_id % 97 = 0``, the status where ``% 89``, the value where ``% 83``."""
+    events, key = order_events(spark, sf_dir), F.col("event_id")
+    return events.withColumns({"order_number": F.when(key % 97 != 0, F.col("order_number")),
+                               "order_status": F.when(key % 89 != 0, F.col("order_status")),
+                               "total_order_value": F.when(key % 83 != 0, F.col("total_order_value"))})

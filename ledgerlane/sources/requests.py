@@ -9,19 +9,55 @@ pipeline without ever building arrays.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlane.schemas import INVENTORY, ORDER_REQUEST
+from ledgerlane.schemas import INVENTORY, ORDER_REQUEST, ORDER_REQUEST_WIRE
 
 # The stock service's seed rows (sku → quantity).
 INVENTORY_SEED = [("iphone_13", 10), ("iphone_14", 0), ("iphone_15", 5)]
 
 
+def parse_order_requests(raw: DataFrame, value_col: str = "value", key: Column | None = None) -> DataFrame:
+    """Requests in their JSON wire form → (order_key, order_email, items). A record has no id of
+    its own: ``key``, by default a hash of its text, must be the same on a replay. Text that is no
+    request gives a request without a list, which ``quarantine_nested_requests`` lists."""
+    value = F.col(value_col).cast("string")
+    parsed = F.from_json(value, ORDER_REQUEST_WIRE, {"allowSingleQuotes": "false"})
+    key = F.xxhash64(value) if key is None else key
+    return raw.select(key.alias("order_key"), parsed.alias("r")).select(
+        "order_key", F.col("r.orderEmail").alias("order_email"),
+        F.transform("r.orderLineItemsDtoList", lambda i: F.struct(
+            i["id"].alias("id"), i["skuCode"].alias("sku_code"), i["price"].alias("price"),
+            i["quantity"].alias("quantity"))).alias("items"))
+
+
 def read_order_requests(spark: SparkSession, path: str, fmt: str = "json",
                         streaming: bool = False) -> DataFrame:
+    """``json``: one request per line in its wire form, keyed by a hash of file, block and text place
+    where the reader knows them; other formats hold ``schemas.ORDER_REQUEST``."""
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(ORDER_REQUEST).format(fmt).load(path)
+    if fmt != "json":
+        return reader.schema(ORDER_REQUEST).format(fmt).load(path)
+    raw = reader.format("text").load(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"))
+    if streaming:
+        return parse_order_requests(raw, key=F.xxhash64("file", "value"))
+    # Equal lines are requests of their own: number them within file, block and text.
+    same = Window.partitionBy("file", "block", "value").orderBy("value")
+    numbered = raw.withColumn("n", F.row_number().over(same))
+    return parse_order_requests(numbered, key=F.xxhash64("file", "block", "value", "n"))
+
+
+def render_order_requests(headers: DataFrame) -> DataFrame:
+    """Requests (order_key, order_email, items) in their JSON wire form: (order_key, value)."""
+    items = F.transform("items", lambda i: F.struct(
+        i["id"].alias("id"), i["sku_code"].alias("skuCode"), i["price"].alias("price"),
+        i["quantity"].alias("quantity")))
+    return headers.select("order_key", F.to_json(F.struct(
+        F.col("order_email").alias("orderEmail"), items.alias("orderLineItemsDtoList")),
+        {"ignoreNullFields": "false"}).alias("value"))
 
 
 def request_summary(headers: DataFrame, lines: DataFrame) -> DataFrame:

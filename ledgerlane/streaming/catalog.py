@@ -8,12 +8,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerlane.functions.codec import decode_order_events
 from ledgerlane.functions.text import notification_line, processing_line
-from ledgerlane.plans.catalog import portable, timed_projection
-from ledgerlane.session import shared_path
+from ledgerlane.plans.catalog import TS_FORMAT, portable, timed_projection
+from ledgerlane.session import read_table, shared_path
+from ledgerlane.sources.events import render_event_json
 from ledgerlane.streaming import jobs
-from ledgerlane.streaming.dashboard import COMPACT_EVERY
+from ledgerlane.streaming.dashboard import await_all, read_dashboard, start_dashboard
+from ledgerlane.streaming.processors import WINDOW_OUT, apply_processing_time_windows
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -30,10 +34,8 @@ def s_order_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def s_status_counts(spark: SparkSession, sf: str) -> DataFrame:
     out, ckpt = _paths(spark, "stream-status-counts")
-    updates = jobs.status_count_updates(jobs.fixture_event_stream(spark, sf))
-    jobs.run_available(jobs.upsert_sink(updates, out, ckpt, keys=["order_status"],
-                                        compact_every=COMPACT_EVERY))
-    return jobs.read_upserted(spark, out, ["order_status"])
+    jobs.run_available(jobs.status_counts_sink(jobs.fixture_event_stream(spark, sf), out, ckpt))
+    return jobs.read_partials(spark, out, ["order_status"], ["event_count"])
 
 
 def s_revenue_running(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,10 +53,8 @@ def s_status_running_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def s_revenue_tumbling_30s(spark: SparkSession, sf: str) -> DataFrame:
     out, ckpt = _paths(spark, "stream-revenue-30s")
-    updates = jobs.window_revenue_updates(jobs.fixture_event_stream(spark, sf))
-    keys = ["window_start", "window_end"]
-    jobs.run_available(jobs.upsert_sink(updates, out, ckpt, keys=keys, compact_every=COMPACT_EVERY))
-    return portable(jobs.read_upserted(spark, out, keys))
+    jobs.run_available(jobs.window_revenue_sink(jobs.fixture_event_stream(spark, sf), out, ckpt))
+    return portable(jobs.read_partials(spark, out, jobs.WINDOW_KEYS, jobs.WINDOW_SUMS))
 
 
 def s_timed_order_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,6 +99,56 @@ def s_processed_readback(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.text(out)
 
 
+def s_decode_order_events(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 + D1: the event stream in its JSON wire form, decoded on the stream."""
+    out, ckpt = _paths(spark, "stream-decode")
+    decoded = decode_order_events(render_event_json(jobs.fixture_event_stream(spark, sf)), keep=("event_id",))
+    jobs.run_available(decoded.writeStream.format("parquet").option("path", out)
+                       .option("checkpointLocation", ckpt))
+    return portable(spark.read.parquet(out))
+
+
+def s_order_dashboard(spark: SparkSession, sf: str) -> DataFrame:
+    """T4: the main job on one read of the stream; per branch its rows and a sum of 32-bit text hashes."""
+    out = shared_path(spark, "dashboard")
+    await_all(start_dashboard(spark, lambda: jobs.fixture_event_stream(spark, sf), out,
+                              trigger={"availableNow": True}))
+    cents = lambda c: F.col(c).cast("decimal(38,2)").cast("string")
+    texts = {"quarantine": F.col("order_number"), "processing": F.col("value"), "processed": F.col("value"),
+             "status_running": F.concat_ws("|", "order_number", "order_status", F.col("running_count").cast("string")),
+             "revenue_running": F.concat_ws("|", F.col("order_number"), cents("running_revenue")),
+             "revenue_30s": F.concat_ws("|", F.date_format("window_start", TS_FORMAT), cents("window_revenue"),
+                                        F.col("event_count").cast("string"))}
+    rows = None
+    for name, df in read_dashboard(spark, out).items():
+        head = F.conv(F.substring(F.md5(texts[name].cast("binary")), 1, 8), 16, 10).cast("long")
+        part = df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(head), F.lit(0)).alias("checksum"))
+        part = part.select(F.lit(name).alias("branch"), "row_count", "checksum")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def s_live_window_revenue(spark: SparkSession, sf: str) -> DataFrame:
+    """The wall-clock windows run live, two seconds long, until they have given out every event;
+    their sums and counts add up to the total."""
+    out, ckpt = _paths(spark, "stream-live-windows")
+    expected = read_table(spark, sf, "events").count()
+    windows = apply_processing_time_windows(jobs.fixture_event_stream(spark, sf), window_ms=2000)
+    q = (windows.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+         .trigger(processingTime="500 milliseconds").start())
+    try:
+        seen = 0
+        while seen < expected:
+            if q.awaitTermination(1):
+                raise q.exception() or RuntimeError("the live query ended early")
+            if q.lastProgress and q.lastProgress["batchId"] > 0:
+                seen = spark.read.schema(WINDOW_OUT).parquet(out).agg(F.sum("event_count")).first()[0] or 0
+    finally:
+        q.stop()
+    return portable(spark.read.parquet(out).agg(F.sum("window_revenue").alias("total_revenue"),
+                                                F.sum("event_count").alias("event_count")))
+
+
 STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_order_events": s_order_events,
     "stream_status_counts": s_status_counts,
@@ -110,6 +160,9 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_notification_lines": s_notification_lines,
     "stream_processed_messages": s_processed_messages,
     "stream_processed_readback": s_processed_readback,
+    "stream_decode_order_events": s_decode_order_events,
+    "order_dashboard": s_order_dashboard,
+    "live_window_revenue": s_live_window_revenue,
 }
 
 # Stream query → oracle SQL key (in plans.oracle.ORACLE_SQL) of its batch twin.
@@ -124,4 +177,7 @@ STREAM_ORACLE_TWINS = {
     "stream_notification_lines": "notification_lines",
     "stream_processed_messages": "processed_values",
     "stream_processed_readback": "processed_values",
+    "stream_decode_order_events": "decode_order_events",
+    "order_dashboard": "order_dashboard",
+    "live_window_revenue": "revenue_total",
 }

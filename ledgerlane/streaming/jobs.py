@@ -3,9 +3,9 @@
 Sinks are exactly-once and scale out:
 
 * append results (text, events) → file sinks;
-* aggregates in ``update`` mode → ``upsert_sink``: each micro-batch's changed
-  rows are written under ``batch_id=<n>`` (overwrite, so a replayed batch
-  replaces itself); readers take the newest row per key;
+* aggregates → ``partials_sink``: each micro-batch's own partial result is written
+  under ``batch_id=<n>`` (overwrite, so a replayed batch replaces itself) and
+  readers add the parts up: no watermark, no late events, no growing state;
 * per-event changelogs (revenue, count per status) → ``running_totals_sink``:
   each micro-batch runs the distributed prefix sum of ``operators.prefix`` and
   adds the per-key carry of all earlier batches, which is stored per batch id
@@ -18,19 +18,21 @@ Every query owns its checkpoint in the shared checkpoint folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerlane.functions.text import notification_line, processed_message, processing_line
-from ledgerlane.operators.metrics import ARRIVAL_ORDER, WINDOW_LENGTH
+from ledgerlane.functions.text import (console_line, notification_line, processed_message,
+                                       processing_line)
+from ledgerlane.operators.metrics import (ARRIVAL_ORDER, WINDOW_LENGTH, revenue_tumbling,
+                                          status_counts)
 from ledgerlane.operators.prefix import running_totals
-from ledgerlane.session import broadcast_if_bounded
 from ledgerlane.sources.fixtures import to_order_events
 
 BATCH_COL = "batch_id"
-CARRY_BROADCAST_ROWS = 1_000_000
 
 
 # ---------------------------------------------------------------- sources
@@ -39,7 +41,7 @@ def fixture_event_stream(spark: SparkSession, sf_dir: str,
                          max_files_per_trigger: int | None = None,
                          glob: str = "events.parquet") -> DataFrame:
     """S1 over the driver's events table: a parquet file stream, adapted to order
-    events. ``arrival`` becomes TIMESTAMP (UTC) so watermarks accept it.
+    events. ``arrival`` becomes TIMESTAMP (UTC).
     ``glob`` selects the files of ``sf_dir`` (a folder of event files works too)."""
     reader = spark.readStream.schema(_events_schema(spark, sf_dir, glob)).option("pathGlobFilter", glob)
     if max_files_per_trigger:
@@ -54,12 +56,13 @@ def _events_schema(spark: SparkSession, folder: str, glob: str):
 
 # ---------------------------------------------------------------- running queries
 
-def run_available(writer, timeout_s: float = 600) -> StreamingQuery:
+def run_available(writer, timeout_s: float | None = None) -> StreamingQuery:
     """Start with the ``availableNow`` trigger and wait until every input
-    present at start is processed."""
+    present at start is processed, however long that takes. Tests may name a limit."""
     q = writer.trigger(availableNow=True).start()
     try:
-        if not q.awaitTermination(timeout_s):
+        done = q.awaitTermination() if timeout_s is None else q.awaitTermination(timeout_s)
+        if timeout_s is not None and not done:
             raise TimeoutError(f"stream {q.name or q.id} did not finish in {timeout_s}s")
         if q.exception():
             raise q.exception()
@@ -71,149 +74,108 @@ def run_available(writer, timeout_s: float = 600) -> StreamingQuery:
 
 # ---------------------------------------------------------------- sinks
 
-SNAPSHOTS = "_snapshots"
-SNAPSHOT_COL = "upto"
-
+def write_batch(rows: DataFrame, out_path: str, batch_id: int) -> None:
+    """One micro-batch's rows in a folder of its own; a replayed batch replaces it."""
+    (rows.withColumn(BATCH_COL, F.lit(batch_id))
+         .write.mode("overwrite").parquet(f"{out_path}/{BATCH_COL}={batch_id}"))
 
-def upsert_sink(updates: DataFrame, out_path: str, checkpoint: str, name: str | None = None,
-                keys: list[str] | None = None, compact_every: int = 0):
-    """Writer for an ``update``-mode aggregate: one folder per micro-batch.
 
-    With ``keys`` and ``compact_every = k``, every k-th batch also writes a
-    snapshot of the newest row per key (through that batch), so readers scan
-    the latest snapshot plus the newer batch folders only. A snapshot is a
-    deterministic function of the batches it covers, so a replay rewrites it
-    unchanged; folders older than a snapshot may be removed by retention."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn(BATCH_COL, F.lit(batch_id))
-              .write.mode("overwrite").parquet(f"{out_path}/{BATCH_COL}={batch_id}"))
-        if keys and compact_every and batch_id > 0 and batch_id % compact_every == 0:
-            spark = batch.sparkSession
-            (read_upserted(spark, out_path, keys, upto=batch_id, keep_batch=True)
-             .write.mode("overwrite")
-             .parquet(f"{out_path}/{SNAPSHOTS}/{SNAPSHOT_COL}={batch_id}"))
-
-    w = (updates.writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", checkpoint))
+def partials_sink(events: DataFrame, partial: Callable[[DataFrame], DataFrame], out_path: str,
+                  checkpoint: str, name: str | None = None):
+    """Aggregates on a stream without engine state: each micro-batch writes its own partial
+    result, readers add the parts up. No event is ever late and nothing but the output grows."""
+    w = (events.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda batch, batch_id: write_batch(partial(batch), out_path, batch_id)))
     return w.queryName(name) if name else w
 
 
-def _latest_snapshot(spark: SparkSession, out_path: str, upto: int | None) -> int | None:
-    try:
-        snaps = spark.read.parquet(f"{out_path}/{SNAPSHOTS}").select(SNAPSHOT_COL).distinct()
-    except Exception:   # no snapshot written yet
-        return None
-    if upto is not None:
-        snaps = snaps.filter(F.col(SNAPSHOT_COL) < upto)
-    row = snaps.agg(F.max(SNAPSHOT_COL)).first()
-    return None if row is None else row[0]
-
-
-def read_upserted(spark: SparkSession, out_path: str, keys: list[str], upto: int | None = None,
-                  keep_batch: bool = False) -> DataFrame:
-    """Current table of an upsert sink: the newest row per key (partial
-    aggregation per key, no sort). Reads the latest snapshot and the batch
-    folders after it (partition pruning on ``batch_id``)."""
-    batches = spark.read.parquet(out_path)
-    snap = _latest_snapshot(spark, out_path, upto)
-    if snap is not None:
-        batches = batches.filter(F.col(BATCH_COL) > snap)
-        snapshot = spark.read.parquet(f"{out_path}/{SNAPSHOTS}/{SNAPSHOT_COL}={snap}")
-        batches = snapshot.unionByName(batches.select(*snapshot.columns))
-    if upto is not None:
-        batches = batches.filter(F.col(BATCH_COL) <= upto)
-    values = [c for c in batches.columns if c not in keys and c != BATCH_COL]
-    newest = F.max_by(F.struct(*values, BATCH_COL), F.col(BATCH_COL)).alias("_v")
-    out = batches.groupBy(*keys).agg(newest)
-    cols = [F.col(f"_v.{c}").alias(c) for c in values]
-    if keep_batch:
-        cols.append(F.col(f"_v.{BATCH_COL}").alias(BATCH_COL))
-    return out.select(*keys, *cols)
-
-
-def running_totals_sink(events: DataFrame, out_path: str, checkpoint: str,
-                        order_by: list[str] = ARRIVAL_ORDER, keys: list[str] | None = None,
-                        sums: dict[str, str] | None = None, count_as: str | None = None,
-                        carry_columns: list[str] | None = None, name: str | None = None):
-    """Per-event changelog on a stream, exactly once (A1/A2 as the source
-    system emits them): per micro-batch, ``operators.prefix.running_totals``
-    in ``order_by`` order plus the carry per key of all earlier batches.
-
-    The carry table (one row per key seen so far) is written per batch id
-    next to the output, so a replayed batch reads the same carry and rewrites
-    the same rows. ``carry_columns`` are extra columns kept in the output.
-    """
+def read_partials(spark: SparkSession, out_path: str, keys: list[str], sums: list[str]) -> DataFrame:
+    """The parts of ``partials_sink`` added up per key."""
+    parts = spark.read.parquet(out_path)
+    kinds = dict(parts.dtypes)
+    return parts.groupBy(*keys).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in sums])
+
+
+def write_running_totals(batch: DataFrame, batch_id: int, out_path: str,
+                         order_by: list[str] = ARRIVAL_ORDER, keys: list[str] | None = None,
+                         sums: dict[str, str] | None = None, count_as: str | None = None,
+                         carry_columns: list[str] | None = None) -> None:
+    """One micro-batch of a per-event changelog: ``operators.prefix.running_totals`` in
+    ``order_by`` order plus the carry per key of all earlier batches. The carry table (one row
+    per key seen so far) is written per batch id beside the output."""
+    spark = batch.sparkSession
     user_keys = list(keys or [])
     keys = user_keys or ["_all"]   # one constant key: the carry join stays an equi-join
     sums = dict(sums or {})
     keep = [c for c in (carry_columns or []) if c not in keys and c not in order_by]
     carry_root = f"{out_path}/_carry"
-    stage = f"{out_path}/_stage"
     ck = [f"_ck{i}" for i in range(len(keys))]
-
+    if not user_keys:
+        batch = batch.withColumn("_all", F.lit(0))
+    narrow = batch.select(*keep, *keys, *order_by,
+                          *[c for c in dict.fromkeys(sums.values()) if c not in keys])
+    local = running_totals(narrow, order_by=order_by, keys=keys, sums=sums,
+                           count_as=count_as or "_cnt", stage_path=f"{out_path}/_stage")
+    totals = batch.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_c_cnt"),
+        *[F.sum(F.col(src)).cast("decimal(38,6)").alias(f"_c_{out}") for out, src in sums.items()])
+    carry = (spark.read.parquet(f"{carry_root}/{BATCH_COL}={batch_id - 1}") if batch_id > 0
+             else totals.limit(0))
+    before = carry.select(*[F.col(k).alias(c) for k, c in zip(keys, ck)],
+                          *[F.col(c).alias(f"{c}_prev") for c in carry.columns if c.startswith("_c_")])
+    cond = None
+    for k, c in zip(keys, ck):
+        eq = F.col(k).eqNullSafe(F.col(c))
+        cond = eq if cond is None else cond & eq
+    # The carry is a stored table: the planner knows its size and picks the join.
+    joined = local.join(before, cond, "left")
+    outs = []
+    if count_as:
+        outs.append((F.col(count_as) + F.coalesce(F.col("_c_cnt_prev"), F.lit(0))).alias(count_as))
+    for out in sums:
+        prev = F.col(f"_c_{out}_prev")
+        outs.append(F.when(F.col(out).isNull() & prev.isNull(), F.lit(None))
+                    .otherwise(F.coalesce(F.col(out), F.lit(0)) + F.coalesce(prev, F.lit(0)))
+                    .cast("decimal(38,6)").alias(out))
+    (joined.select(*keep, *user_keys, *order_by, *outs)
+           .write.mode("overwrite").parquet(f"{out_path}/{BATCH_COL}={batch_id}"))
+    merged = carry.unionByName(totals).groupBy(*keys).agg(
+        F.sum("_c_cnt").alias("_c_cnt"),
+        *[F.sum(f"_c_{out}").cast("decimal(38,6)").alias(f"_c_{out}") for out in sums])
+    merged.write.mode("overwrite").parquet(f"{carry_root}/{BATCH_COL}={batch_id}")
+
+
+def running_totals_sink(events: DataFrame, out_path: str, checkpoint: str, name: str | None = None,
+                        **changelog):
+    """Per-event changelog on a stream, exactly once (A1/A2 as the source system emits them):
+    ``write_running_totals`` per micro-batch, with its options."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if not user_keys:
-            batch = batch.withColumn("_all", F.lit(0))
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        narrow = batch.select(*keep, *keys, *order_by,
-                              *[c for c in dict.fromkeys(sums.values()) if c not in keys])
-        local = running_totals(narrow, order_by=order_by, keys=keys, sums=sums,
-                               count_as=count_as or "_cnt", stage_path=stage)
-        totals = batch.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_c_cnt"),
-            *[F.sum(F.col(src)).cast("decimal(38,6)").alias(f"_c_{out}")
-              for out, src in sums.items()])
-        if batch_id > 0:
-            carry = spark.read.parquet(f"{carry_root}/{BATCH_COL}={batch_id - 1}")
-        else:
-            carry = totals.limit(0)
-        # One row per key seen so far: bounded by the key domain, checked.
-        carry_b = broadcast_if_bounded(
-            carry.select(*[F.col(k).alias(c) for k, c in zip(keys, ck)],
-                         *[F.col(c).alias(f"{c}_prev") for c in carry.columns if c.startswith("_c_")]),
-            CARRY_BROADCAST_ROWS)
-        cond = None
-        for k, c in zip(keys, ck):
-            eq = F.col(k).eqNullSafe(F.col(c))
-            cond = eq if cond is None else cond & eq
-        joined = local.join(carry_b, cond, "left")
-        outs = []
-        if count_as:
-            outs.append((F.col(count_as) + F.coalesce(F.col("_c_cnt_prev"), F.lit(0)))
-                        .alias(count_as))
-        for out in sums:
-            prev = F.col(f"_c_{out}_prev")
-            outs.append(F.when(F.col(out).isNull() & prev.isNull(), F.lit(None))
-                        .otherwise(F.coalesce(F.col(out), F.lit(0)) + F.coalesce(prev, F.lit(0)))
-                        .cast("decimal(38,6)").alias(out))
-        (joined.select(*keep, *user_keys, *order_by, *outs)
-               .write.mode("overwrite").parquet(f"{out_path}/{BATCH_COL}={batch_id}"))
-        merged = carry.unionByName(totals).groupBy(*keys).agg(
-            F.sum("_c_cnt").alias("_c_cnt"),
-            *[F.sum(f"_c_{out}").cast("decimal(38,6)").alias(f"_c_{out}") for out in sums])
-        merged.write.mode("overwrite").parquet(f"{carry_root}/{BATCH_COL}={batch_id}")
-        batch.unpersist()
+        try:
+            write_running_totals(batch, batch_id, out_path, **changelog)
+        finally:
+            batch.unpersist()
 
     w = (events.writeStream.outputMode("append").foreachBatch(write)
          .option("checkpointLocation", checkpoint))
     return w.queryName(name) if name else w
 
 
+#: Options of the two changelogs.
+REVENUE_CHANGELOG = {"sums": {"running_revenue": "total_order_value"}, "carry_columns": ["order_number"]}
+STATUS_CHANGELOG = {"keys": ["order_status"], "count_as": "running_count", "carry_columns": ["order_number"]}
+
+
 def running_revenue_sink(events: DataFrame, out_path: str, checkpoint: str,
                          order_by: list[str] = ARRIVAL_ORDER, name: str | None = None):
     """A2 changelog on a stream: total revenue so far, per event."""
-    return running_totals_sink(events, out_path, checkpoint, order_by,
-                               sums={"running_revenue": "total_order_value"},
-                               carry_columns=["order_number"], name=name)
+    return running_totals_sink(events, out_path, checkpoint, name, order_by=order_by, **REVENUE_CHANGELOG)
 
 
 def status_running_sink(events: DataFrame, out_path: str, checkpoint: str,
                         order_by: list[str] = ARRIVAL_ORDER, name: str | None = None):
     """A1 changelog on a stream: (status, count of the status so far), per event."""
-    return running_totals_sink(events, out_path, checkpoint, order_by, keys=["order_status"],
-                               count_as="running_count", carry_columns=["order_number"],
-                               name=name)
+    return running_totals_sink(events, out_path, checkpoint, name, order_by=order_by, **STATUS_CHANGELOG)
 
 
 def text_file_sink(lines: DataFrame, out_path: str, checkpoint: str, name: str | None = None):
@@ -237,32 +199,26 @@ def console_sink(df: DataFrame, prefix: str | None = None, mode: str = "append")
     if prefix is not None:
         record = (F.col("value").cast("string") if df.columns == ["value"]
                   else F.to_json(F.struct(*df.columns)))
-        out = df.select(F.concat(F.lit(prefix + "> "), record).alias("value"))
+        out = df.select(console_line(prefix, record).alias("value"))
     return out.writeStream.format("console").outputMode(mode).option("truncate", "false")
 
 
-def revenue_total_updates(events: DataFrame) -> DataFrame:
-    """A2 final on a stream (complete mode): the total revenue so far."""
-    return events.agg(F.sum("total_order_value").alias("value"))
+# ---------------------------------------------------------------- stream twins
 
+WINDOW_KEYS, WINDOW_SUMS = ["window_start", "window_end"], ["window_revenue", "event_count"]
+
+
+def status_counts_sink(events: DataFrame, out_path: str, checkpoint: str, name: str | None = None):
+    """A1 on a stream: counts per status; read with ``read_partials(…, ["order_status"], ["event_count"])``."""
+    return partials_sink(events, status_counts, out_path, checkpoint, name)
 
-# ---------------------------------------------------------------- stream twins
 
-def status_count_updates(events: DataFrame) -> DataFrame:
-    """A1 on a stream: counts per status, emitted per trigger for changed keys."""
-    return events.groupBy("order_status").agg(F.count(F.lit(1)).alias("event_count"))
-
-
-def window_revenue_updates(events: DataFrame, watermark: str = "1 minute",
-                           length: str = WINDOW_LENGTH) -> DataFrame:
-    """A3 replayed on arrival time: 30 s tumbling windows; the watermark lets
-    finished windows leave the state store."""
-    return (events.withWatermark("arrival", watermark)
-                  .groupBy(F.window("arrival", length).alias("w"))
-                  .agg(F.sum("total_order_value").alias("window_revenue"),
-                       F.count(F.lit(1)).alias("event_count"))
-                  .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                          "window_revenue", "event_count"))
+def window_revenue_sink(events: DataFrame, out_path: str, checkpoint: str, length: str = WINDOW_LENGTH,
+                        name: str | None = None):
+    """A3 replayed on arrival time: tumbling windows; read with ``read_partials(…, WINDOW_KEYS,
+    WINDOW_SUMS)``. Arrivals may go back any distance, as in the source system, which has no
+    watermark: a window's parts come from any batch."""
+    return partials_sink(events, lambda batch: revenue_tumbling(batch, length=length), out_path, checkpoint, name)
 
 
 def processed_lines(events: DataFrame) -> DataFrame:

@@ -1,19 +1,13 @@
-"""The two custom stateful operators (T1, T2) as ``StatefulProcessor``s.
-
-* ``RunningRevenueProcessor`` (T2): one nullable decimal per key; every input
-  event emits the key's total so far (the first event emits itself). Input is
-  consumed one Arrow batch at a time. With a single key all events pass
-  through one task — that is what a per-key state means; the scaled-out form
-  is ``jobs.running_revenue_sink``.
-* ``ProcessingTimeWindowProcessor`` (T1): tumbling windows on the processing
-  clock, aligned to the epoch. Values are added to a map state under their
-  window start and a timer at the window end emits the bare window sum once,
-  also when the source has gone idle. The clock is read per micro-batch, so an
-  event can land one window late by up to one trigger interval (R4). Input is
-  pre-aggregated per partition, so the hot single key receives one row per
-  partition and micro-batch.
-
-Run with ``groupBy(key).transformWithStateInPandas(...)``; see ``apply_*``.
+"""The processing-time window of the live job (T1) as a ``StatefulProcessor``.
+
+``ProcessingTimeWindowProcessor``: tumbling windows on the processing clock, aligned to the epoch.
+Values are added to a map state under their window start and a timer at the window end emits
+the window's sum and count once, also when the source has gone idle. The clock is read per
+micro-batch, so an event can land one window late by up to one trigger interval (R4). Input
+is pre-aggregated per partition, so the single key receives one row per partition and
+micro-batch. (The per-event running revenue of the source system's single-key state is
+``jobs.running_revenue_sink``: the same changelog, spread over all tasks.)
+
 The key must be a real column (``withColumn`` first).
 """
 
@@ -25,115 +19,79 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DecimalType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DecimalType, LongType, StructField, StructType
 
-REVENUE_KEY = "totalRevenue"  # fixed value: the source system's constant key
-WINDOW_MS = 30_000
+from ledgerlane.session import ship
 
-RUNNING_OUT = StructType([
-    StructField("order_number", StringType()),
-    StructField("event_id", LongType()),
-    StructField("running_revenue", DecimalType(38, 6)),
-])
+REVENUE_KEY = "totalRevenue"  # fixed value: the source system's constant key
+WINDOW_MS = 30_000            # fixed value: the source system's window
 
 WINDOW_OUT = StructType([
     StructField("window_start_ms", LongType()),
     StructField("window_end_ms", LongType()),
     StructField("window_revenue", DecimalType(38, 6)),
+    StructField("event_count", LongType()),
 ])
 
 
-class RunningRevenueProcessor(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState(
-            "total", StructType([StructField("v", DecimalType(38, 6))]))
-
-    def handleInputRows(self, key, rows, timerValues):
-        # Chunk by chunk, so memory stays at one Arrow batch; rows are ordered
-        # by (arrival, event_id) within a chunk and chunks are taken in the
-        # order the engine delivers them (per-trigger order, decision R7).
-        total = self.total.get()[0] if self.total.exists() else None
-        for chunk in rows:
-            chunk = chunk.sort_values(["arrival", "event_id"], kind="stable")
-            running = []
-            for v in chunk["total_order_value"]:
-                if v is not None and not (isinstance(v, float) and pd.isna(v)):
-                    total = Decimal(v) if total is None else total + Decimal(v)
-                running.append(total)  # R6: a null value does not move the total
-            yield pd.DataFrame({"order_number": chunk["order_number"].values,
-                                "event_id": chunk["event_id"].values,
-                                "running_revenue": running})
-        if total is not None:
-            self.total.update((total,))
-
-    def close(self) -> None:
-        pass
-
-
 class ProcessingTimeWindowProcessor(StatefulProcessor):
+    def __init__(self, window_ms: int = WINDOW_MS):
+        self.window_ms = window_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.sums = handle.getMapState(
             "sums", StructType([StructField("start", LongType())]),
-            StructType([StructField("v", DecimalType(38, 6))]))
+            StructType([StructField("v", DecimalType(38, 6)), StructField("n", LongType())]))
 
     def handleInputRows(self, key, rows, timerValues):
         now = timerValues.getCurrentProcessingTimeInMs()
-        start = now - now % WINDOW_MS
-        add = Decimal(0)
+        start = now - now % self.window_ms
+        add, count = Decimal(0), 0
         for pdf in rows:
-            add += sum((Decimal(v) for v in pdf["total_order_value"] if v is not None),
-                       Decimal(0))
+            add += sum((Decimal(v) for v in pdf["total_order_value"] if v is not None), Decimal(0))
+            count += int(pdf["event_count"].sum())
         if self.sums.containsKey((start,)):
-            self.sums.updateValue((start,), (self.sums.getValue((start,))[0] + add,))
+            was, n = self.sums.getValue((start,))
+            self.sums.updateValue((start,), (was + add, n + count))
         else:
-            self.sums.updateValue((start,), (add,))
-            self.handle.registerTimer(start + WINDOW_MS)
+            self.sums.updateValue((start,), (add, count))
+            self.handle.registerTimer(start + self.window_ms)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         end = expiredTimerInfo.getExpiryTimeInMs()
-        start = end - WINDOW_MS
+        start = end - self.window_ms
         if self.sums.containsKey((start,)):
-            total = self.sums.getValue((start,))[0]
+            total, n = self.sums.getValue((start,))
             self.sums.removeKey((start,))
             yield pd.DataFrame({"window_start_ms": [start], "window_end_ms": [end],
-                                "window_revenue": [total]})
+                                "window_revenue": [total], "event_count": [n]})
 
     def close(self) -> None:
         pass
 
 
-def apply_running_revenue(events: DataFrame) -> DataFrame:
-    """T2 per-event running revenue over one constant key (exact changelog)."""
-    keyed = events.select(F.lit(REVENUE_KEY).alias("k"), "order_number", "event_id", "arrival",
-                          F.col("total_order_value").cast(DecimalType(38, 6))
-                          .alias("total_order_value"))
-    return keyed.groupBy("k").transformWithStateInPandas(
-        statefulProcessor=RunningRevenueProcessor(), outputStructType=RUNNING_OUT,
-        outputMode="Append", timeMode="None")
-
-
 def _partial_sums(batches):
-    """One (key, partial sum) row per input partition and micro-batch."""
+    """One (key, partial sum, count) row per input partition and micro-batch."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    total, seen = None, False
+    total, count = None, 0
     for b in batches:
         if b.num_rows:
-            seen = True
+            count += b.num_rows
             part = pc.sum(b.column("total_order_value")).as_py()
             if part is not None:
                 total = part if total is None else total + part
-    if seen:
+    if count:
         yield pa.RecordBatch.from_arrays(
-            [pa.array([REVENUE_KEY]), pa.array([total], pa.decimal128(38, 6))],
-            names=["k", "total_order_value"])
+            [pa.array([REVENUE_KEY]), pa.array([total], pa.decimal128(38, 6)), pa.array([count], pa.int64())],
+            names=["k", "total_order_value", "event_count"])
 
 
-def apply_processing_time_windows(events: DataFrame) -> DataFrame:
-    """T1 live 30 s processing-time windows (bare sums with their bounds).
+def apply_processing_time_windows(events: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
+    """T1 live processing-time windows of ``window_ms``: sum, count and bounds.
     Run it with a ``processingTime`` trigger: under ``availableNow`` its
     wall-clock timers keep the query from ever finishing.
 
@@ -141,9 +99,11 @@ def apply_processing_time_windows(events: DataFrame) -> DataFrame:
     needs each micro-batch's sum: a stateless Arrow pass pre-aggregates every
     input partition first, and only one row per partition reaches the single
     key's task."""
+    ship(events.sparkSession)
     values = events.select(F.col("total_order_value").cast(DecimalType(38, 6))
                            .alias("total_order_value"))
-    partials = values.mapInArrow(_partial_sums, "k string, total_order_value decimal(38,6)")
+    partials = values.mapInArrow(_partial_sums,
+                                 "k string, total_order_value decimal(38,6), event_count long")
     return partials.groupBy("k").transformWithStateInPandas(
-        statefulProcessor=ProcessingTimeWindowProcessor(), outputStructType=WINDOW_OUT,
+        statefulProcessor=ProcessingTimeWindowProcessor(window_ms), outputStructType=WINDOW_OUT,
         outputMode="Append", timeMode="ProcessingTime")

@@ -15,7 +15,9 @@ SF_SMALL = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from ledgerlane.session import build_session
-    s = build_session("local[*]", shuffle_partitions=8, app="ledgerlane-tests")
+    shared = tempfile.mkdtemp(prefix="ledgerlane-shared-")   # local mode: one machine is the cluster
+    s = build_session("local[*]", shuffle_partitions=8, app="ledgerlane-tests",
+                      extra={"spark.checkpoint.dir": f"file://{shared}"})
     yield s
     s.stop()
 

@@ -2,6 +2,8 @@
 
 import json
 import os
+import subprocess
+import sys
 
 from conftest import SF_TINY
 from ledgerlane import cli
@@ -13,21 +15,20 @@ from ledgerlane.sources.requests import inventory_seed
 def test_place_job(spark, scratch):
     req = os.path.join(scratch, "requests.json")
     with open(req, "w") as fh:
-        fh.write(json.dumps({"order_key": 1, "order_email": "a@example.com", "items": [
-            {"id": 1, "sku_code": "iphone_13", "price": 41000, "quantity": 1}]}) + "\n")
-        fh.write(json.dumps({"order_key": 2, "order_email": "b@example.com", "items": [
-            {"id": 1, "sku_code": "iphone_14", "price": 56000, "quantity": 1}]}) + "\n")
-        fh.write(json.dumps({"order_key": 3, "order_email": "c@example.com", "items": None}) + "\n")
+        for email, items in (("a", [{"id": 1, "skuCode": "iphone_13", "price": 41000, "quantity": 1}]),
+                             ("b", [{"id": 1, "skuCode": "iphone_14", "price": 56000, "quantity": 1}]),
+                             ("c", None)):
+            fh.write(json.dumps({"orderEmail": email, "orderLineItemsDtoList": items}) + "\n")
     inv = os.path.join(scratch, "inventory")
     inventory_seed(spark).write.parquet(inv)
     out = os.path.join(scratch, "out")
     cli.main(["place", "--requests", req, "--inventory", inv, "--out", out])
-    decisions = {r.order_key: r.order_status for r in spark.read.parquet(f"{out}/decisions").collect()}
-    assert decisions == {1: "CONFIRMED", 2: "FAILED"}
+    decisions = {r.order_email: r.order_status for r in spark.read.parquet(f"{out}/decisions").collect()}
+    assert decisions == {"a": "CONFIRMED", "b": "FAILED"}
     assert spark.read.parquet(f"{out}/orders").count() == 1
     assert spark.read.parquet(f"{out}/order_lines").count() == 1
     assert spark.read.parquet(f"{out}/published").count() == 4
-    assert [r.order_key for r in spark.read.parquet(f"{out}/quarantine").collect()] == [3]
+    assert [r.reason for r in spark.read.parquet(f"{out}/quarantine").collect()] == ["null line list"]
 
 
 def test_metrics_job(spark, scratch):
@@ -47,6 +48,18 @@ def test_dashboard_job_available_now(spark, scratch):
     render_event_json(fx.order_events(spark, SF_TINY)).select("value").write.text(src)
     out = os.path.join(scratch, "dash")
     cli.main(["dashboard", "--events", src, "--out", out, "--available-now"])
-    decoded = spark.read.text(f"{out}/processed").count()
-    assert decoded == spark.read.text(f"{out}/processing").count() > 0
-    assert spark.read.parquet(f"{out}/revenue_running").count() == decoded
+    decoded = spark.read.parquet(f"{out}/processed").count()
+    assert decoded == spark.read.parquet(f"{out}/processing").count() > 0
+    bad = spark.read.parquet(f"{out}/quarantine").count()     # empty quoted values
+    assert bad > 0 and spark.read.parquet(f"{out}/revenue_running").count() == decoded - bad
+
+
+def test_script_runs_from_another_folder(spark, scratch):
+    """In a process of its own, with no path to the package, Python workers included."""
+    src, out = os.path.join(scratch, "events"), os.path.join(scratch, "m")
+    render_event_json(fx.order_events(spark, SF_TINY)).select("value").write.text(src)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    env["PYSPARK_SUBMIT_ARGS"] = f"--master local[2] --conf spark.ui.enabled=false --conf spark.checkpoint.dir={scratch}/s pyspark-shell"
+    subprocess.run([sys.executable, cli.__file__, "metrics", "--events", src, "--out", out],
+                   cwd=scratch, env=env, check=True, capture_output=True, timeout=300)
+    assert spark.read.parquet(f"{out}/revenue_running").count() > 0

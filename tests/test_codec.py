@@ -38,7 +38,19 @@ CASES = [
     ('{"orderNumber":"a",}', False, None, None),
     ('{"orderNumber":"a","orderNumber":"b"}', True, None, None),
     ('{"totalOrderValue":-0.5}', True, Decimal("-0.5"), "-0.5"),
+    ('{"totalOrderValue":""}', True, None, None),
+    ('{"totalOrderValue":" 5 "}', True, Decimal("5"), "5"),
+    ('{"totalOrderValue":1E3}', True, Decimal("1000"), "1E3"),
+    ('{"totalOrderValue":1,"totalOrderValue":2}', True, Decimal("2"), "2"),
+    ('{"orderEmail":"a"} "orderEmail":{"x":1}', True, None, None),
+    ('{"orderEmail":"{a}"}', True, None, None),
+    ('{"totalOrderValue":1.0050000}', True, Decimal("1.005"), "1.0050000"),
+    # more than the value type holds: not rounded, but listed as unrepresentable
+    ('{"totalOrderValue":1.0000001}', False, None, None),
+    ('{"totalOrderValue":1e-7}', False, None, None),
+    ('{"totalOrderValue":' + "9" * 33 + "}", False, None, None),
 ]
+UNREPRESENTABLE = [c[0] for c in CASES[-3:]]
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +68,23 @@ def test_decode_case(decoded, i):
         assert decoded[i].value_text == value_text
 
 
+def test_unrepresentable_numbers_are_listed(spark):
+    raw = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "i int, value string")
+    rows = codec.unrepresentable_events(raw, keep=("i",)).collect()
+    assert sorted(CASES[r.i][0] for r in rows) == sorted(UNREPRESENTABLE)
+    assert {r.reason for r in rows} == {"value beyond decimal(38,6)"}
+
+
+def test_encoded_value_is_exact_and_plain(spark):
+    values = ["1.005", "5", "0", "100.10", "-0.5", "12345678901234567890.000001"]
+    ev = spark.createDataFrame([("n", None, "s", Decimal(v)) for v in values],
+                               "order_number string, order_email string, order_status string, "
+                               "total_order_value decimal(38,6)")
+    got = [r.value.split(":")[-1][:-1] for r in codec.encode_order_events(ev).collect()]
+    assert got == ["1.005", "5", "0", "100.1", "-0.5", "12345678901234567890.000001"]
+    assert codec.encode_order_events(ev, value_scale=2).first().value.endswith('"totalOrderValue":1.01}')
+
+
 def test_repeated_field_last_wins(decoded):
     i = [c[0] for c in CASES].index('{"orderNumber":"a","orderNumber":"b"}')
     assert decoded[i].order_number == "b"

@@ -60,11 +60,3 @@ def test_event_quarantine_split(spark):
     reasons = sorted(r.reason for r in metrics.event_problems(ev).collect())
     assert reasons == ["null order number", "null status", "null value"]
     assert [r.order_number for r in metrics.valid_events(ev).collect()] == ["1"]
-
-
-def test_cluster_conf_sizes_partitions():
-    from ledgerlane.session import cluster_conf
-    conf = cluster_conf(100 * 10**12)   # 100 TB
-    assert int(conf["spark.sql.shuffle.partitions"]) == 200_000 or \
-        int(conf["spark.sql.shuffle.partitions"]) >= 100 * 10**12 // (256 << 20)
-    assert cluster_conf(10)["spark.sql.shuffle.partitions"] == "200"

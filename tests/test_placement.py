@@ -19,6 +19,8 @@ GOLDENS = [
     ([("iphone_13", 1, "41000"), ("iphone_13", 1, "41000")], "CONFIRMED", Decimal("164000")),
     ([("iphone_13", 500, "41000")], "CONFIRMED", Decimal("20500000")),
     ([("iphone_13", 1, "0")], "FAILED", Decimal("0")),
+    ([("iphone_13", 1, "0.004")], "CONFIRMED", Decimal("0.004")),
+    ([("iphone_13", 1, "10.005")], "CONFIRMED", Decimal("10.005")),
     ([], "FAILED", Decimal("0")),
 ]
 
@@ -28,16 +30,16 @@ def decided(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("requests") / "requests.json"
     with open(path, "w") as fh:
         for key, (lines, _, _) in enumerate(GOLDENS):
-            items = [{"id": i, "sku_code": s, "price": float(p), "quantity": q}
+            items = [{"id": i, "skuCode": s, "price": float(p), "quantity": q}
                      for i, (s, q, p) in enumerate(lines)]
-            fh.write(json.dumps({"order_key": key, "order_email": f"c{key}@example.com",
-                                 "items": items}) + "\n")
+            fh.write(json.dumps({"orderEmail": f"c{key}@example.com",
+                                 "orderLineItemsDtoList": items}) + "\n")
     requests = read_order_requests(spark, str(path))
     lines = placement.explode_request_lines(requests).withColumn("id", F.lit(0).cast("long"))
     headers = requests.select("order_key", F.lit(None).cast("string").alias("order_number"),
                               "order_email")
     decisions = placement.placement_decisions(headers, lines, inventory_seed(spark))
-    return {r.order_key: r for r in decisions.collect()}
+    return {int(r.order_email[1:].split("@")[0]): r for r in decisions.collect()}
 
 
 @pytest.mark.parametrize("key", range(len(GOLDENS)))
@@ -91,8 +93,25 @@ def test_quarantine_reasons(spark):
         [(1, "a", Decimal("1"), None), (2, None, Decimal("1"), 2), (3, "b", None, 1),
          (4, "c", None, 0)],
         "order_key long, sku_code string, price decimal(18,2), quantity int")
-    got = {r.order_key: r.reason for r in placement.quarantine_requests(lines).collect()}
+    inv = spark.createDataFrame([("b", 1), ("out", 0)], "sku_code string, quantity int")
+    lines = lines.union(spark.createDataFrame([(5, "out", None, 1), (6, "unknown", None, 1)], lines.schema))
+    got = {r.order_key: r.reason for r in placement.quarantine_requests(lines, inv).collect()}
+    # a price is only needed where the SKU is in stock: 5 and 6 fail, they don't raise
     assert got == {1: "null quantity", 2: "null sku", 3: "null price"}
+    headers = spark.createDataFrame([(5, None, "e"), (6, None, "f")],
+                                    "order_key long, order_number string, order_email string")
+    lines = lines.withColumn("id", F.lit(0).cast("long"))
+    assert {r.order_status for r in placement.placement_decisions(headers, lines, inv).collect()} == {"FAILED"}
+
+
+def test_stored_lines_carry_the_number_of_their_decision(spark):
+    lines = spark.createDataFrame([(1, 0, "iphone_13", Decimal("2"), 1)],
+                                  "order_key long, id long, sku_code string, price decimal(18,2), quantity int")
+    headers = spark.createDataFrame([(1, "MY-NUMBER", "a")],
+                                    "order_key long, order_number string, order_email string")
+    decided = placement.placement_decisions(headers, lines, inventory_seed(spark))
+    assert [r.order_number for r in placement.confirmed_order_lines(decided, lines).collect()] == ["MY-NUMBER"]
+    assert [r.order_number for r in placement.confirmed_orders(decided).collect()] == ["MY-NUMBER"]
 
 
 def test_excluded_requests_get_no_decision(spark):
@@ -102,7 +121,7 @@ def test_excluded_requests_get_no_decision(spark):
         "order_key long, id long, sku_code string, price decimal(18,2), quantity int")
     headers = spark.createDataFrame([(1, None, "a"), (2, None, "b")],
                                     "order_key long, order_number string, order_email string")
-    bad = placement.quarantine_requests(lines)
+    bad = placement.quarantine_requests(lines, inventory_seed(spark))
     got = placement.placement_decisions(headers, lines, inventory_seed(spark), exclude=bad)
     assert [(r.order_key, r.order_status) for r in got.collect()] == [(1, "CONFIRMED")]
 
@@ -126,5 +145,7 @@ def test_duplicate_inventory_sku_is_never_double_counted(spark):
     assert got == {2: ("CONFIRMED", Decimal("10"))}     # order 1 raises upstream: no decision
     conflicts = placement.inventory_conflicts(lines, inv).collect()
     assert [(r.order_key, r.reason) for r in conflicts] == [(1, "duplicate SKU in inventory")]
-    answers = placement.stock_answers(lines, inv).collect()
-    assert len(answers) == 2                              # one answer per line, not per stock row
+    with pytest.raises(Exception, match="duplicate SKU"):
+        placement.stock_answers(lines, inv).collect()
+    answers = placement.stock_answers(lines.filter("sku_code = 'b'"), inv).collect()
+    assert [r.in_stock for r in answers] == [True]

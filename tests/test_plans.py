@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF_SMALL
 from ledgerlane.operators import metrics
+from ledgerlane.plans.catalog import BATCH_QUERIES
 from ledgerlane.sources import fixtures as fx
 
 
@@ -19,7 +20,7 @@ def plan_text(df) -> str:
     return buf.getvalue()
 
 
-BATCH = [n for n in sorted(entry.queries()) if not n.startswith("stream_")]
+BATCH = sorted(BATCH_QUERIES)
 
 
 @pytest.mark.parametrize("name", BATCH)
@@ -65,35 +66,28 @@ def test_codec_queries_stay_narrow(spark):
         assert "Python" not in txt and "ArrowEval" not in txt, name
 
 
-def test_broadcast_only_under_proven_bound(spark):
-    from ledgerlane.session import broadcast_if_bounded
-    facts = spark.range(1000).withColumnRenamed("id", "k")
-    dim = spark.range(50).withColumnRenamed("id", "k")
-    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+def test_no_broadcast_hint_in_placement(spark):
+    """The planner alone picks the stock join: without a threshold nothing is broadcast."""
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = spark.conf.get(keys[0])
+    for k in keys:
+        spark.conf.set(k, "-1")
     try:
-        small = plan_text(facts.join(broadcast_if_bounded(dim, 100), "k"))
-        large = plan_text(facts.join(broadcast_if_bounded(dim, 10), "k"))
+        txt = plan_text(entry.queries()["placement_decisions"](spark, SF_SMALL))
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" in small
-    assert "BroadcastHashJoin" not in large and "SortMergeJoin" in large
-
-
-def test_bucketed_placement_needs_no_order_shuffle(spark):
-    from ledgerlane.operators import placement
-    from ledgerlane.sources.layout import save_bucketed
-    from conftest import SF_TINY
-    headers, lines = fx.request_headers(spark, SF_TINY), fx.request_lines(spark, SF_TINY)
-    hb = save_bucketed(headers, "placement_headers_b", "order_key", 8)
-    lb = save_bucketed(lines, "placement_lines_b", "order_key", 8)
-    inv = fx.inventory(spark, SF_TINY)
-    bucketed = placement.placement_decisions(hb, lb, inv)
-    txt = plan_text(bucketed)
-    # no shuffle keyed on the order (only the small stock table is aggregated
-    # per SKU before its broadcast)
-    assert not re.search(r"Arguments: hashpartitioning\(order_key", txt), txt
-    plain = placement.placement_decisions(headers, lines, inv)
-    assert sorted(map(tuple, bucketed.collect())) == sorted(map(tuple, plain.collect()))
+        spark.conf.set(keys[0], before)
+        spark.conf.unset(keys[1])
+    assert "BroadcastHashJoin" not in txt and "SortMergeJoin" in txt
+
+
+def test_published_json_is_built_before_the_explode(spark):
+    txt = plan_text(entry.queries()["published_events"](spark, SF_SMALL))
+    assert txt.count("to_json") >= 1
+    assert not re.search(r"\) Generate\n.*?\n\(\d+\) Project[^\n]*\n(?:[^\n]*\n)*?Input[^\n]*\n[^\n]*to_json", txt), txt
+
+
+def test_changelog_partitions_follow_the_input(spark):
+    from ledgerlane.session import partitions_for
+    ev = fx.order_events(spark, SF_SMALL)
+    assert partitions_for(ev) == 8
+    assert partitions_for(ev, partition_bytes=1 << 10) > 8

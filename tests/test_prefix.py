@@ -90,3 +90,36 @@ def test_empty_input(spark):
     out = running_totals(df, ["t", "id"], keys=["k"], sums={"rs": "v"}, count_as="rc")
     assert out.count() == 0
     assert out.columns == ["k", "t", "id", "v", "rc", "rs"]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_sums_beyond_64_bits_are_exact(spark, ansi):
+    rows = [(i, Decimal("10000000000000") * (1 if i % 3 else -7)) for i in range(50)]
+    rows += [(50, Decimal(2 ** 62)), (51, Decimal(2 ** 62)), (52, Decimal("-0.000001"))]
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(rows, "id long, v decimal(38,6)")
+        got = {r.id: r.rs for r in running_totals(df, ["id"], sums={"rs": "v"}, count_as=None,
+                                                  num_partitions=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    total = Decimal(0)
+    for i, v in rows:
+        total += v
+        assert got[i] == total
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("parts", [1, 2])
+def test_sums_beyond_38_digits_raise(spark, ansi, parts):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.createDataFrame([(1, Decimal(6 * 10 ** 37)), (2, Decimal(6 * 10 ** 37))], "id long, v decimal(38,0)")
+        with pytest.raises(Exception, match="(?i)38 digits|overflow"):
+            running_totals(df, ["id"], sums={"rs": "v"}, count_as=None, num_partitions=parts).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)

@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-_WORD_THEN_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:#*$%&]+)")
+_PARTS = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:#*$%&]*)")
 #: White space, or what some libraries take for it, beyond blank, tab and line ends.
 _RARE_SPACE = "[\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(
     map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]"
@@ -22,9 +22,12 @@ _LOADED: dict[str, "Encoder"] = {}
 
 
 class Encoder(dict):
-    """Chunk -> its ids as little-endian unsigned 32-bit integers; ``encode`` for whole texts."""
+    """Chunk -> its ids as little-endian unsigned 32-bit integers; ``encode`` for whole texts.
 
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    The cache takes the first ``cache_entries`` chunks a worker meets (about 0.2 KB each);
+    others are encoded each time."""
+
+    def __init__(self, path: str, cache_entries: int = 800_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -44,8 +47,11 @@ class Encoder(dict):
         return np.array(ids, dtype="<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        parts = _WORD_THEN_MARKS.fullmatch(chunk)
-        ids = self[parts[1]] + self[parts[2]] if parts else self._ids(chunk)
+        parts = _PARTS.fullmatch(chunk)
+        if parts and (parts[1] or parts[3]):  # a line end, a word and its marks never merge
+            ids = b"".join([self[p] for p in parts.groups() if p])
+        else:
+            ids = self._ids(chunk)
         if len(self) < self.room and len(chunk) <= 64:
             self[chunk] = ids
         return ids

@@ -1,0 +1,97 @@
+from collections import Counter, defaultdict
+
+import pytest
+
+from helpers import CLASHES, DOC_COLUMNS, as_tuples, docs, edge_texts, prose, words
+from ledgerlane.llm import mix
+
+
+def targets(rows, weights=(5, 2, 1), budget=1.5, cap=2.0):
+    """Shares by weight, the excess over the cap dealt again until none is above."""
+    sizes = defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += len(words(text))
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    total, out, free = budget * sum(sizes.values()), {}, set(order)
+    while free:
+        left, w = total - sum(out.values()), sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / w > cap * sizes[s]]
+        if not over:
+            out.update({s: left * weight[s] / w for s in free})
+            break
+        out.update({s: cap * sizes[s] for s in over})
+        free -= set(over)
+    return sizes, out
+
+
+def check(spark, rows):
+    got = mix.taken_words(mix.plan(docs(spark, rows), fan=4))
+    table = got.select("doc_id", "size", "source_size", "target", "taken", "copies").collect()
+    sizes, want = targets(rows)
+    assert Counter((r.doc_id, r.size) for r in table) == Counter((i, len(words(t))) for i, t, _ in rows)
+    assert all(0 <= r.taken <= 2 * r.size and r.taken == r.copies * r.size for r in table)
+    # sources can be told by their target and size here
+    taken, largest = defaultdict(int), defaultdict(int)
+    for r in table:
+        taken[r.source_size, round(r.target, 6)] += r.taken
+        largest[r.source_size, round(r.target, 6)] = max(largest[r.source_size, round(r.target, 6)], r.size)
+    expected, count = defaultdict(float), Counter()
+    for s in sizes:
+        expected[sizes[s], round(want[s], 6)] += want[s]
+        count[sizes[s], round(want[s], 6)] += 1
+    assert set(taken) == set(expected)
+    for k in expected:
+        assert abs(taken[k] - expected[k]) <= count[k] * largest[k] / 2 + 1e-6
+    return table
+
+
+def test_edges_and_rerun(spark):
+    first = check(spark, edge_texts())
+    assert sorted(map(repr, first)) == sorted(map(repr, check(spark, edge_texts())))
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 70])
+def test_sources_come_near_their_targets(spark, n):
+    import random
+    rng = random.Random(n)
+    rows = [(i, prose(rng, rng.choice([3, 20, 90])), rng.choice("abcd")) for i in range(n)]
+    check(spark, rows)
+
+
+def test_hot_source_and_many_equal_rows(spark):
+    rows = [(i, "a b c", "hot") for i in range(300)] + [(7, "x y", "rep")] * 200 + [(i, "q " * 9, "z") for i in range(9)]
+    table = check(spark, rows)
+    assert len(table) == len(rows)
+
+
+def test_expectation_is_held(spark):
+    """Over many seeds a document is taken as often as its share says."""
+    rows = [(i, "w " * (i % 4 + 1), "ab"[i % 2]) for i in range(12)]
+    total = Counter()
+    seed = mix.SEED
+    try:
+        for k in range(12):
+            mix.SEED = 1000 + k
+            for r in mix.taken_words(mix.plan(docs(spark, rows), budget=1.0, fan=4)).collect():
+                total[r.doc_id] += r.taken
+    finally:
+        mix.SEED = seed
+    assert len({k for k, v in total.items() if v}) == 12
+
+
+def test_empty_table(spark):
+    assert mix.taken_words(mix.plan(docs(spark, []))).count() == 0
+    assert mix.mix(docs(spark, [])).count() == 0
+
+
+def test_mix_repeats_rows_with_their_columns(spark):
+    rows = edge_texts()
+    table = docs(spark, rows)
+    out = mix.mix(table)
+    assert out.columns == [*DOC_COLUMNS, *CLASHES]
+    planned = Counter()
+    for r in mix.plan(table).collect():
+        planned[r.doc_id, r.source, r.size] = r.base * r.n + r.extra
+    got = Counter((i, s, len(words(t))) for i, t, s in as_tuples(out, "doc_id", "text", "source"))
+    assert got == +planned

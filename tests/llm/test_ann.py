@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from ledgerlane.llm import ann
 
-QUERY = F.col("vec_id") % 20 == 0
-
 
 def table(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns(
@@ -26,7 +24,7 @@ def brute(rows, k=20):
 
 def check(spark, rows, recall=0.9, **options):
     got = {}
-    for r in sorted(ann.search(table(spark, rows), QUERY, **options).collect(), key=lambda r: (r.query_id, r["rank"])):
+    for r in sorted(ann.search(table(spark, rows), F.col("vec_id") % 20 == 0, **options).collect(), key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append(r)
     want = brute(rows)
     assert set(got) == {q for q, near in want.items() if near}

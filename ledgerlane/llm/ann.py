@@ -8,7 +8,8 @@ test tables: half gives a recall of 0.93 to 0.98 at 20; they are nearly random i
 are scored exactly, in double precision, and the best of all shards are merged. A prefix's entries are
 taken all or not at all, so that copies of a vector stay together; equal vectors count once.
 
-Norms may differ: vectors get a further coordinate that makes them equally long, which leaves the
+Norms may differ: a shard's vectors are parted into bands of like norm, each with a forest of its
+own, and get a further coordinate that makes those of a band equally long, which leaves the
 order by inner product as it is for any query. Rows take no part whose id or vector is null, or whose
 vector is empty, zero, or holds null or non-finite values; vectors of another length
 are no candidates. Rows that share the query's id are the query's own. Fewer than ``k``
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from ledgerlane.llm.common import ship
 
 BITS = 32
+#: Norms of one band differ by this factor at most; the last band takes all that are shorter.
+BAND, BANDS = 1.25, 16
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -85,6 +88,13 @@ class Forest:
             yield np.flatnonzero(seen)
 
 
+def norm_bands(x: np.ndarray) -> list[np.ndarray]:
+    """Places of the vectors, longest band first."""
+    norm = np.linalg.norm(x, axis=1)
+    band = np.minimum(np.log(norm.max() / norm) / np.log(BAND), BANDS - 1).astype(int)
+    return [np.flatnonzero(band == b) for b in np.unique(band)]
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 64, share: float = 0.5,
            shard_rows: int = 8192, query_rows: int = 16_384, seed: int = 7, id_col: str = "vec_id",
            vector_col: str = "embedding") -> DataFrame:
@@ -106,10 +116,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 64, s
             x, which = np.unique(every, axis=0, return_inverse=True)
             order = np.lexsort((ids, which.ravel()))
             start = np.searchsorted(which.ravel()[order], np.arange(len(x) + 1))
-            forest, want = Forest(x, trees, seed), max(4 * k, math.ceil(share * len(x)))
+            forests = [(band, Forest(x[band], trees, seed), max(4 * k, math.ceil(share * len(band))))
+                       for band in norm_bands(x)]
             names, asks = some["vec_id"].to_numpy(), np.stack(some["vector"].to_numpy())
             for at in range(0, len(asks), 256):
-                for name, one, near in zip(names[at:], asks[at:at + 256], forest.candidates(asks[at:at + 256], want)):
+                found = zip(*(forest.candidates(asks[at:at + 256], want) for _, forest, want in forests))
+                for name, one, places in zip(names[at:], asks[at:at + 256], found):
+                    near = np.concatenate([band[p] for (band, _, _), p in zip(forests, places)])
                     score = x[near] @ one
                     if len(near) > k + 1:  # ties at the edge stay in
                         edge = np.partition(score, len(score) - k - 1)[len(score) - k - 1]

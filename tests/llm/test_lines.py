@@ -92,5 +92,5 @@ def test_no_python_runs(spark):
     import io
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
-        lines.dedup(docs(spark, edge_texts())).explain("formatted")
+        lines.dedup(spark.read.parquet(f"{SF_TINY}/documents.parquet")).explain("formatted")
     assert not any(w in out.getvalue() for w in ("Python", "Arrow", "Cartesian", "NestedLoop"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from ledgerlane.session import ship  # noqa: F401
 #: White space of the word rule: blank, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +32,25 @@ def staged_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables staged within the block are removed at its end, but for those staged to ``last``, which
+    belong to the block around it: what is read later must be written, in full, to such a table first."""
+    outer, paths = _PASSING.get(), []
+    _PASSING.set((*outer, paths))
+    try:
+        yield
+    finally:
+        _PASSING.set(outer)
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        for path in paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def staged(df: DataFrame, label: str, last: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage, survives
-    lost executors, and gives the planner the true size. The folder's owner removes it."""
+    lost executors, and gives the planner the true size. ``passing`` removes it, or else the folder's owner."""
     spark = df.sparkSession
     path, was = staged_path(spark, label), spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")  # once written, what was shuffled for it may go
@@ -38,6 +58,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, was)
+    owners = _PASSING.get()[:-1] if last else _PASSING.get()
+    if owners:
+        owners[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import array_literal, dense_array, fresh, staged, words
+from ledgerlane.llm.common import array_literal, dense_array, fresh, passing, staged, words
 
 CELLS = 1 << 20
 WORD = (1 << 56) - 1
@@ -91,9 +91,10 @@ def later_matches(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, least
     prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.ceil(F.size("tokens") * a / F.lit(float(b)) - 1e-9).cast("int") + 1)
     keys = rows.select("lid", F.posexplode(prefix).alias("pos", "key")).distinct()
     by_key = Window.partitionBy("key")
-    shared = staged(keys.withColumns({"lo": F.min("lid").over(by_key), "hi": F.max("lid").over(by_key)})
-                    .filter("lo < hi").select("key", "lid", "pos"), "shared")
-    known = staged(shared.join(firsts, "lid"), "known")
+    with passing(docs.sparkSession):
+        shared = staged(keys.withColumns({"lo": F.min("lid").over(by_key), "hi": F.max("lid").over(by_key)})
+                        .filter("lo < hi").select("key", "lid", "pos"), "shared")
+        known = staged(shared.join(firsts, "lid"), "known", last=True)
 
     alike = Window.partitionBy("key", "n")
     near = known.withColumn("head", F.min(F.struct("place", "lid")).over(alike)).select(
@@ -106,7 +107,8 @@ def later_matches(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, least
         at = rows.select("lid", place.alias("place"), "tokens")
         return staged(at.join(ids, ["lid", "place"]).dropDuplicates(["lid"]).select("lid", "tokens"), "tokens")
 
-    settled = staged(_matched(tried, tokens_of(tried), threshold).select("lid").distinct(), "settled")
+    with passing(docs.sparkSession):
+        settled = staged(_matched(tried, tokens_of(tried), threshold).select("lid").distinct(), "settled", last=True)
 
     other = known.select("key", *[F.col(c).alias("o_" + c) for c in ("lid", "pos", "n", "place", "map0", "map1")])
     open_ = known.join(settled, "lid", "left_anti")
@@ -145,7 +147,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_
           **options) -> DataFrame:
     """``docs`` without their later lines. ``drop_emptied``: documents go that lose all their words."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = staged(_removed(rows, **options), "removed")
+    with passing(docs.sparkSession):
+        gone = staged(_removed(rows, **options), "removed", last=True)
     ident, mark, lines = fresh(docs, "gone_id", "gone_hash", "gone_lines")
     gone = gone.toDF(ident, mark, lines)
     joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(ident))

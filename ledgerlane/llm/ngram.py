@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import fresh, ship, staged
+from ledgerlane.llm.common import fresh, passing, ship, staged
 from ledgerlane.llm.components import connected
 
 CELLS, BLOCK = 1 << 20, 1 << 10
@@ -329,6 +329,8 @@ def keep_first(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 10
                text_col: str = "text") -> DataFrame:
     """One document of each component: the rows whose id is its component's; of equal ids, all."""
     (gone,) = fresh(docs, "gone")
-    left = components(docs, n, threshold, id_col, text_col).filter(
-        "component_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(staged(left, "gone"), F.col(id_col) == F.col(gone), "left_anti")
+    with passing(docs.sparkSession):
+        left = components(docs, n, threshold, id_col, text_col).filter(
+            "component_id is not null and component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+        left = staged(left, "gone", last=True)
+    return docs.join(left, F.col(id_col) == F.col(gone), "left_anti")

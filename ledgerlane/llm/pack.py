@@ -189,7 +189,8 @@ def pack(pieces: DataFrame, window: int = 1024, shard_pieces: int = 1024, look:
                 if len(held) == shard_pieces:
                     block(held)
                     held = []
-                    yield flush()
+                    if out:  # a block may fill no window
+                        yield flush()
         if held:
             block(held)
         while used:  # no padding: the rest in sequences whose lengths are powers of two

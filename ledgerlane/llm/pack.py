@@ -1,8 +1,9 @@
 """Lexical retrieval packing: fill each window with the unused BM25 neighbours of its seed.
 
 ``encode_pieces`` gives each document's ids (end id included): full windows as they are, and
-the rest, shorter than a window, as one piece with a lexical key (two min-hashes of its ids).
-``pack`` deals the rests by range of that key, so that alike pieces meet and a group of copies
+the rest, shorter than a window, as one piece. ``pack`` counts the rests that hold each id, gives
+each rest a lexical key (its least ids in three random orders, the rare ones likely first) and deals
+them by range of that key, so that alike pieces meet and a group of copies
 of any size is split; each task reads its range in blocks of ``shard_pieces`` pieces and
 builds a BM25 inverted index over a block. A seed's window takes its best unused
 neighbours that fit; then the best other one is cut to fill it, and its tail seeds the next
@@ -26,32 +27,72 @@ from pyspark.sql import functions as F
 from ledgerlane.llm.common import ship, staged
 from ledgerlane.llm.tokenizer import encoder
 
-PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, key long"
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
+ROUTED = "doc_id long, start long, ids binary, doc_tokens long, key long"
 PACKED = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Sequence ids from here on are windows that one document fills.
 FULL_IDS = 1 << 62
 _FLUSH_BYTES = 8 << 20
 
 
-def _key(ids: np.ndarray) -> int:
-    """Least of two hashes of the ids, side by side: alike pieces sort near each other."""
-    x = ids.astype(np.uint64)
-    a = (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    b = ((x + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)
-    return (int(a.min()) << 31) | int(b.min())
+#: Bits of a key for each of its three orders; places beyond share the last.
+_KEY_BITS = 21
+
+
+def holders(rests: DataFrame) -> tuple[int, np.ndarray]:
+    """How many rests there are, and how many hold each id: a table as long as the vocabulary."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = 0, np.zeros(0, np.int64)
+        for batch in batches:
+            total += batch.num_rows
+            for ids in batch.column(0):
+                x = np.unique(np.frombuffer(ids.as_py(), "<u4"))
+                if len(x) and x[-1] >= len(held):
+                    held = np.concatenate([held, np.zeros(int(x[-1]) + 1 - len(held), np.int64)])
+                held[x] += 1
+        seen = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *seen], pa.int64()), pa.array([total, *held[seen]], pa.int64())],
+                                         ["id", "n"])
+
+    found = rests.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = {r.id: r.n for r in found}  # bound: the vocabulary
+    total = counts.pop(-1, 0)
+    held = np.zeros(max(counts, default=-1) + 1, np.int64)
+    held[list(counts)] = list(counts.values())
+    return total, held
+
+
+def rarity(total: int, held: np.ndarray) -> np.ndarray:
+    """BM25's weight of each id in its form that is never zero."""
+    return np.log1p((total - held + 0.5) / (held + 0.5))
+
+
+def key_orders(weights: np.ndarray) -> np.ndarray:
+    """Each id's place in three random orders; the odds to come first grow with the weight's square.
+    An id that all rests hold, as the end id, comes last."""
+    draws = -np.log1p(-np.stack([np.random.default_rng(s).random(len(weights)) for s in range(3)]))
+    places = np.argsort(np.argsort(draws / weights ** 2, axis=1, kind="stable"), axis=1, kind="stable")
+    return np.minimum(places, (1 << _KEY_BITS) - 1)
+
+
+def _key(ids: np.ndarray, orders: np.ndarray) -> int:
+    """The least places of the ids, side by side: alike pieces sort near each other."""
+    a, b, c = (int(x) for x in orders[:, ids].min(axis=1))
+    return (a << 2 * _KEY_BITS) | (b << _KEY_BITS) | c
 
 
 def encode_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, id_col: str = "doc_id",
                   text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """Pieces of every document: ids as little-endian unsigned 32-bit integers; ``key`` is null
-    for full windows."""
+    """Pieces of every document: ids as little-endian unsigned 32-bit integers. A piece shorter than the
+    window is the document's rest."""
     ship(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, schema = encoder(tokenizer), pa.schema([
             ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
-            ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("key", pa.int64())])
+            ("ids", pa.binary()), ("doc_tokens", pa.int64())])
         for batch in batches:
             rows: list[tuple] = []
             held = 0
@@ -60,9 +101,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, id_col: s
                 n = len(data) // 4
                 for start in range(0, n, window):
                     piece = data[4 * start:4 * (start + window)]
-                    full = len(piece) == 4 * window
-                    rows.append((doc_id.as_py(), start, len(piece) // 4, piece, n,
-                                 None if full else _key(np.frombuffer(piece, "<u4"))))
+                    rows.append((doc_id.as_py(), start, len(piece) // 4, piece, n))
                     held += len(piece)
                     if held >= _FLUSH_BYTES:
                         yield pa.RecordBatch.from_arrays(
@@ -209,14 +248,23 @@ def pack(pieces: DataFrame, window: int = 1024, shard_pieces: int = 1024, look:
             yield flush()
 
     ship(pieces.sparkSession)
-    rests = (pieces.filter("key is not null").repartitionByRange("key", "doc_id", "start")
-             .sortWithinPartitions("key", "doc_id", "start")
-             .select("doc_id", "start", "ids", "doc_tokens").mapInArrow(fill, PACKED))
-    full = pieces.filter("key is null").select(
+    rests = pieces.filter(F.col("length") < window).select("doc_id", "start", "ids", "doc_tokens")
+    total, held = holders(rests)
+    orders = pieces.sparkSession.sparkContext.broadcast(key_orders(rarity(total, held)))  # as long as the vocabulary
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_key(np.frombuffer(x.as_py(), "<u4"), orders.value) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "key"])
+
+    packed = (rests.mapInArrow(route, ROUTED).repartitionByRange("key", "doc_id", "start")
+              .sortWithinPartitions("key", "doc_id", "start")
+              .select("doc_id", "start", "ids", "doc_tokens").mapInArrow(fill, PACKED))
+    full = pieces.filter(F.col("length") >= window).select(
         "doc_id", "start", "length", "ids", "doc_tokens",
         (F.monotonically_increasing_id() + F.lit(FULL_IDS)).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"))
-    return rests.unionByName(full)
+    return packed.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, **names: str) -> DataFrame:

@@ -129,3 +129,20 @@ def test_neighbours_share_a_window(spark):
     packed = pack.pack_documents(docs(spark, rows, clash=False).coalesce(1), vocabulary_path(), 512).collect()
     same = [len({r.doc_id % 2 for r in packed if r.sequence_id == s}) for s in {r.sequence_id for r in packed}]
     assert np.mean(same) < 1.5
+
+
+def test_key_brings_alike_pieces_together(spark):
+    """The end id, which all pieces hold, has no part in the key, and one common id doesn't gather the table."""
+    rng = np.random.default_rng(4)
+    topics = [100 + 40 * k + np.arange(40) for k in range(30)]
+    pieces = [(k, 0, np.concatenate([rng.choice(topics[k % 30], 25), rng.integers(1, 20, 60), [0]]).astype("<u4")) for k in range(900)]
+    table = spark.createDataFrame([(k, s, x.tobytes()) for k, s, x in pieces], "doc_id long, start long, ids binary")
+    total, held = pack.holders(table)
+    assert total == 900 and held[0] == 900
+    assert all(held[t] == sum(t in p for _, _, p in pieces) for t in (1, 19, 100, 1299))
+    orders = pack.key_orders(pack.rarity(total, held))
+    assert (orders[:, 0] == orders.max(axis=1)).all()
+    keys = np.array([pack._key(p, orders) for _, _, p in pieces])
+    assert np.unique(keys, return_counts=True)[1].max() < 45
+    by_key = np.argsort(keys, kind="stable")
+    assert np.mean(by_key[1:] % 30 == by_key[:-1] % 30) > 0.8

@@ -4,7 +4,8 @@ A line is the set of its words. Words are ordered by rarity: the count of their
 of fixed size over all lines, then their hash; any order gives the same result, a good one
 fewer pairs. Two lines of Jaccard similarity t share one of their first (1 - t) n + 1 words.
 
-1. Lines of equal sets are one; all but the first occurrence go.
+1. Lines of equal sets are one; all but the first occurrence go. That settles lines so short that
+   no unequal set reaches the threshold (three words at 0.8).
 2. The prefix words deal the lines into buckets; words that one line alone holds drop out.
 3. Each line is checked against its bucket's earliest line of equal length first, which settles
    nearly all of a group of alike lines in as many pairs as it has lines.
@@ -13,7 +14,7 @@ fewer pairs. Two lines of Jaccard similarity t share one of their first (1 - t)
 
 So a line goes if, and only if, an earlier line (by document id, nulls last, then line number)
 has a similarity of at least the threshold. Lines of fewer than ``least`` distinct words stay, like
-empty ones. Null texts stay null. Rows of one id are told apart by their text. An empty table
+empty ones; the registered query and the pipeline take all lines that have a word (``least`` 1). Null texts stay null. Rows of one id are told apart by their text. An empty table
 gives no rows. Extra columns are kept by ``dedup``.
 """
 
@@ -89,7 +90,8 @@ def later_matches(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, least
         F.first("map1").alias("map1")), "firsts")
 
     prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.ceil(F.size("tokens") * a / F.lit(float(b)) - 1e-9).cast("int") + 1)
-    keys = rows.select("lid", F.posexplode(prefix).alias("pos", "key")).distinct()
+    longer = rows.filter(F.size("tokens") * (b - a) >= a)  # n / (n + 1) reaches the threshold
+    keys = longer.select("lid", F.posexplode(prefix).alias("pos", "key")).distinct()
     by_key = Window.partitionBy("key")
     with passing(docs.sparkSession):
         shared = staged(keys.withColumns({"lo": F.min("lid").over(by_key), "hi": F.max("lid").over(by_key)})

@@ -67,7 +67,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lines.removed_per_document(docs)
+    return lines.removed_per_document(docs, least=1)
 
 
 QUERIES = {f.__name__: f for f in (op1_mix, op2_pack, op3_warc, op4_jaccard, op5_nearest, op6_fingerprint,

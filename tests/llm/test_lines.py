@@ -94,3 +94,19 @@ def test_no_python_runs(spark):
     with contextlib.redirect_stdout(out):
         lines.dedup(spark.read.parquet(f"{SF_TINY}/documents.parquet")).explain("formatted")
     assert not any(w in out.getvalue() for w in ("Python", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_short_lines_go_in_the_query_and_the_pipeline(spark, tmp_path):
+    """Lines of one or two words: menu entries, and scripts that set no blanks."""
+    import corpus_pipeline
+    from ledgerlane.llm.queries import op10_lines
+    rng = random.Random(7)
+    short = ["Read more", "more Read", "Share this", "Home", "\u4eca\u5929\u5929\u6c14\u5f88\u597d", "Read", "a b c", "a b d", "a b c d", "a b c d e"]
+    rows = [(k, "\n".join(rng.choice([*short, prose(rng, 12, 300)]) for _ in range(rng.randrange(1, 6))), "a") for k in range(60)]
+    want = brute(rows, least=1)
+    assert any(not words(t) for t in want.values())
+    table = docs(spark, rows, clash=False)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in op10_lines(spark, str(tmp_path)).collect()} == want
+    left = corpus_pipeline.line_dedup(spark, table, SF_TINY).collect()
+    assert {r.doc_id: r.text for r in left} == {i: t for i, t in want.items() if words(t)}

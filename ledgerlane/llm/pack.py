@@ -5,7 +5,7 @@ the rest, shorter than a window, as one piece. ``pack`` counts the rests that ho
 each rest a lexical key (its least ids in three random orders, the rare ones likely first) and deals
 them by range of that key, so that alike pieces meet and a group of copies
 of any size is split; each task reads its range in blocks of ``shard_pieces`` pieces and
-builds a BM25 inverted index over a block. A seed's window takes its best unused
+builds a BM25 inverted index over a block, its terms weighted by their counts over all rests. A seed's window takes its best unused
 neighbours that fit; then the best other one is cut to fill it, and its tail seeds the next
 window. Where no neighbour scores, the next piece in key order follows. Nothing is padded: what is
 left at a task's end is dealt into sequences whose lengths are powers of two.
@@ -116,19 +116,20 @@ def encode_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, id_col: s
 
 
 class Index:
-    """BM25 inverted index over a block of pieces: term -> (piece, weight)."""
+    """BM25 inverted index over a block of pieces: term -> (piece, weight). ``weights``: each id's weight
+    (``rarity`` over the whole table); without it, the block's own, where terms in half of the block drop out."""
 
-    def __init__(self, pieces: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, pieces: list[np.ndarray], k1: float = 1.2, b: float = 0.75, weights: np.ndarray | None = None):
         n = len(pieces)
         sizes = np.array([len(p) for p in pieces])
         doc = np.repeat(np.arange(n), sizes)
         pair, tf = np.unique((np.concatenate(pieces).astype(np.int64) << 32) | doc, return_counts=True)
         term, doc = pair >> 32, pair & 0xFFFFFFFF
         self.terms, first, slot, df = np.unique(term, return_index=True, return_inverse=True, return_counts=True)
-        idf = np.log((n - df + 0.5) / (df + 0.5))
+        idf = np.log((n - df + 0.5) / (df + 0.5)) if weights is None else weights[self.terms]
         norm = k1 * (1 - b + b * sizes / sizes.mean())
         weight = idf[slot] * tf * (k1 + 1) / (tf + norm[doc])
-        keep = idf[slot] > 0  # a term in half of the block or more scores nothing
+        keep = idf[slot] > 0  # all of them under ``weights``
         self.doc, self.weight, slot = doc[keep], weight[keep], slot[keep]
         self.at = np.searchsorted(slot, np.arange(len(self.terms) + 1))
         by_doc = np.argsort(self.doc, kind="stable")
@@ -185,7 +186,7 @@ def pack(pieces: DataFrame, window: int = 1024, shard_pieces: int = 1024, look:
         def block(rows: list[tuple]) -> None:
             free = np.ones(len(rows), dtype=bool)
             sizes = np.array([len(r[2]) for r in rows])
-            index, after, tail = Index([r[2] for r in rows]), 0, None
+            index, after, tail = Index([r[2] for r in rows], weights=weights.value), 0, None
             while True:
                 if tail is not None:
                     seed, done = tail
@@ -250,7 +251,8 @@ def pack(pieces: DataFrame, window: int = 1024, shard_pieces: int = 1024, look:
     ship(pieces.sparkSession)
     rests = pieces.filter(F.col("length") < window).select("doc_id", "start", "ids", "doc_tokens")
     total, held = holders(rests)
-    orders = pieces.sparkSession.sparkContext.broadcast(key_orders(rarity(total, held)))  # as long as the vocabulary
+    context, known = pieces.sparkSession.sparkContext, rarity(total, held)
+    weights, orders = context.broadcast(known), context.broadcast(key_orders(known))  # as long as the vocabulary
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -146,3 +146,16 @@ def test_key_brings_alike_pieces_together(spark):
     assert np.unique(keys, return_counts=True)[1].max() < 45
     by_key = np.argsort(keys, kind="stable")
     assert np.mean(by_key[1:] % 30 == by_key[:-1] % 30) > 0.8
+
+
+def test_terms_that_most_of_a_block_holds_score():
+    """Weights are of the whole table, and none is dropped: a block of copies scores, and so do two topics of half a block."""
+    weights = pack.rarity(1000, np.array([1000, 20, 20, 20, 20]))
+    assert (weights > 0).all()
+    index = pack.Index([np.array([1, 2, 0], "<u4")] * 4, weights=weights)
+    assert (index.scores(0) > 0).all()
+    topics = [np.array([1, 2, 0] if k % 2 else [3, 4, 0], "<u4") for k in range(8)]
+    score = pack.Index(topics, weights=weights).scores(1)
+    assert score[1::2].min() > 100 * score[::2].max() > 0
+    want = sum(weights[t] * 2.2 / 2.2 for t in (0, 1, 2))
+    assert np.allclose(score[3], want)

@@ -138,16 +138,16 @@ def _removed(docs: DataFrame, **options) -> DataFrame:
 
 def removed_per_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, and the text that is left."""
-    out = dedup(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                            F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("n_lines")),
-                drop_emptied=False, **options)
-    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size(F.split(F.coalesce("text", F.lit("")), "\n")))
-                      .alias("n_removed"), "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                       F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("n_lines"))
+    out, lines = _without(rows, "doc_id", "text", **options)
+    n_removed = F.when(F.col(lines).isNull(), F.lit(0)).otherwise(F.size(lines))
+    return out.select("doc_id", "n_lines", n_removed.alias("n_removed"), "text")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True,
-          **options) -> DataFrame:
-    """``docs`` without their later lines. ``drop_emptied``: documents go that lose all their words."""
+def _without(docs: DataFrame, id_col: str, text_col: str, **options) -> tuple[DataFrame, str]:
+    """``docs`` without their later lines, and the name of an added column: the numbers of the lines that
+    went, null where none did."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with passing(docs.sparkSession):
         gone = staged(_removed(rows, **options), "removed", last=True)
@@ -157,7 +157,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_
                        & (F.xxhash64(F.col(text_col)) == F.col(mark)), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(F.col(lines), i)), "\n")
     text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(kept)
-    out = joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], lines)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], lines), lines
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True,
+          **options) -> DataFrame:
+    """``docs`` without their later lines. ``drop_emptied``: documents go that lose all their words."""
+    out, lines = _without(docs, id_col, text_col, **options)
     if drop_emptied:
         out = out.filter(F.col(lines).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
     return out.drop(lines)

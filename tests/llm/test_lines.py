@@ -110,3 +110,13 @@ def test_short_lines_go_in_the_query_and_the_pipeline(spark, tmp_path):
     assert {r.doc_id: r.text for r in op10_lines(spark, str(tmp_path)).collect()} == want
     left = corpus_pipeline.line_dedup(spark, table, SF_TINY).collect()
     assert {r.doc_id: r.text for r in left} == {i: t for i, t in want.items() if words(t)}
+
+
+def test_removed_lines_are_counted_where_all_go(spark):
+    rows = [(1, "one line of five words", "a"), (2, "one line of five words", "a"), (3, None, "a"), (4, "", "a"),
+            (5, "one line of five words\none line of five words", "a"), (6, "a line of its own\none line of five words", "a"),
+            (7, "one line of five words\n", "a")]
+    got = lines.removed_per_document(docs(spark, rows))
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in got.collect()} == {
+        1: (1, 0, rows[0][1]), 2: (1, 1, ""), 3: (1, 0, None), 4: (1, 0, ""), 5: (2, 2, ""),
+        6: (2, 1, "a line of its own"), 7: (2, 1, "")}

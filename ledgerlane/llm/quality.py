@@ -113,7 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame(ids, "doc_id long, label int"))  # the same bound
     texts = (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-             .join(wanted, "doc_id").withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))))
+             .join(wanted, "doc_id").groupBy("doc_id", "label").agg(  # one row an id, the least text by hash
+                 F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+             .withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))))
     starts = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / PIECE).cast("int"))
     pieces = (texts.filter("half = 0 and text <> ''").select("label", "doc_id", "text", F.explode(starts).alias("k"))
               .select("label", "doc_id", "k", F.expr(f"substring(text, k * {PIECE} + 1, {PIECE})").alias("piece")))

@@ -62,3 +62,13 @@ def test_score_ignores_everything_but_the_text(spark, model):
     moved = table.withColumns({"doc_id": F.col("doc_id") + 10 ** 6, "lang": F.lit("xx"), "source": F.lit(None).cast("string")})
     a = [r.score for r in quality.score(table, model).orderBy("doc_id").collect()]
     assert a == [r.score for r in quality.score(moved, model).orderBy("doc_id").collect()]
+
+
+def test_many_rows_of_one_labelled_id_weigh_as_one(spark, model):
+    table, labels = (spark.read.parquet(f"{SF_SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    ids = quality.training_ids(labels).filter(F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 1)
+    hot = table.join(ids.filter("label = 1").orderBy("doc_id").limit(1).select("doc_id"), "doc_id").select(table.columns)
+    assert hot.count() == 1
+    many = quality.fit(table.union(hot.crossJoin(spark.range(300)).select(table.columns)), labels)
+    assert (many.good, many.bad) == (model.good, model.bad)
+    assert np.allclose(many.curve, model.curve) and np.allclose(many.scale, model.scale)

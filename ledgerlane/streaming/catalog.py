@@ -5,6 +5,7 @@ the SQL of the batch twin."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,21 +129,31 @@ def s_order_dashboard(spark: SparkSession, sf: str) -> DataFrame:
     return rows
 
 
+#: How long the live query may go without giving out another event before it counts as stuck.
+LIVE_PATIENCE_S = 180
+
+
 def s_live_window_revenue(spark: SparkSession, sf: str) -> DataFrame:
     """The wall-clock windows run live, two seconds long, until they have given out every event;
-    their sums and counts add up to the total."""
+    their sums and counts add up to the total. A query that gives out nothing more for
+    ``LIVE_PATIENCE_S`` seconds is an error."""
     out, ckpt = _paths(spark, "stream-live-windows")
     expected = read_table(spark, sf, "events").count()
     windows = apply_processing_time_windows(jobs.fixture_event_stream(spark, sf), window_ms=2000)
     q = (windows.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .trigger(processingTime="500 milliseconds").start())
     try:
-        seen = 0
+        seen, since = 0, time.monotonic()
         while seen < expected:
             if q.awaitTermination(1):
                 raise q.exception() or RuntimeError("the live query ended early")
+            was = seen
             if q.lastProgress and q.lastProgress["batchId"] > 0:
                 seen = spark.read.schema(WINDOW_OUT).parquet(out).agg(F.sum("event_count")).first()[0] or 0
+            if seen != was:
+                since = time.monotonic()
+            elif time.monotonic() - since > LIVE_PATIENCE_S:
+                raise TimeoutError(f"the live query gave out {seen} of {expected} events")
     finally:
         q.stop()
     return portable(spark.read.parquet(out).agg(F.sum("window_revenue").alias("total_revenue"),

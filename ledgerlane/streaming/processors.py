@@ -9,19 +9,25 @@ micro-batch. (The per-event running revenue of the source system's single-key st
 ``jobs.running_revenue_sink``: the same changelog, spread over all tasks.)
 
 The key must be a real column (``withColumn`` first).
+
+Spark starts one Python worker on the driver for such an operator, which sees neither the
+package archive sent to executors nor the program's own path. So everything of this module that
+runs in workers travels by value: it may use only what is installed there (pandas, pyarrow, pyspark).
 """
 
 from __future__ import annotations
 
+import sys
 from decimal import Decimal
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DecimalType, LongType, StructField, StructType
 
-from ledgerlane.session import ship
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 REVENUE_KEY = "totalRevenue"  # fixed value: the source system's constant key
 WINDOW_MS = 30_000            # fixed value: the source system's window
@@ -99,7 +105,6 @@ def apply_processing_time_windows(events: DataFrame, window_ms: int = WINDOW_MS)
     needs each micro-batch's sum: a stateless Arrow pass pre-aggregates every
     input partition first, and only one row per partition reaches the single
     key's task."""
-    ship(events.sparkSession)
     values = events.select(F.col("total_order_value").cast(DecimalType(38, 6))
                            .alias("total_order_value"))
     partials = values.mapInArrow(_partial_sums,

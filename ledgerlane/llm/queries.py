@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import ann, lines, mix, ngram, omh, pack, quality, tokens, urls, warc
+from ledgerlane.llm import align, ann, lines, mix, ngram, omh, pack, quality, tokens, urls, warc
 from ledgerlane.llm.common import shared_dir, staged, staged_path, table  # noqa: F401
 
-#: The box's public vocabulary; a parameter of every operator that needs one.
-VOCABULARY = "byte_bpe_50k.json"
+#: The box's public vocabularies; parameters of every operator that needs one.
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The rules of the URL filter.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -70,6 +70,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.removed_per_document(docs, least=1)
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path(PIECES))
+
+
 QUERIES = {f.__name__: f for f in (op1_mix, op2_pack, op3_warc, op4_jaccard, op5_nearest, op6_fingerprint,
-                                   op7_urls, op8_tokens, op9_quality, op10_lines)}
+                                   op7_urls, op8_tokens, op9_quality, op10_lines, op11_align)}
 ORACLE_SQL: dict[str, str] = {}

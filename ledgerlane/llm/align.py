@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import ship, staged
 
-#: Links held before a task spills; runs that one merge opens; bytes of postings for one task; radixes of the A id.
+#: Characters, and so links at most, a task holds before it spills; runs that one merge opens; bytes of postings for one task; radixes of the A id.
 SPILL_LINKS, FAN, TASK_BYTES, RADIXES = 2_000_000, 256, 32 << 20, 64
 RUNS = "spill long, radix int, pairs binary, postings binary, docs binary"
 RESULT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
@@ -60,14 +60,14 @@ def _byte_of_sign() -> dict[str, int]:
 
 
 class Aligned(tuple):
-    """(fits, n_a, n_b, n_groups, groups, keys, times): the alignment of one chunk or text. ``keys`` are its
-    distinct pairs, A id in the upper half, ``times`` how often each is linked."""
+    """(number, fits, n_a, n_b, groups, links): the alignment of one chunk or text. ``number`` is its own in the worker,
+    ``links`` are its pairs as 64-bit integers, A id in the upper half, repeats included."""
 
 
 class Aligner(dict):
     """Chunk -> its alignment. Neither vocabulary merges a visible sign with a blank or line end behind it, so
-    a text's alignment is the chain of its chunks' (blanks, then a word). The cache takes the first
-    ``entries`` chunks a worker meets; others are aligned each time."""
+    a text's alignment is the chain of its chunks' (blanks, then a word), and chunks not met before are aligned
+    many in a row. The cache takes the first ``entries`` chunks a worker meets; others serve one batch of texts."""
 
     def __init__(self, path_a: str, path_b: str, entries: int = 250_000):
         import sentencepiece
@@ -78,11 +78,16 @@ class Aligner(dict):
         self.a.encode_special_tokens = True
         sign = _byte_of_sign()
         special = {int(k) for k in self.a.get_added_tokens_decoder()}
-        self.bytes_a = {i: t.encode() if i in special else bytes(sign[c] for c in t) for t, i in self.a.get_vocab().items()}
+        signs = {i: t.encode() if i in special else bytes(sign[c] for c in t) for t, i in self.a.get_vocab().items()}
+        self.bytes_a = [signs.get(i, b"") for i in range(max(signs) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_BLANK, " ").encode()
                         for i, p in enumerate(pieces)]
-        self.blank = self.b.piece_to_id(_BLANK)
+        self.sizes = [np.array([len(x) for x in side]) for side in (self.bytes_a, self.bytes_b)]
+        # an id as text, with the sign behind it where it ends its side of a group, and where it doesn't
+        self.texts = [[np.array([f"{i}{sign}" for i in range(len(side))], object) for sign in (",", end)]
+                      for side, end in ((self.bytes_a, "|"), (self.bytes_b, ";"))]
+        self.made = 0
         crossing = re.compile(rf"[^{_BLANK}\n][{_BLANK}\n]|\n.|{_BLANK}\n", re.S)
         with open(path_a, encoding="utf-8") as f:
             spec = json.load(f)
@@ -91,54 +96,62 @@ class Aligner(dict):
                          and not any(crossing.search(p) for i, p in enumerate(pieces) if not self.b.is_byte(i))
                          and self.b.encode(" a  b\n", out_type=str)[:1] == [_BLANK])
 
-    def _sides(self, spaced: str, ids_b: list[int]) -> Aligned:
-        ids_a = self.a.encode(spaced, add_special_tokens=False).ids
-        raw = spaced.encode("utf-8", "surrogatepass")
-        parts_a, parts_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return Aligned((False, 0, 0, 0, b"", (), ()))
-        links: dict[int, int] = {}
-        groups, i, j, from_i, from_j, end_a, end_b = [], 0, 0, 0, 0, len(parts_a[0]), len(parts_b[0])
-        while True:
-            pair = ids_a[i] << 32 | ids_b[j]
-            links[pair] = links.get(pair, 0) + 1
-            was_a, was_b = end_a, end_b
-            if was_a == was_b:
-                groups.append(",".join(map(str, ids_a[from_i:i + 1])) + "|" + ",".join(map(str, ids_b[from_j:j + 1])))
-                from_i, from_j = i + 1, j + 1
-            if was_a <= was_b:
-                i += 1
-                if i < len(ids_a):
-                    end_a += len(parts_a[i])
-            if was_b <= was_a:
-                j += 1
-                if j < len(ids_b):
-                    end_b += len(parts_b[j])
-            if i == len(ids_a) or j == len(ids_b):
-                return Aligned((True, len(ids_a), len(ids_b), len(groups), ";".join(groups).encode(),
-                                tuple(links), tuple(links.values())))
-
-    def __missing__(self, chunk: str) -> Aligned:
-        if chunk == " ":  # nothing follows, and the vocabulary adds no blank to nothing
-            found = self._sides(chunk, [self.blank])
-        elif chunk[0] == " ":
-            found = self._sides(chunk, self.b.encode(chunk[1:]))
-        else:  # behind a line end: without the blank that the vocabulary adds
-            ids = self.b.encode(chunk)
-            found = self._sides(chunk, ids[1:] if ids[0] == self.blank else [])
-        if len(self) < self.room and len(chunk) <= 64:
-            self[chunk] = found
-        return found
-
-    def align(self, text: str) -> list[Aligned]:
-        """The alignments that make up the text's; none where it has no tokens."""
-        if not text:
-            return []
-        if not self.by_chunk or _WHOLE.search(text):
-            parts = [self._sides(" " + text, self.b.encode(text))]
-        else:
-            parts = list(map(self.__getitem__, _CHUNK.findall(" " + text)))
-        return parts if all(p[0] for p in parts) else []
+    def _row(self, chunks: list[str]) -> list[Aligned] | None:
+        """Alignments of the chunks, which stand in a row; None where they don't fit one by one. The first
+        begins with the blank that the pieces' vocabulary adds."""
+        text = "".join(chunks)
+        cuts = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in chunks])
+        ids = (np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64), np.array(self.b.encode(text[1:]), np.int64))
+        raw = text.encode("utf-8", "surrogatepass")
+        if any(b"".join([side[i] for i in x.tolist()]) != raw for side, x in zip((self.bytes_a, self.bytes_b), ids)):
+            return None
+        ends = [np.cumsum(size[x]) for size, x in zip(self.sizes, ids)]
+        both = np.union1d(*ends)  # between two ends lies one token of either side: a link
+        of = [np.searchsorted(e, both) for e in ends]
+        shared = both[(ends[0][of[0]] == both) & (ends[1][of[1]] == both)]
+        if not np.isin(cuts, shared).all():
+            return None
+        links = ids[0][of[0]] << 32 | ids[1][of[1]]
+        names, group = [], []
+        for text_, x, e in zip(self.texts, ids, ends):
+            at = np.searchsorted(shared, e)
+            names.append(np.where(shared[at] == e, text_[1][x], text_[0][x]))
+            group.append(at)
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        names = np.concatenate(names)[order].tolist()
+        n_a, n_b, n_links = (np.searchsorted(e, cuts, side="right").tolist() for e in (*ends, both))
+        out, a, b, k = [], 0, 0, 0
+        for to_a, to_b, to_k in zip(n_a, n_b, n_links):
+            groups = "".join(names[a + b:to_a + to_b])[:-1].encode()
+            out.append(Aligned((self.made, True, to_a - a, to_b - b, groups, links[k:to_k].tobytes())))
+            a, b, k = to_a, to_b, to_k
+            self.made += 1
+        return out
+
+    def _alone(self, text: str) -> Aligned:
+        """The alignment of a text, or of a chunk behind a word; if it doesn't fit, without tokens."""
+        row = self._row([" a", text]) if text[0] != " " else self._row([text]) if len(text) > 1 else self._row([" a", " "])
+        self.made += 1
+        return row[-1] if row else Aligned((self.made - 1, False, 0, 0, b"", b""))
+
+    def align(self, texts: list[str | None]) -> list[list[Aligned]]:
+        """For each text the alignments that make it up; none where it has no tokens."""
+        chunks = [[] if not t else None if not self.by_chunk or _WHOLE.search(t) else _CHUNK.findall(" " + t) for t in texts]
+        new = {c for row in chunks if row for c in row if c not in self}
+        found: dict[str, Aligned] = {}
+        # in a row, a chunk of blanks alone would join the next one
+        words = sorted(c for c in new if c.strip(" \n"))
+        for k in range(0, len(words), 4096):
+            row = self._row([" a", *words[k:k + 4096]])
+            found.update(zip(words[k:k + 4096], row[1:]) if row else ((c, self._alone(c)) for c in words[k:k + 4096]))
+        found.update((c, self._alone(c)) for c in new if c not in found)
+        if len(self) < self.room:
+            self.update((c, x) for c, x in found.items() if len(c) <= 64)
+        out = []
+        for text, row in zip(texts, chunks):
+            parts = [self._alone(" " + text)] if row is None else [self[c] if c in self else found[c] for c in row]
+            out.append(parts if all(p[1] for p in parts) else [])
+        return out
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
@@ -167,59 +180,65 @@ def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 class _Spill:
-    """Pair-document records of some documents, before they are written as runs."""
+    """Documents and their alignments, before they are written as runs."""
 
     def __init__(self):
-        self.docs, self.parts, self.of, self.links = [], [], [], 0
+        self.ids, self.parts, self.of, self.size = [], [], [], 0
 
     def add(self, doc_id: int | None, parts: list[Aligned]) -> None:
-        n_a, n_b, n_groups = (sum(p[k] for p in parts) for k in (1, 2, 3))
-        sha = hashlib.sha256(b";".join([p[4] for p in parts])).hexdigest() if parts else ""
-        # tokens that overlap form a path within their group, so links follow from the numbers of tokens
-        self.docs.append((doc_id, n_a, n_b, n_groups, n_a + n_b - n_groups, sha))
+        self.ids.append(doc_id)
         self.parts += parts
         self.of.append(len(parts))
-        self.links += n_a + n_b - n_groups + 1
+
+    def close(self) -> None:
+        """The distinct alignments, which of them each part is, and the document of each part."""
+        number = np.fromiter((p[0] for p in self.parts), np.int64, len(self.parts))
+        _, first, self.at = np.unique(number, return_index=True, return_inverse=True)
+        self.kinds = [self.parts[i] for i in first]
+        self.doc = np.repeat(np.arange(len(self.of)), self.of)
 
     def runs(self, radixes: int) -> Iterator[tuple[int, bytes, bytes]]:
         """(radix, pairs, postings) of every radix that has any, pairs in order of A id, then B id."""
         if not self.parts:
             return
-        place: dict[int, int] = {}
-        kinds: list[Aligned] = []
-        at = np.empty(len(self.parts), np.int64)
-        for k, part in enumerate(self.parts):
-            spot = place.setdefault(id(part), len(kinds))
-            if spot == len(kinds):
-                kinds.append(part)
-            at[k] = spot
-        doc = np.repeat(np.arange(len(self.of)), self.of)
-        seen, often = np.unique(doc * len(kinds) + at, return_counts=True)
+        kinds, n_docs = self.kinds, len(self.of)
+        seen, often = np.unique(self.doc * len(kinds) + self.at, return_counts=True)
         doc, at = np.divmod(seen, len(kinds))
-        sizes = np.array([len(p[5]) for p in kinds])
-        keys = np.fromiter((x for p in kinds for x in p[5]), np.uint64, sizes.sum())
-        times = np.fromiter((x for p in kinds for x in p[6]), np.int64, sizes.sum())
-        pairs, keys = np.unique(keys, return_inverse=True)
-        # one record for each (document, chunk) and pair of the chunk
+        sizes = np.array([len(p[5]) // 8 for p in kinds])
+        pairs, keys = np.unique(np.frombuffer(b"".join([p[5] for p in kinds]), np.uint64), return_inverse=True)
+        # one record for each (document, chunk) and link of the chunk
         n = sizes[at]
         where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(sizes) - sizes)[at], n)
-        record = keys[where] * len(self.of) + np.repeat(doc, n)
-        times = times[where] * np.repeat(often, n)
+        record = keys[where] * n_docs + np.repeat(doc, n)
+        times = np.repeat(often, n)
         order = np.argsort(record)
         record = record[order]
         first = np.flatnonzero(np.concatenate(([True], record[1:] != record[:-1])))
-        times, (pair, doc) = np.add.reduceat(times[order], first), np.divmod(record[first], len(self.of))
+        times, (pair, doc) = np.add.reduceat(times[order], first), np.divmod(record[first], n_docs)
         held = np.bincount(pair, minlength=len(pairs))
         of_pair = ((pairs >> np.uint64(32)) % np.uint64(radixes)).astype(np.int64)
-        of_record = of_pair[pair]
-        for radix in np.unique(of_pair):
-            some, mine = of_pair == radix, of_record == radix
+        by_radix, radix_of = np.argsort(of_pair, kind="stable"), of_pair[pair]
+        records = np.argsort(radix_of, kind="stable")
+        found, starts = np.unique(of_pair[by_radix], return_index=True)
+        cuts = np.searchsorted(radix_of[records], found)
+        for k, radix in enumerate(found):
+            some = by_radix[starts[k]:starts[k + 1] if k + 1 < len(found) else None]
+            mine = records[cuts[k]:cuts[k + 1] if k + 1 < len(found) else None]
             yield (int(radix), _packed(pairs[some], held[some].astype("<u8")),
                    _packed(doc[mine].astype("<u4"), times[mine].astype("<u4")))
 
     def documents(self) -> bytes:
-        ids, n_a, n_b, n_groups, links, sha = zip(*self.docs)
-        columns = [pa.array(c, pa.int64()) for c in (ids, n_a, n_b, n_groups, links)] + [pa.array(sha, pa.string())]
+        n_a, n_b, links = (np.zeros(len(self.of), np.int64) for _ in range(3))
+        for total, size in ((n_a, [p[2] for p in self.kinds]), (n_b, [p[3] for p in self.kinds]),
+                            (links, [len(p[5]) // 8 for p in self.kinds])):
+            np.add.at(total, self.doc, np.array(size, np.int64)[self.at])
+        sha, start = [], 0
+        for n in self.of:
+            groups = b";".join([p[4] for p in self.parts[start:start + n]])
+            sha.append(hashlib.sha256(groups).hexdigest() if n else "")
+            start += n
+        # tokens that overlap form a path within their group, so groups follow from the numbers of tokens
+        columns = [pa.array(c, pa.int64()) for c in (self.ids, n_a, n_b, n_a + n_b - links, links)] + [pa.array(sha, pa.string())]
         batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -233,7 +252,8 @@ def _rows(names: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
 
 def spill(docs: DataFrame, path_a: str, path_b: str, radixes: int = RADIXES, links: int = SPILL_LINKS) -> DataFrame:
     """Rows (spill, radix, pairs, postings) of all runs, and (spill, docs) of each spill's documents, from
-    rows (doc_id, text)."""
+    rows (doc_id, text). A spill ends with the document that brings it to ``links`` characters: a link covers
+    at least one byte."""
     ship(docs.sparkSession)
     names = {"spill": pa.int64(), "radix": pa.int32(), "pairs": pa.binary(), "postings": pa.binary(), "docs": pa.binary()}
 
@@ -241,17 +261,25 @@ def spill(docs: DataFrame, path_a: str, path_b: str, radixes: int = RADIXES, lin
         both, held, number = aligner(path_a, path_b), _Spill(), TaskContext.get().partitionId() << 24
 
         def out() -> Iterator[pa.RecordBatch]:
+            held.close()
             yield _rows(names, [(number, None, None, None, held.documents())])
             for radix, pairs, postings in held.runs(radixes):
                 yield _rows(names, [(number, radix, pairs, postings, None)])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.add(doc_id, both.align(text.as_py()))
-                if held.links >= links:
-                    yield from out()
-                    held, number = _Spill(), number + 1
-        if held.docs:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            start = size = 0
+            for k, text in enumerate(texts):
+                size += len(text or "") + 1
+                if held.size + size >= links or k + 1 == len(texts):
+                    for doc_id, parts in zip(ids[start:k + 1], both.align(texts[start:k + 1])):
+                        held.add(doc_id, parts)
+                    held.size += size
+                    start, size = k + 1, 0
+                    if held.size >= links:
+                        yield from out()
+                        held, number = _Spill(), number + 1
+        if held.ids:
             yield from out()
 
     return docs.mapInArrow(write, RUNS)

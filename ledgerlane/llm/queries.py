@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import align, ann, lines, mix, ngram, omh, pack, phrases, quality, tokens, urls, warc
+from ledgerlane.llm import align, ann, lines, mix, ngram, omh, pack, phrases, pii, quality, tokens, urls, warc
 from ledgerlane.llm.common import shared_dir, staged, staged_path, table  # noqa: F401
 
 #: The box's public vocabularies; parameters of every operator that needs one.
@@ -74,11 +74,15 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_documents(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path(PIECES))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_mix, op2_pack, op3_warc, op4_jaccard, op5_nearest, op6_fingerprint,
                                    op7_urls, op8_tokens, op9_quality, op10_lines, op11_align,
-                                   op13_phrases)}
+                                   op12_pii, op13_phrases)}
 ORACLE_SQL: dict[str, str] = {}

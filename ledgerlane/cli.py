@@ -42,13 +42,13 @@ def place(spark: SparkSession, args) -> None:
     headers = requests.select("order_key", F.lit(None).cast("string").alias("order_number"),
                               "order_email")
     inventory = read_inventory(spark, args.inventory)
-    bad = (placement.quarantine_requests(lines, inventory)
-           .unionByName(placement.quarantine_nested_requests(requests))
-           .unionByName(placement.inventory_conflicts(lines, inventory)))
-    bad = _stored(bad, f"{args.out}/quarantine")
+    bad = _stored(placement.raising_requests(requests, lines, inventory), f"{args.out}/quarantine")
     decisions = placement.placement_decisions(headers, lines, inventory, exclude=bad)
     decided = _stored(decisions, f"{args.out}/decisions")
-    store_confirmed(decided, lines, f"{args.out}/orders", f"{args.out}/order_lines", "overwrite")
+    # by default a batch is known by its requests: the same ones again add nothing
+    batch = args.batch if args.batch is not None else requests.agg(
+        F.coalesce(F.bit_xor(F.xxhash64("order_key", "order_email")), F.lit(0)).bitwiseAND(F.lit((1 << 62) - 1))).first()[0]
+    store_confirmed(decided, lines, args.out, batch)
     published_events(decided).write.mode("overwrite").parquet(f"{args.out}/published")
 
 
@@ -104,6 +104,7 @@ def main(argv=None) -> None:
     a.add_argument("--requests", required=True)
     a.add_argument("--inventory", required=True)
     a.add_argument("--out", required=True)
+    a.add_argument("--batch", type=int, help="the batch's id; by default it follows from the requests")
     b = sub.add_parser("metrics")
     b.add_argument("--events", required=True)
     b.add_argument("--out", required=True)

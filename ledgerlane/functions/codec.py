@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DecimalType, StringType, StructField, StructType
 
 from ledgerlane.schemas import EVENT_VALUE, WIRE_FIELDS
 
@@ -65,7 +65,7 @@ def _parsed(raw: DataFrame, value_col: str, keep: tuple[str, ...]) -> DataFrame:
     bare = F.filter(F.regexp_extract_all("_text", F.lit(_BARE_VALUE), F.lit(1)),
                     lambda t: t.try_cast("double") == value.try_cast("double"))
     token = F.coalesce(F.get(bare, F.size(bare) - 1),
-                       F.nullif(F.regexp_replace(value, _BLANKS, ""), F.lit("")))
+                       without_blanks(value))
     return parsed.select(*[F.col(c) for c in keep], "_e", "_keys",
                          _nested(F.col("_text")).alias("_nested"), token.alias("_token"))
 
@@ -76,14 +76,31 @@ def _readable() -> Column:
             & F.coalesce(F.col("_token").rlike(_NUMBER), F.lit(True)))
 
 
-def _exact() -> Column:
-    """Whether the token's number fits the value type without rounding: its decimals, less what the
-    exponent takes away, number six at most."""
-    token = F.col("_token")
+def is_number(token: Column) -> Column:
+    """Whether the mapper reads the token, from a number or from quoted text, as a number."""
+    return token.rlike(_NUMBER)
+
+
+def without_blanks(token: Column) -> Column:
+    """Quoted text as the mapper takes it for a number: blanks around it gone, null if nothing is left."""
+    return F.nullif(F.regexp_replace(token, _BLANKS, ""), F.lit(""))
+
+
+def fits_exactly(token: Column, kind: DecimalType) -> Column:
+    """Whether the token's number fits the decimal type without rounding: its decimals, less what the
+    exponent takes away, number no more than the scale. A zero always does."""
     fraction = F.length(F.regexp_extract(token, r"[.]([0-9]*?)0*([eE]|$)", 1))
+    whole_zeros = F.when(fraction > 0, F.lit(0)).otherwise(
+        F.length(F.regexp_extract(token, r"^[+-]?[0-9]*?(0*)([.]0*)?([eE]|$)", 1)))
     exponent = F.coalesce(F.regexp_extract(token, r"[eE]([+-]?[0-9]{1,9})$", 1).try_cast("int"), F.lit(0))
-    fits = token.try_cast(_VALUE_TYPE).isNotNull() & (fraction - exponent <= EVENT_VALUE.scale)
-    return F.when(token.isNull(), F.lit(True)).otherwise(fits)
+    zero = token.rlike(r"^[+-]?[0.]+([eE]|$)")
+    return token.try_cast(kind).isNotNull() & (zero | (fraction - whole_zeros - exponent <= kind.scale))
+
+
+def _exact() -> Column:
+    """Whether the token's number fits the value type without rounding."""
+    token = F.col("_token")
+    return F.when(token.isNull(), F.lit(True)).otherwise(fits_exactly(token, EVENT_VALUE))
 
 
 def decode_order_events(raw: DataFrame, value_col: str = "value",

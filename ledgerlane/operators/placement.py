@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane.functions.ids import order_number_for_key
 from ledgerlane.schemas import CONFIRMED, FAILED
+from ledgerlane.sources.requests import unrepresentable_prices
 
 TOTAL_TYPE = "decimal(38,6)"
 
@@ -39,6 +40,12 @@ def explode_request_lines(requests: DataFrame) -> DataFrame:
                     .select("order_key", "line.sku_code", "line.price", "line.quantity"))
 
 
+def explode_request_positions(requests: DataFrame) -> DataFrame:
+    """E1 with each line's place in its request, from 0."""
+    return (requests.select("order_key", F.posexplode("items").alias("position", "line"))
+                    .select("order_key", "position", "line.sku_code", "line.price", "line.quantity"))
+
+
 def valid_lines(lines: DataFrame) -> DataFrame:
     """Keep lines with quantity > 0. Runs before the stock check, so a
     dropped line can never fail its order."""
@@ -100,6 +107,23 @@ def sku_lookup(skus: DataFrame, inventory: DataFrame) -> DataFrame:
                 .select("sku_code", F.coalesce(checked.cast("int"), F.col("_q")).alias("quantity")))
 
 
+def stock_answer_lists(headers: DataFrame, lines: DataFrame, inventory: DataFrame, position: str = "position",
+                       part_lines: int = 10_000) -> DataFrame:
+    """J1 as the stock service answers: per request (order_key of ``headers``) its answers (sku_code, in_stock) in the
+    order of the requested lines, duplicates kept; a request without lines gets an empty list. A request of more
+    than ``part_lines`` positions is answered in parts, numbered from 0 in the same order, so that none has to fit
+    one task; ``lines`` are the valid lines with their ``position`` (from ``explode_request_positions``)."""
+    answered = lines.join(stock_table(inventory), "sku_code", "left").select(
+        "order_key", F.floor(F.col(position) / F.lit(part_lines)).alias("part"),
+        F.struct(F.col(position).alias("position"), "sku_code", _answer().alias("in_stock")).alias("answer"))
+    parts = answered.groupBy("order_key", "part").agg(F.sort_array(F.collect_list("answer")).alias("answers"))
+    lists = F.transform("answers", lambda a: F.struct(a["sku_code"].alias("sku_code"), a["in_stock"].alias("in_stock")))
+    none = F.array().cast("array<struct<sku_code:string,in_stock:boolean>>")
+    return (headers.select("order_key").join(parts.select("order_key", "part", lists.alias("answers")), "order_key", "left")
+            .select("order_key", F.coalesce("part", F.lit(0).cast("long")).alias("part"),
+                    F.coalesce("answers", none).alias("answers")))
+
+
 def stock_answers(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     """One answer per requested line, duplicates kept; unknown SKU → not
     in stock. A requested SKU stored twice raises, as the lookup (P5) does;
@@ -179,9 +203,12 @@ def inventory_conflicts(lines: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def quarantine_nested_requests(requests: DataFrame) -> DataFrame:
-    """R2 for nested input: a request without a line list raises before any event."""
-    return (requests.filter(F.col("items").isNull())
-                    .select("order_key", F.lit("null line list").alias("reason")))
+    """R2 for nested input: a request without a line list raises before any event; so does one of
+    which a price can't be read, and one whose price can't be held exactly gets no decision (R1)."""
+    bad = requests.filter(F.col("items").isNull()).select("order_key", F.lit("null line list").alias("reason"))
+    if "price_text" in requests.schema["items"].dataType.elementType.names:
+        bad = bad.unionByName(unrepresentable_prices(requests).groupBy("order_key").agg(F.min("reason").alias("reason")))
+    return bad
 
 
 def quarantine_requests(lines: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -195,3 +222,15 @@ def quarantine_requests(lines: DataFrame, inventory: DataFrame) -> DataFrame:
                      .join(stock_table(inventory).filter("in_stock"), "sku_code", "left_semi")
                      .select("order_key", F.lit("null price").alias("reason")))
     return raised.unionByName(unpriced).groupBy("order_key").agg(F.min("reason").alias("reason"))
+
+
+def raising_requests(requests: DataFrame, lines: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(order_key, reason) of all nested requests that get no decision, one reason each: what can't be read
+    at all comes first."""
+    found = [quarantine_nested_requests(requests), quarantine_requests(lines, inventory),
+             inventory_conflicts(lines, inventory)]
+    rows = None
+    for k, part in enumerate(found):
+        part = part.select("order_key", F.struct(F.lit(k).alias("rank"), "reason").alias("first"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("order_key").agg(F.min("first").alias("first")).select("order_key", "first.reason")

@@ -2,7 +2,7 @@
 
 Publishing is one write with a per-row ``topic`` column: every decision goes
 to both topics, CONFIRMED and FAILED alike. Kafka writes are at-least-once;
-file writes are atomic per job. The console lines (K2) are ``functions.text.console_line``.
+file writes are atomic per job. An order is stored with its lines or not at all (``operators.commits``). The console lines (K2) are ``functions.text.console_line``.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.functions.codec import order_event_json
+from ledgerlane.operators.commits import write_together
 from ledgerlane.operators.placement import confirmed_order_lines, confirmed_orders
 from ledgerlane.sources.events import EVENT_TOPIC, SECOND_TOPIC
 
@@ -32,8 +33,13 @@ def publish_to_kafka(records: DataFrame, bootstrap_servers: str) -> None:
             .option("kafka.bootstrap.servers", bootstrap_servers).save())
 
 
-def store_confirmed(decisions: DataFrame, lines: DataFrame, orders_path: str,
-                    lines_path: str, mode: str = "append") -> None:
-    """K4: persist the header and line tables of CONFIRMED orders only."""
-    confirmed_orders(decisions).write.mode(mode).parquet(orders_path)
-    confirmed_order_lines(decisions, lines).write.mode(mode).parquet(lines_path)
+def confirmed_tables(decisions: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:
+    """K4: the header and line tables of CONFIRMED orders."""
+    return {"orders": confirmed_orders(decisions), "order_lines": confirmed_order_lines(decisions, lines)}
+
+
+def store_confirmed(decisions: DataFrame, lines: DataFrame, root: str, batch: int) -> bool:
+    """K4: persist the header and line tables of CONFIRMED orders only, under ``root``/orders and
+    ``root``/order_lines, visible together to ``read_committed``. A batch that is stored already stays as it
+    is (then false)."""
+    return write_together(confirmed_tables(decisions, lines), root, batch)

@@ -21,7 +21,7 @@ from ledgerlane.session import read_table
 from ledgerlane.sources import fixtures as fx
 from ledgerlane.sources.events import render_event_json
 from ledgerlane.sources.requests import (parse_order_requests, render_order_requests,
-                                         request_summary)
+                                         request_summary, unrepresentable_prices)
 from ledgerlane.sources.synthetic import synthetic_order_events
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -64,6 +64,27 @@ def q_order_lines_nested(spark: SparkSession, sf: str) -> DataFrame:
     return portable(placement.explode_request_lines(_parsed_requests(spark, sf)))
 
 
+def q_request_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: every price of nested requests, as written and as held; null where it can't be held exactly."""
+    requests = parse_order_requests(fx.price_requests(spark, sf), key=F.col("order_key"))
+    lines = requests.select("order_key", F.explode("items").alias("line"))
+    return lines.select("order_key", "line.id", "line.sku_code", "line.price_text",
+                        codec.plain_number(F.col("line.price")).alias("price"))
+
+
+def q_unrepresentable_prices(spark: SparkSession, sf: str) -> DataFrame:
+    return unrepresentable_prices(parse_order_requests(fx.price_requests(spark, sf), key=F.col("order_key")))
+
+
+def q_stock_answer_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """One list of answers per request, in the order of its lines, written out as text."""
+    requests = fx.placed_requests(spark, sf)
+    lines = placement.valid_lines(placement.explode_request_positions(requests))
+    lists = placement.stock_answer_lists(requests, lines, fx.inventory(spark, sf))
+    answer = F.array_join(F.transform("answers", lambda a: F.concat(a["sku_code"], F.lit(":"), a["in_stock"].cast("string"))), ",")
+    return lists.select("order_key", "part", F.size("answers").cast("long").alias("answer_count"), answer.alias("answers"))
+
+
 def q_quarantined_requests(spark: SparkSession, sf: str) -> DataFrame:
     bad = placement.quarantine_requests(fx.damaged_lines(spark, sf), fx.inventory(spark, sf))
     return bad.unionByName(placement.quarantine_nested_requests(fx.nested_requests(spark, sf)))
@@ -235,6 +256,9 @@ BATCH_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "order_requests": q_order_requests,
     "order_requests_nested": q_order_requests_nested,
     "order_lines_nested": q_order_lines_nested,
+    "request_prices": q_request_prices,
+    "unrepresentable_prices": q_unrepresentable_prices,
+    "stock_answer_lists": q_stock_answer_lists,
     "order_lines": q_order_lines,
     "valid_order_lines": q_valid_order_lines,
     "line_values": q_line_values,

@@ -124,6 +124,30 @@ SELECT order_key, 'sku' || CAST((order_key * 3 + i) % 1000 AS VARCHAR) AS sku_co
        CAST((order_key + i) % 4 - 1 AS INTEGER) AS quantity
 FROM (SELECT o_orderkey AS order_key, unnest(range(1, o_orderkey % 5 + 1)) AS i
       FROM orders WHERE o_orderkey % 11 <> 0)""",
+    "request_prices": """
+SELECT o_orderkey AS order_key, CAST(1 AS BIGINT) AS id, 'price' AS sku_code,
+       CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS price_text,
+       regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '\\.?0+$', '') AS price
+FROM orders
+UNION ALL
+SELECT o_orderkey, 2, 'a"price": 5',
+       list_extract(['7.25', '1.0000005', '12345678901234.5', '1E3', '8.50', '1.5000000', '123456789012345678901.5',
+                     'abc', '12.000001', '12300000000000000000000E-9'], CAST(o_orderkey % 10 + 1 AS INTEGER)),
+       list_extract(['7.25', NULL, '12345678901234.5', '1000', '8.5', '1.5', NULL, NULL, '12.000001', '12300000000000'],
+                    CAST(o_orderkey % 10 + 1 AS INTEGER))
+FROM orders""",
+    "unrepresentable_prices": """
+SELECT o_orderkey AS order_key, CAST(1 AS INTEGER) AS position,
+       CASE o_orderkey % 10 WHEN 1 THEN '1.0000005' WHEN 6 THEN '123456789012345678901.5' ELSE 'abc' END AS price_text,
+       CASE WHEN o_orderkey % 10 = 7 THEN 'price is no number' ELSE 'price beyond decimal(26,6)' END AS reason
+FROM orders WHERE o_orderkey % 10 IN (1, 6, 7)""",
+    "stock_answer_lists": RQ + """
+SELECT h.order_key, CAST(0 AS BIGINT) AS part, count(l.sku_code) AS answer_count,
+       coalesce(string_agg(l.sku_code || ':' || CASE WHEN coalesce(i.quantity > 0, false) THEN 'true' ELSE 'false' END,
+                           ',' ORDER BY l.id, l.sku_code, l.price, l.quantity), '') AS answers
+FROM request_headers h LEFT JOIN valid_lines l ON h.order_key = l.order_key
+LEFT JOIN stock i ON l.sku_code = i.sku_code
+GROUP BY h.order_key""",
     "quarantined_requests": RQ + """,
 damaged AS (
   SELECT order_key, CASE WHEN order_key % 97 <> 0 THEN quantity END AS quantity,
@@ -273,8 +297,14 @@ ORACLE_SQL["order_dashboard"] = EV + "\nUNION ALL\n".join([
             f"(SELECT {_BUCKET} AS w, sum(total_order_value) AS s, count(*) AS n FROM order_events GROUP BY 1)"),
 ])
 
+_DECIDED = ORACLE_SQL["placement_decisions"]
+
 # Batch twins that only streaming queries use (not registered as batch queries).
 TWIN_SQL: dict[str, str] = {
+    "placement_restocked": f"""
+SELECT * FROM ({_DECIDED}) WHERE order_key % 2 = 0
+UNION ALL
+SELECT * FROM ({_DECIDED.replace("p_size % 10", "(p_size + 1) % 10")}) WHERE order_key % 2 = 1""",
     "order_events": EV + """
 SELECT event_id, order_number, order_email, order_status,
        CAST(total_order_value AS DOUBLE) AS total_order_value

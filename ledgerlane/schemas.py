@@ -2,7 +2,7 @@
 
 Decimals: the source system uses arbitrary-precision decimals. Spark has no
 arbitrary-scale type, so event values are DECIMAL(38,6) and prices
-DECIMAL(18,6); inputs with more than six decimals are rounded (decision R1).
+DECIMAL(26,6); inputs that these can't hold exactly are not rounded but listed (decision R1).
 Fixture adapters produce DECIMAL(18,2), which widens into these losslessly.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql.types import (ArrayType, DecimalType, IntegerType, LongType, St
                                StructField, StructType)
 
 EVENT_VALUE = DecimalType(38, 6)
-PRICE = DecimalType(18, 6)
+PRICE = DecimalType(26, 6)
 
 # The order statuses the source system produces.
 CONFIRMED = "CONFIRMED"
@@ -53,7 +53,7 @@ ORDER_REQUEST_WIRE = StructType([
     StructField("orderLineItemsDtoList", ArrayType(StructType([
         StructField("id", LongType()),
         StructField("skuCode", StringType()),
-        StructField("price", PRICE),
+        StructField("price", StringType()),   # the number as written
         StructField("quantity", IntegerType()),
     ]))),
 ])

@@ -100,6 +100,39 @@ def nested_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(key % 11 != 0, F.slice(items, F.lit(2), (key % 5).cast("int"))).alias("items"))
 
 
+def placed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``request_headers`` and ``request_lines`` as nested requests, lines in the order of their id."""
+    line = F.struct("id", "sku_code", F.col("price").cast("decimal(26,6)").alias("price"), "quantity")
+    items = request_lines(spark, sf_dir).groupBy("order_key").agg(F.sort_array(F.collect_list(line)).alias("items"))
+    none = F.array().cast(items.schema["items"].dataType)
+    return (request_headers(spark, sf_dir).join(items, "order_key", "left")
+            .select("order_key", "order_email", F.coalesce("items", none).alias("items")))
+
+
+def restocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later state of ``inventory``: every quantity is another one."""
+    p = read_table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").cast("string").alias("sku_code"),
+                    ((F.col("p_size") + 1) % STOCK_MODULUS).cast("int").alias("quantity"))
+
+
+# What order_key % 10 gives the price of a request's second line.
+PRICE_TOKENS = ["7.25", "1.0000005", "12345678901234.5", "1E3", '"8.50"', "1.5000000", "123456789012345678901.5",
+                '"abc"', '" 12.000001 "', "12300000000000000000000E-9"]
+
+
+def price_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders → (order_key, value): requests in their wire form with two lines, the second one's price written
+    in the way of ``PRICE_TOKENS`` that the key picks."""
+    o = read_table(spark, sf_dir, "orders")
+    token = F.get(F.array(*[F.lit(t) for t in PRICE_TOKENS]), (F.col("o_orderkey") % len(PRICE_TOKENS)).cast("int"))
+    first = F.concat(F.lit('{"id":1,"skuCode":"price","price":'), F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
+                     F.lit(',"quantity":1}'))
+    second = F.concat(F.lit(',{"skuCode":"a\\"price\\": 5","id":2,"quantity":2,"price" : '), token, F.lit("}"))
+    return o.select(F.col("o_orderkey").alias("order_key"), F.concat(
+        F.lit('{"orderEmail":"p@example.com","orderLineItemsDtoList":['), first, second, F.lit("]}")).alias("value"))
+
+
 def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``request_lines`` with every line kept and nulls in a share of them: the quantity where
     ``order_key % 97 = 0``, the SKU where ``% 89``, the price where ``% 83``."""

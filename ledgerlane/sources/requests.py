@@ -12,24 +12,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlane.schemas import INVENTORY, ORDER_REQUEST, ORDER_REQUEST_WIRE
+from ledgerlane.functions.codec import fits_exactly, is_number, without_blanks
+from ledgerlane.schemas import INVENTORY, ORDER_REQUEST, ORDER_REQUEST_WIRE, PRICE
 
 # The stock service's seed rows (sku → quantity).
 INVENTORY_SEED = [("iphone_13", 10), ("iphone_14", 0), ("iphone_15", 5)]
 
 
+# A bare price; a parser would hand it on by way of a double. In JSON, an unescaped name with a colon behind
+# it is a field's name and never part of a text.
+_BARE_PRICE = r'("price"\s*:\s*)(-?[0-9][-+0-9.eE]*)'
+PRICE_BEYOND, PRICE_NO_NUMBER = "price beyond " + PRICE.simpleString(), "price is no number"
+
+
 def parse_order_requests(raw: DataFrame, value_col: str = "value", key: Column | None = None) -> DataFrame:
     """Requests in their JSON wire form → (order_key, order_email, items). A record has no id of
     its own: ``key``, by default a hash of its text, must be the same on a replay. Text that is no
-    request gives a request without a list, which ``quarantine_nested_requests`` lists."""
+    request gives a request without a list, which ``quarantine_nested_requests`` lists.
+
+    Prices are read as written: bare numbers are quoted ahead of the parse. ``price`` holds those that
+    ``schemas.PRICE`` holds exactly; ``price_text`` keeps every one, and ``unrepresentable_prices`` lists the
+    rest. None is rounded."""
     value = F.col(value_col).cast("string")
-    parsed = F.from_json(value, ORDER_REQUEST_WIRE, {"allowSingleQuotes": "false"})
+    quoted = F.regexp_replace(value, _BARE_PRICE, '$1"$2"')
+    parsed = F.from_json(quoted, ORDER_REQUEST_WIRE, {"allowSingleQuotes": "false"})
     key = F.xxhash64(value) if key is None else key
     return raw.select(key.alias("order_key"), parsed.alias("r")).select(
         "order_key", F.col("r.orderEmail").alias("order_email"),
         F.transform("r.orderLineItemsDtoList", lambda i: F.struct(
-            i["id"].alias("id"), i["skuCode"].alias("sku_code"), i["price"].alias("price"),
-            i["quantity"].alias("quantity"))).alias("items"))
+            i["id"].alias("id"), i["skuCode"].alias("sku_code"), _exact_price(i["price"]).alias("price"),
+            i["quantity"].alias("quantity"), without_blanks(i["price"]).alias("price_text"))).alias("items"))
+
+
+def _exact_price(written: Column) -> Column:
+    token = without_blanks(written)
+    return F.when(is_number(token) & fits_exactly(token, PRICE), token.try_cast(PRICE))
+
+
+def unrepresentable_prices(requests: DataFrame) -> DataFrame:
+    """(order_key, position, price_text, reason) of the lines of parsed requests whose price is no number, or
+    has more digits than ``schemas.PRICE`` holds exactly."""
+    lines = requests.select("order_key", F.posexplode("items").alias("position", "line"))
+    written = F.col("line.price_text")
+    return lines.filter(written.isNotNull() & F.col("line.price").isNull()).select(
+        "order_key", "position", written.alias("price_text"),
+        F.when(is_number(written), PRICE_BEYOND).otherwise(PRICE_NO_NUMBER).alias("reason"))
 
 
 def read_order_requests(spark: SparkSession, path: str, fmt: str = "json",

@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from ledgerlane.functions.codec import decode_order_events
 from ledgerlane.functions.text import notification_line, processing_line
+from ledgerlane.operators.commits import read_committed
 from ledgerlane.plans.catalog import TS_FORMAT, portable, timed_projection
 from ledgerlane.session import read_table, shared_path
+from ledgerlane.sources import fixtures as fx
 from ledgerlane.sources.events import render_event_json
-from ledgerlane.streaming import jobs
+from ledgerlane.sources.requests import parse_order_requests, render_order_requests
+from ledgerlane.streaming import closing, jobs
 from ledgerlane.streaming.dashboard import await_all, read_dashboard, start_dashboard
+from ledgerlane.streaming.placement import placement_sink
 from ledgerlane.streaming.processors import WINDOW_OUT, apply_processing_time_windows
 
 
@@ -129,6 +133,65 @@ def s_order_dashboard(spark: SparkSession, sf: str) -> DataFrame:
     return rows
 
 
+def _in_turn(spark: SparkSession, rows: DataFrame, parts: int, schema, run: Callable[[DataFrame, int], None]) -> None:
+    """Feed a stream with ``rows`` (column ``part``) in as many files as parts; a query on the same checkpoint
+    is started again for each: ``run(stream, part)``."""
+    src = shared_path(spark, "stream-in")
+    for part in range(parts):
+        rows.filter(F.col("part") == part).drop("part").write.mode("append").parquet(src)
+        run(spark.readStream.schema(schema).parquet(src), part)
+
+
+def _placed(spark: SparkSession, sf: str, part, parts: int, inventory: Callable[[SparkSession, int], DataFrame]) -> DataFrame:
+    """All requests in their wire form, streamed in parts with a restart after each, and decided."""
+    out, ckpt = _paths(spark, "stream-placement")
+    wire = render_order_requests(fx.placed_requests(spark, sf)).withColumn("part", part)
+
+    def run(stream: DataFrame, k: int) -> None:
+        requests = parse_order_requests(stream, key=F.col("order_key"))
+        jobs.run_available(placement_sink(requests, lambda s: inventory(s, k), out, ckpt))
+
+    _in_turn(spark, wire, parts, wire.drop("part").schema, run)
+    return portable(read_committed(spark, out, "decisions"))
+
+
+def s_placement_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """S3 + J1 + E4 + K4: placement of nested requests on a stream."""
+    return _placed(spark, sf, F.pmod(F.xxhash64("order_key"), F.lit(3)), 3, lambda s, _: fx.inventory(s, sf))
+
+
+def s_placement_restocked(spark: SparkSession, sf: str) -> DataFrame:
+    """S2 + J1: the stock changes while requests stream; each is decided on the stock of its time."""
+    return _placed(spark, sf, F.col("order_key") % 2, 2,
+                   lambda s, k: fx.restocked(s, sf) if k else fx.inventory(s, sf))
+
+
+def _event_parts(spark: SparkSession, sf: str, parts: int) -> DataFrame:
+    """The events table in parts by id, which follows arrival, but for every fiftieth event: one part late."""
+    events = read_table(spark, sf, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    part = F.floor(F.col("event_id") * parts / (last + 1)) + (F.col("event_id") % 50 == 0).cast("int")
+    return events.withColumn("part", F.least(part, F.lit(parts - 1)).cast("int"))
+
+
+def s_closed_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """A3: windows emitted once when they close, corrected when events come later than that."""
+    out, ckpt = _paths(spark, "stream-closed-windows")
+    rows = _event_parts(spark, sf, 4)
+    _in_turn(spark, rows, 4, rows.drop("part").schema, lambda stream, _: jobs.run_available(
+        closing.closed_windows_sink(jobs.as_order_events(stream), out, ckpt)))
+    return portable(closing.window_totals(spark, out))
+
+
+def s_status_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 in update mode, started again between files."""
+    out, ckpt = _paths(spark, "stream-status-updates")
+    rows = _event_parts(spark, sf, 3)
+    _in_turn(spark, rows, 3, rows.drop("part").schema, lambda stream, _: jobs.run_available(
+        jobs.status_updates_sink(jobs.as_order_events(stream), out, ckpt)))
+    return jobs.read_upserts(spark, out, ["order_status"])
+
+
 #: How long the live query may go without giving out another event before it counts as stuck.
 LIVE_PATIENCE_S = 180
 
@@ -174,6 +237,10 @@ STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_decode_order_events": s_decode_order_events,
     "order_dashboard": s_order_dashboard,
     "live_window_revenue": s_live_window_revenue,
+    "stream_placement_decisions": s_placement_decisions,
+    "stream_placement_restocked": s_placement_restocked,
+    "stream_closed_windows": s_closed_windows,
+    "stream_status_updates": s_status_updates,
 }
 
 # Stream query → oracle SQL key (in plans.oracle.ORACLE_SQL) of its batch twin.
@@ -191,4 +258,8 @@ STREAM_ORACLE_TWINS = {
     "stream_decode_order_events": "decode_order_events",
     "order_dashboard": "order_dashboard",
     "live_window_revenue": "revenue_total",
+    "stream_placement_decisions": "placement_decisions",
+    "stream_placement_restocked": "placement_restocked",
+    "stream_closed_windows": "revenue_tumbling_30s",
+    "stream_status_updates": "status_counts",
 }

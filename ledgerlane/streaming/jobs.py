@@ -46,8 +46,12 @@ def fixture_event_stream(spark: SparkSession, sf_dir: str,
     reader = spark.readStream.schema(_events_schema(spark, sf_dir, glob)).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    ev = to_order_events(reader.parquet(sf_dir))
-    return ev.withColumn("arrival", F.col("arrival").cast("timestamp"))
+    return as_order_events(reader.parquet(sf_dir))
+
+
+def as_order_events(events: DataFrame) -> DataFrame:
+    """A stream of rows of the events table as order events."""
+    return to_order_events(events).withColumn("arrival", F.col("arrival").cast("timestamp"))
 
 
 def _events_schema(spark: SparkSession, folder: str, glob: str):
@@ -213,6 +217,22 @@ def status_counts_sink(events: DataFrame, out_path: str, checkpoint: str, name:
     return partials_sink(events, status_counts, out_path, checkpoint, name)
 
 
+def status_updates_sink(events: DataFrame, out_path: str, checkpoint: str, name: str | None = None):
+    """A1 in update mode: the engine keeps the count of each status, every trigger gives out those that
+    changed. State is recovered from the checkpoint. Read with ``read_upserts(…, ["order_status"])``."""
+    w = (status_counts(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda batch, batch_id: write_batch(batch, out_path, batch_id)))
+    return w.queryName(name) if name else w
+
+
+def read_upserts(spark: SparkSession, out_path: str, keys: list[str]) -> DataFrame:
+    """The latest row of each key among what the triggers gave out."""
+    rows = spark.read.parquet(out_path)
+    rest = [c for c in rows.columns if c not in (*keys, BATCH_COL)]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH_COL).alias("latest"))
+    return latest.select(*keys, "latest.*")
+
+
 def window_revenue_sink(events: DataFrame, out_path: str, checkpoint: str, length: str = WINDOW_LENGTH,
                         name: str | None = None):
     """A3 replayed on arrival time: tumbling windows; read with ``read_partials(…, WINDOW_KEYS,

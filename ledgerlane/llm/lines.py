@@ -1,8 +1,9 @@
 """Line dedup: exact set-similarity join over lines, in DataFrame operations.
 
 A line is the set of its words. Words are ordered by rarity: the count of their hash cell in a table
-of fixed size over all lines, then their hash; any order gives the same result, a good one
-fewer pairs. Two lines of Jaccard similarity t share one of their first (1 - t) n + 1 words.
+of ``CELLS`` numbers over all lines, then their hash; any order gives the same result, a good one
+fewer pairs. The table only has to tell the frequent words from the rest, so it is small enough for a constant of
+the plan. Two lines of Jaccard similarity t share one of their first (1 - t) n + 1 words.
 
 1. Lines of equal sets are one; all but the first occurrence go. That settles lines so short that
    no unequal set reaches the threshold (three words at 0.8).
@@ -14,7 +15,7 @@ fewer pairs. Two lines of Jaccard similarity t share one of their first (1 - t)
 
 So a line goes if, and only if, an earlier line (by document id, nulls last, then line number)
 has a similarity of at least the threshold. Lines of fewer than ``least`` distinct words stay, like
-empty ones; the registered query and the pipeline take all lines that have a word (``least`` 1). Null texts stay null. Rows of one id are told apart by their text. An empty table
+empty ones; by default (1) all lines that have a word take part. Null texts stay null. Rows of one id are told apart by their text. An empty table
 gives no rows. Extra columns are kept by ``dedup``.
 """
 
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import array_literal, dense_array, fresh, passing, staged, words
 
-CELLS = 1 << 20
+CELLS = 1 << 14
 WORD = (1 << 56) - 1
-THRESHOLD, LEAST = (80, 100), 3
+THRESHOLD, LEAST = (80, 100), 1
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:

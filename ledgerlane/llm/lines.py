@@ -94,10 +94,9 @@ def later_matches(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, least
     longer = rows.filter(F.size("tokens") * (b - a) >= a)  # n / (n + 1) reaches the threshold
     keys = longer.select("lid", F.posexplode(prefix).alias("pos", "key")).distinct()
     by_key = Window.partitionBy("key")
-    with passing(docs.sparkSession):
-        shared = staged(keys.withColumns({"lo": F.min("lid").over(by_key), "hi": F.max("lid").over(by_key)})
-                        .filter("lo < hi").select("key", "lid", "pos"), "shared")
-        known = staged(shared.join(firsts, "lid"), "known", last=True)
+    shared = staged(keys.withColumns({"lo": F.min("lid").over(by_key), "hi": F.max("lid").over(by_key)})
+                    .filter("lo < hi").select("key", "lid", "pos"), "shared")
+    known = shared.join(firsts, "lid")  # not written: it is several times the size of either side
 
     alike = Window.partitionBy("key", "n")
     near = known.withColumn("head", F.min(F.struct("place", "lid")).over(alike)).select(

@@ -36,7 +36,7 @@ from ledgerlane.llm.common import ship, staged
 
 #: Words of the longest phrase; least count; words a task holds before it writes runs; suffix rows one subtree task
 #: may hold; prefixes over the budget a level, at most.
-DEPTH, LEAST, RUN_WORDS, BUDGET, CUT_PREFIXES = 5, 100, 1_500_000, 2_000_000, 1 << 20
+DEPTH, LEAST, RUN_WORDS, BUDGET, CUT_PREFIXES = 5, 100, 600_000, 1_000_000, 1 << 20
 #: Parts of a language in which candidates are ranked ahead of the language as a whole.
 RANK_PARTS = (256, 16)
 #: Lower case for A-Z; every sign that ends a piece becomes a full stop, which no word holds; tab is a blank.
@@ -79,6 +79,11 @@ def _read_words(data: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows one by one: a batch holds many runs."""
+    return (tuple(c[k].as_py() for c in batch.columns) for k in range(batch.num_rows))
+
+
 def _changes(columns: list[np.ndarray]) -> np.ndarray:
     """Where rows differ from the row above; the first does."""
     new = np.zeros(len(columns[0]), bool)
@@ -190,7 +195,7 @@ def word_counts(runs: DataFrame) -> DataFrame:
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, words, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for lang, words, data in _each(batch):
                 names, (at, rows, f) = _read_words(words), _unpacked(data)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(at), pa.string()), pa.array([names[i] for i in at], pa.binary()).cast(pa.string()),
@@ -206,7 +211,7 @@ def _extensions(runs: DataFrame, cut: list[dict[str, set[bytes]]]) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, words, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for lang, words, data in _each(batch):
                 names, (*columns, counts) = _read_words(words), _unpacked(data)
                 at, _ = _places(names, [level.get(lang, set()) for level in held.value], columns)
                 some = (at[-1] > 0) & (columns[depth - 1] > 0)
@@ -261,7 +266,7 @@ def _dealt(runs: DataFrame, cut: list[dict[str, set[bytes]]], groups: int, depth
         import xxhash
 
         for batch in batches:
-            for lang, words, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for lang, words, data in _each(batch):
                 names, (*columns, counts) = _read_words(words), _unpacked(data)
                 at, known = _places(names, [level.get(lang, set()) for level in held.value], columns)
                 hashes = np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64)
@@ -340,8 +345,7 @@ def subtrees(dealt: DataFrame, least: int = LEAST, depth: int = DEPTH) -> DataFr
                     ["lang", "phrase", "f"])
 
         for batch in batches:
-            for k in range(batch.num_rows):
-                subtree, lang, words, suffixes = (c[k].as_py() for c in batch.columns)
+            for subtree, lang, words, suffixes in _each(batch):
                 if subtree != at:
                     yield from out()
                     at, tree = subtree, Subtree(depth)

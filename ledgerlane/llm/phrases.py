@@ -5,12 +5,13 @@ A phrase's count is the total of the leaves below its node in the tree of all wo
 
 1. ``suffix_runs``: each task sorts the truncated suffixes of a bounded number of words, joins equal ones
    and writes them, compressed, as runs. Repeated passages shrink to one row a run here.
-2. ``vertical``: prefixes are counted in the runs: all single words, then, level by level, the extensions of those
-   prefixes whose suffixes are more than an eighth of the budget. Prefixes within it become the subtrees' roots; a
-   prefix of full depth is a sum already and needs no subtree. The table of prefixes over the budget is broadcast:
-   the budget grows with the input where needed so that it has at most ``CUT_PREFIXES`` rows a level.
+2. ``vertical``: prefixes are counted in the runs: all single words, then, level by level, the heavy extensions of those
+   prefixes whose suffixes are more than half of the budget. Prefixes within it, and those of full depth, become the
+   subtrees' roots. The table of prefixes over the budget is broadcast: the budget grows with the input where
+   needed so that it has at most ``CUT_PREFIXES`` rows a level.
 3. ``subtrees``: roots are hashed into groups of half the budget on average. Each group's suffixes are sorted in one
-   task, independent of all others, and every node's count is read from its leaves' totals.
+   task, independent of all others, and every node's count is read from its leaves' totals. Suffixes that many runs
+   share are joined as they come, so that a repeated passage takes one row.
 4. Scores, the dropping of contained candidates and the ranking are joins, groupings and a window with a group limit.
 
 A cut of a candidate only needs counts of its own parts, which are at least as frequent, so phrases rarer than
@@ -204,51 +205,53 @@ def word_counts(runs: DataFrame) -> DataFrame:
     return _counted(runs.select("lang", "words", "heads").mapInArrow(heads, COUNTS))
 
 
-def _extensions(runs: DataFrame, cut: list[dict[str, set[bytes]]]) -> DataFrame:
-    """(lang, phrase, rows, f) of all prefixes one word longer than the deepest level of ``cut``."""
+def _prefixes(runs: DataFrame, cut: list[dict[str, set[bytes]]], least_rows: float) -> DataFrame:
+    """(lang, phrase, rows, f) added up over the runs: with ``least_rows``, of the prefixes one word longer than the
+    deepest level of ``cut`` that have so many suffixes in a run; with 0, of the prefixes in ``cut``."""
     held = runs.sparkSession.sparkContext.broadcast(cut)  # CUT_PREFIXES a level at most
-    depth = len(cut) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, words, data in _each(batch):
                 names, (*columns, counts) = _read_words(words), _unpacked(data)
-                at, _ = _places(names, [level.get(lang, set()) for level in held.value], columns)
-                some = (at[-1] > 0) & (columns[depth - 1] > 0)
-                columns, counts = [c[some] for c in columns[:depth]], counts[some].astype(np.int64)
-                first = np.flatnonzero(_changes(columns))
-                if len(first):
-                    phrases = [b" ".join([names[i] for i in row]) for row in zip(*(c[first].tolist() for c in columns))]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(first), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
-                         pa.array(np.diff(np.append(first, len(counts))), pa.int64()),
-                         pa.array(np.add.reduceat(counts, first), pa.int64())], ["lang", "phrase", "rows", "f"])
+                at, known = _places(names, [level.get(lang, set()) for level in held.value], columns)
+                for depth in ([known + 1] if least_rows else range(1, known + 1)):
+                    some = (at[depth - 1 if not least_rows else -1] > 0) & (columns[depth - 1] > 0)
+                    own, of = [c[some] for c in columns[:depth]], counts[some].astype(np.int64)
+                    first = np.flatnonzero(_changes(own))
+                    rows = np.diff(np.append(first, len(of)))
+                    f = np.add.reduceat(of, first) if len(first) else of
+                    first, rows, f = (x[rows >= least_rows] for x in (first, rows, f))
+                    if len(first):
+                        phrases = [b" ".join([names[i] for i in row]) for row in zip(*(c[first].tolist() for c in own))]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([lang] * len(first), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
+                             pa.array(rows, pa.int64()), pa.array(f, pa.int64())], ["lang", "phrase", "rows", "f"])
 
     return _counted(runs.select("lang", "words", "suffixes").mapInArrow(count, COUNTS))
 
 
 def vertical(runs: DataFrame, depth: int = DEPTH, budget: int = BUDGET,
-             cut_prefixes: int = CUT_PREFIXES) -> tuple[DataFrame, DataFrame, list[dict[str, set[bytes]]], int]:
-    """(words, above, cut, groups): all words counted; the counted prefixes that lie in no subtree; of these, by
-    level, what is over the budget; the number of groups."""
-    words = level = staged(word_counts(runs), "words")
-    rows = words.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    budget = max(budget, -(-8 * rows // cut_prefixes))
+             cut_prefixes: int = CUT_PREFIXES) -> tuple[DataFrame, list[dict[str, set[bytes]]], int]:
+    """(words, cut, groups): all words counted; by level, the prefixes over half of the budget; the number of groups.
+
+    A longer prefix over half of the budget has, over R runs, at least a quarter of it in runs that hold a (4 R)-th
+    of the budget each. So only those parts are added up, and what reaches a quarter is cut: all that must be, and
+    twice as many prefixes at most."""
+    words = staged(word_counts(runs), "words")
+    rows, n = words.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], max(1, runs.count())
+    budget = max(budget, -(-4 * rows // cut_prefixes))
     cut: list[dict[str, set[bytes]]] = []
-    above = words.limit(0)
-    for k in range(1, depth + 1):
-        if k == depth:  # sums already, whatever their size
-            above = above.unionByName(level)
-            break
-        over, names = level.filter(F.col("rows") > budget / 8), {}
-        for r in over.select("lang", "phrase").toLocalIterator():
+    level = words.filter(F.col("rows") > budget / 2)
+    while True:
+        names: dict[str, set[bytes]] = {}
+        for r in level.select("lang", "phrase").toLocalIterator():
             names.setdefault(r.lang, set()).add(r.phrase.encode())
-        if not names:
-            break
-        cut.append(names)
-        above = above.unionByName(over)
-        level = staged(_extensions(runs, cut), "prefixes")
-    return words, above, cut, max(1, -(-2 * rows // budget))
+        if names:
+            cut.append(names)
+        if not names or len(cut) == depth - 1:
+            return words, cut, max(1, -(-2 * rows // budget))
+        level = _prefixes(runs, cut, max(1.0, budget / (4 * n))).filter(F.col("rows") >= budget / 4)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -277,8 +280,6 @@ def _dealt(runs: DataFrame, cut: list[dict[str, set[bytes]]], groups: int, depth
                         open_ = (root == 0) & (columns[k] > 0)  # a piece that ends here adds nothing below its prefix
                         key = np.where(open_, _mixed(key * np.uint64(0x9E3779B97F4A7C15) + hashes[columns[k]]), key)
                         root[open_ & (at[k] == 0 if k < known else True)] = k + 1
-                if known == depth - 1:  # prefixes of full depth are counted already
-                    root[root == depth] = 0
                 some = np.flatnonzero(root)
                 to = (key[some] % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
@@ -302,6 +303,7 @@ class Subtree:
 
     def __init__(self, depth: int):
         self.depth, self.langs, self.parts, self.numbers, self.names = depth, [], [], {b".": 0}, [b"."]
+        self.size, self.room = 0, BUDGET
 
     def add(self, lang: str, words: bytes, suffixes: bytes) -> None:
         number = []
@@ -315,12 +317,20 @@ class Subtree:
         *columns, counts, root = _unpacked(suffixes)
         number = np.array(number, np.int32)
         self.parts.append([np.full(len(counts), self.langs.index(lang), np.int32), *(number[c] for c in columns), counts, root])
+        self.size += len(counts)
+        if self.size > self.room:  # suffixes that many runs share are one
+            self.parts = [self._joined()]
+            self.size = len(self.parts[0][0])
+            self.room = max(BUDGET, 2 * self.size)
 
-    def nodes(self, least: int) -> Iterator[tuple[str, bytes, int]]:
-        """(lang, phrase, count) of the nodes at or below their root that occur ``least`` times."""
+    def _joined(self) -> list[np.ndarray]:
         lang, *columns, counts, root = (np.concatenate(c) for c in zip(*self.parts))
         self.parts = []
-        lang, *columns, counts, root = sorted_suffixes([lang, *columns], counts, (root,))
+        return sorted_suffixes([lang, *columns], counts, (root,))
+
+    def nodes(self, least: int) -> Iterator[tuple[str, bytes, int]]:
+        """(lang, phrase, count) of the nodes at or below their root that occur ``least`` times."""
+        lang, *columns, counts, root = self._joined()
         for k in range(1, self.depth + 1):
             first = np.flatnonzero(_changes([lang, *columns[:k]]))
             f = np.add.reduceat(counts, first)
@@ -361,9 +371,10 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, ru
     """((lang, phrase, f) of all phrases of up to ``depth`` words with f >= ``least``, (lang, n)), from rows
     (lang, text)."""
     runs = staged(suffix_runs(docs, depth, run_words), "runs")
-    words, above, cut, groups = vertical(runs, depth, budget, cut_prefixes)
-    found = subtrees(_dealt(runs, cut, groups, depth), least, depth).unionByName(
-        above.filter(F.col("f") >= least).select("lang", "phrase", "f"))
+    words, cut, groups = vertical(runs, depth, budget, cut_prefixes)
+    found = subtrees(_dealt(runs, cut, groups, depth), least, depth)
+    if cut:  # the nodes above the roots
+        found = found.unionByName(_prefixes(runs, cut, 0).filter(F.col("f") >= least).select("lang", "phrase", "f"))
     return staged(found, "phrases"), staged(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
 
 

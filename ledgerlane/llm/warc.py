@@ -195,8 +195,10 @@ def _row(data: bytes, at: int) -> tuple[tuple, int]:
     return (ident(heads["WARC-Record-ID"]), size, digest, kind, refers, url, block), after
 
 
-def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of the indexed bundles, a task for a share of the frames."""
+def read_bundles(spark: SparkSession, folder: str, task_bytes: int = 32 << 20) -> DataFrame:
+    """All records of the indexed bundles. The frames are dealt out to as many tasks as their packed size
+    holds ``task_bytes``, and to at least one per core: a number of its own, since the rows that are dealt are
+    but addresses, whose size tells nothing of the work."""
     import zstandard
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +234,9 @@ def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     bundles = spark.read.schema(INDEX).parquet(f"{folder}/index").select("bundle").distinct()
     listed = bundles.mapInArrow(frames, "bundle string, frame int, at long, packed long")
-    return listed.repartition("bundle", "frame").mapInArrow(parse, PARSED)
+    packed = listed.agg(F.sum("packed")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-packed // task_bytes))
+    return listed.repartition(tasks, "bundle", "frame").mapInArrow(parse, PARSED)
 
 
 def fetch(folder: str, bundle: str, frame: int, offset: int) -> tuple:

@@ -50,6 +50,9 @@ def test_index_finds_single_records_in_small_frames(spark, tmp_path):
     rows = [(k, f"http://h/{k}", f"page {k} " * 40_000) for k in range(12)]
     folder = f"file://{tmp_path}/w"
     check(spark, rows, folder, bundle_bytes=1)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"  # whose coalescing by bytes must not undo the deal
+    tasks = warc.read_bundles(spark, folder, 1).select(F.spark_partition_id()).distinct().count()
+    assert tasks > 3
     index = spark.read.parquet(f"{folder}/index").collect()
     assert len(index) == 12 and len({r.bundle for r in index}) > 1
     for r in index:

@@ -1,9 +1,8 @@
 """Line dedup: exact set-similarity join over lines, in DataFrame operations.
 
 A line is the set of its words. Words are ordered by rarity: the count of their hash cell in a table
-of ``CELLS`` numbers over all lines, then their hash; any order gives the same result, a good one
-fewer pairs. The table only has to tell the frequent words from the rest, so it is small enough for a constant of
-the plan. Two lines of Jaccard similarity t share one of their first (1 - t) n + 1 words.
+of ``CELLS`` bytes over all lines, then their hash; any order gives the same result, a good one
+fewer pairs. Two lines of Jaccard similarity t share one of their first (1 - t) n + 1 words.
 
 1. Lines of equal sets are one; all but the first occurrence go. That settles lines so short that
    no unequal set reaches the threshold (three words at 0.8).
@@ -13,7 +12,7 @@ the plan. Two lines of Jaccard similarity t share one of their first (1 - t) n +
 4. Lines that still have no earlier match are joined with all earlier lines of their buckets under the
    length and the positional filter and a bound from 128-bit word maps; the pairs are verified.
 
-So a line goes if, and only if, an earlier line (by document id, nulls last, then line number)
+So a line goes if, and only if, an earlier line (by document id, nulls last, then text hash and line number)
 has a similarity of at least the threshold. Lines of fewer than ``least`` distinct words stay, like
 empty ones; by default (1) all lines that have a word take part. Null texts stay null. Rows of one id are told apart by their text. An empty table
 gives no rows. Extra columns are kept by ``dedup``.
@@ -24,34 +23,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import array_literal, dense_array, fresh, passing, staged, words
+from ledgerlane.llm.common import dense_array, fresh, passing, staged, words
 
-CELLS = 1 << 14
+CELLS = 1 << 16
 WORD = (1 << 56) - 1
 THRESHOLD, LEAST = (80, 100), 1
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_hash, line_no, hashes): the distinct word hashes of every line."""
+    """(doc_id, doc_hash, line_no, line) of every line."""
     line = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    rows = docs.filter("text is not null and text <> ''").select("doc_id", F.xxhash64("text").alias("doc_hash"), line)
-    return rows.select("doc_id", "doc_hash", "line_no", F.array_distinct(
-        F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("hashes"))
+    return docs.filter("text is not null and text <> ''").select("doc_id", F.xxhash64("text").alias("doc_hash"), line)
+
+
+def _hashes(line: Column) -> Column:
+    """The distinct words of a line, as hashes."""
+    return F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
 
 
 def _rarity(lines: DataFrame) -> Column:
-    """Four times the binary logarithm of each cell's count, as a constant array of ``CELLS`` bytes."""
+    """Four times the binary logarithm of each cell's count: ``CELLS`` bytes, a constant of one plan."""
     cell = F.pmod("h", F.lit(CELLS)).cast("int")
-    counts = (lines.select(F.explode("hashes").alias("h")).groupBy(cell.alias("idx"))
+    counts = (lines.select(F.explode(_hashes(F.col("line"))).alias("h")).groupBy(cell.alias("idx"))
               .agg(F.count(F.lit(1)).alias("n")))
     rank = counts.select("idx", F.least(F.floor(F.log2("n") * 4), F.lit(126)).cast("int").alias("n"))
-    return array_literal(dense_array(staged(rank, "rarity"), CELLS), "tinyint")
+    return F.lit(bytearray(dense_array(staged(rank, "rarity"), CELLS).first()["cells"]))
 
 
 def _tokens(hashes: Column, rarity: Column) -> Column:
     """Words as numbers in the order of rarity: the rank above, the hash below."""
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(
-        F.get(rarity, F.pmod(h, F.lit(CELLS)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(WORD)))))
+        F.ascii(F.substring(rarity, F.pmod(h, F.lit(CELLS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(WORD)))))
 
 
 def _word_map(tokens: Column, shift: int) -> Column:
@@ -66,67 +68,77 @@ def _needed(n: Column, m: Column, threshold: tuple[int, int]) -> Column:
     return F.ceil((n + m) * F.lit(a) / F.lit(float(a + b)) - F.lit(1e-9))
 
 
-def _matched(pairs: DataFrame, tokens: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Of the pairs (lid, other), those whose words reach the threshold."""
-    left, right = tokens.toDF("lid", "x"), tokens.toDF("other", "y")
-    both = pairs.join(left, "lid").join(right, "other")
+def _alike(threshold: tuple[int, int]) -> Column:
+    """Whether sizes (n, o_n) and word maps leave a chance of the threshold: a word that one side alone holds
+    changes at most one bit of each map."""
+    a, b = threshold
+    n, m = F.col("n"), F.col("o_n")
+    apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col("o_" + c))) for c in ("map0", "map1"))
+    return (n * a <= m * b) & (m * a <= n * b) & (apart <= 2 * (n + m - 2 * _needed(n, m, threshold)))
+
+
+def _matched(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The lid of every pair (lid, other) whose other line comes first and whose words reach the threshold: words are
+    taken from the texts of these lines, in their whole hashes."""
+    ids = pairs.select("lid").union(pairs.select("other")).distinct()
+    places = staged(firsts.join(ids, "lid", "left_semi").select("lid", "place", *[
+        F.col("place." + c).alias("p_" + c) for c in ("doc_id", "doc_hash", "line_no")]), "places")
+    here = (lines["doc_id"].eqNullSafe(places["p_doc_id"]) & (lines["doc_hash"] == places["p_doc_hash"])
+            & (lines["line_no"] == places["p_line_no"]))
+    found = lines.join(places, here).dropDuplicates(["lid"]).select("lid", "place", _hashes(F.col("line")).alias("x"))
+    sets = staged(found, "sets")
+    both = pairs.join(sets, "lid").join(sets.toDF("other", "o_place", "y"), "other").filter("o_place < place")
     return both.filter(F.size(F.array_intersect("x", "y")) >= _needed(F.size("x"), F.size("y"), threshold)).select(
-        "lid", "other")
+        "lid").distinct()
 
 
 def later_matches(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, least: int = LEAST) -> DataFrame:
     """(doc_id, doc_hash, line_no) of every line to remove, from rows (doc_id, text)."""
     a, b = threshold
-    raw = _line_rows(docs)
-    rarity = _rarity(raw)
-    rows = raw.select("doc_id", "doc_hash", "line_no", _tokens(F.col("hashes"), rarity).alias("tokens")).filter(
-        F.size("tokens") >= least)
-    rows = rows.withColumn("lid", F.xxhash64("tokens"))
+    lines = _line_rows(docs)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_hash", "line_no")
-    occurrences = staged(rows.select("lid", F.size("tokens").alias("n"), place.alias("place"),
-                                     _word_map(F.col("tokens"), 0).alias("map0"),
-                                     _word_map(F.col("tokens"), 6).alias("map1")), "lines")
-    firsts = staged(occurrences.groupBy("lid").agg(
-        F.min("place").alias("place"), F.first("n").alias("n"), F.first("map0").alias("map0"),
-        F.first("map1").alias("map1")), "firsts")
-
-    prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.ceil(F.size("tokens") * a / F.lit(float(b)) - 1e-9).cast("int") + 1)
-    longer = rows.filter(F.size("tokens") * (b - a) >= a)  # n / (n + 1) reaches the threshold
-    keys = longer.select("lid", F.posexplode(prefix).alias("pos", "key")).distinct()
+    rows = lines.select(place.alias("place"), _tokens(_hashes(F.col("line")), _rarity(lines)).alias("tokens"))
+    size = F.size("tokens")
+    prefix = F.slice("tokens", F.lit(1), size - F.ceil(size * a / F.lit(float(b)) - 1e-9).cast("int") + 1)
+    longer = size * (b - a) >= a  # n / (n + 1) reaches the threshold
+    occurrences = staged(rows.select(
+        F.xxhash64("tokens").alias("lid"), F.xxhash64(F.lit(1), "tokens").alias("lid2"), size.alias("n"), "place",
+        _word_map(F.col("tokens"), 0).alias("map0"), _word_map(F.col("tokens"), 6).alias("map1"),
+        F.when(longer, prefix).alias("prefix")), "lines").filter(F.col("n") >= max(least, 1))
+    own = [F.min_by(c, "place").alias(c) for c in ("lid2", "n", "map0", "map1")]
+    firsts = staged(occurrences.groupBy("lid").agg(F.min("place").alias("place"), *own), "firsts")
+
+    once = occurrences.filter("prefix is not null").groupBy("lid").agg(F.first("prefix").alias("prefix"))
     by_key = Window.partitionBy("key")
-    shared = staged(keys.withColumns({"lo": F.min("lid").over(by_key), "hi": F.max("lid").over(by_key)})
+    shared = staged(once.select("lid", F.posexplode("prefix").alias("pos", "key"))
+                    .withColumns({"lo": F.min("lid").over(by_key), "hi": F.max("lid").over(by_key)})
                     .filter("lo < hi").select("key", "lid", "pos"), "shared")
-    known = shared.join(firsts, "lid")  # not written: it is several times the size of either side
-
-    alike = Window.partitionBy("key", "n")
-    near = known.withColumn("head", F.min(F.struct("place", "lid")).over(alike)).select(
-        "lid", F.col("head.lid").alias("other")).filter("lid <> other").distinct()
-    tried = staged(near, "tried")
-
-    def tokens_of(pairs: DataFrame) -> DataFrame:
-        """Words of the lines in the pairs, from their first occurrences."""
-        ids = pairs.select("lid").union(pairs.select("other")).distinct().join(firsts.select("lid", "place"), "lid")
-        at = rows.select("lid", place.alias("place"), "tokens")
-        return staged(at.join(ids, ["lid", "place"]).dropDuplicates(["lid"]).select("lid", "tokens"), "tokens")
-
+    # the order of documents is settled with the words; null ids, the last, stand with the greatest here
+    doc = F.coalesce("place.doc_id", F.lit((1 << 63) - 1)).alias("doc")
+    known = shared.join(firsts.select("lid", "n", doc, "map0", "map1"), "lid")  # not written: several times either side
+
+    head = F.min(F.struct("doc", "lid", "map0", "map1")).over(Window.partitionBy("key", "n"))
+    near = known.withColumn("head", head).withColumns(
+        {"other": F.col("head.lid"), "o_n": F.col("n"), "o_map0": F.col("head.map0"), "o_map1": F.col("head.map1")})
+    tried = staged(near.filter("lid <> other").filter(_alike(threshold)).select("lid", "other").distinct(), "tried")
     with passing(docs.sparkSession):
-        settled = staged(_matched(tried, tokens_of(tried), threshold).select("lid").distinct(), "settled", last=True)
+        settled = staged(_matched(tried, firsts, lines, threshold), "settled", last=True)
 
-    other = known.select("key", *[F.col(c).alias("o_" + c) for c in ("lid", "pos", "n", "place", "map0", "map1")])
+    other = known.select("key", *[F.col(c).alias("o_" + c) for c in ("lid", "pos", "n", "doc", "map0", "map1")])
     open_ = known.join(settled, "lid", "left_anti")
-    need = _needed(F.col("n"), F.col("o_n"), threshold)
     left = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("o_n") - F.col("o_pos") - 1)
-    apart = F.bit_count(F.col("map0").bitwiseXOR(F.col("o_map0"))) + F.bit_count(F.col("map1").bitwiseXOR(F.col("o_map1")))
-    fits = ((F.col("o_place") < F.col("place")) & (F.col("n") * a <= F.col("o_n") * b) & (F.col("o_n") * a <= F.col("n") * b)
-            & (left >= need) & (apart <= 2 * (F.col("n") + F.col("o_n") - 2 * need)))
+    fits = ((F.col("o_doc") <= F.col("doc")) & (F.col("o_lid") != F.col("lid")) & _alike(threshold)
+            & (left >= _needed(F.col("n"), F.col("o_n"), threshold)))
     more = staged(open_.join(other, (open_["key"] == other["key"]) & fits).select("lid", F.col("o_lid").alias("other"))
                   .distinct().join(tried, ["lid", "other"], "left_anti"), "more")
     later = settled
     if more.take(1):
-        later = staged(settled.union(_matched(more, tokens_of(more), threshold).select("lid")).distinct(), "settled")
+        later = staged(settled.union(_matched(more, firsts, lines, threshold)).distinct(), "settled")
 
-    judged = firsts.select("lid", F.col("place").alias("first")).join(later.withColumn("gone", F.lit(True)), "lid", "left")
-    gone = occurrences.join(judged, "lid").filter(F.col("gone").isNotNull() | (F.col("place") != F.col("first")))
+    judged = firsts.select("lid", F.col("lid2").alias("same"), F.col("place").alias("first")).join(
+        later.withColumn("gone", F.lit(True)), "lid", "left")
+    gone = occurrences.select("lid", "lid2", "place").join(judged, "lid").filter(
+        (F.col("lid2") == F.col("same")) & (F.col("gone").isNotNull() | (F.col("place") != F.col("first"))))
     return gone.select("place.doc_id", "place.doc_hash", "place.line_no")
 
 

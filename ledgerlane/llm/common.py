@@ -100,10 +100,3 @@ def dense_array(counts: DataFrame, size: int) -> DataFrame:
     return blocks.agg(F.flatten(F.transform(
         F.sort_array(F.collect_list(F.struct("block", "part"))),
         lambda b: F.transform(b["part"], lambda x: x["n"]))).alias("cells"))
-
-
-def array_literal(cells: DataFrame, kind: str) -> Column:
-    """The one array of ``dense_array`` as a constant of the plan. Its size is fixed, whatever the input."""
-    values = cells.first()["cells"]
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-

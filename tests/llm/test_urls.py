@@ -1,8 +1,8 @@
 import math
+import random
 import re
-import struct
+from collections import Counter
 
-import xxhash
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -53,52 +53,98 @@ def test_no_rows_and_one_class(spark):
     assert sorted(r.verdict for r in got) == ["allow", "block"]
 
 
-def cell(kind, text):
-    h = xxhash.xxh64_intdigest(text.encode(), seed=xxhash.xxh64_intdigest(struct.pack("<i", kind), seed=42))
-    return (h - 2 ** 64 if h >= 2 ** 63 else h) % urls.CELLS
+def shape(u):
+    return "\x02" * 4 + "".join("0" if c in "123456789" else c.lower() for c in u) + "\x03"
 
 
-def test_ratio_is_the_brute_force_one(spark):
-    allow = [f"http://good{i % 7}.org/fr/{i}" for i in range(60)]
-    block = [f"http://bad{i % 5}.net/page?id={i}" for i in range(60)]
-    shape = lambda u: "\x02" * 4 + "".join("0" if c in "123456789" else c.lower() for c in u) + "\x03"
-    counts = []
-    for kind in (allow, block):
-        table = [0] * urls.CELLS
-        for u in kind:
-            s = shape(u)
-            for i in range(4, len(s)):
-                for k in range(urls.ORDER):
-                    table[cell(k, s[i - k:i + 1])] += 1
-                    table[cell(urls.ORDER + k, s[i - k:i])] += 1
-        counts.append(table)
-
-    def likelihood(s, table):
-        total = 0.0
+def counted(found):
+    """Exact counts of all n-grams and contexts."""
+    pairs, contexts = Counter(), Counter()
+    for u in found:
+        s = shape(u)
         for i in range(4, len(s)):
-            p = 1 / 256
             for k in range(urls.ORDER):
-                pair, context = table[cell(k, s[i - k:i + 1])], table[cell(urls.ORDER + k, s[i - k:i])]
-                p = (pair + urls.ALPHA * p) / (max(context, pair) + urls.ALPHA)
-            total += math.log(p)
-        return total
-
-    df = spark.createDataFrame([(u, v) for v, us in (("allow", allow), ("block", block)) for u in us], "url string, verdict string")
-    tables = urls.train(df.select(urls._shape(F.col("url")).alias("shape"), "verdict"))
-    asked = ["http://good1.org/fr/9", "http://bad1.net/page?id=3", "zzz", ""]
-    got = spark.createDataFrame([(u,) for u in asked], "url string").select(
-        "url", urls.ratio(urls._shape(F.col("url")), tables).alias("x")).collect()
-    for r in got:
-        s = shape(r.url)
-        want = (likelihood(s, counts[0]) - likelihood(s, counts[1])) / (len(s) - 4) if r.url else 0.0
-        assert abs(r.x - want) < 1e-9
-    by = {r.url: r.x for r in got}
-    assert by[asked[0]] > 0 > by[asked[1]] and by[""] == 0
+                pairs[s[i - k:i + 1]] += 1
+                contexts[k, s[i - k:i]] += 1
+    return pairs, contexts
+
+
+def likelihood(s, model):
+    pairs, contexts = model
+    total = 0.0
+    for i in range(4, len(s)):
+        p = 1 / 256
+        for k in range(urls.ORDER):
+            p = (pairs[s[i - k:i + 1]] + urls.ALPHA * p) / (contexts[k, s[i - k:i]] + urls.ALPHA)
+        total += math.log(p)
+    return total
+
+
+def scored(spark, allow, block, asked):
+    rows = [(u, v) for v, us in (("allow", allow), ("block", block), (None, asked)) for u in us]
+    found = urls.distinct_urls(spark.createDataFrame(rows, "url string, by_rule string").select(
+        urls._shape(F.col("url")).alias("shape"), "by_rule"))
+    got = urls.scores(found, urls.weights(urls.gram_counts(found))).join(found, urls.URL).collect()
+    return {r["shape"]: r for r in got}
+
+
+def held_out(spark, found):
+    rows = spark.createDataFrame([(u,) for u in found], "url string").select(
+        "url", urls._shape(F.col("url")).alias("shape")).select("url", *urls._url_key()).filter(urls._held_out())
+    return {r.url for r in rows.collect()}
+
+
+def test_ratio_is_the_brute_force_one(spark):
+    allow = [f"http://good{i % 7}.org/fr/{'x' * (i % 9)}é🙂" for i in range(60)] + ["http://often.org/fr/"] * 40
+    block = [f"http://bad{i % 5}.net/page?{'id' * (i % 11)}" for i in range(60)]
+    asked = ["http://good1.org/fr/9", "http://bad1.net/page?id=3", "zzz", "", "http://" + "long" * 800, "🙂é"]
+    out = held_out(spark, allow + block)
+    models = [counted(u for u in kind if u not in out) for kind in (allow, block)]
+    got = scored(spark, allow, block, asked)
+    for u in {*asked, *out}:
+        s = shape(u)
+        want = (likelihood(s, models[0]) - likelihood(s, models[1])) / (len(s) - 4) if u else 0.0
+        assert abs(got[s]["score"] - want) < 1e-9, u
+    assert got[shape(asked[0])]["score"] > 0 > got[shape(asked[1])]["score"]
+
+
+def syllable_urls(rng, n, better):
+    """Urls of two syllables out of 600 a word; those of the class's half come three times as often."""
+    every = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in "bdgklmnprs"]
+    weigh = [3 if (k % 2 == 0) == better else 1 for k in range(len(every))]
+    return ["http://" + "".join(rng.choices(every, weigh, k=3)) + ".org/" + "".join(rng.choices(every, weigh, k=4))
+            for _ in range(n)]
+
+
+def test_more_labelled_urls_do_not_lose_accuracy(spark):
+    rng = random.Random(3)
+    fresh = [(u, v) for v in (True, False) for u in syllable_urls(rng, 300, v)]
+    best = []
+    for n in (300, 3000):
+        got = scored(spark, syllable_urls(rng, n, True), syllable_urls(rng, n, False), [u for u, _ in fresh])
+        judged = sorted((got[shape(u)]["score"], v) for u, v in fresh)
+        best.append(max(sum(v for _, v in judged[k:]) + sum(not v for _, v in judged[:k]) for k in range(len(judged))) / 600)
+    assert best[1] >= best[0] - 0.01 and best[1] > 0.65, best
+
+
+def test_hot_urls_and_repeated_ids(spark):
+    rows = [(1, "http://hot.example/x")] * 300 + [(k, f"http://a{k}.net/") for k in range(20)] + [
+        (k, f"http://b{k}.org/fr/") for k in range(20)] + [(7, "http://cold.example/y")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES)
+    assert got.count() == len(rows)
+    assert got.filter("host = 'hot.example'").select("verdict", "score").distinct().count() == 1
+
+
+def test_no_python_in_the_plans(spark):
+    found = spark.createDataFrame([("a", "allow"), ("b", "block"), ("c", None)], "shape string, by_rule string")
+    found = urls.distinct_urls(found)
+    plan = urls.scores(found, urls.weights(urls.gram_counts(found)))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
 
 
 def test_threshold_parts_the_classes(spark):
-    rows = [(x / 10, "allow" if x > 3 else "block") for x in range(-20, 20)]
-    at = urls.threshold(spark.createDataFrame(rows, "score double, verdict string"))
+    rows = [(x / 10, "allow" if x > 3 else "block", 1) for x in range(-20, 20)]
+    at = urls.threshold(spark.createDataFrame(rows, "score double, verdict string, n long"))
     assert 0.3 < at <= 0.4
 
 

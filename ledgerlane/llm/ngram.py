@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import fresh, passing, ship, staged
@@ -65,18 +65,19 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 
 def groups_for(n: int) -> int:
-    """Coordinates of a set of size n: a power of two, about one for eight shingles."""
-    return 1 << min(12, max(5, (n // 8).bit_length()))
+    """Coordinates of a set of size n: the next power of two, so that about one shingle counts in each and the bound
+    is close to the overlap; 4,096 at most, which bounds a tile's memory and leaves longer sets a looser bound."""
+    return 1 << min(12, max(5, (n - 1).bit_length()))
 
 
 def count_vector(x: np.ndarray) -> bytes:
     g = groups_for(len(x))
     counts = np.bincount((x & np.uint64(g - 1)).astype(np.int64), minlength=g)
-    return counts.astype("<u2" if len(x) < 65536 else "<u4").tobytes()
+    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
 
 
 def read_vector(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if n < 65536 else "<u4").astype(np.int32)
+    return np.frombuffer(data, "u1" if len(data) == groups_for(n) else "<u4").astype(np.int32)
 
 
 def folded(v: np.ndarray, g: int) -> np.ndarray:
@@ -257,24 +258,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: tuple[int, i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "x"])
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    # of the rows with one id and unlike texts, all sets count
     texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    held = staged(texts.mapInArrow(sets, "id long, x array<long>"), "sets")
-    left, right = held.toDF("a", "xa"), held.toDF("b", "xb")
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("xa", "xb"))
-    return both.filter(shared * (a + b) >= a * (F.size("xa") + F.size("xb"))).select("a", "b").distinct()
+    with passing(docs.sparkSession):
+        held = staged(texts.mapInArrow(sets, "id long, x array<long>"), "sets")
+        left, right = held.toDF("a", "xa"), held.toDF("b", "xb")
+        both = pairs.join(left, "a").join(right, "b")
+        shared = F.size(F.array_intersect("xa", "xb"))
+        true = both.filter(shared * (a + b) >= a * (F.size("xa") + F.size("xb"))).select("a", "b").distinct()
+        return staged(true, "links", last=True)
 
 
 def classes_and_components(docs: DataFrame, n: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(points of all documents, classes with their component, verified pairs of classes)."""
+    if 2 * threshold[0] < threshold[1]:
+        raise ValueError("links are found at thresholds of one half or more")
     found = staged(points(docs, n, threshold), "points")
     same = ["s1", "s2", "n"]
     classes = staged(found.filter("n > 0 and doc_id is not null").groupBy(*same).agg(
         F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("vector").alias("vector")), "classes")
-    over = classes.select(F.explode("keys").alias("key"), "rep").repartition("key")
-    by_key = Window.partitionBy("key")
-    shared = over.withColumns({"size": F.count(F.lit(1)).over(by_key), "low": F.min("rep").over(by_key),
-                               "mark": F.bit_xor(F.xxhash64("rep")).over(by_key)}).filter("size > 1")
+    over = classes.select(F.explode("keys").alias("key"), "rep")
+    # summed first and joined back, so that a key that many classes hold is no one task's
+    keys = over.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"),
+                                   F.bit_xor(F.xxhash64("rep")).alias("mark")).filter("size > 1")
+    shared = over.join(keys, "key")
     # keys of the same members are one group
     members = staged(shared.groupBy("mark", "size", "rep").agg(F.min("low").alias("low")), "members")
     narrow = classes.select("rep", "n", "vector")
@@ -286,13 +293,13 @@ def classes_and_components(docs: DataFrame, n: int, threshold: tuple[int, int])
     first = members.withColumn("at", F.explode(at)).join(narrow, "rep").select(
         F.struct("mark", "size", "at").alias("tile"), "rep", "n", "vector", F.col("rep").alias("comp"))
     tried = staged(_candidates(_flat(first), threshold, True), "pairs")
-    edges = staged(_verified(tried, docs, n, threshold), "links")
+    edges = _verified(tried, docs, n, threshold)
     comp = staged(connected(edges), "components")
 
-    by_group = Window.partitionBy("mark", "size")
     named = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "mark", "size", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = named.withColumns({"lo": F.min("comp").over(by_group), "hi": F.max("comp").over(by_group)}).filter("lo < hi")
+    groups = named.groupBy("mark", "size").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    mixed = named.join(groups.select("mark", "size"), ["mark", "size"])
     place = F.pmod(F.xxhash64("rep", "mark"), F.ceil(F.col("size") / TILE))
     mixed = mixed.withColumn("place", place)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / TILE) - 1))
@@ -301,8 +308,7 @@ def classes_and_components(docs: DataFrame, n: int, threshold: tuple[int, int])
         "rep", "n", "vector", "comp")
     more = staged(_candidates(_flat(second), threshold, False).join(tried, ["a", "b"], "left_anti"), "pairs")
     if more.take(1):
-        extra = staged(_verified(more, docs, n, threshold), "links")
-        edges = edges.union(extra)
+        edges = edges.union(_verified(more, docs, n, threshold))
         comp = staged(connected(edges), "components")
     named = classes.select(*same, "rep").join(comp, F.col("rep") == F.col("node"), "left").select(
         *same, "rep", F.coalesce("component", "rep").alias("component"))
@@ -317,12 +323,14 @@ def _flat(members: DataFrame) -> DataFrame:
 def components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """Per document: n_shingles and component_id, the least id that links reach. ``threshold`` is the
-    least Jaccard similarity as a fraction."""
+    least Jaccard similarity as a fraction, one half at least."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found, classes, _ = classes_and_components(rows, n, threshold)
-    named = found.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
-    ident = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), ident.alias("component_id"))
+    with passing(docs.sparkSession):
+        found, classes, _ = classes_and_components(rows, n, threshold)
+        named = found.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
+        ident = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        return staged(named.select("doc_id", F.col("n").alias("n_shingles"), ident.alias("component_id")),
+                      "jaccard", last=True)
 
 
 def keep_first(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id",

@@ -11,7 +11,7 @@ from ledgerlane.llm.queries import QUERIES
 def test_every_operator_is_registered_once():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(names)
 
 

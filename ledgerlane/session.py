@@ -6,9 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # Settings every job relies on. AQE re-plans joins and partition counts at
 # runtime; skew-join splitting keeps one hot SKU or order from owning a task.
 BASE_CONF = {
@@ -18,8 +23,7 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # transformWithState needs the RocksDB state store.
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    STATE_STORE: ROCKSDB,
 }
 
 
@@ -38,6 +42,21 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, whatever store the session names: a query
+    takes its settings when it starts. The session may be anyone's, so it gets its own back."""
+    was = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, was)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, for checkpoints and intermediate
     tables: ``spark.checkpoint.dir``, else a folder in the session's warehouse (which a

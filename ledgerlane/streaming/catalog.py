@@ -15,7 +15,7 @@ from ledgerlane.functions.codec import decode_order_events
 from ledgerlane.functions.text import notification_line, processing_line
 from ledgerlane.operators.commits import read_committed
 from ledgerlane.plans.catalog import TS_FORMAT, portable, timed_projection
-from ledgerlane.session import read_table, shared_path
+from ledgerlane.session import read_table, rocksdb_state, shared_path
 from ledgerlane.sources import fixtures as fx
 from ledgerlane.sources.events import render_event_json
 from ledgerlane.sources.requests import parse_order_requests, render_order_requests
@@ -203,8 +203,9 @@ def s_live_window_revenue(spark: SparkSession, sf: str) -> DataFrame:
     out, ckpt = _paths(spark, "stream-live-windows")
     expected = read_table(spark, sf, "events").count()
     windows = apply_processing_time_windows(jobs.fixture_event_stream(spark, sf), window_ms=2000)
-    q = (windows.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .trigger(processingTime="500 milliseconds").start())
+    with rocksdb_state(spark):
+        q = (windows.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+             .trigger(processingTime="500 milliseconds").start())
     try:
         seen, since = 0, time.monotonic()
         while seen < expected:

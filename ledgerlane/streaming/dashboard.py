@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlane.functions.text import console_line
 from ledgerlane.operators.metrics import event_problems, revenue_tumbling, valid_events
-from ledgerlane.session import shared_path
+from ledgerlane.session import rocksdb_state, shared_path
 from ledgerlane.streaming import jobs
 from ledgerlane.streaming.processors import WINDOW_MS, apply_processing_time_windows
 
@@ -91,8 +91,9 @@ def start_dashboard(spark: SparkSession, events: Callable[[], DataFrame], out_di
             apply_processing_time_windows(valid_events(events()), window_ms).writeStream.format("parquet")
             .option("path", f"{out_dir}/revenue_30s")
             .option("checkpointLocation", f"{out_dir}/_checkpoints/revenue_30s"))
-    return {name: w.queryName(f"dashboard_{name}").trigger(**trigger).start()
-            for name, w in writers.items()}
+    with rocksdb_state(spark):
+        return {name: w.queryName(f"dashboard_{name}").trigger(**trigger).start()
+                for name, w in writers.items()}
 
 
 def read_dashboard(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:

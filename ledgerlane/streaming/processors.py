@@ -99,7 +99,8 @@ def _partial_sums(batches):
 def apply_processing_time_windows(events: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     """T1 live processing-time windows of ``window_ms``: sum, count and bounds.
     Run it with a ``processingTime`` trigger: under ``availableNow`` its
-    wall-clock timers keep the query from ever finishing.
+    wall-clock timers keep the query from ever finishing. Start it in ``session.rocksdb_state``:
+    Spark's default state store has no room for both a map state and timers.
 
     The processing clock is read once per micro-batch, so the processor only
     needs each micro-batch's sum: a stateless Arrow pass pre-aggregates every

@@ -9,9 +9,11 @@ remote call becomes a join and the whole batch of requests is decided at once:
     lines → filter(q > 0) → groupBy(order, sku) → ⋈ stock → groupBy(order)
           → ⟕ headers → decision
 
-Both aggregations run partial (map-side) first, so a hot order or SKU costs
-one row per map task before the shuffle. The planner picks the stock join from
-the tables' sizes and AQE splits skewed partitions; there is no hint.
+Lines are dealt by (order, SKU) before they are summed up: nearly every pair
+has one line, so partial sums ahead of that shuffle would only fill the map
+tasks' memory. A hot order or SKU is spread over all its pairs, and the sum per
+order runs partial (map-side) first. The planner picks the stock join from the
+tables' sizes and AQE splits skewed partitions of joins; there is no hint.
 
 The duplicate-SKU rule (R3): the source service joins every in-stock answer
 with every line of the same SKU, so a SKU on k lines counts k times. With
@@ -26,10 +28,15 @@ from pyspark.sql import functions as F
 
 from ledgerlane.functions.ids import order_number_for_key
 from ledgerlane.schemas import CONFIRMED, FAILED
+from ledgerlane.session import cores, partitions_for
 from ledgerlane.sources.requests import unrepresentable_prices
 
 TOTAL_TYPE = "decimal(38,6)"
 
+#: Lines are summed up per order and SKU in partitions of this many bytes as the planner expects them (of packed
+#: tables, about 200,000 lines), so that a task's table of sums stays the same size however many lines there are.
+LINE_PARTITION_BYTES = 1 << 20
+
 
 # ---------------------------------------------------------------- lines
 
@@ -137,7 +144,9 @@ def stock_answers(lines: DataFrame, inventory: DataFrame) -> DataFrame:
 def order_totals(lines: DataFrame, inventory: DataFrame, dedupe_answers: bool = False) -> DataFrame:
     """Per order with at least one valid line: ``total_value`` (J2 + A4) and
     ``all_in_stock`` (A5). ``lines`` must already be the valid lines."""
-    per_sku = (lines.groupBy("order_key", "sku_code")
+    dealt = lines.repartition(partitions_for(lines, LINE_PARTITION_BYTES, least=cores(lines.sparkSession)),
+                              "order_key", "sku_code")
+    per_sku = (dealt.groupBy("order_key", "sku_code")
                     .agg(F.count(F.lit(1)).alias("n"),
                          F.sum(F.col("price") * F.col("quantity")).alias("s")))
     answered = (per_sku.join(stock_table(inventory), "sku_code", "left")

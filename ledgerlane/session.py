@@ -80,13 +80,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def partitions_for(df: DataFrame, partition_bytes: int = 128 << 20) -> int:
-    """Partition count for a range split of ``df``: one per ``partition_bytes`` of what the planner
-    expects to read, and at least the session's shuffle partitions, which also hold where the
-    planner knows no size (it then says the largest number there is)."""
+def partitions_for(df: DataFrame, partition_bytes: int = 128 << 20, least: int | None = None) -> int:
+    """Partition count for a split of ``df``: one per ``partition_bytes`` of what the planner
+    expects to read, and at least ``least``, by default the session's shuffle partitions, which also hold
+    where the planner knows no size (it then says the largest number there is)."""
     planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-               -(-planned // partition_bytes) if planned < 1 << 62 else 0)
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if planned >= 1 << 62:
+        return max(own, least or 0)
+    return max(own if least is None else least, -(-planned // partition_bytes))
+
+
+def cores(spark: SparkSession) -> int:
+    """How many tasks run at once, as the cluster says."""
+    return spark.sparkContext.defaultParallelism
 
 
 def ship(spark: SparkSession) -> None:

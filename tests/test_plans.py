@@ -5,6 +5,7 @@ import io
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
@@ -94,3 +95,19 @@ def test_changelog_partitions_follow_the_input(spark):
     ev = fx.order_events(spark, SF_SMALL)
     assert partitions_for(ev) == 8
     assert partitions_for(ev, partition_bytes=1 << 10) > 8
+
+
+def test_lines_are_summed_up_in_partitions_that_follow_the_input(spark, monkeypatch):
+    """Placement's sums per order and SKU: one shuffle of the lines, in as many partitions as the lines need."""
+    from ledgerlane.operators import placement
+    from ledgerlane.session import partitions_for
+    lines = spark.range(4000).selectExpr("id AS order_key", "concat('s', id % 7) AS sku_code",
+                                         "CAST(1.5 AS decimal(18,2)) AS price", "1 AS quantity")
+    stock = spark.createDataFrame([(f"s{k}", k) for k in range(7)], "sku_code string, quantity int")
+    monkeypatch.setattr(placement, "LINE_PARTITION_BYTES", 1 << 10)
+    sums = plan_text(placement.order_totals(lines, stock))
+    parts = partitions_for(lines, 1 << 10, least=spark.sparkContext.defaultParallelism)
+    assert parts > 40 and f"hashpartitioning(order_key#X, sku_code#X, {parts})" in re.sub(r"#\d+L?", "#X", sums)
+    assert partitions_for(lines, 1 << 30, least=3) == 3
+    rows = placement.order_totals(lines, stock).agg(F.count(F.lit(1)).alias("n"), F.sum("total_value").alias("v")).first()
+    assert (rows.n, float(rows.v)) == (4000, 1.5 * sum(1 for k in range(4000) if k % 7))

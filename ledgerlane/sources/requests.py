@@ -22,6 +22,8 @@ INVENTORY_SEED = [("iphone_13", 10), ("iphone_14", 0), ("iphone_15", 5)]
 # A bare price; a parser would hand it on by way of a double. In JSON, an unescaped name with a colon behind
 # it is a field's name and never part of a text.
 _BARE_PRICE = r'("price"\s*:\s*)(-?[0-9][-+0-9.eE]*)'
+# A price as nearly all are written: nothing around it, and no more digits than ``schemas.PRICE`` holds.
+_PLAIN_PRICE = rf"^-?[0-9]{{1,{PRICE.precision - PRICE.scale}}}([.][0-9]{{1,{PRICE.scale}}})?\z"
 PRICE_BEYOND, PRICE_NO_NUMBER = "price beyond " + PRICE.simpleString(), "price is no number"
 
 
@@ -39,9 +41,18 @@ def parse_order_requests(raw: DataFrame, value_col: str = "value", key: Column |
     key = F.xxhash64(value) if key is None else key
     return raw.select(key.alias("order_key"), parsed.alias("r")).select(
         "order_key", F.col("r.orderEmail").alias("order_email"),
-        F.transform("r.orderLineItemsDtoList", lambda i: F.struct(
-            i["id"].alias("id"), i["skuCode"].alias("sku_code"), _exact_price(i["price"]).alias("price"),
-            i["quantity"].alias("quantity"), without_blanks(i["price"]).alias("price_text"))).alias("items"))
+        F.transform("r.orderLineItemsDtoList", _parsed_line).alias("items"))
+
+
+def _parsed_line(i: Column) -> Column:
+    def line(price: Column, price_text: Column) -> Column:
+        return F.struct(i["id"].alias("id"), i["skuCode"].alias("sku_code"), price.alias("price"),
+                        i["quantity"].alias("quantity"), price_text.alias("price_text"))
+
+    written = i["price"]
+    # Plain prices are told by one pattern; the rest takes a dozen, each of them on a token of its own making.
+    return F.when(written.rlike(_PLAIN_PRICE), line(written.try_cast(PRICE), written)).otherwise(
+        line(_exact_price(written), without_blanks(written)))
 
 
 def _exact_price(written: Column) -> Column:

@@ -136,3 +136,32 @@ def test_answers_keep_order_and_duplicates(spark):
     assert sum((lists[3, k] for k in range(10)), []) == [(f"s{i % 7}", i % 7 < 6 and i % 2 == 1 if i % 7 == i else (i % 7) % 2 == 1 and i % 7 < 6)
                                                          for i in range(95)]
     assert len(lists) == 12
+
+
+def test_plain_and_odd_prices_are_held_alike(spark):
+    """Prices taken by one pattern and those taken by the whole reading give what the rule says, token by token."""
+    from ledgerlane.schemas import PRICE
+    from ledgerlane.sources.requests import parse_order_requests
+    limit = "9" * 20 + ".999999"
+    held = {"7.25": "7.25", "-7.25": "-7.25", "007.5": "7.5", limit: limit, "1.1234560": "1.123456", "1E3": "1000", "1e-6": "0.000001",
+            '"8.50"': "8.5", '" 8.5\\n"': "8.5", '"8.5\\n"': "8.5", '"1."': "1", '".5"': "0.5", "0.0000000": "0"}
+    lost = ["1" * 21, "1.1234567", "1e-7", '"abc"', '"1.5e"', '"1,5"', '"NaN"', "true"]
+    tokens = [*held, *lost, '""', "null"]
+    raw = spark.createDataFrame([(k, '{"orderLineItemsDtoList":[{"id":1,"price":%s,"quantity":2},{"id":2}]}' % t)
+                                 for k, t in enumerate(tokens)], "order_key long, value string")
+    parsed = parse_order_requests(raw, key=F.col("order_key"))
+    got = {tokens[r.order_key]: r["items"] for r in parsed.collect()}
+    assert all(len(items) == 2 and (items[1].price, items[1].price_text) == (None, None) for items in got.values())
+    assert {t: got[t][0].price for t in held} == {t: Decimal(v) for t, v in held.items()}
+    assert all(got[t][0].price is None and got[t][0].price_text for t in lost)
+    assert [(got[t][0].price, got[t][0].price_text) for t in ('""', "null")] == [(None, None)] * 2
+    assert got['"8.5\\n"'][0].price_text == "8.5" and got['"8.50"'][0].price_text == "8.50"
+    assert parsed.schema["items"].dataType.elementType["price"].dataType == PRICE
+
+
+def test_plain_prices_take_one_pattern(spark):
+    """The readings of a price that isn't plain, a dozen patterns each, stand behind the one that tells plain ones."""
+    from ledgerlane.sources import requests
+    parsed = requests.parse_order_requests(spark.range(1).selectExpr("id", "'{}' AS value"), key=F.col("id"))
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index(requests._PLAIN_PRICE) < plan.index("[\\x00-\\x20]+")

@@ -6,11 +6,13 @@ fewer pairs. Two lines of Jaccard similarity t share one of their first (1 - t)
 
 1. Lines of equal sets are one; all but the first occurrence go. That settles lines so short that
    no unequal set reaches the threshold (three words at 0.8).
-2. The prefix words deal the lines into buckets; words that one line alone holds drop out.
+2. The prefix words, as 32-bit keys, deal the lines into buckets. A key brings all that the filters ask of its
+   line, so that the buckets are dealt once a step and never written; ``ROUNDS`` parts of the keys follow each
+   other, and the disk holds the shuffled buckets of one.
 3. Each line is checked against its bucket's earliest line of equal length first, which settles
    nearly all of a group of alike lines in as many pairs as it has lines.
 4. Lines that still have no earlier match are joined with all earlier lines of their buckets under the
-   length and the positional filter and a bound from 128-bit word maps; the pairs are verified.
+   length and the positional filter and a bound from 64-bit word maps; the pairs are verified.
 
 So a line goes if, and only if, an earlier line (by document id, nulls last, then text hash and line number)
 has a similarity of at least the threshold. Lines of fewer than ``least`` distinct words stay, like
@@ -20,12 +22,15 @@ gives no rows. Extra columns are kept by ``dedup``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import dense_array, fresh, passing, staged, words
 
-CELLS = 1 << 16
+CELLS, ROUNDS = 1 << 16, 6
 WORD = (1 << 56) - 1
 THRESHOLD, LEAST = (80, 100), 1
 
@@ -44,7 +49,7 @@ def _hashes(line: Column) -> Column:
 def _rarity(lines: DataFrame) -> Column:
     """Four times the binary logarithm of each cell's count: ``CELLS`` bytes, a constant of one plan."""
     cell = F.pmod("h", F.lit(CELLS)).cast("int")
-    counts = (lines.select(F.explode(_hashes(F.col("line"))).alias("h")).groupBy(cell.alias("idx"))
+    counts = (lines.select(F.explode(words(F.col("line"))).alias("w")).select(F.xxhash64("w").alias("h")).groupBy(cell.alias("idx"))
               .agg(F.count(F.lit(1)).alias("n")))
     rank = counts.select("idx", F.least(F.floor(F.log2("n") * 4), F.lit(126)).cast("int").alias("n"))
     return F.lit(bytearray(dense_array(staged(rank, "rarity"), CELLS).first()["cells"]))
@@ -56,10 +61,29 @@ def _tokens(hashes: Column, rarity: Column) -> Column:
         F.ascii(F.substring(rarity, F.pmod(h, F.lit(CELLS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(WORD)))))
 
 
-def _word_map(tokens: Column, shift: int) -> Column:
+def _word_map(tokens: Column) -> Column:
     """64 bits, of which each word sets the one that six bits of its hash name."""
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function(
-        "shiftleft", F.lit(1).cast("long"), F.shiftright(t, shift).bitwiseAND(F.lit(63)).cast("int"))))
+        "shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _key(token: Column) -> Column:
+    """The low half of a word's hash. Words that share it only add pairs to verify."""
+    return F.shiftright(F.shiftleft(token, 32), 32).cast("int")
+
+
+def _dealt(firsts: DataFrame, part: int) -> DataFrame:
+    """(key, lid, pos, n, doc, map): a row for each prefix word of each line, of the keys of one round. The order of
+    documents is settled with the words; null ids, the last, stand with the greatest here."""
+    doc = F.coalesce("place.doc_id", F.lit((1 << 63) - 1)).alias("doc")
+    return firsts.select("lid", "n", doc, "map", F.posexplode("prefix").alias("pos", "key")).filter(
+        F.pmod("key", F.lit(ROUNDS)) == part)
+
+
+def _in_rounds(pairs: Callable[[int], DataFrame], label: str) -> DataFrame:
+    """The distinct pairs of all rounds, each written before the next is dealt."""
+    parts = [staged(pairs(k).select("lid", "other").distinct(), label) for k in range(ROUNDS)]
+    return reduce(DataFrame.union, parts).distinct()
 
 
 def _needed(n: Column, m: Column, threshold: tuple[int, int]) -> Column:
@@ -70,11 +94,11 @@ def _needed(n: Column, m: Column, threshold: tuple[int, int]) -> Column:
 
 def _alike(threshold: tuple[int, int]) -> Column:
     """Whether sizes (n, o_n) and word maps leave a chance of the threshold: a word that one side alone holds
-    changes at most one bit of each map."""
+    changes at most one bit of its map."""
     a, b = threshold
     n, m = F.col("n"), F.col("o_n")
-    apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col("o_" + c))) for c in ("map0", "map1"))
-    return (n * a <= m * b) & (m * a <= n * b) & (apart <= 2 * (n + m - 2 * _needed(n, m, threshold)))
+    apart = F.bit_count(F.col("map").bitwiseXOR(F.col("o_map")))
+    return (n * a <= m * b) & (m * a <= n * b) & (apart <= n + m - 2 * _needed(n, m, threshold))
 
 
 def _matched(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -101,39 +125,39 @@ def later_matches(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, least
     size = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), size - F.ceil(size * a / F.lit(float(b)) - 1e-9).cast("int") + 1)
     longer = size * (b - a) >= a  # n / (n + 1) reaches the threshold
-    occurrences = staged(rows.select(
-        F.xxhash64("tokens").alias("lid"), F.xxhash64(F.lit(1), "tokens").alias("lid2"), size.alias("n"), "place",
-        _word_map(F.col("tokens"), 0).alias("map0"), _word_map(F.col("tokens"), 6).alias("map1"),
-        F.when(longer, prefix).alias("prefix")), "lines").filter(F.col("n") >= max(least, 1))
-    own = [F.min_by(c, "place").alias(c) for c in ("lid2", "n", "map0", "map1")]
-    firsts = staged(occurrences.groupBy("lid").agg(F.min("place").alias("place"), *own), "firsts")
-
-    once = occurrences.filter("prefix is not null").groupBy("lid").agg(F.first("prefix").alias("prefix"))
-    by_key = Window.partitionBy("key")
-    shared = staged(once.select("lid", F.posexplode("prefix").alias("pos", "key"))
-                    .withColumns({"lo": F.min("lid").over(by_key), "hi": F.max("lid").over(by_key)})
-                    .filter("lo < hi").select("key", "lid", "pos"), "shared")
-    # the order of documents is settled with the words; null ids, the last, stand with the greatest here
-    doc = F.coalesce("place.doc_id", F.lit((1 << 63) - 1)).alias("doc")
-    known = shared.join(firsts.select("lid", "n", doc, "map0", "map1"), "lid")  # not written: several times either side
-
-    head = F.min(F.struct("doc", "lid", "map0", "map1")).over(Window.partitionBy("key", "n"))
-    near = known.withColumn("head", head).withColumns(
-        {"other": F.col("head.lid"), "o_n": F.col("n"), "o_map0": F.col("head.map0"), "o_map1": F.col("head.map1")})
-    tried = staged(near.filter("lid <> other").filter(_alike(threshold)).select("lid", "other").distinct(), "tried")
+    with passing(docs.sparkSession):
+        every = staged(rows.select(
+            F.xxhash64("tokens").alias("lid"), F.xxhash64(F.lit(1), "tokens").alias("lid2"), size.alias("n"), "place",
+            _word_map(F.col("tokens")).alias("map"), F.when(longer, F.transform(prefix, _key)).alias("prefix")),
+            "lines").filter(F.col("n") >= max(least, 1))
+        own = [F.min_by(c, "place").alias(c) for c in ("lid2", "n", "map", "prefix")]
+        firsts = staged(every.groupBy("lid").agg(F.min("place").alias("place"), *own), "firsts", last=True)
+        occurrences = staged(every.select("lid", "lid2", "place"), "occurrences", last=True)
+
+    def heads(part: int) -> DataFrame:
+        head = F.min(F.struct("doc", "lid", "map")).over(Window.partitionBy("key", "n"))
+        near = _dealt(firsts, part).withColumn("head", head).withColumns(
+            {"other": F.col("head.lid"), "o_n": F.col("n"), "o_map": F.col("head.map")})
+        return near.filter("lid <> other").filter(_alike(threshold))
+
+    tried = staged(_in_rounds(heads, "heads"), "tried")
     with passing(docs.sparkSession):
         settled = staged(_matched(tried, firsts, lines, threshold), "settled", last=True)
+    open_lines = staged(firsts.join(settled, "lid", "left_anti").select("lid", "n", "place", "map", "prefix"), "open")
+
+    def earlier(part: int) -> DataFrame:
+        other = _dealt(firsts, part).select("key", *[F.col(c).alias("o_" + c) for c in ("lid", "pos", "n", "doc", "map")])
+        open_ = _dealt(open_lines, part)
+        left = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("o_n") - F.col("o_pos") - 1)
+        fits = ((F.col("o_doc") <= F.col("doc")) & (F.col("o_lid") != F.col("lid")) & _alike(threshold)
+                & (left >= _needed(F.col("n"), F.col("o_n"), threshold)))
+        return open_.join(other, (open_["key"] == other["key"]) & fits).withColumnRenamed("o_lid", "other")
 
-    other = known.select("key", *[F.col(c).alias("o_" + c) for c in ("lid", "pos", "n", "doc", "map0", "map1")])
-    open_ = known.join(settled, "lid", "left_anti")
-    left = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("o_n") - F.col("o_pos") - 1)
-    fits = ((F.col("o_doc") <= F.col("doc")) & (F.col("o_lid") != F.col("lid")) & _alike(threshold)
-            & (left >= _needed(F.col("n"), F.col("o_n"), threshold)))
-    more = staged(open_.join(other, (open_["key"] == other["key"]) & fits).select("lid", F.col("o_lid").alias("other"))
-                  .distinct().join(tried, ["lid", "other"], "left_anti"), "more")
+    more = staged(_in_rounds(earlier, "earlier").join(tried, ["lid", "other"], "left_anti"), "more")
     later = settled
     if more.take(1):
-        later = staged(settled.union(_matched(more, firsts, lines, threshold)).distinct(), "settled")
+        with passing(docs.sparkSession):
+            later = staged(settled.union(_matched(more, firsts, lines, threshold)).distinct(), "settled", last=True)
 
     judged = firsts.select("lid", F.col("lid2").alias("same"), F.col("place").alias("first")).join(
         later.withColumn("gone", F.lit(True)), "lid", "left")

@@ -120,3 +120,15 @@ def test_removed_lines_are_counted_where_all_go(spark):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in got.collect()} == {
         1: (1, 0, rows[0][1]), 2: (1, 1, ""), 3: (1, 0, None), 4: (1, 0, ""), 5: (2, 2, ""),
         6: (2, 1, "a line of its own"), 7: (2, 1, "")}
+
+
+def test_rounds_part_the_prefix_words(spark):
+    """Each prefix word of each line is dealt in one round, so that the disk holds one round's buckets."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, 5, [k, -7 * k, 3], k * 11) for k in range(40)] + [(99, 2, None, 0)]
+    firsts = spark.createDataFrame(rows, "lid long, n int, prefix array<int>, map long").withColumn(
+        "place", F.struct(F.col("lid").alias("doc_id")))
+    dealt = [[(r.lid, r.pos, r.key) for r in lines._dealt(firsts, k).collect()] for k in range(lines.ROUNDS)]
+    assert sorted(sum(dealt, [])) == sorted((k, i, w) for k, _, p, _ in rows for i, w in enumerate(p or []))
+    assert lines.ROUNDS > 1 and max(map(len, dealt)) < 120

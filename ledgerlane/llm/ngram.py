@@ -1,13 +1,15 @@
-"""N-gram Jaccard join: word shingles, count vectors in R-trees, exact check, components.
+"""N-gram Jaccard join: word shingles, count vectors in R-trees, sketches, exact check, components.
 
 1. A document's shingles are hashed; documents of equal sets form one class.
 2. Two sets of Jaccard similarity t share one of their rarest (1 - t) n + 1 shingles. These keys
    deal the classes into groups, so that a tree never has to hold more than one group. Rarity
    is counted over all documents in a hashed table of fixed size; it only sets the order.
    Groups of the same members are one.
-3. A class is a point: its shingles counted by hash group. In a group, an R-tree over the points
-   finds those whose bound on the overlap, the sum of the coordinates' minima, is large enough;
-   boxes are bounded by their upper corners. The first pass gives each group's spanning
+3. A class brings a sketch, the last 16 bits of each of its shingles, packed. Counted by hash group it is a
+   point. In a group, an R-tree over the points finds those whose bound on the overlap, the sum of the
+   coordinates' minima, is large enough; boxes are bounded by their upper corners. What the tree finds is
+   bounded again by the sketches themselves, which is the overlap but for a few shingles in 65,536, so that
+   groups of texts somewhat below the threshold make no pairs. The first pass gives each group's spanning
    forest of such pairs, which are checked exactly against the shingle sets. After that only
    pairs of different components are searched: all of them, in the second pass.
 4. So every link between different components is found, and components are exact without
@@ -24,6 +26,7 @@ rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,13 +74,45 @@ def groups_for(n: int) -> int:
 
 
 def count_vector(x: np.ndarray) -> bytes:
-    g = groups_for(len(x))
-    counts = np.bincount((x & np.uint64(g - 1)).astype(np.int64), minlength=g)
-    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+    """The sketch: the shingles' last 16 bits in order, as steps whose low and high bytes lie apart, compressed to about
+    a byte each. Any smaller number of groups can be counted from it."""
+    steps = np.diff(np.sort(x.astype("<u2")), prepend=np.uint16(0)).astype("<u2")
+    press = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return press.compress(steps.view("u1").reshape(-1, 2).T.tobytes()) + press.flush()
 
 
 def read_vector(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "u1" if len(data) == groups_for(n) else "<u4").astype(np.int32)
+    """The marks of a sketch of ``n`` shingles, in order."""
+    steps = np.frombuffer(zlib.decompress(data, -15), "u1").reshape(2, n)
+    return np.cumsum(steps[0].astype(np.int32) + (steps[1].astype(np.int32) << 8))
+
+
+def point(marks: np.ndarray) -> np.ndarray:
+    """The marks counted by group."""
+    g = groups_for(len(marks))
+    return np.bincount(marks & (g - 1), minlength=g).astype(np.int32)
+
+
+class Overlaps:
+    """Bounds on the overlap of one sketch with others: how many marks they share, repeats counted."""
+
+    def __init__(self, sketches: list[np.ndarray]):
+        self.sketches, self.table = sketches, np.zeros(1 << 16, np.int32)
+        self.turns: dict[int, np.ndarray] = {}
+
+    def _turn(self, k: int) -> np.ndarray:
+        """Which of its equals in the sketch each mark is."""
+        if k not in self.turns:
+            s = self.sketches[k]
+            self.turns[k] = np.arange(len(s), dtype=np.int32) - np.searchsorted(s, s).astype(np.int32)
+        return self.turns[k]
+
+    def with_(self, i: int, others: np.ndarray) -> np.ndarray:
+        mine = self.sketches[i]
+        np.add.at(self.table, mine, 1)
+        shared = np.array([np.count_nonzero(self.table[self.sketches[k]] > self._turn(k)) for k in others], np.int64)
+        self.table[mine] = 0
+        return shared
 
 
 def folded(v: np.ndarray, g: int) -> np.ndarray:
@@ -131,11 +166,20 @@ class CountTree:
         return where[self._enough(q, n, self.points[where], self.sizes[where])]
 
 
-def links(reps: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], comps: np.ndarray,
+def links(reps: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], comps: np.ndarray,
           threshold: tuple[int, int], forest: bool) -> list[tuple[int, int]]:
-    """Pairs of one group, as places, that the bound lets through: a spanning forest of them, or all of
+    """Pairs of one group, as places, that the bounds let through: a spanning forest of them, or all of
     different components. Vectors of unlike length meet in the shorter one's groups."""
+    vectors, overlaps, (a, b) = [point(s) for s in sketches], Overlaps(sketches), threshold
     widths, out = np.array([len(v) for v in vectors]), []
+
+    def near(tree: CountTree, some: np.ndarray, i: int, free: np.ndarray) -> np.ndarray:
+        found = tree.near(i, free)
+        if not len(found):
+            return found
+        shared = overlaps.with_(some[i], some[found])
+        return found[shared * (a + b) >= a * (sizes[some[i]] + sizes[some[found]])]
+
     for g in np.unique(widths):
         some = np.flatnonzero((widths == g) | (widths == 2 * g))
         own = widths[some] == g
@@ -150,7 +194,7 @@ def links(reps: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], comps:
                 free[start], queue = False, [start]
                 while queue:
                     i = queue.pop()
-                    for k in tree.near(i, free & (own | own[i])):
+                    for k in near(tree, some, i, free & (own | own[i])):
                         free[k] = False
                         queue.append(k)
                         out.append((some[i], some[k]))
@@ -158,7 +202,7 @@ def links(reps: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], comps:
             for i in range(len(some)):
                 free = (np.arange(len(some)) > i) & (own | own[i]) & (comps[some] != comps[some[i]])
                 if free.any():
-                    out += [(some[i], some[k]) for k in tree.near(i, free)]
+                    out += [(some[i], some[k]) for k in near(tree, some, i, free)]
     return out
 
 
@@ -189,16 +233,16 @@ def _rarity(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def points(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """(doc_id, n, s1, s2, keys, vector): the set's size, two hashes of it, its rarest shingles, its counts."""
+    """(doc_id, n, s1, s2, keys, sketch): the set's size, two hashes of it, its rarest shingles, its sketch."""
     ship(docs.sparkSession)
     a, b = threshold
     rarity = docs.sparkSession.sparkContext.broadcast(_rarity(docs, n))  # fixed size
-    schema = "doc_id long, n long, s1 long, s2 long, keys array<long>, vector binary"
+    schema = "doc_id long, n long, s1 long, s2 long, keys array<long>, sketch binary"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = rarity.value
         for batch in batches:
-            ns, s1, s2, keys, vectors = [], [], [], [], []
+            ns, s1, s2, keys, sketches = [], [], [], [], []
             for text in batch.column(1):
                 x = shingles(text.as_py(), n)
                 k = len(x)
@@ -208,17 +252,17 @@ def points(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
                 first = np.lexsort((x, cells[(x >> np.uint64(44)).astype(np.int64)]))[:k - (a * k + b - 1) // b + 1]
                 ns.append(k)
                 keys.append(x[first].astype(np.int64))
-                vectors.append(count_vector(x) if k else b"")
+                sketches.append(count_vector(x) if k else b"")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ns, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(vectors, pa.binary())],
-                ["doc_id", "n", "s1", "s2", "keys", "vector"])
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "n", "s1", "s2", "keys", "sketch"])
 
     return docs.mapInArrow(measure, schema)
 
 
 def _candidates(members: DataFrame, threshold: tuple[int, int], forest: bool) -> DataFrame:
-    """Distinct pairs (a, b) of the rows (tile, rep, n, vector, comp) of each tile."""
+    """Distinct pairs (a, b) of the rows (tile, rep, n, sketch, comp) of each tile."""
     ship(members.sparkSession)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +271,8 @@ def _candidates(members: DataFrame, threshold: tuple[int, int], forest: bool) ->
         def pairs() -> list[tuple[int, int]]:
             if len(held) < 2:
                 return []
-            _, rep, n, vector, comp = zip(*held)
-            found = links(np.array(rep), np.array(n), [read_vector(v, k) for v, k in zip(vector, n)],
+            _, rep, n, marks, comp = zip(*held)
+            found = links(np.array(rep), np.array(n), [read_vector(m, k) for m, k in zip(marks, n)],
                           np.array(comp), threshold, forest)
             return [(min(rep[i], rep[k]), max(rep[i], rep[k])) for i, k in found if rep[i] != rep[k]]
 
@@ -245,7 +289,7 @@ def _candidates(members: DataFrame, threshold: tuple[int, int], forest: bool) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
     return (members.repartition("tile").sortWithinPartitions("tile", "n", "rep")
-            .select("tile", "rep", "n", "vector", "comp").mapInArrow(search, "a long, b long").distinct())
+            .select("tile", "rep", "n", "sketch", "comp").mapInArrow(search, "a long, b long").distinct())
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
@@ -276,7 +320,7 @@ def classes_and_components(docs: DataFrame, n: int, threshold: tuple[int, int])
     found = staged(points(docs, n, threshold), "points")
     same = ["s1", "s2", "n"]
     classes = staged(found.filter("n > 0 and doc_id is not null").groupBy(*same).agg(
-        F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("vector").alias("vector")), "classes")
+        F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
     over = classes.select(F.explode("keys").alias("key"), "rep")
     # summed first and joined back, so that a key that many classes hold is no one task's
     keys = over.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"),
@@ -284,14 +328,14 @@ def classes_and_components(docs: DataFrame, n: int, threshold: tuple[int, int])
     shared = over.join(keys, "key")
     # keys of the same members are one group
     members = staged(shared.groupBy("mark", "size", "rep").agg(F.min("low").alias("low")), "members")
-    narrow = classes.select("rep", "n", "vector")
+    narrow = classes.select("rep", "n", "sketch")
 
     tiles = F.ceil(F.col("size") / TILE)
     at = F.pmod(F.xxhash64("rep", "mark"), tiles)
     # the group's least member is in every tile, so that tiles are joined
     at = F.when(F.col("rep") == F.col("low"), F.sequence(F.lit(0).cast("long"), tiles - 1)).otherwise(F.array(at))
     first = members.withColumn("at", F.explode(at)).join(narrow, "rep").select(
-        F.struct("mark", "size", "at").alias("tile"), "rep", "n", "vector", F.col("rep").alias("comp"))
+        F.struct("mark", "size", "at").alias("tile"), "rep", "n", "sketch", F.col("rep").alias("comp"))
     tried = staged(_candidates(_flat(first), threshold, True), "pairs")
     edges = _verified(tried, docs, n, threshold)
     comp = staged(connected(edges), "components")
@@ -305,7 +349,7 @@ def classes_and_components(docs: DataFrame, n: int, threshold: tuple[int, int])
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / TILE) - 1))
     second = mixed.withColumn("other", other).join(narrow, "rep").select(
         F.struct("mark", "size", (F.least("place", "other") * (1 << 31) + F.greatest("place", "other")).alias("at")).alias("tile"),
-        "rep", "n", "vector", "comp")
+        "rep", "n", "sketch", "comp")
     more = staged(_candidates(_flat(second), threshold, False).join(tried, ["a", "b"], "left_anti"), "pairs")
     if more.take(1):
         edges = edges.union(_verified(more, docs, n, threshold))

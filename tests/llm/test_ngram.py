@@ -136,3 +136,21 @@ def test_table(spark):
     table = spark.read.parquet(f"{SF_TINY}/documents.parquet")
     check(spark, [(r.doc_id, r.text, r.source) for r in table.collect()])
     assert table.filter(F.col("text").isNull()).count() >= 0
+
+
+def test_group_below_the_threshold_makes_no_pairs():
+    """Sets of similarity 0.84 pass the bound of their counts in 256 groups, not that of their sketches."""
+    rng = np.random.default_rng(7)
+    base = rng.choice(1 << 62, 200).astype(np.uint64)
+    sets = []
+    for k in range(60):
+        own = base.copy()
+        own[(np.arange(9) + 9 * k) % 200 if k < 22 else rng.choice(200, 9, replace=False)] = rng.choice(1 << 62, 9)
+        sets.append(np.unique(own))
+    alike = sum(100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y)) for i, x in enumerate(sets) for y in sets[:i])
+    vectors = [ngram.read_vector(ngram.count_vector(s), len(s)) for s in sets]
+    found = ngram.links(np.arange(60), np.array([len(s) for s in sets]), vectors, np.arange(60), (85, 100), False)
+    points = [ngram.point(v) for v in vectors]
+    bound = sum(185 * np.minimum(x, y).sum() >= 85 * (len(vectors[i]) + len(vectors[j]))
+                for i, x in enumerate(points) for j, y in enumerate(points[:i]))
+    assert alike <= len(found) < 1.2 * alike < bound / 2

@@ -16,6 +16,7 @@ from ledgerlane.session import ship  # noqa: F401
 #: White space of the word rule: blank, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
 
 
@@ -64,6 +65,18 @@ def staged(df: DataFrame, label: str, last: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Tables written within the block pass rows to Python in batches of so many at most: long rows, such as texts,
+    then take little memory on either side. The session gets its own setting back."""
+    was = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, was)
+
+
 def local_path(uri: str) -> str:
     """``file:`` URIs in any of their spellings as a plain path; other URIs unchanged."""
     return "/" + uri[len("file:"):].lstrip("/") if uri.startswith("file:") else uri

@@ -33,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import ship, staged
+from ledgerlane.llm.common import ship, small_batches, staged
 
 #: Words of the longest phrase; least count; words a task holds before it writes runs; suffix rows one subtree task
 #: may hold; prefixes over the budget a level, at most.
-DEPTH, LEAST, RUN_WORDS, BUDGET, CUT_PREFIXES = 5, 100, 600_000, 1_000_000, 1 << 20
+DEPTH, LEAST, RUN_WORDS, BUDGET, CUT_PREFIXES = 5, 100, 600_000, 400_000, 1 << 20
 #: Parts of a language in which candidates are ranked ahead of the language as a whole.
 RANK_PARTS = (256, 16)
 #: Lower case for A-Z; every sign that ends a piece becomes a full stop, which no word holds; tab is a blank.
@@ -52,10 +52,11 @@ def tokens(text: str) -> list[bytes]:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
+    """The numbers of each array byte by byte, all lowest bytes first: the high ones are mostly alike."""
     import zstandard
 
     data = b"".join([np.array([len(arrays), *map(len, arrays)], "<i8").tobytes(),
-                     *(np.ascontiguousarray(a, "<i4").tobytes() for a in arrays)])
+                     *(np.ascontiguousarray(a, "<i4").view("u1").reshape(-1, 4).T.tobytes() for a in arrays)])
     return zstandard.ZstdCompressor(level=3).compress(data)
 
 
@@ -65,7 +66,9 @@ def _unpacked(data: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     sizes = np.frombuffer(raw, "<i8", n, 8)
-    return np.split(np.frombuffer(raw, "<i4", int(sizes.sum()), 8 * (n + 1)), np.cumsum(sizes)[:-1])
+    ends = 8 * (n + 1) + 4 * np.cumsum(sizes)
+    return [np.ascontiguousarray(np.frombuffer(raw, "u1", int(4 * size), int(end - 4 * size)).reshape(4, -1).T).view("<i4")[:, 0]
+            for size, end in zip(sizes, ends)]
 
 
 def _words(words: list[bytes]) -> bytes:
@@ -370,12 +373,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, ru
                      budget: int = BUDGET, cut_prefixes: int = CUT_PREFIXES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, f) of all phrases of up to ``depth`` words with f >= ``least``, (lang, n)), from rows
     (lang, text)."""
-    runs = staged(suffix_runs(docs, depth, run_words), "runs")
-    words, cut, groups = vertical(runs, depth, budget, cut_prefixes)
-    found = subtrees(_dealt(runs, cut, groups, depth), least, depth)
-    if cut:  # the nodes above the roots
-        found = found.unionByName(_prefixes(runs, cut, 0).filter(F.col("f") >= least).select("lang", "phrase", "f"))
-    return staged(found, "phrases"), staged(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+    with small_batches(docs.sparkSession):
+        runs = staged(suffix_runs(docs, depth, run_words), "runs")
+    with small_batches(docs.sparkSession, 8):  # a run takes megabytes
+        words, cut, groups = vertical(runs, depth, budget, cut_prefixes)
+        found = subtrees(_dealt(runs, cut, groups, depth), least, depth)
+        if cut:  # the nodes above the roots
+            found = found.unionByName(_prefixes(runs, cut, 0).filter(F.col("f") >= least).select("lang", "phrase", "f"))
+        return staged(found, "phrases"), staged(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
 
 
 def score() -> Column:

@@ -110,3 +110,15 @@ def test_top_of_many_parts(spark):
     """More candidates than a rank's parts keep: the first of the language are the same."""
     rows = [("en", " ".join(f"x{i % 97} y{i * 7 % 101} z{i % 13}" for i in range(k, k + 40))) for k in range(0, 900, 9)]
     assert got(phrases.collocations(table(spark, rows), top=3, least=2)) == brute(rows, 2, 3)
+
+
+def test_packed_numbers_take_less_than_plain_ones_and_return():
+    import numpy as np
+    import zstandard
+
+    rng = np.random.default_rng(3)
+    arrays = [np.sort(rng.integers(0, 20_000, 5_000)), rng.integers(0, 20_000, 5_000), np.zeros(0, np.int64), np.array([2**31 - 1])]
+    data = phrases._packed(*arrays)
+    plain = zstandard.ZstdCompressor(level=3).compress(b"".join(a.astype("<i4").tobytes() for a in arrays))
+    assert len(data) < 0.9 * len(plain)
+    assert [x.tolist() for x in phrases._unpacked(data)] == [x.tolist() for x in arrays]

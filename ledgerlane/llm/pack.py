@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import ship, staged
+from ledgerlane.llm.common import ship, small_batches, staged
 from ledgerlane.llm.tokenizer import encoder
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
@@ -32,7 +32,7 @@ ROUTED = "doc_id long, start long, ids binary, doc_tokens long, key long"
 PACKED = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Sequence ids from here on are windows that one document fills.
 FULL_IDS = 1 << 62
-_FLUSH_BYTES = 8 << 20
+_FLUSH_BYTES = 1 << 20
 
 
 #: Bits of a key for each of its three orders; places beyond share the last.
@@ -46,11 +46,14 @@ def holders(rests: DataFrame) -> tuple[int, np.ndarray]:
         total, held = 0, np.zeros(0, np.int64)
         for batch in batches:
             total += batch.num_rows
-            for ids in batch.column(0):
-                x = np.unique(np.frombuffer(ids.as_py(), "<u4"))
-                if len(x) and x[-1] >= len(held):
-                    held = np.concatenate([held, np.zeros(int(x[-1]) + 1 - len(held), np.int64)])
-                held[x] += 1
+            flat, starts = _joined(batch.column(0).to_pylist())
+            if not len(flat):
+                continue
+            if flat.max() >= len(held):
+                held = np.concatenate([held, np.zeros(int(flat.max()) + 1 - len(held), np.int64)])
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.append(starts, len(flat))))
+            once = np.sort((row << 32) | flat)
+            held += np.bincount(once[np.append(True, once[1:] != once[:-1])] & 0xFFFFFFFF, minlength=len(held))
         seen = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *seen], pa.int64()), pa.array([total, *held[seen]], pa.int64())],
                                          ["id", "n"])
@@ -76,12 +79,25 @@ def key_orders(weights: np.ndarray) -> np.ndarray:
     return np.minimum(places, (1 << _KEY_BITS) - 1)
 
 
-def _key(ids: np.ndarray, orders: np.ndarray) -> int:
-    """The least places of the ids, side by side: alike pieces sort near each other."""
-    a, b, c = (int(x) for x in orders[:, ids].min(axis=1))
+def _joined(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pieces, one behind the other, and where each begins."""
+    flat = np.frombuffer(b"".join(pieces), "<u4")
+    return flat, np.cumsum([0, *(len(p) // 4 for p in pieces[:-1])])
+
+
+def _keys(pieces: list[bytes], orders: np.ndarray) -> np.ndarray:
+    """For each piece the least places of its ids, side by side: alike pieces sort near each other. Every piece holds
+    an id."""
+    flat, starts = _joined(pieces)
+    a, b, c = (np.minimum.reduceat(x[flat], starts) for x in orders)
     return (a << 2 * _KEY_BITS) | (b << _KEY_BITS) | c
 
 
+def _key(ids: np.ndarray, orders: np.ndarray) -> int:
+    """One piece's key."""
+    return int(_keys([ids.tobytes()], orders)[0])
+
+
 def encode_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, id_col: str = "doc_id",
                   text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Pieces of every document: ids as little-endian unsigned 32-bit integers. A piece shorter than the
@@ -147,6 +163,15 @@ class Index:
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
+def _best(score: np.ndarray, n: int) -> np.ndarray:
+    """The places of the ``n`` largest scores above zero, best first, equal ones in order."""
+    near = np.flatnonzero(score > 0)
+    if len(near) > n:
+        own = score[near]
+        near = near[own >= np.partition(own, len(own) - n)[len(own) - n]]
+    return near[np.lexsort((near, -score[near]))][:n]
+
+
 def pack(pieces: DataFrame, window: int = 1024, shard_pieces: int = 1024, look: int = 32) -> DataFrame:
     """Sequences of at most ``window`` ids from the rows of ``encode_pieces``. ``look``: how many
     neighbours in rank order are tried for one that fits before the best is cut. Every id
@@ -206,8 +231,7 @@ def pack(pieces: DataFrame, window: int = 1024, shard_pieces: int = 1024, look:
                 if not used:
                     continue
                 score = index.scores(seed) * free
-                near = np.flatnonzero(score > 0)
-                near = near[np.lexsort((near, -score[near]))]
+                near = _best(score, look + 1)  # the last is the one to cut where all others fit
                 for k in near[:look]:
                     if sizes[k] <= window - used:
                         free[k] = False
@@ -222,10 +246,8 @@ def pack(pieces: DataFrame, window: int = 1024, shard_pieces: int = 1024, look:
 
         held: list[tuple] = []
         for batch in batches:
-            cols = [batch.column(c) for c in range(4)]
-            for doc_id, start, ids, total in zip(*cols):
-                held.append((doc_id.as_py(), start.as_py(),
-                             np.frombuffer(ids.as_py(), "<u4"), total.as_py()))
+            for doc_id, start, ids, total in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append((doc_id, start, np.frombuffer(ids, "<u4"), total))
                 if len(held) == shard_pieces:
                     block(held)
                     held = []
@@ -256,7 +278,7 @@ def pack(pieces: DataFrame, window: int = 1024, shard_pieces: int = 1024, look:
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [_key(np.frombuffer(x.as_py(), "<u4"), orders.value) for x in batch.column(2)]
+            keys = _keys(batch.column(2).to_pylist(), orders.value) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "key"])
 
     packed = (rests.mapInArrow(route, ROUTED).repartitionByRange("key", "doc_id", "start")
@@ -271,4 +293,6 @@ def pack(pieces: DataFrame, window: int = 1024, shard_pieces: int = 1024, look:
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, **names: str) -> DataFrame:
     """``encode_pieces`` staged once, then ``pack``."""
-    return pack(staged(encode_pieces(docs, tokenizer, window, **names), "pieces"), window)
+    with small_batches(docs.sparkSession):
+        pieces = staged(encode_pieces(docs, tokenizer, window, **names), "pieces")
+    return pack(pieces, window)

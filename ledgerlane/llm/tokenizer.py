@@ -45,7 +45,7 @@ class Encoder(dict):
     meets (about 0.2 KB each); others are encoded each time. Letters and marks that can't merge with their
     neighbours go to the library's BPE model directly, other chunks through all of its tokenizer."""
 
-    def __init__(self, path: str, cache_entries: int = 800_000):
+    def __init__(self, path: str, cache_entries: int = 250_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -90,7 +90,9 @@ class Encoder(dict):
         return self._mark(line_end) + ids if line_end else ids
 
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha() and _LETTERS.fullmatch(word):
+        if word.isalpha() and word.isascii():
+            ids = array("I", [t.id for t in self.bpe(_SIGNS[0x20] + word)]).tobytes()
+        elif word.isalpha() and _LETTERS.fullmatch(word):
             ids = self._part(" " + word)
         else:
             ids = b"".join([self._chunk(c) for c in _CHUNK.findall(" " + word)])

@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import ship
+from ledgerlane.llm.common import ship, small_batches
 from ledgerlane.llm.tokenizer import encoder
 
 SCHEMA = "shard int, doc_id long, local_start long, n_tokens long, ids array<int>"
-_FLUSH_IDS = 2_000_000
+_FLUSH_IDS = 250_000
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id",
@@ -72,11 +72,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                          F.monotonically_increasing_id().alias("row"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("row")]  # equal ids may be dealt apart
     dealt = source.repartitionByRange(shards, *order) if shards else source.repartitionByRange(*order)
-    (dealt.sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(encode, SCHEMA)
-        .write.option("orc.compress", "ZSTD").option("orc.stripe.size", str(stripe_bytes))
-        .option("orc.create.index", "true").option("orc.row.index.stride", str(index_stride))
-        .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
-        .orc(path))
+    with small_batches(docs.sparkSession):
+        (dealt.sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(encode, SCHEMA)
+            .write.option("orc.compress", "ZSTD").option("orc.stripe.size", str(stripe_bytes))
+            .option("orc.create.index", "true").option("orc.row.index.stride", str(index_stride))
+            .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
+            .orc(path))
 
 
 def read_tokens(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:

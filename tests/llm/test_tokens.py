@@ -159,3 +159,31 @@ def test_terms_that_most_of_a_block_holds_score():
     assert score[1::2].min() > 100 * score[::2].max() > 0
     want = sum(weights[t] * 2.2 / 2.2 for t in (0, 1, 2))
     assert np.allclose(score[3], want)
+
+
+def test_batches_of_texts_are_small_and_the_setting_returns(spark):
+    """What is written within the block reaches Python in few rows at a time, as the writers of tokens and pieces do."""
+    from ledgerlane.llm import common
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    was = spark.conf.get(common.BATCH_ROWS)
+    with common.small_batches(spark, 100):
+        most = common.staged(spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n long"), "sizes").agg({"n": "max"}).first()[0]
+    assert most == 100 and spark.conf.get(common.BATCH_ROWS) == was
+
+
+def test_keys_of_a_batch_and_best_scores():
+    """A batch's keys are those of its pieces, and the best scores are the head of the full order, ties included."""
+    rng = np.random.default_rng(11)
+    orders = np.stack([rng.permutation(500) for _ in range(3)])
+    pieces = [rng.integers(0, 500, int(n)).astype("<u4") for n in rng.integers(1, 40, 50)]
+    want = [tuple(int(x) for x in orders[:, p].min(axis=1)) for p in pieces]
+    assert pack._keys([p.tobytes() for p in pieces], orders).tolist() == [(a << 42) | (b << 21) | c for a, b, c in want]
+    for n in (1, 5, 33, 200):
+        score = rng.integers(0, 6, 120).astype(float)
+        near = np.flatnonzero(score > 0)
+        assert pack._best(score, n).tolist() == near[np.lexsort((near, -score[near]))][:n].tolist()

@@ -12,7 +12,11 @@ fewer pairs. Two lines of Jaccard similarity t share one of their first (1 - t)
 3. Each line is checked against its bucket's earliest line of equal length first, which settles
    nearly all of a group of alike lines in as many pairs as it has lines.
 4. Lines that still have no earlier match are joined with all earlier lines of their buckets under the
-   length and the positional filter and a bound from 64-bit word maps; the pairs are verified.
+   length and the positional filter and a bound from maps of 128 bits, of which each word turns one.
+5. The pairs that are left, hardly more than the matches, are verified by the words of their lines. A table of
+   ``NEEDED`` bytes tells most other lines apart before any text is shuffled.
+6. What stays are the first lines of the sets that no earlier one matches, and lines without words: they are
+   told to the documents, not the lines that go.
 
 So a line goes if, and only if, an earlier line (by document id, nulls last, then text hash and line number)
 has a similarity of at least the threshold. Lines of fewer than ``least`` distinct words stay, like
@@ -28,11 +32,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import dense_array, fresh, passing, staged, words
+from ledgerlane.llm.common import SPACE, dense_array, fresh, passing, staged
 
-CELLS, ROUNDS = 1 << 16, 6
+CELLS, ROUNDS, NEEDED = 1 << 16, 4, 1 << 20
+#: Lines hold few of them, so that most are split at plain blanks.
+OTHER_SPACE, HAS_WORD = r"[\x09-\x0D]", r"[^\x20\x09-\x0D]"
 WORD = (1 << 56) - 1
 THRESHOLD, LEAST = (80, 100), 1
+MAPS = ("map", "map_high")
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
@@ -41,15 +48,26 @@ def _line_rows(docs: DataFrame) -> DataFrame:
     return docs.filter("text is not null and text <> ''").select("doc_id", F.xxhash64("text").alias("doc_hash"), line)
 
 
+def _words(line: Column) -> Column:
+    """Words of a line, as ``common.words`` has them; a split at one character needs no pattern."""
+    parts = F.when(line.rlike(OTHER_SPACE), F.split(line, SPACE)).otherwise(F.split(line, " "))
+    return F.array_remove(parts, "")
+
+
+def _short(line: Column, least: int) -> Column:
+    """Whether a line has fewer than ``least`` distinct words, or none."""
+    return ~line.rlike(HAS_WORD) if least <= 1 else F.size(F.array_distinct(_words(line))) < least
+
+
 def _hashes(line: Column) -> Column:
     """The distinct words of a line, as hashes."""
-    return F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
 
 
 def _rarity(lines: DataFrame) -> Column:
     """Four times the binary logarithm of each cell's count: ``CELLS`` bytes, a constant of one plan."""
-    cell = F.pmod("h", F.lit(CELLS)).cast("int")
-    counts = (lines.select(F.explode(words(F.col("line"))).alias("w")).select(F.xxhash64("w").alias("h")).groupBy(cell.alias("idx"))
+    cell = F.col("h").bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    counts = (lines.select(F.explode(_words(F.col("line"))).alias("w")).select(F.xxhash64("w").alias("h")).groupBy(cell.alias("idx"))
               .agg(F.count(F.lit(1)).alias("n")))
     rank = counts.select("idx", F.least(F.floor(F.log2("n") * 4), F.lit(126)).cast("int").alias("n"))
     return F.lit(bytearray(dense_array(staged(rank, "rarity"), CELLS).first()["cells"]))
@@ -58,13 +76,18 @@ def _rarity(lines: DataFrame) -> Column:
 def _tokens(hashes: Column, rarity: Column) -> Column:
     """Words as numbers in the order of rarity: the rank above, the hash below."""
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(
-        F.ascii(F.substring(rarity, F.pmod(h, F.lit(CELLS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(WORD)))))
+        F.ascii(F.substring(rarity, h.bitwiseAND(F.lit(CELLS - 1)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(WORD)))))
+
 
+def _word_maps(tokens: Column) -> list[Column]:
+    """128 bits in two halves: seven bits of a word's hash name the one that it turns."""
+    def turned(m: Column, value: Column, t: Column) -> Column:
+        return m.bitwiseXOR(F.call_function("shiftleft", value, t.bitwiseAND(F.lit(63)).cast("int")))
 
-def _word_map(tokens: Column) -> Column:
-    """64 bits, of which each word sets the one that six bits of its hash name."""
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function(
-        "shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    every = F.aggregate(tokens, zero, lambda m, t: turned(m, one, t))
+    high = F.aggregate(tokens, zero, lambda m, t: turned(m, F.shiftright(t, 6).bitwiseAND(one), t))
+    return [every.alias("map"), high.alias("map_high")]
 
 
 def _key(token: Column) -> Column:
@@ -73,10 +96,11 @@ def _key(token: Column) -> Column:
 
 
 def _dealt(firsts: DataFrame, part: int) -> DataFrame:
-    """(key, lid, pos, n, doc, map): a row for each prefix word of each line, of the keys of one round. The order of
+    """(key, lid, pos, n, doc, maps): a row for each prefix word of each line, of the keys of one round. The order of
     documents is settled with the words; null ids, the last, stand with the greatest here."""
     doc = F.coalesce("place.doc_id", F.lit((1 << 63) - 1)).alias("doc")
-    return firsts.select("lid", "n", doc, "map", F.posexplode("prefix").alias("pos", "key")).filter(
+    maps = [c for c in firsts.columns if c in MAPS]
+    return firsts.select("lid", "n", doc, *maps, F.posexplode("prefix").alias("pos", "key")).filter(
         F.pmod("key", F.lit(ROUNDS)) == part)
 
 
@@ -94,59 +118,69 @@ def _needed(n: Column, m: Column, threshold: tuple[int, int]) -> Column:
 
 def _alike(threshold: tuple[int, int]) -> Column:
     """Whether sizes (n, o_n) and word maps leave a chance of the threshold: a word that one side alone holds
-    changes at most one bit of its map."""
+    turns one bit of the 128. ``map`` has all words, so its two halves differ where it and ``map_high`` do."""
     a, b = threshold
     n, m = F.col("n"), F.col("o_n")
-    apart = F.bit_count(F.col("map").bitwiseXOR(F.col("o_map")))
+    high = F.col("map_high").bitwiseXOR(F.col("o_map_high"))
+    apart = F.bit_count(high) + F.bit_count(F.col("map").bitwiseXOR(F.col("o_map")).bitwiseXOR(high))
     return (n * a <= m * b) & (m * a <= n * b) & (apart <= n + m - 2 * _needed(n, m, threshold))
 
 
+def _mark(doc_hash: Column, line_no: Column) -> Column:
+    """A line's place in the table of needed lines."""
+    return F.pmod(F.xxhash64(doc_hash, line_no), F.lit(NEEDED)).cast("int")
+
+
 def _matched(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The lid of every pair (lid, other) whose other line comes first and whose words reach the threshold: words are
-    taken from the texts of these lines, in their whole hashes."""
+    """(lid, place) of every pair (lid, other) whose other line comes first and whose words reach the threshold: words
+    are taken from the texts of these lines, in their whole hashes."""
     ids = pairs.select("lid").union(pairs.select("other")).distinct()
     places = staged(firsts.join(ids, "lid", "left_semi").select("lid", "place", *[
         F.col("place." + c).alias("p_" + c) for c in ("doc_id", "doc_hash", "line_no")]), "places")
-    here = (lines["doc_id"].eqNullSafe(places["p_doc_id"]) & (lines["doc_hash"] == places["p_doc_hash"])
-            & (lines["line_no"] == places["p_line_no"]))
-    found = lines.join(places, here).dropDuplicates(["lid"]).select("lid", "place", _hashes(F.col("line")).alias("x"))
-    sets = staged(found, "sets")
+    needed = bytearray(b"0" * NEEDED)
+    for r in places.select(_mark(F.col("p_doc_hash"), F.col("p_line_no")).alias("at")).distinct().toLocalIterator():
+        needed[r["at"]] = ord("1")
+    some = lines.filter(F.substring(F.lit(needed), _mark(F.col("doc_hash"), F.col("line_no")) + 1, F.lit(1)).cast("string") == "1")
+    here = (some["doc_id"].eqNullSafe(places["p_doc_id"]) & (some["doc_hash"] == places["p_doc_hash"])
+            & (some["line_no"] == places["p_line_no"]))
+    found = some.join(places, here).select("lid", "place", "line").dropDuplicates(["place"])
+    sets = staged(found.select("lid", "place", _hashes(F.col("line")).alias("x")), "sets")
     both = pairs.join(sets, "lid").join(sets.toDF("other", "o_place", "y"), "other").filter("o_place < place")
     return both.filter(F.size(F.array_intersect("x", "y")) >= _needed(F.size("x"), F.size("y"), threshold)).select(
-        "lid").distinct()
+        "lid", "place").distinct()
 
 
-def later_matches(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """(doc_id, doc_hash, line_no) of every line to remove, from rows (doc_id, text)."""
+def kept_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, least: int = LEAST) -> DataFrame:
+    """(doc_id, doc_hash, line_no) of every line of ``least`` words or more that stays, from rows (doc_id, text)."""
     a, b = threshold
-    lines = _line_rows(docs)
+    lines = _line_rows(docs).filter(~_short(F.col("line"), least))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_hash", "line_no")
     rows = lines.select(place.alias("place"), _tokens(_hashes(F.col("line")), _rarity(lines)).alias("tokens"))
     size = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), size - F.ceil(size * a / F.lit(float(b)) - 1e-9).cast("int") + 1)
     longer = size * (b - a) >= a  # n / (n + 1) reaches the threshold
-    with passing(docs.sparkSession):
-        every = staged(rows.select(
-            F.xxhash64("tokens").alias("lid"), F.xxhash64(F.lit(1), "tokens").alias("lid2"), size.alias("n"), "place",
-            _word_map(F.col("tokens")).alias("map"), F.when(longer, F.transform(prefix, _key)).alias("prefix")),
-            "lines").filter(F.col("n") >= max(least, 1))
-        own = [F.min_by(c, "place").alias(c) for c in ("lid2", "n", "map", "prefix")]
-        firsts = staged(every.groupBy("lid").agg(F.min("place").alias("place"), *own), "firsts", last=True)
-        occurrences = staged(every.select("lid", "lid2", "place"), "occurrences", last=True)
+    every = rows.select(
+        F.xxhash64("tokens").alias("lid"), F.xxhash64(F.lit(1), "tokens").alias("lid2"), size.alias("n"), "place",
+        *_word_maps(F.col("tokens")), F.when(longer, F.transform(prefix, _key)).alias("prefix"))
+    # two sets may share lid: they are told apart by lid2, by their place, and by their words when verified
+    own = [F.first(c).alias(c) for c in ("n", *MAPS, "prefix")]
+    firsts = staged(every.groupBy("lid", "lid2").agg(F.min("place").alias("place"), *own).drop("lid2"), "firsts")
+
+    shared = F.col("pos") <= F.col("n") - _needed(F.col("n"), F.col("n"), threshold)  # the prefix among lines of equal length
 
     def heads(part: int) -> DataFrame:
-        head = F.min(F.struct("doc", "lid", "map")).over(Window.partitionBy("key", "n"))
-        near = _dealt(firsts, part).withColumn("head", head).withColumns(
-            {"other": F.col("head.lid"), "o_n": F.col("n"), "o_map": F.col("head.map")})
+        head = F.min(F.struct("doc", "lid", *MAPS)).over(Window.partitionBy("key", "n"))
+        near = _dealt(firsts, part).filter(shared).withColumn("head", head).withColumns(
+            {"other": F.col("head.lid"), "o_n": F.col("n"), **{"o_" + c: F.col("head." + c) for c in MAPS}})
         return near.filter("lid <> other").filter(_alike(threshold))
 
     tried = staged(_in_rounds(heads, "heads"), "tried")
     with passing(docs.sparkSession):
         settled = staged(_matched(tried, firsts, lines, threshold), "settled", last=True)
-    open_lines = staged(firsts.join(settled, "lid", "left_anti").select("lid", "n", "place", "map", "prefix"), "open")
+    open_lines = staged(firsts.join(settled, ["lid", "place"], "left_anti").select("lid", "n", "place", *MAPS, "prefix"), "open")
 
     def earlier(part: int) -> DataFrame:
-        other = _dealt(firsts, part).select("key", *[F.col(c).alias("o_" + c) for c in ("lid", "pos", "n", "doc", "map")])
+        other = _dealt(firsts, part).select("key", *[F.col(c).alias("o_" + c) for c in ("lid", "pos", "n", "doc", *MAPS)])
         open_ = _dealt(open_lines, part)
         left = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("o_n") - F.col("o_pos") - 1)
         fits = ((F.col("o_doc") <= F.col("doc")) & (F.col("o_lid") != F.col("lid")) & _alike(threshold)
@@ -154,22 +188,18 @@ def later_matches(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, least
         return open_.join(other, (open_["key"] == other["key"]) & fits).withColumnRenamed("o_lid", "other")
 
     more = staged(_in_rounds(earlier, "earlier").join(tried, ["lid", "other"], "left_anti"), "more")
-    later = settled
+    stay = open_lines
     if more.take(1):
         with passing(docs.sparkSession):
-            later = staged(settled.union(_matched(more, firsts, lines, threshold)).distinct(), "settled", last=True)
+            later = staged(_matched(more, firsts, lines, threshold), "later", last=True)
+        stay = open_lines.join(later, ["lid", "place"], "left_anti")
+    return stay.select("place.doc_id", "place.doc_hash", "place.line_no")
 
-    judged = firsts.select("lid", F.col("lid2").alias("same"), F.col("place").alias("first")).join(
-        later.withColumn("gone", F.lit(True)), "lid", "left")
-    gone = occurrences.select("lid", "lid2", "place").join(judged, "lid").filter(
-        (F.col("lid2") == F.col("same")) & (F.col("gone").isNotNull() | (F.col("place") != F.col("first"))))
-    return gone.select("place.doc_id", "place.doc_hash", "place.line_no")
 
-
-def _removed(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, doc_hash, lines): the numbers of a document's lines to remove. Equal rows of the table
-    fare alike."""
-    return later_matches(docs, **options).groupBy("doc_id", "doc_hash").agg(F.collect_set("line_no").alias("lines"))
+def _kept(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, doc_hash, lines): the numbers of a document's lines that stay, of those with ``least`` words. Equal
+    rows of the table fare alike."""
+    return kept_lines(docs, **options).groupBy("doc_id", "doc_hash").agg(F.collect_set("line_no").alias("lines"))
 
 
 def removed_per_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -181,18 +211,29 @@ def removed_per_document(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select("doc_id", "n_lines", n_removed.alias("n_removed"), "text")
 
 
+def _gone(text: Column, kept: Column, least: int = LEAST, **_) -> Column:
+    """The numbers of a text's lines that go, null where none does: those with ``least`` words that are not kept."""
+    parts = F.split(text, "\n")
+    stay = F.array_union(F.coalesce(kept, F.array().cast("array<int>")),
+                         F.array_compact(F.transform(parts, lambda line, i: F.when(_short(line, least), i))))
+    gone = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), stay)
+    return F.when((text != "") & (F.size(parts) > F.coalesce(F.size(kept), F.lit(0))), gone)
+
+
 def _without(docs: DataFrame, id_col: str, text_col: str, **options) -> tuple[DataFrame, str]:
     """``docs`` without their later lines, and the name of an added column: the numbers of the lines that
     went, null where none did."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with passing(docs.sparkSession):
-        gone = staged(_removed(rows, **options), "removed", last=True)
+        kept = staged(_kept(rows, **options), "kept", last=True)
     ident, mark, lines = fresh(docs, "gone_id", "gone_hash", "gone_lines")
-    gone = gone.toDF(ident, mark, lines)
-    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(ident))
+    kept = kept.toDF(ident, mark, lines)
+    joined = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(ident))
                        & (F.xxhash64(F.col(text_col)) == F.col(mark)), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(F.col(lines), i)), "\n")
-    text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(kept)
+    joined = joined.withColumn(lines, _gone(F.col(text_col), F.col(lines), **options))
+    joined = joined.withColumn(lines, F.when(F.size(lines) > 0, F.col(lines)))
+    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(F.col(lines), i)), "\n")
+    text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(left)
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], lines), lines
 
 
@@ -201,5 +242,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_
     """``docs`` without their later lines. ``drop_emptied``: documents go that lose all their words."""
     out, lines = _without(docs, id_col, text_col, **options)
     if drop_emptied:
-        out = out.filter(F.col(lines).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+        out = out.filter(F.col(lines).isNull() | F.col(text_col).rlike(HAS_WORD))
     return out.drop(lines)

@@ -132,3 +132,20 @@ def test_rounds_part_the_prefix_words(spark):
     dealt = [[(r.lid, r.pos, r.key) for r in lines._dealt(firsts, k).collect()] for k in range(lines.ROUNDS)]
     assert sorted(sum(dealt, [])) == sorted((k, i, w) for k, _, p, _ in rows for i, w in enumerate(p or []))
     assert lines.ROUNDS > 1 and max(map(len, dealt)) < 120
+
+
+def test_unrelated_long_lines_are_told_apart_before_their_words_are_read(spark, monkeypatch):
+    """Long lines share prefix words, but few pairs of them pass the bound by word maps."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.sample([f"w{i}x" for i in range(900)], 150)), "a") for k in range(60)]
+    rows += [(100 + k, " ".join(rows[k][1].split(" ")[:-8]), "a") for k in range(5)]
+    asked, matched = [], lines._matched
+
+    def counted(pairs, *more):
+        asked.append(pairs.count())
+        return matched(pairs, *more)
+
+    monkeypatch.setattr(lines, "_matched", counted)
+    left = lines.dedup(docs(spark, rows, clash=False))
+    assert {r.doc_id for r in left.collect()} == set(range(60))
+    assert 5 <= sum(asked) <= 20

@@ -25,7 +25,10 @@ ranking says. An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -51,36 +54,53 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).replace(b".", b" . ").split(b" ") + [b"."]
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """The numbers of each array byte by byte, all lowest bytes first: the high ones are mostly alike."""
+@cache
+def _compressor():
+    """One for a process: a new one for each of many small pieces takes longer than the pieces."""
     import zstandard
 
-    data = b"".join([np.array([len(arrays), *map(len, arrays)], "<i8").tobytes(),
-                     *(np.ascontiguousarray(a, "<i4").view("u1").reshape(-1, 4).T.tobytes() for a in arrays)])
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return zstandard.ZstdCompressor(level=3)
 
 
-def _unpacked(data: bytes) -> list[np.ndarray]:
+@cache
+def _decompressor():
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(data)
+    return zstandard.ZstdDecompressor()
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """The numbers of each array byte by byte, all lowest bytes first: the high ones are mostly alike."""
+    return _compressor().compress(b"".join([np.array([len(arrays), *map(len, arrays)], "<i8").tobytes(),
+                                            *(np.ascontiguousarray(a, "<i4").view("u1").reshape(-1, 4).T.tobytes() for a in arrays)]))
+
+
+def _packed_parts(arrays: list[np.ndarray], ends: list[int]) -> Iterator[bytes]:
+    """``_packed`` of each part of arrays of one length; a part ends where the next begins."""
+    planes = np.ascontiguousarray(np.stack(arrays).astype("<i4").view("u1").reshape(len(arrays), -1, 4).transpose(0, 2, 1))
+    for a, b in zip([0, *ends], ends):
+        sizes = np.array([len(arrays), *[b - a] * len(arrays)], "<i8").tobytes()
+        yield _compressor().compress(sizes + planes[:, :, a:b].tobytes())
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    raw = _decompressor().decompress(data)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    sizes = np.frombuffer(raw, "<i8", n, 8)
+    sizes = np.frombuffer(raw, "<i8", n, 8).tolist()
+    if len(set(sizes)) == 1:
+        planes = np.frombuffer(raw, "u1", -1, 8 * (n + 1)).reshape(n, 4, sizes[0])
+        return list(np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i4").reshape(n, sizes[0]))
     ends = 8 * (n + 1) + 4 * np.cumsum(sizes)
     return [np.ascontiguousarray(np.frombuffer(raw, "u1", int(4 * size), int(end - 4 * size)).reshape(4, -1).T).view("<i4")[:, 0]
             for size, end in zip(sizes, ends)]
 
 
 def _words(words: list[bytes]) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(words))
+    return _compressor().compress(b"\n".join(words))
 
 
 def _read_words(data: bytes) -> list[bytes]:
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
+    return _decompressor().decompress(data).split(b"\n")
 
 
 def _each(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -97,11 +117,25 @@ def _changes(columns: list[np.ndarray]) -> np.ndarray:
     return new
 
 
+def _order(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows of numbers from 0 up: as many columns as fit make one key of 64 bits, whose rank then stands
+    for them. Equal rows come in any order."""
+    key, bits = np.zeros(len(columns[0]), np.uint64), 0
+    for c in columns:
+        more = int(c.max(initial=0)).bit_length()
+        if bits + more > 64:
+            order = np.argsort(key)
+            rank = np.cumsum(_changes([key[order]])) - 1
+            key[order] = rank
+            bits = int(rank[-1]).bit_length()
+        key = np.left_shift(key, np.uint64(more)) | c.astype(np.uint64) if more else key
+        bits += more
+    return np.argsort(key)
+
+
 def sorted_suffixes(columns: list[np.ndarray], counts: np.ndarray, extra: tuple[np.ndarray, ...] = ()) -> list[np.ndarray]:
-    """Distinct rows of the columns in order, then their summed counts, then the first of each extra column."""
-    keys = [c.astype(np.uint64) for c in columns]
-    keys = [np.left_shift(a, np.uint64(32)) | b for a, b in zip(keys[::2], [*keys[1::2], np.uint64(0)])]
-    order = np.lexsort(keys[::-1])
+    """Distinct rows of the columns in order, then their summed counts, then each extra column, which equal rows share."""
+    order = _order(columns)
     columns = [c[order] for c in columns]
     first = np.flatnonzero(_changes(columns))
     total = np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else counts
@@ -118,12 +152,9 @@ def _suffixes(ids: np.ndarray, depth: int) -> list[np.ndarray]:
     return columns
 
 
-class _Numbers(dict):
+def _numbers() -> dict[bytes, int]:
     """Word -> number by first occurrence; a piece's end is 0, and so is what stands between two blanks."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+    return defaultdict(count(1).__next__, {b".": 0})
 
 
 def suffix_runs(docs: DataFrame, depth: int = DEPTH, run_words: int = RUN_WORDS) -> DataFrame:
@@ -133,14 +164,14 @@ def suffix_runs(docs: DataFrame, depth: int = DEPTH, run_words: int = RUN_WORDS)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
-        numbers: dict[str, _Numbers] = {}
+        numbers: dict[str, dict[bytes, int]] = {}
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang in held:
-                words = list(numbers[lang])
+                words = [b".", *sorted(w for w in numbers[lang] if w != b".")]
                 rank = np.empty(len(words), np.int32)
-                rank[sorted(range(len(words)), key=lambda i: (i > 0, words[i]))] = np.arange(len(words))
+                rank[np.fromiter(map(numbers[lang].__getitem__, words), np.int64, len(words))] = np.arange(len(words))
                 columns = _suffixes(rank[np.concatenate(held[lang])], depth)
                 if not len(columns[0]):
                     continue
@@ -148,14 +179,14 @@ def suffix_runs(docs: DataFrame, depth: int = DEPTH, run_words: int = RUN_WORDS)
                 first = np.flatnonzero(_changes(columns[:1]))
                 heads = (columns[0][first], np.diff(np.append(first, len(counts))), np.add.reduceat(counts, first))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([_words([b"."] + sorted(words[1:]))], pa.binary()),
+                    [pa.array([lang]), pa.array([_words(words)], pa.binary()),
                      pa.array([_packed(*heads)], pa.binary()), pa.array([_packed(*columns, counts)], pa.binary())],
                     ["lang", "words", "heads", "suffixes"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if lang not in held:
-                    held[lang], numbers[lang] = [], _Numbers({b".": 0})
+                    held[lang], numbers[lang] = [], _numbers()
                 number = numbers[lang]
                 found = [w for w in tokens(text.as_py()) if w]
                 held[lang].append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
@@ -213,7 +244,7 @@ def _prefixes(runs: DataFrame, cut: list[dict[str, set[bytes]]], least_rows: flo
     deepest level of ``cut`` that have so many suffixes in a run; with 0, of the prefixes in ``cut``."""
     held = runs.sparkSession.sparkContext.broadcast(cut)  # CUT_PREFIXES a level at most
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, words, data in _each(batch):
                 names, (*columns, counts) = _read_words(words), _unpacked(data)
@@ -231,7 +262,7 @@ def _prefixes(runs: DataFrame, cut: list[dict[str, set[bytes]]], least_rows: flo
                             [pa.array([lang] * len(first), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
                              pa.array(rows, pa.int64()), pa.array(f, pa.int64())], ["lang", "phrase", "rows", "f"])
 
-    return _counted(runs.select("lang", "words", "suffixes").mapInArrow(count, COUNTS))
+    return _counted(runs.select("lang", "words", "suffixes").mapInArrow(counted, COUNTS))
 
 
 def vertical(runs: DataFrame, depth: int = DEPTH, budget: int = BUDGET,
@@ -263,6 +294,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _own_numbers(columns: np.ndarray, part: np.ndarray, parts: int, words: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(numbers, used, begins): each part's words numbered on their own, all parts at once. ``used``: the words of one
+    part after the other, in order, 0 first; ``begins``: where each part's begin."""
+    zeros = np.arange(parts, dtype=np.int64) * words
+    used, number = np.unique(np.concatenate((zeros, (part * words + columns).ravel())), return_inverse=True)
+    begins = np.searchsorted(used, zeros)
+    return number[parts:].reshape(columns.shape) - begins[part], used % words, begins.tolist()
+
+
 def _dealt(runs: DataFrame, cut: list[dict[str, set[bytes]]], groups: int, depth: int) -> DataFrame:
     """Rows (subtree, lang, words, suffixes): the part of a run that belongs to a group; the last column of
     ``suffixes`` is the depth of each suffix's root."""
@@ -284,19 +324,21 @@ def _dealt(runs: DataFrame, cut: list[dict[str, set[bytes]]], groups: int, depth
                         key = np.where(open_, _mixed(key * np.uint64(0x9E3779B97F4A7C15) + hashes[columns[k]]), key)
                         root[open_ & (at[k] == 0 if k < known else True)] = k + 1
                 some = np.flatnonzero(root)
-                to = (key[some] % np.uint64(groups)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
+                if not len(some):
+                    continue
+                to = key[some] % np.uint64(groups)
+                order = _order([to])
                 some, to = some[order], to[order]
-                starts = np.flatnonzero(_changes([to]))
-                for a, b in zip(starts, [*starts[1:], len(to)]):
-                    mine = some[a:b]
-                    flat = np.concatenate([np.zeros(1, np.int32), *(c[mine] for c in columns)])
-                    used, flat = np.unique(flat, return_inverse=True)
-                    own = np.split(flat[1:].astype(np.int32), depth)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(to[a])], pa.int64()), pa.array([lang]), pa.array([_words([names[i] for i in used])], pa.binary()),
-                         pa.array([_packed(*own, counts[mine], root[mine])], pa.binary())],
-                        ["subtree", "lang", "words", "suffixes"])
+                new = _changes([to])
+                starts = np.flatnonzero(new)
+                own, used, begins = _own_numbers(np.stack([c[some] for c in columns]), np.cumsum(new) - 1, len(starts), len(names))
+                used = [names[i] for i in used.tolist()]
+                ends = [*starts[1:].tolist(), len(some)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to[starts], pa.int64()), pa.array([lang] * len(starts), pa.string()),
+                     pa.array([_words(used[a:b]) for a, b in zip(begins, [*begins[1:], len(used)])], pa.binary()),
+                     pa.array(list(_packed_parts([*own, counts[some], root[some]], ends)), pa.binary())],
+                    ["subtree", "lang", "words", "suffixes"])
 
     return runs.select("lang", "words", "suffixes").mapInArrow(deal, "subtree long, " + RUNS.replace(" heads binary,", ""))
 
@@ -305,20 +347,15 @@ class Subtree:
     """The suffixes of one group, and what its nodes count."""
 
     def __init__(self, depth: int):
-        self.depth, self.langs, self.parts, self.numbers, self.names = depth, [], [], {b".": 0}, [b"."]
+        self.depth, self.langs, self.parts, self.numbers = depth, [], [], _numbers()
         self.size, self.room = 0, BUDGET
 
     def add(self, lang: str, words: bytes, suffixes: bytes) -> None:
-        number = []
-        for w in _read_words(words):
-            if w not in self.numbers:
-                self.numbers[w] = len(self.names)
-                self.names.append(w)
-            number.append(self.numbers[w])
+        words = _read_words(words)
+        number = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
         if lang not in self.langs:
             self.langs.append(lang)
         *columns, counts, root = _unpacked(suffixes)
-        number = np.array(number, np.int32)
         self.parts.append([np.full(len(counts), self.langs.index(lang), np.int32), *(number[c] for c in columns), counts, root])
         self.size += len(counts)
         if self.size > self.room:  # suffixes that many runs share are one
@@ -333,6 +370,7 @@ class Subtree:
 
     def nodes(self, least: int) -> Iterator[tuple[str, bytes, int]]:
         """(lang, phrase, count) of the nodes at or below their root that occur ``least`` times."""
+        names = list(self.numbers)
         lang, *columns, counts, root = self._joined()
         for k in range(1, self.depth + 1):
             first = np.flatnonzero(_changes([lang, *columns[:k]]))
@@ -340,7 +378,7 @@ class Subtree:
             some = first[(f >= least) & (columns[k - 1][first] > 0) & (root[first] <= k)]
             f = f[(f >= least) & (columns[k - 1][first] > 0) & (root[first] <= k)]
             for i, n in zip(some.tolist(), f.tolist()):
-                yield self.langs[lang[i]], b" ".join([self.names[c[i]] for c in columns[:k]]), n
+                yield self.langs[lang[i]], b" ".join([names[c[i]] for c in columns[:k]]), n
 
 
 def subtrees(dealt: DataFrame, least: int = LEAST, depth: int = DEPTH) -> DataFrame:

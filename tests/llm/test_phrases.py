@@ -122,3 +122,49 @@ def test_packed_numbers_take_less_than_plain_ones_and_return():
     plain = zstandard.ZstdCompressor(level=3).compress(b"".join(a.astype("<i4").tobytes() for a in arrays))
     assert len(data) < 0.9 * len(plain)
     assert [x.tolist() for x in phrases._unpacked(data)] == [x.tolist() for x in arrays]
+
+
+def test_a_run_is_dealt_as_one_batch_of_pieces():
+    """Many small pieces cost what a few large ones do: one batch a run, each piece with its own words and numbers."""
+    import numpy as np
+    import pyarrow as pa
+
+    class Runs:  # stands for a table: hands out the function that deals
+        sparkSession = type("S", (), {"sparkContext": type("C", (), {"broadcast": lambda self, x: type("B", (), {"value": x})()})()})()
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, deal, schema):
+            return deal
+
+    rng = np.random.default_rng(1)
+    names = [b".", *sorted({b"w%d" % i for i in range(400)})]
+    columns = phrases._suffixes(rng.integers(0, len(names), 6000).astype(np.int32), 5)
+    *columns, f = phrases.sorted_suffixes(columns, np.ones(len(columns[0]), np.int64))
+    run = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([phrases._words(names)], pa.binary()),
+                                      pa.array([phrases._packed(*columns, f)], pa.binary())], ["lang", "words", "suffixes"])
+    out = list(phrases._dealt(Runs(), [{"en": {b"w7"}}], 50, 5)(iter([run])))
+    assert len(out) == 1 and len(set(out[0].column(0).to_pylist())) == out[0].num_rows > 40
+    found = []
+    for _, _, words, data in phrases._each(out[0]):
+        used, (*own, counts, root) = phrases._read_words(words), phrases._unpacked(data)
+        assert used == sorted(set(used)) and used[0] == b"."
+        found += [(*(used[i] for i in row), n, r) for *row, n, r in zip(*own, counts.tolist(), root.tolist())]
+    assert sorted(found) == sorted(
+        (*(names[i] for i in row), n, 2 if names[row[0]] == b"w7" else 1) for *row, n in zip(*columns, f.tolist())
+        if not (names[row[0]] == b"w7" and row[1] == 0))
+
+
+def test_rows_are_ordered_past_64_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for top in (1, 3, 2**20, 2**31 - 1):
+        rows = rng.integers(0, top + 1, (6, 500)).astype(np.int32)
+        rows[:, 250:] = rows[:, :250]
+        *columns, total, extra = phrases.sorted_suffixes(list(rows), np.ones(500, np.int64), (rows[0],))
+        want = Counter(map(tuple, rows.T.tolist()))
+        assert list(zip(*(c.tolist() for c in columns))) == sorted(want)
+        assert total.tolist() == [want[k] for k in sorted(want)] and extra.tolist() == columns[0].tolist()
+    assert phrases.sorted_suffixes([np.zeros(0, np.int32)] * 5, np.zeros(0, np.int64))[0].tolist() == []

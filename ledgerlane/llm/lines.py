@@ -14,7 +14,7 @@ fewer pairs. Two lines of Jaccard similarity t share one of their first (1 - t)
 4. Lines that still have no earlier match are joined with all earlier lines of their buckets under the
    length and the positional filter and a bound from maps of 128 bits, of which each word turns one.
 5. The pairs that are left, hardly more than the matches, are verified by the words of their lines. A table of
-   ``NEEDED`` bytes tells most other lines apart before any text is shuffled.
+   ``NEEDED`` bytes, seven bits of each, tells most other lines apart before any text is shuffled.
 6. What stays are the first lines of the sets that no earlier one matches, and lines without words: they are
    told to the documents, not the lines that go.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import SPACE, dense_array, fresh, passing, staged
 
-CELLS, ROUNDS, NEEDED = 1 << 16, 4, 1 << 20
+CELLS, ROUNDS, NEEDED = 1 << 16, 4, 1 << 16
 #: Lines hold few of them, so that most are split at plain blanks.
 OTHER_SPACE, HAS_WORD = r"[\x09-\x0D]", r"[^\x20\x09-\x0D]"
 WORD = (1 << 56) - 1
@@ -127,8 +127,21 @@ def _alike(threshold: tuple[int, int]) -> Column:
 
 
 def _mark(doc_hash: Column, line_no: Column) -> Column:
-    """A line's place in the table of needed lines."""
-    return F.pmod(F.xxhash64(doc_hash, line_no), F.lit(NEEDED)).cast("int")
+    """A line's bit in the table of needed lines."""
+    return F.pmod(F.xxhash64(doc_hash, line_no), F.lit(7 * NEEDED)).cast("int")
+
+
+def _table(marks: DataFrame) -> Column:
+    """The bits ``at`` as bytes below 128, a constant of one plan."""
+    bits = bytearray(NEEDED)
+    for r in marks.distinct().toLocalIterator():
+        bits[r["at"] // 7] |= 1 << r["at"] % 7
+    return F.lit(bits)
+
+
+def _set(table: Column, mark: Column) -> Column:
+    byte = F.ascii(F.substring(table, F.floor(mark / F.lit(7)).cast("int") + 1, F.lit(1)).cast("string"))
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(mark, F.lit(7)))) != 0
 
 
 def _matched(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -137,10 +150,8 @@ def _matched(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, threshold: t
     ids = pairs.select("lid").union(pairs.select("other")).distinct()
     places = staged(firsts.join(ids, "lid", "left_semi").select("lid", "place", *[
         F.col("place." + c).alias("p_" + c) for c in ("doc_id", "doc_hash", "line_no")]), "places")
-    needed = bytearray(b"0" * NEEDED)
-    for r in places.select(_mark(F.col("p_doc_hash"), F.col("p_line_no")).alias("at")).distinct().toLocalIterator():
-        needed[r["at"]] = ord("1")
-    some = lines.filter(F.substring(F.lit(needed), _mark(F.col("doc_hash"), F.col("line_no")) + 1, F.lit(1)).cast("string") == "1")
+    needed = _table(places.select(_mark(F.col("p_doc_hash"), F.col("p_line_no")).alias("at")))
+    some = lines.filter(_set(needed, _mark(F.col("doc_hash"), F.col("line_no"))))
     here = (some["doc_id"].eqNullSafe(places["p_doc_id"]) & (some["doc_hash"] == places["p_doc_hash"])
             & (some["line_no"] == places["p_line_no"]))
     found = some.join(places, here).select("lid", "place", "line").dropDuplicates(["place"])
@@ -212,7 +223,7 @@ def removed_per_document(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _gone(text: Column, kept: Column, least: int = LEAST, **_) -> Column:
-    """The numbers of a text's lines that go, null where none does: those with ``least`` words that are not kept."""
+    """The numbers of a text's lines that go, none or null where all stay: those with ``least`` words that are not kept."""
     parts = F.split(text, "\n")
     stay = F.array_union(F.coalesce(kept, F.array().cast("array<int>")),
                          F.array_compact(F.transform(parts, lambda line, i: F.when(_short(line, least), i))))
@@ -222,7 +233,7 @@ def _gone(text: Column, kept: Column, least: int = LEAST, **_) -> Column:
 
 def _without(docs: DataFrame, id_col: str, text_col: str, **options) -> tuple[DataFrame, str]:
     """``docs`` without their later lines, and the name of an added column: the numbers of the lines that
-    went, null where none did."""
+    went, none or null where all stayed."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with passing(docs.sparkSession):
         kept = staged(_kept(rows, **options), "kept", last=True)
@@ -230,10 +241,11 @@ def _without(docs: DataFrame, id_col: str, text_col: str, **options) -> tuple[Da
     kept = kept.toDF(ident, mark, lines)
     joined = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(ident))
                        & (F.xxhash64(F.col(text_col)) == F.col(mark)), "left")
-    joined = joined.withColumn(lines, _gone(F.col(text_col), F.col(lines), **options))
-    joined = joined.withColumn(lines, F.when(F.size(lines) > 0, F.col(lines)))
+    # a generator's column is computed once: the planner would put its rule into each place, and each line, that asks for it
+    joined = joined.select(*[F.col(c) for c in docs.columns], F.explode(F.array(
+        _gone(F.col(text_col), F.col(lines), **options))).alias(lines))
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(F.col(lines), i)), "\n")
-    text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(left)
+    text = F.when(F.size(lines) > 0, left).otherwise(F.col(text_col))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], lines), lines
 
 
@@ -242,5 +254,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_
     """``docs`` without their later lines. ``drop_emptied``: documents go that lose all their words."""
     out, lines = _without(docs, id_col, text_col, **options)
     if drop_emptied:
-        out = out.filter(F.col(lines).isNull() | F.col(text_col).rlike(HAS_WORD))
+        out = out.filter((F.coalesce(F.size(lines), F.lit(0)) < 1) | F.col(text_col).rlike(HAS_WORD))
     return out.drop(lines)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import SPACE, dense_array, fresh, passing, staged
 
-CELLS, ROUNDS, NEEDED = 1 << 16, 4, 1 << 16
+CELLS, ROUNDS, NEEDED = 1 << 16, 2, 1 << 16
 #: Lines hold few of them, so that most are split at plain blanks.
 OTHER_SPACE, HAS_WORD = r"[\x09-\x0D]", r"[^\x20\x09-\x0D]"
 WORD = (1 << 56) - 1
